@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import blank_to_null, norm_text
+from larkspan.functions.text import blank_to_null, let, norm_text
 
 # Fixed values of the display formats.
 WEEKDAYS = ["月", "火", "水", "木", "金", "土", "日"]
@@ -30,7 +30,7 @@ def _pick(c: Column, pattern: str) -> Column:
 def format_day(day: Column) -> Column:
     """`YYYY-MM-DD(weekday)` with fixed labels."""
     names = F.array(*[F.lit(w) for w in WEEKDAYS])
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("("), names[F.weekday(day)], F.lit(")"))
+    return let(day, lambda d: F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("("), names[F.weekday(d)], F.lit(")")))
 
 
 def _clean_day(c: Column) -> Column:
@@ -39,7 +39,10 @@ def _clean_day(c: Column) -> Column:
 
 def parse_day(c: Column) -> Column:
     """First reading that gives a day: 8 leading digits, 年月日, dashes, slashes, 年月日 anywhere."""
-    text = _clean_day(c)
+    return let(_clean_day(c), _read_day)
+
+
+def _read_day(text: Column) -> Column:
     bare = F.regexp_replace(text, WEEKDAY_SUFFIX, "")
     return F.coalesce(
         _pick(text, r"^(\d{4})(\d{2})(\d{2})"),
@@ -100,14 +103,21 @@ def local_date(epoch: Column, offset: int = OFFSET_SECONDS) -> Column:
     return F.coalesce(F.date_format(local_day(epoch, offset), "yyyyMMdd"), F.lit(""))
 
 
-def _hms(seconds: Column):
-    total = seconds.try_cast("double").cast("long")
-    return total, F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60
+def _whole(seconds: Column) -> Column:
+    return seconds.try_cast("double").cast("long")
+
+
+def _hms(total: Column):
+    return F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60
 
 
 def format_duration(seconds: Column) -> Column:
     """Duration in words; '' for null, zero and negative values."""
-    total, h, m, s = _hms(seconds)
+    return let(_whole(seconds), _words)
+
+
+def _words(total: Column) -> Column:
+    h, m, s = _hms(total)
     hour, minute, second = WORDS
     text = (
         F.when(h > 0, F.concat(h.cast("string"), F.lit(hour), m.cast("string"), F.lit(minute), s.cast("string"), F.lit(second)))
@@ -119,7 +129,11 @@ def format_duration(seconds: Column) -> Column:
 
 def format_duration_clock(seconds: Column) -> Column:
     """`HH:MM:SS` with dashes for the parts that are zero from the left."""
-    total, h, m, s = _hms(seconds)
+    return let(_whole(seconds), _clock)
+
+
+def _clock(total: Column) -> Column:
+    h, m, s = _hms(total)
     two = lambda v: F.lpad(v.cast("string"), 2, "0")
     text = F.concat_ws(
         ":",

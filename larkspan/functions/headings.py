@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import blank_to_null, strip
+from larkspan.functions.text import blank_to_null, let, strip
 from larkspan.functions.unicode import nfkc
 
 # Patterns of contents rows and headings.
@@ -38,7 +38,10 @@ def has_contents_word(head: Column) -> Column:
 
 def contents_row(line: Column, normalise: bool = True) -> Column:
     """(title, printed_page, is_chapter) of one line, null when it is no contents row."""
-    text = strip(nfkc(line) if normalise else line)
+    return let(strip(nfkc(line) if normalise else line), _read_row)
+
+
+def _read_row(text: Column) -> Column:
     leader = text.rlike(LEADER_ROW)
 
     def group(g: int) -> Column:

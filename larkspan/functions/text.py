@@ -33,6 +33,11 @@ WIDE = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, for expressions that use it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -82,13 +87,21 @@ def safe_name(c: Column, fallback: str = "unknown", strict: bool = True) -> Colu
     """A text as one path element. `strict` also handles control characters, reserved stems and length."""
     base = _rstrip_dots(F.regexp_replace(norm_text(c), FORBIDDEN_AND_CONTROL if strict else FORBIDDEN, "_"))
     if strict:
-        stem = F.substring_index(base, ".", 1)
-        rest = F.substring(base, F.length(stem) + 1, F.length(base))
-        base = F.when(F.upper(stem).isin(RESERVED_STEMS), F.concat(stem, F.lit("_"), rest)).otherwise(base)
-        base = F.when(F.octet_length(base) > NAME_BYTES, _rstrip_dots(truncate_bytes(base, NAME_BYTES))).otherwise(base)
+        base = let(let(base, _avoid_reserved), _fit_name)
     return F.coalesce(blank_to_null(base), F.lit(fallback))
 
 
+def _avoid_reserved(name: Column) -> Column:
+    stem = F.substring_index(name, ".", 1)
+    rest = F.substring(name, F.length(stem) + 1, F.length(name))
+    return F.when(F.upper(stem).isin(RESERVED_STEMS), F.concat(stem, F.lit("_"), rest)).otherwise(name)
+
+
+def _fit_name(name: Column) -> Column:
+    short = _rstrip_dots(truncate_bytes(name, NAME_BYTES))
+    return F.when(F.octet_length(name) > NAME_BYTES, short).otherwise(name)
+
+
 def part_title(c: Column, length: int = 40) -> Column:
     """File part of a chapter title: forbidden characters removed, blanks as underscores, cut."""
     clean = F.replace(strip(F.regexp_replace(c, FORBIDDEN, "")), F.lit(" "), F.lit("_"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import blank_to_null
+from larkspan.functions.text import blank_to_null, let
 
 # Local names, reserved ranges and image suffixes.
 LOCAL_NAME = r"^localhost$|\.localhost$|\.local$|\.internal$"
@@ -45,16 +45,17 @@ def _reserved(a: Column, b: Column) -> Column:
 
 def url_is_public(url: Column) -> Column:
     """http or https, and neither a local name nor a private or reserved address."""
-    host = host_of(url)
-    v4 = F.when(
-        host.rlike(IPV4),
-        _reserved(F.regexp_extract(host, IPV4, 1).try_cast("int"), F.regexp_extract(host, IPV4, 2).try_cast("int")),
-    )
+    public = let(host_of(url), lambda host: ~_is_private(host))
+    return F.coalesce(scheme_of(url).isin("http", "https") & public, F.lit(False))
+
+
+def _is_private(host: Column) -> Column:
+    first, second = (F.regexp_extract(host, IPV4, g).try_cast("int") for g in (1, 2))
+    v4 = F.when(host.rlike(IPV4), _reserved(first, second))
     high = F.conv(blank_to_null(F.regexp_extract(host, IPV6_MAPPED, 1)), 16, 10).try_cast("int")
     mapped = _reserved(F.floor(high / 256).cast("int"), high % 256)
     local = host.rlike(LOCAL_NAME) | host.rlike(IPV6_LOCAL)
-    private = local | F.coalesce(v4, F.lit(False)) | F.coalesce(mapped, F.lit(False))
-    return F.coalesce(scheme_of(url).isin("http", "https") & ~private, F.lit(False))
+    return local | F.coalesce(v4, F.lit(False)) | F.coalesce(mapped, F.lit(False))
 
 
 def query_value(url: Column, name: str) -> Column:

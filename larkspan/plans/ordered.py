@@ -9,7 +9,8 @@ hour), so a group is cut into pieces of bounded size.
   2. one pre-aggregated row per `(key, piece)` is carried along the pieces,
   3. the carried value is joined back on `(key, piece)`.
 
-Only step 2 runs per key, over one small row per piece.
+Only step 2 runs per key, over one small row per piece. Where even these rows are many,
+`piece` is a list from coarse to fine, and step 2 is itself done piece by piece.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    piece: Column,
+    piece: Column | Sequence[Column],
     values: dict[str, Running],
     backward: bool = False,
 ) -> DataFrame:
@@ -62,15 +63,17 @@ def running(
     With `backward` the order is walked from its end, which gives "next row" values.
     """
     keys = list(keys)
+    levels = [piece] if isinstance(piece, Column) else list(piece)
+    ends = F.min_by if backward else F.max_by
 
     def direction(name: str) -> Column:
         return F.col(name).desc() if backward else F.col(name).asc()
 
-    inputs = {f"_in_{name}": spec.value for name, spec in values.items()}
-    base = df.withColumns({PIECE: piece, **inputs})
+    inputs = {f"_in_{n}": spec.value for n, spec in values.items()}
+    fine = levels[0] if len(levels) == 1 else F.struct(*[c.alias(f"p{i}") for i, c in enumerate(levels)])
+    base = df.withColumns({PIECE: fine, **inputs})
 
     # max_by skips no null values, so rows without a value are left out of the ordering
-    ends = F.min_by if backward else F.max_by
     summary = base.groupBy(*keys, PIECE).agg(
         *[
             ends(F.col(f"_in_{n}"), F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order))).alias(f"_p_{n}")
@@ -79,12 +82,18 @@ def running(
             for n, s in values.items()
         ]
     )
-    over_pieces = (
-        Window.partitionBy(*keys).orderBy(direction(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = summary.select(
-        *keys, PIECE, *[_fold(s.kind, F.col(f"_p_{n}")).over(over_pieces).alias(f"_c_{n}") for n, s in values.items()]
-    )
+    if len(levels) == 1:
+        before = Window.partitionBy(*keys).orderBy(direction(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
+        carried = summary.select(
+            *keys, PIECE, *[_fold(s.kind, F.col(f"_p_{n}")).over(before).alias(f"_c_{n}") for n, s in values.items()]
+        )
+    else:
+        renamed = summary.withColumnRenamed(PIECE, "_fine")
+        above = {f"_c_{n}": Running(F.col(f"_p_{n}"), s.kind, inclusive=False) for n, s in values.items()}
+        coarse = [F.col(f"_fine.p{i}") for i in range(len(levels) - 1)]
+        carried = running(renamed, keys, ["_fine"], coarse, above, backward).select(
+            *keys, F.col("_fine").alias(PIECE), *above
+        )
 
     local_order = Window.partitionBy(*keys, PIECE).orderBy(*[direction(c) for c in order])
     local = base.withColumns(
@@ -102,13 +111,13 @@ def running(
     )
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | Sequence[Column], name: str = "pos") -> DataFrame:
     """1-based row number per key; with no keys it is a distributed global rank."""
     return running(df, keys, order, piece, {name: Running(F.lit(1).cast("long"))})
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, columns: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | Sequence[Column], columns: dict[str, str]
 ) -> DataFrame:
     """Add the value of the previous row of the key (`{new name: column}`), null on the first row."""
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
@@ -117,7 +126,7 @@ def previous(
 
 
 def following(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, columns: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | Sequence[Column], columns: dict[str, str]
 ) -> DataFrame:
     """Add the value of the next row of the key (`{new name: column}`), null on the last row."""
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])

@@ -6,8 +6,6 @@ from larkspan.functions import urls as L
 from larkspan.operators import filters as O
 from larkspan.registry import query
 
-WORDS = F.split
-
 
 @query("F1", "select p_partkey, p_name from part where contains(p_name || ' ' || p_brand || ' ' || p_type, 'red widget Brand#1')")
 def keyword_filter_items(t):
@@ -17,11 +15,10 @@ def keyword_filter_items(t):
 
 @query(
     "F2",
-    "select doc_id, source from documents where contains(lang || ' ' || text || ' ' || source, 'en ') and contains(text, 'en ') "
-    "or contains(lang || ' ' || text || ' ' || source, 'en ')",
+    "select doc_id, source from documents where contains(lang || ' ' || text || ' ' || source, 'the thnt')",
 )
 def keyword_filter_events(t):
-    rows = O.keyword_filter(t.documents, "en　", [F.col("lang"), F.col("text"), F.col("source")])
+    rows = O.keyword_filter(t.documents, "the thnt　", [F.col("lang"), F.col("text"), F.col("source")])
     return rows.select("doc_id", "source")
 
 
@@ -266,8 +263,8 @@ def drop_boilerplate_lines(t):
 def parse_selection(t):
     k = F.col("n_nationkey")
     answer = F.when(k % 3 == 0, F.lit("a")).when(k % 3 == 1, F.lit("3, 1,x,99,3")).otherwise(k.cast("string"))
-    picks = F.explode(O.selection(answer, F.col("n_regionkey") + 3))
-    return t.nation.select("n_nationkey", picks.cast("long").alias("pick"))
+    picks = t.nation.select("n_nationkey", F.explode(O.selection(answer, F.col("n_regionkey") + 3)).alias("pick"))
+    return picks.select("n_nationkey", F.col("pick").cast("long").alias("pick"))
 
 
 @query(

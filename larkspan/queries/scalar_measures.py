@@ -452,7 +452,7 @@ def speech_state(t):
 @query(
     "C45 A17",
     """
-    select vec_id, i, round(v, 6) sample from (
+    select vec_id, i, round(v, 6) + 0.0 sample from (
       select vec_id, unnest(range(0, len(r))) i, unnest(r) v from (
         select vec_id, list_transform(range(0, (len(m) * 16000) // 24000), lambda k: m[((k * 24000) // 16000) + 1]) r from (
           select vec_id, list_transform(range(0, (len(embedding) + 1) // 2), lambda k:
