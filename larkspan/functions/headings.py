@@ -28,8 +28,11 @@ TITLE_EDGE = r"^[ .・‥…]+|[ .・‥…]+$"
 
 
 def is_contents_row(line: Column) -> Column:
-    """The stripped line ends in leader dots or a wide gap and a page number."""
-    return line.rlike(LEADER_ROW) | line.rlike(SPACED_ROW)
+    """The stripped line ends in leader dots or a wide gap and a page number.
+
+    The look at the last character spares most lines the two searches.
+    """
+    return F.right(line, F.lit(1)).rlike(r"\d") & (line.rlike(LEADER_ROW) | line.rlike(SPACED_ROW))
 
 
 def has_contents_word(head: Column) -> Column:
@@ -47,19 +50,21 @@ def _read_row(text: Column) -> Column:
     def group(g: int) -> Column:
         return F.when(leader, F.regexp_extract(text, LEADER_ROW, g)).otherwise(F.regexp_extract(text, SPACED_ROW, g))
 
-    title = F.regexp_replace(group(1), TITLE_EDGE, "")
-    page = blank_to_null(group(2)).try_cast("int")
-    return F.when(
-        (title != "") & (page > 0),
-        F.struct(title.alias("title"), page.alias("printed_page"), title.rlike(CHAPTER_TITLE).alias("is_chapter")),
-    )
+    def row(title: Column) -> Column:
+        page = blank_to_null(group(2)).try_cast("int")
+        fields = F.struct(title.alias("title"), page.alias("printed_page"), title.rlike(CHAPTER_TITLE).alias("is_chapter"))
+        return F.when((title != "") & (page > 0), fields)
+
+    return F.when(is_contents_row(text), let(F.regexp_replace(group(1), TITLE_EDGE, ""), row))
 
 
 def heading_of(line: Column) -> Column:
     """The heading text by the first pattern that matches the stripped line, else null."""
-    text = strip(line)
-    found = F.coalesce(*[blank_to_null(F.regexp_extract(text, p, 1)) for p in HEADINGS])
-    return F.when(F.length(text) >= 2, found)
+    def read(text: Column) -> Column:
+        found = F.coalesce(*[blank_to_null(F.regexp_extract(text, p, 1)) for p in HEADINGS])
+        return F.when(F.length(text) >= 2, found)
+
+    return let(strip(line), read)
 
 
 def heading_key(title: Column) -> Column:

@@ -23,7 +23,11 @@ TITLE_BYTES_USED = 8 + 8 + 2 + 32
 UNTITLED = "(無題)"
 UNCLASSIFIED = "未分類"
 
-EDGE_SPACE = r"^(?U:\s)+|(?U:\s)+$"
+# White space characters of Unicode.
+SPACES = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Wide and full-width blocks of the East Asian Width property.
 WIDE = (
     r"[\x{1100}-\x{115F}\x{231A}-\x{231B}\x{2329}-\x{232A}\x{23E9}-\x{23EC}\x{2E80}-\x{303E}"
@@ -44,7 +48,7 @@ def blank_to_null(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove all white space at both ends."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def norm_text(c: Column) -> Column:

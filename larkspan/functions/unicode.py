@@ -57,6 +57,17 @@ def nfkc(c: Column) -> Column:
     return F.when(ascii_only, c).otherwise(_nfkc(F.when(~ascii_only, c)))
 
 
+_nfkc_barrier = _nfkc.asNondeterministic()
+
+
+def nfkc_once(c: Column) -> Column:
+    """NFKC form that is computed exactly once per row.
+
+    The mark keeps the optimizer from copying the Python call into later filters and projections.
+    """
+    return _nfkc_barrier(c)
+
+
 def nfkc_casefold(c: Column) -> Column:
     """NFKC form and case folding; ASCII rows use the built-in `lower`."""
     ascii_only = c.rlike(ASCII_ONLY)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import safe_name, title_budget, truncate_bytes
+from larkspan.functions.text import let, safe_name, title_budget, truncate_bytes
 from larkspan.operators.filters import classify_file
 from larkspan.plans.ordered import Running, running
 
@@ -93,7 +93,7 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
             F.concat(F.array("_safe", "_raw"), cut)
         )
         left_keys = F.when(F.col("_raw") == "", F.array(F.lit(""))).otherwise(F.array_distinct(variants))
-        right_keys = F.concat(_title_candidates(F.col("name")), F.array(F.lit("")))
+        right_keys = F.concat(let(F.col("name"), _title_candidates), F.array(F.lit("")))
         residual = F.lit(True)
     else:
         # titles shorter than a gram use single characters; only their folders need those

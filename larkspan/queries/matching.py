@@ -25,7 +25,8 @@ def stored_files(t):
         date, F.lit("_item "), F.col("o_custkey").cast("string"), F.lit("_"), "o_orderpriority",
         F.when(s % 6 == 0, " extra").otherwise(""), F.when(s % 3 == 0, ".mp3").when(s % 3 == 1, ".m4a").otherwise(".mp4.part"),
     )
-    joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = t.wide("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    joined = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         F.col("o_custkey").alias("dir"),
         F.format_string("%d/%d/%d/%d", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("path"),
