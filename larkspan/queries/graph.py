@@ -180,14 +180,14 @@ def parse_graph(t):
 @query(
     "J16",
     """
-    with n as (select s_suppkey id, 'Brand#' || s_suppkey % 23 as label from supplier where s_suppkey % 4 <> 1),
+    with n as (select s_suppkey id, 'Brand#' || s_nationkey as label from supplier),
     l as (select label, count(*) c, min(id) target from n group by 1)
     select p_partkey as source, p_brand callee, target, case when c is null then 'UNRESOLVED' when c > 1 then 'AMBIGUOUS' else 'INFERRED' end confidence
     from part left join l on l.label = p_brand
     """,
 )
 def resolve_calls(t):
-    label = F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 23).cast("string"))
-    nodes = t.supplier.filter(F.col("s_suppkey") % 4 != 1).select(F.col("s_suppkey").alias("id"), label.alias("label"))
+    label = F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string"))
+    nodes = t.supplier.select(F.col("s_suppkey").alias("id"), label.alias("label"))
     calls = t.part.select(F.col("p_partkey").alias("caller"), F.col("p_brand").alias("callee"))
     return G.resolve_calls(calls, nodes)
