@@ -9,8 +9,9 @@ from larkspan.functions.text import blank_to_null, let, strip
 from larkspan.functions.unicode import nfkc
 
 # Patterns of contents rows and headings.
-LEADER_ROW = r"^(.+?)\s*[\.․…⋯・‥…]{2,}\s*(\d{1,4})\s*$"
-SPACED_ROW = r"^(\S(?:.*\S)?)\s{2,}(\d{1,4})\s*$"
+# Both kinds of rows at once, the leader row first; the mark never occurs in text.
+ANY_ROW = r"^(?:(.+?)\s*[\.․…⋯・‥…]{2,}|(\S(?:.*\S)?)\s{2,})\s*(\d{1,4})\s*$"
+SPLIT_MARK = "\u0001"
 CONTENTS_WORD = r"(?i)(目次|もくじ|Contents)"
 CHAPTER_TITLE = (
     r"(?i)^(第\s*[0-9〇一二三四五六七八九十百]+\s*章|Chapter\s*\d+"
@@ -32,7 +33,7 @@ def is_contents_row(line: Column) -> Column:
 
     The look at the last character spares most lines the two searches.
     """
-    return F.right(line, F.lit(1)).rlike(r"\d") & (line.rlike(LEADER_ROW) | line.rlike(SPACED_ROW))
+    return F.right(line, F.lit(1)).rlike(r"\d") & line.rlike(ANY_ROW)
 
 
 def has_contents_word(head: Column) -> Column:
@@ -45,17 +46,20 @@ def contents_row(line: Column, normalise: bool = True) -> Column:
 
 
 def _read_row(text: Column) -> Column:
-    leader = text.rlike(LEADER_ROW)
+    """One search gives title and page; a line that is no row comes back without the mark."""
+    marked = F.when(
+        F.right(text, F.lit(1)).rlike(r"\d"), F.regexp_replace(text, ANY_ROW, f"$1$2{SPLIT_MARK}$3")
+    )
 
-    def group(g: int) -> Column:
-        return F.when(leader, F.regexp_extract(text, LEADER_ROW, g)).otherwise(F.regexp_extract(text, SPACED_ROW, g))
+    def row(m: Column) -> Column:
+        title = F.regexp_replace(F.substring_index(m, SPLIT_MARK, 1), TITLE_EDGE, "")
+        return let(title, lambda t: fields(t, F.substring_index(m, SPLIT_MARK, -1).try_cast("int")))
 
-    def row(title: Column) -> Column:
-        page = blank_to_null(group(2)).try_cast("int")
-        fields = F.struct(title.alias("title"), page.alias("printed_page"), title.rlike(CHAPTER_TITLE).alias("is_chapter"))
-        return F.when((title != "") & (page > 0), fields)
+    def fields(title: Column, page: Column) -> Column:
+        made = F.struct(title.alias("title"), page.alias("printed_page"), title.rlike(CHAPTER_TITLE).alias("is_chapter"))
+        return F.when((title != "") & (page > 0), made)
 
-    return F.when(is_contents_row(text), let(F.regexp_replace(group(1), TITLE_EDGE, ""), row))
+    return let(marked, lambda m: F.when(m.contains(SPLIT_MARK), row(m)))
 
 
 def heading_of(line: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import blank_to_null, strip
+from larkspan.functions.text import blank_to_null, let, strip
 
 # Character ranges, thresholds and phrases.
 JAPANESE = r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}]"
@@ -14,6 +14,7 @@ LOOP = r"(?s)^(.{1,15}?)\1{2,}"
 FILLERS = [
     "えーと", "あのー", "そのー", "その", "ねえ", "まあ", "ほら", "つまり", "いわば", "ともかく", "ところで", "それにしても",
 ]
+CORRECTION_WORD = "じゃなくて"
 CORRECTION = r"(.+)じゃなくて(.+)"
 SENTENCE_END = r"(ですね|です|ます|でした|ました)(?=[^。？！\s])"
 STOPS = r"[。？！]$"
@@ -29,11 +30,14 @@ BOILERPLATE = [
 
 def script_class(c: Column) -> Column:
     """Main script by the share of Japanese letters among Japanese and Latin letters."""
-    japanese, latin = F.regexp_count(c, F.lit(JAPANESE)), F.regexp_count(c, F.lit(LATIN))
-    share = japanese / F.nullif(japanese + latin, F.lit(0))
-    return (
-        F.when(share.isNull(), "unknown").when(share >= 0.8, "japanese").when(share >= 0.2, "mixed").otherwise("english")
-    )
+    counts = F.struct(F.regexp_count(c, F.lit(JAPANESE)).alias("j"), F.regexp_count(c, F.lit(LATIN)).alias("l"))
+
+    def verdict(share: Column) -> Column:
+        return (
+            F.when(share.isNull(), "unknown").when(share >= 0.8, "japanese").when(share >= 0.2, "mixed").otherwise("english")
+        )
+
+    return let(let(counts, lambda n: n["j"] / F.nullif(n["j"] + n["l"], F.lit(0))), verdict)
 
 
 def repeat_loop(c: Column) -> Column:
@@ -43,17 +47,20 @@ def repeat_loop(c: Column) -> Column:
 
 def validate_text(c: Column, accept: tuple[str, ...] = ("japanese", "mixed")) -> Column:
     """First verdict of: empty, language, loop, valid."""
-    text = strip(F.coalesce(c, F.lit("")))
-    return (
-        F.when(text == "", "empty")
-        .when(~script_class(text).isin(*accept), "language")
-        .when(repeat_loop(text).isNotNull(), "loop")
-        .otherwise("valid")
-    )
+
+    def verdict(text: Column) -> Column:
+        return (
+            F.when(text == "", "empty")
+            .when(~script_class(text).isin(*accept), "language")
+            .when(repeat_loop(text).isNotNull(), "loop")
+            .otherwise("valid")
+        )
+
+    return let(strip(F.coalesce(c, F.lit(""))), verdict)
 
 
 def final_stop(c: Column) -> Column:
-    return F.when((c != "") & ~c.rlike(STOPS), F.concat(c, F.lit("。"))).otherwise(c)
+    return let(c, lambda x: F.when((x != "") & ~x.rlike(STOPS), F.concat(x, F.lit("。"))).otherwise(x))
 
 
 def apply_terms(c: Column, terms: Column) -> Column:
@@ -73,7 +80,11 @@ def refine_text(c: Column, strength: str = "standard", terms: Column | None = No
         return c
     if strength == "light":
         return final_stop(strip(c))
-    text = F.regexp_replace(remove_all(c, FILLERS), CORRECTION, "$2")
+    # the search for a correction is quadratic in a line without one
+    text = let(
+        remove_all(c, FILLERS),
+        lambda x: F.when(x.contains(CORRECTION_WORD), F.regexp_replace(x, CORRECTION, "$2")).otherwise(x),
+    )
     if terms is not None:
         text = apply_terms(text, terms)
     text = final_stop(F.regexp_replace(strip(text), SENTENCE_END, "$1。"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,20 +33,25 @@ def _matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+@lru_cache(maxsize=65536)
+def _fold_char(char: str) -> str:
+    return unicodedata.normalize("NFKC", char).casefold()
+
+
 @F.pandas_udf(SPANS)
 def _folded_spans(text: pd.Series, needle: pd.Series) -> pd.Series:
     def spans(line, q):
         if line is None or not q:
             return []
-        folded, origin = [], []
-        for at, char in enumerate(line):
-            piece = unicodedata.normalize("NFKC", char).casefold()
-            folded.append(piece)
-            origin.extend([at] * len(piece))
-        hay, out, at = "".join(folded), [], 0
+        pieces = [_fold_char(c) for c in line]
+        hay = "".join(pieces)
+        # a character may fold to several, so columns of the fold map back to their origin
+        origin = None if all(len(p) == 1 for p in pieces) else [i for i, p in enumerate(pieces) for _ in p]
+        out, at = [], 0
         while (at := hay.find(q, at)) >= 0:
-            out.append({"start": origin[at], "end": origin[at + len(q) - 1] + 1})
-            at += len(q)
+            end = at + len(q)
+            out.append({"start": at, "end": end} if origin is None else {"start": origin[at], "end": origin[end - 1] + 1})
+            at = end
         return out
 
     return pd.Series([spans(x, q) for x, q in zip(text, needle)])

@@ -219,6 +219,93 @@ def title_pages(books: DataFrame, key: str, entries: str, method: str = "levensh
     return best.filter(F.col("_score") >= TITLE_KEEP).select(key, "pos", "title", F.coalesce("_sure", "_best").alias("page"))
 
 
+# The same two searches as expressions on the row: no explode, no shuffle. The matching-blocks method needs
+# the Arrow helper, which cannot run inside an array expression, so it keeps the exploded form above.
+
+
+def _row_score(title: Column, head: Column, inside: Column, bonus: float, floor: float) -> Column:
+    lev = F.when(_reachable(title, head, "levenshtein", floor), similarity(title, head)).otherwise(F.lit(0.0))
+    return F.when(inside, F.greatest(lev, F.lit(bonus))).otherwise(lev)
+
+
+def offset_in_row(clean: Column, tops: Column, entries: Column) -> Column:
+    """The agreed offset of `vote_offset` (edit-distance method), null without one."""
+
+    def search(b: Column) -> Column:
+        def best(v: Column) -> Column:
+            title = F.regexp_replace(v["title"], r"(?U:\s)+", "")
+
+            def tries(name: Column) -> Column:
+                def one(o: Column) -> Column:
+                    at = v["printed_page"] + o
+                    inside = F.element_at(b["tops"], at).contains(name)
+                    score = _row_score(name, F.element_at(b["heads"], at), inside, VOTE_CONTAINED, VOTE_SHARE_MIN)
+                    return F.struct(score.alias("score"), (-o).alias("down"))
+
+                first = F.greatest(F.lit(OFFSET_FIRST), 1 - v["printed_page"])
+                last = F.least(F.lit(OFFSET_LAST), F.size(b["heads"]) - v["printed_page"])
+                return F.when(name != "", F.array_max(F.transform(numbers(first, last), one)))
+
+            return let(let(title, tries), lambda r: F.when(r["score"] >= VOTE_SHARE_MIN, -r["down"]))
+
+        votes = F.filter(F.transform(b["voters"], best), lambda o: o.isNotNull())
+
+        def elect(v: Column) -> Column:
+            counted = F.transform(
+                F.array_distinct(v), lambda o: F.struct(F.size(F.filter(v, lambda x: x == o)).alias("agree"), (-o).alias("down"))
+            )
+            enough = F.greatest(F.lit(1), F.floor(F.size(b["voters"]) / 2))
+            return let(F.array_max(counted), lambda w: F.when(w["agree"] >= enough, -w["down"]))
+
+        return F.when(F.size(b["voters"]) >= 2, let(votes, elect))
+
+    heads = squash_each(F.transform(clean, lambda p: head_of(p, VOTE_HEAD_LINES)))
+    voters = F.slice(chapters_of(entries), 1, VOTERS)
+    return let(F.struct(voters.alias("voters"), heads.alias("heads"), tops.alias("tops")), search)
+
+
+def titles_in_row(clean: Column, entries: Column) -> Column:
+    """The boundaries of `title_pages` (edit-distance method), by page and then by row."""
+    heads = F.transform(
+        clean,
+        lambda p: F.struct(
+            F.regexp_replace(head_of(p, TITLE_HEAD_LINES), r"(?U:\s)+", "").alias("text"), (strip(p) != "").alias("filled")
+        ),
+    )
+
+    def search(hs: Column) -> Column:
+        def found(e: Column, pos: Column) -> Column:
+            def scan(name: Column) -> Column:
+                scored = F.transform(
+                    hs,
+                    lambda h, i: F.struct(
+                        F.when(
+                            h["filled"], _row_score(name, h["text"], h["text"].contains(name), TITLE_CONTAINED, TITLE_KEEP)
+                        ).alias("score"),
+                        (-(i + 1)).alias("down"),
+                    ),
+                )
+                return F.when(F.length(name) >= 2, let(scored, pick))
+
+            def pick(scores: Column) -> Column:
+                sure = F.filter(scores, lambda c: c["score"] >= TITLE_STOP)
+                best = F.array_max(F.filter(scores, lambda c: c["score"].isNotNull()))
+                page = F.when(F.size(sure) > 0, -F.element_at(sure, 1)["down"]).otherwise(
+                    F.when(best["score"] >= TITLE_KEEP, -best["down"])
+                )
+                return let(
+                    page,
+                    lambda n: F.when(n.isNotNull(), F.struct(n.alias("page"), pos.alias("pos"), e["title"].alias("title"))),
+                )
+
+            return let(F.regexp_replace(e["title"], r"(?U:\s)+", ""), scan)
+
+        hits = F.filter(F.transform(chapters_of(entries), found), lambda r: r.isNotNull())
+        return F.transform(F.array_sort(hits), lambda r: F.struct(r["title"].alias("title"), r["page"].alias("page")))
+
+    return F.when(F.size(chapters_of(entries)) > 0, let(heads, search)).otherwise(F.array().cast(f"array<{BOUNDARY}>"))
+
+
 # -- headings ---------------------------------------------------------------------------------
 
 

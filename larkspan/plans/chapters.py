@@ -15,18 +15,18 @@ def boundaries_by_tier(books: DataFrame, key: str = "doc_id", method: str = "lev
     """Adds `tier`, `boundaries` and the facts that led to them.
 
     A tier is used when it gives at least two boundaries; an explicit list always wins.
-    The narrow tiers are columns; only the two similarity searches join back, on the book key.
+    With the edit-distance method every step is a column of the book: one pass without a shuffle.
+    With the matching-blocks method the two searches are exploded and join back on the book key.
     """
     rows = B.with_contents(B.prepare(books))
-    offsets = B.vote_offset(rows, key, "entries", method).select(key, "offset")
-    found = B.title_pages(rows, key, "entries", method)
-    titles = found.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("page", "pos", "title"))),
-            lambda s: F.struct(s["title"].alias("title"), s["page"].alias("page")),
-        ).alias("_titles")
-    )
-    joined = rows.join(offsets, key, "left").join(titles, key, "left")
+    if method == "levenshtein":
+        joined = once(
+            rows,
+            offset=B.offset_in_row(F.col("clean"), F.col("tops"), F.col("entries")),
+            _titles=B.titles_in_row(F.col("clean"), F.col("entries")),
+        )
+    else:
+        joined = _searched(rows, key, method)
     none = F.array().cast(f"array<{B.BOUNDARY}>")
     tiers = {
         "contents": F.when(
@@ -51,6 +51,19 @@ def boundaries_by_tier(books: DataFrame, key: str = "doc_id", method: str = "lev
     )
 
 
+def _searched(rows: DataFrame, key: str, method: str) -> DataFrame:
+    offsets = B.vote_offset(rows, key, "entries", method).select(key, "offset")
+    found = B.title_pages(rows, key, "entries", method)
+    # one entry per chapter row of the book
+    titles = found.groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("page", "pos", "title"))),
+            lambda s: F.struct(s["title"].alias("title"), s["page"].alias("page")),
+        ).alias("_titles")
+    )
+    return rows.join(offsets, key, "left").join(titles, key, "left")
+
+
 def split_books(books: DataFrame, cap: float, key: str = "doc_id", method: str = "levenshtein", explicit: str | None = None):
     """One row per book with its tier and its final `parts`."""
     planned = boundaries_by_tier(books, key, method, explicit).withColumn(

@@ -178,9 +178,8 @@ def heading_rows(t):
 
 @query("W6", f"with recursive {BOOKS_SQL} select doc_id, title, page_no as page from bd")
 def monotone_starts(t):
-    rows = with_entries(t)
-    offsets = B.vote_offset(rows, "doc_id", "entries")
-    placed = rows.join(offsets, "doc_id").select(
+    rows = once(with_entries(t), offset=B.offset_in_row(F.col("clean"), F.col("tops"), F.col("entries")))
+    placed = rows.filter("offset is not null").select(
         "doc_id", F.explode(B.monotone_starts(F.col("entries"), F.col("offset"), F.col("n_pages"))).alias("b")
     )
     return placed.select("doc_id", "b.title", F.col("b.page").cast("long").alias("page"))

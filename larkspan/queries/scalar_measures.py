@@ -159,7 +159,7 @@ def contents_lines(lineitem):
     """,
 )
 def contents_rows(t):
-    rows = contents_lines(t.lineitem).withColumn("r", H.contents_row(F.col("line"), normalise=False))
+    rows = contents_lines(t.wide("lineitem", "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity")).withColumn("r", H.contents_row(F.col("line"), normalise=False))
     return rows.filter("r is not null").select("l_orderkey", "l_linenumber", "r.title", "r.printed_page", "r.is_chapter")
 
 
@@ -178,7 +178,8 @@ def heading_keys(t):
         .when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("第 "), n, F.lit("章")))
         .otherwise(F.lit("Index"))
     )
-    return t.lineitem.select("l_orderkey", "l_linenumber", H.heading_key(title).alias("heading_key"))
+    rows = t.wide("lineitem", "l_orderkey", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", H.heading_key(title).alias("heading_key"))
 
 
 # Speech texts: a conversation turn behind a Japanese phrase of varying length.
@@ -204,7 +205,7 @@ def speech_texts(t):
         .when(k == 3, F.lit("  "))
         .otherwise(F.concat(F.lit("本日は"), F.col("conv_id").cast("string"), F.lit("番の会議です議題の説明")))
     )
-    return t.conversations.select("conv_id", "turn", s.alias("s"), n.alias("n"))
+    return t.wide("conversations", "conv_id", "turn", "text").select("conv_id", "turn", s.alias("s"), n.alias("n"))
 
 
 SHARE_SQL = """
@@ -394,7 +395,7 @@ def grid_cells(t):
 def page_issues(t):
     aspect = M.aspect_diff(F.col("l_quantity"), F.lit(20.0), F.lit(1.5), F.lit(1.0))
     issues = M.page_issues(F.col("l_tax"), aspect, F.col("l_discount"), F.col("l_tax") * 10)
-    return t.lineitem.select(
+    return t.wide("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount").select(
         "l_orderkey", "l_linenumber", F.round(aspect, 6).alias("aspect"), F.array_join(issues, ",").alias("issues")
     )
 
