@@ -69,18 +69,16 @@ def squash(c: Column) -> Column:
 def truncate_bytes(c: Column, limit) -> Column:
     """Cut to at most `limit` UTF-8 bytes on a character boundary."""
     n = limit if isinstance(limit, Column) else F.lit(limit)
-    raw = F.encode(c, "UTF-8")
 
-    def continues(offset: int) -> Column:
-        return F.hex(F.substring(raw, n + F.lit(offset), F.lit(1))).between("80", "BF")
+    def cut(p: Column) -> Column:
+        # a character starts at the first byte that is left out, so that byte is no continuation
+        starts = lambda m: ~F.hex(F.substring(p["raw"], m + 1, F.lit(1))).between("80", "BF")
+        last = F.array_max(F.filter(F.sequence(F.greatest(p["n"] - 3, F.lit(0)), p["n"]), starts))
+        return F.decode(F.substring(p["raw"], F.lit(1), last), "UTF-8")
 
-    cut = (
-        F.when(~continues(1), n)
-        .when(~continues(0), n - 1)
-        .when(~continues(-1), n - 2)
-        .otherwise(n - 3)
-    )
-    return F.when(F.octet_length(c) <= n, c).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
+    return F.when(
+        F.octet_length(c) > n, let(F.struct(F.encode(c, "UTF-8").alias("raw"), n.alias("n")), cut)
+    ).otherwise(c)
 
 
 def _rstrip_dots(c: Column) -> Column:

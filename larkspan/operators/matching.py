@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.text import let, safe_name, title_budget, truncate_bytes
 from larkspan.operators.filters import classify_file
+from larkspan.plans.once import once
 from larkspan.plans.ordered import Running, running
 
 # Preference of file kinds.
 SUFFIX_RANK = {"mp3": 0, "m4a": 1, "aac": 2, "wav": 3, "mp4": 4}
+# Block keys: gram length, events that a block may hold before it is split by title, and the key of the others.
 GRAM = 3
+FEW = 16
+ANY_TITLE = "\uE000"
 
 
 def two_dates(utc_day: Column, local_shown: Column) -> Column:
@@ -58,65 +62,91 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
     `events`: dir, event_key, item_titles (safe names), title (raw), dates (array).
     `files`: dir, path, name.
 
-    Comparing every file of a folder with every event would be a theta join. Here both sides are
-    exploded to the exact keys that a match must share, so the join is an equi join and a folder that
-    holds many files and events is spread over (dir, title, date).
-
     exact     the title equals the stem, or ends it after `_`, or stands between `_` and `.`
-    contains  the title occurs anywhere; the shared key is the first gram of the title
+    contains  the title occurs anywhere in the safe name
+
+    Comparing every file of a folder with every event would be a theta join. Files meet events in blocks of
+    (dir, date) instead. A block with few events is joined as it is: each file meets at most `FEW` events.
+    In a crowded block both sides are exploded to the exact titles (or the first gram of the title) that a
+    match must share. The full predicate is checked on what meets, so the keys only have to be complete.
     """
-    usable = files.filter(classify_file(F.col("name"), audio_only) == "media") if audio_only else files.filter(
-        ~classify_file(F.col("name")).isin("temp", "manifest", "backup")
+    named = files.withColumn("_kind", classify_file(F.col("name"), audio_only))
+    usable = named.filter("_kind = 'media'" if audio_only else "_kind not in ('temp', 'manifest', 'backup')")
+    exact = mode == "exact"
+
+    # the dates once per event, then one row per date
+    listed = once(events, _days=F.when(F.size("dates") > 0, F.col("dates")).otherwise(F.array(F.lit(""))))
+    dated = listed.select(
+        "dir", "event_key", "item_titles", F.trim(F.coalesce(F.col("title"), F.lit(""))).alias("_raw"),
+        F.explode("_days").alias("_date"),
+    ).withColumn("_date_key", F.when(F.col("_date").rlike(r"^\d{8}$"), F.col("_date")).otherwise(F.lit("")))
+    flag = F.col("_raw") == "" if exact else F.length(safe_name(F.col("_raw"))) < GRAM
+    blocks = dated.groupBy("dir", "_date_key").agg(
+        (F.count("*") > FEW).alias("_crowded"), F.max(flag).alias("_flag")
     )
-    any_date = F.lit("")
-    raw = F.trim(F.coalesce(F.col("title"), F.lit("")))
-    safe = safe_name(F.col("title"))
-    dated = events.withColumns(
-        {
-            "_safe": safe,
-            "_raw": raw,
-            "_date": F.explode(F.when(F.size("dates") > 0, F.col("dates")).otherwise(F.array(any_date))),
-        }
-    ).withColumn("_date_key", F.when(F.col("_date").rlike(r"^\d{8}$"), F.col("_date")).otherwise(any_date))
-    if mode == "exact":
-        budget = F.array_min(F.transform("item_titles", title_budget))
+
+    # events: the titles of crowded blocks
+    if exact:
+        titles = F.when(F.col("_raw") == "", F.array(F.lit(""))).otherwise(_variants())
+    else:
+        titles = let(
+            safe_name(F.col("_raw")),
+            lambda n: F.array(F.left(n, F.when(F.length(n) >= GRAM, F.lit(GRAM)).otherwise(F.lit(1)))),
+        )
+    left = dated.join(blocks, ["dir", "_date_key"]).select(
+        "dir", "event_key", "item_titles", "_raw", "_date", "_date_key",
+        F.explode(F.when(F.col("_crowded"), titles).otherwise(F.array(F.lit(ANY_TITLE)))).alias("_title_key"),
+    )
+
+    # files: only dates and folders with events go on
+    met = usable.select("dir", "path", "name").withColumn(
+        "_date_key", F.explode(F.concat(_date_windows(F.col("name")), F.array(F.lit(""))))
+    ).join(blocks, ["dir", "_date_key"])
+    none = F.array().cast("array<string>")
+    if exact:
+        keys = F.concat(let(F.col("name"), _title_candidates), F.when(F.col("_flag"), F.array(F.lit(""))).otherwise(none))
+    else:
+        keys = let(
+            safe_name(F.col("name")),
+            lambda n: F.concat(_grams(n, GRAM), F.when(F.col("_flag"), _grams(n, 1)).otherwise(none)),
+        )
+    right = met.withColumn(
+        "_title_key", F.explode(F.when(F.col("_crowded"), keys).otherwise(F.array(F.lit(ANY_TITLE))))
+    ).select("dir", "path", "name", "_date_key", "_title_key")
+
+    pairs = left.join(right, ["dir", "_date_key", "_title_key"]).filter(F.col("name").contains(F.col("_date")))
+    hit = once(pairs, _safe_name=safe_name(F.col("name"))).filter(
+        (_title_fits() if exact else F.col("_safe_name").contains(safe_name(F.col("_raw"))))
+        & F.exists("item_titles", lambda i: F.col("_safe_name").contains(i))
+    )
+    return hit.select("event_key", "path").distinct()
+
+
+def _variants() -> Column:
+    """Spellings of the title: safe and raw, and both cut to the bytes that the item title leaves."""
+
+    def spell(safe: Column) -> Column:
+        both = F.array(safe, F.col("_raw"))
         cut = F.flatten(
             F.transform(
                 "item_titles",
-                lambda i: F.array(
-                    truncate_bytes(F.col("_safe"), title_budget(i)), truncate_bytes(F.col("_raw"), title_budget(i))
-                ),
+                lambda i: F.array(truncate_bytes(safe, title_budget(i)), truncate_bytes(F.col("_raw"), title_budget(i))),
             )
         )
-        # titles that fit the smallest budget need no shortened variant
-        variants = F.when(F.octet_length("_raw") <= budget, F.array("_safe", "_raw")).otherwise(
-            F.concat(F.array("_safe", "_raw"), cut)
-        )
-        left_keys = F.when(F.col("_raw") == "", F.array(F.lit(""))).otherwise(F.array_distinct(variants))
-        right_keys = F.concat(let(F.col("name"), _title_candidates), F.array(F.lit("")))
-        residual = F.lit(True)
-    else:
-        # titles shorter than a gram use single characters; only their folders need those
-        left_keys = F.array(F.left("_safe", F.when(F.length("_safe") >= GRAM, F.lit(GRAM)).otherwise(F.lit(1))))
-        residual = F.col("_safe_name").contains(F.col("_safe"))
-        short = events.filter(F.length(safe) < GRAM).select("dir", F.lit(1).alias("_short")).distinct()
-        usable = usable.join(short, "dir", "left")
-        right_keys = F.when(
-            F.col("_short").isNotNull(), F.concat(_grams(F.col("_safe_name"), 1), _grams(F.col("_safe_name"), GRAM))
-        ).otherwise(_grams(F.col("_safe_name"), GRAM))
-    left = dated.select(
-        "dir", "event_key", "item_titles", "_safe", "_date", "_date_key", F.explode(left_keys).alias("_title_key")
-    )
-    named = usable.withColumn("_safe_name", safe_name(F.col("name")))
-    right = named.select(
-        "dir", "path", "name", "_safe_name", F.explode(right_keys).alias("_title_key")
-    ).withColumn("_date_key", F.explode(F.concat(_date_windows(F.col("name")), F.array(any_date))))
-    hit = left.join(right, ["dir", "_title_key", "_date_key"]).filter(
-        residual
-        & F.col("name").contains(F.col("_date"))
-        & F.exists("item_titles", lambda i: F.col("_safe_name").contains(i))
+        budget = F.array_min(F.transform("item_titles", title_budget))
+        # a title that fits the smallest budget has no shortened spelling
+        return F.array_distinct(F.when(F.octet_length("_raw") <= budget, both).otherwise(F.concat(both, cut)))
+
+    return let(safe_name(F.col("_raw")), spell)
+
+
+def _title_fits() -> Column:
+    name, stem = F.col("name"), F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    mark = F.lit("_")
+    fits = lambda v: (v != "") & (
+        (stem == v) | stem.endswith(F.concat(mark, v)) | name.contains(F.concat(mark, v, F.lit(".")))
     )
-    return hit.select("event_key", "path").distinct()
+    return (F.col("_raw") == "") | F.exists(_variants(), fits)
 
 
 def best_match(matches: DataFrame, key: str, date_first: Column, title_exact: Column, suffix: Column, mtime: Column, path: str):

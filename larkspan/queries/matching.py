@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import dates as D
 from larkspan.operators import matching as M
+from larkspan.plans.once import once
 from larkspan.registry import query
 
 # Orders are events of a customer's folder; line items are stored files of an order.
@@ -27,22 +28,22 @@ def stored_files(t):
     )
     lines = t.wide("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     joined = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(
-        F.col("o_custkey").alias("dir"),
-        F.format_string("%d/%d/%d/%d", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("path"),
-        name.alias("name"), F.col("l_quantity").alias("mtime"),
-    )
+    made = once(joined, name=name, path=F.format_string("%d/%d/%d/%d", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return made.select(F.col("o_custkey").alias("dir"), "path", "name", F.col("l_quantity").alias("mtime"))
 
 
 def stored_events(t):
     d = F.col("o_orderdate")
-    return t.orders.select(
-        F.col("o_custkey").alias("dir"), F.col("o_orderkey").alias("event_key"),
-        F.array(F.concat(F.lit("item "), F.col("o_custkey").cast("string"))).alias("item_titles"),
-        F.col("o_orderpriority").alias("title"),
-        M.two_dates(
-            F.date_format(d, "yyyyMMdd"), D.format_day(F.to_date(d + F.expr("interval '1' day")))
-        ).alias("dates"),
+    orders = t.wide("orders", "o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    shown = D.format_day(F.to_date(d + F.expr("interval '1' day")))
+    made = once(
+        orders,
+        item_titles=F.array(F.concat(F.lit("item "), F.col("o_custkey").cast("string"))),
+        dates=M.two_dates(F.date_format(d, "yyyyMMdd"), shown),
+    )
+    return made.select(
+        F.col("o_custkey").alias("dir"), F.col("o_orderkey").alias("event_key"), "item_titles",
+        F.col("o_orderpriority").alias("title"), "dates",
     )
 
 

@@ -55,8 +55,10 @@ def case(seed):
 
 
 @pytest.mark.parametrize("mode,by_hand", [("exact", exact_by_hand), ("contains", contains_by_hand)])
-@pytest.mark.parametrize("seed", range(3))
-def test_match_files(spark, mode, by_hand, seed):
+@pytest.mark.parametrize("few", [0, 3, 16])
+@pytest.mark.parametrize("seed", range(2))
+def test_match_files(spark, monkeypatch, mode, by_hand, seed, few):
+    monkeypatch.setattr(M, "FEW", few)
     events, names = case(seed)
     e = spark.createDataFrame(
         [(v["dir"], v["event_key"], v["item_titles"], v["title"], v["dates"]) for v in events],
