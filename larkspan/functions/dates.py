@@ -55,18 +55,18 @@ def _read_day(text: Column) -> Column:
 
 def iso_seconds(c: Column, naive_offset: int = 0) -> Column:
     """Epoch seconds of an ISO text, null when it is none. A text without zone counts at `naive_offset`."""
-    part = lambda g: blank_to_null(F.regexp_extract(c, ISO, g))
-    number = lambda g: F.coalesce(part(g).try_cast("long"), F.lit(0))
-    day = F.try_to_date(part(1), "yyyy-MM-dd")
-    clock = number(2) * 3600 + number(3) * 60 + number(4)
-    sign = F.when(part(6) == "-", -1).otherwise(1)
-    offset = (
-        F.when(part(5).isNotNull(), F.lit(0))
-        .when(part(6).isNotNull(), sign * (number(7) * 3600 + number(8) * 60))
-        .otherwise(F.lit(naive_offset))
-    )
-    in_range = (number(2) < 24) & (number(3) < 60) & (number(4) < 60)
-    return F.when(c.rlike(ISO) & in_range, F.unix_date(day).cast("long") * 86400 + clock - offset)
+    fields = F.when(c.rlike(ISO), F.split(F.regexp_replace(c, ISO, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|"))
+
+    def read(f: Column) -> Column:
+        number = lambda g: F.coalesce(f[g - 1].try_cast("long"), F.lit(0))
+        clock = number(2) * 3600 + number(3) * 60 + number(4)
+        shift = number(7) * 3600 + number(8) * 60
+        offset = F.when(f[4] != "", F.lit(0)).when(f[5] == "-", -shift).when(f[5] == "+", shift).otherwise(F.lit(naive_offset))
+        in_range = (number(2) < 24) & (number(3) < 60) & (number(4) < 60)
+        day = F.try_to_date(f[0], "yyyy-MM-dd")
+        return F.when(in_range, F.unix_date(day).cast("long") * 86400 + clock - offset)
+
+    return let(fields, read)
 
 
 def local_day(epoch: Column, offset: int = OFFSET_SECONDS) -> Column:

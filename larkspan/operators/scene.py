@@ -156,8 +156,7 @@ def apply_changes(elements: DataFrame, changes: DataFrame) -> DataFrame:
     net = commands(changes)
     whole = changes.agg(F.coalesce(F.max((F.col("op") == "delete") & F.col("id").isin(*EVERYTHING)), F.lit(False)).alias("_all"))
     kinds = [c for c in net.columns if c != "id"]
-    j = elements.join(net, "id", "left").crossJoin(F.broadcast(whole))
-    kept = j.filter(~F.col("_all") & ~F.coalesce("delete", F.lit(False)))
+    kept = elements.join(net, "id", "left").filter(~whole.scalar() & ~F.coalesce("delete", F.lit(False)))
     opacity, prev = hide_show(F.col("opacity"), F.col("prev_opacity"), F.col("hide"), F.col("show"))
     touched = F.coalesce(*[F.when(F.col(k).isNotNull(), True) for k in kinds if k not in ("front", "back", "delete")], F.lit(False))
     relative = F.col("move_dx").isNotNull()

@@ -7,6 +7,7 @@ from larkspan.functions import dates as D
 from larkspan.operators import catalog as O
 from larkspan.operators import filters as FI
 from larkspan.plans import ordered
+from larkspan.plans.once import once
 from larkspan.registry import query
 from larkspan.sources import documents as S
 
@@ -144,9 +145,9 @@ def coverage_rollup(t):
         F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") != "P").alias("cov")
     )
     total = m.agg((F.sum("cov") * 100.0 / F.sum("n")).alias("total_pct"))
-    return m.crossJoin(F.broadcast(total)).select(
+    return m.select(
         "module", "n", "cov", F.round(F.col("cov") * 100.0 / F.col("n"), 6).alias("pct"),
-        F.round("total_pct", 6).alias("total_pct"), ((F.col("cov") < F.col("n")) & F.col("module").contains("H")).alias("gated"),
+        F.round(total.scalar(), 6).alias("total_pct"), ((F.col("cov") < F.col("n")) & F.col("module").contains("H")).alias("gated"),
     )
 
 
@@ -191,8 +192,8 @@ def breakdown_pct(t):
     )
     g = c.groupBy("confidence").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
     whole = g.agg(F.sum("n").alias("total"))
-    return g.crossJoin(F.broadcast(whole)).select(
-        "confidence", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("pct"), F.round("mean_value", 6).alias("mean_value")
+    return g.select(
+        "confidence", "n", F.round(F.col("n") * 100.0 / whole.scalar(), 6).alias("pct"), F.round("mean_value", 6).alias("mean_value")
     )
 
 
@@ -273,7 +274,8 @@ def saved_keys(t):
 def listed_events(t):
     """Orders as events: text date (every 5th unreadable), time and duration words."""
     d, key = F.col("o_orderdate"), F.col("o_orderkey")
-    return t.orders.select(
+    orders = t.wide("orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    return orders.select(
         key.alias("pos"),
         F.col("o_orderpriority").alias("title"),
         F.when(key % 5 == 0, F.lit("n/a")).otherwise(F.date_format(d, "yyyy-MM-dd")).alias("date"),
@@ -291,20 +293,21 @@ def _ranked(t, column, reverse=False, stable=False):
     keys = O.event_sort_keys(column, *cols)
     names = [f"k{i}" for i in range(len(keys))]
     turned = reverse and stable
-    named = e.select("pos", *[k.alias(n) for n, k in zip(names, keys)])
+    named = once(e, **dict(zip(names, keys))).select("pos", *names)
     named = named.withColumn("tie", -F.col("pos") if turned else F.col("pos"))
     block = F.floor(F.col("tie") / 4096)
     piece = {
-        "date": [F.col("k1"), F.struct("k4", "k5", block.alias("b"))],
-        "duration": [F.floor(F.col("k1") / 600), F.struct("k1", "k2", block.alias("b"))],
+        # unreadable values share the lowest key, so only they are cut further
+        "date": [F.struct("k0", "k1"), F.when(F.col("k0") == 0, F.struct("k4", "k5", block.alias("b")))],
+        "duration": [F.struct("k0", F.floor(F.col("k1") / 600).alias("p")), F.when(F.col("k0") == 0, F.struct("k2", block.alias("b")))],
         "saved": [F.struct("k0", "k1"), block],
         "title": [F.col("k0"), block],
     }[column]
     ranked = ordered.positions(named, [], [*names, "tie"], piece, "up")
     if not reverse:
         return ranked.select("pos", F.col("up").alias("rank"))
-    total = named.agg(F.count("*").alias("n"))
-    return ranked.crossJoin(F.broadcast(total)).select("pos", (F.col("n") + 1 - F.col("up")).alias("rank"))
+    total = t.orders.agg(F.count("*").alias("n")).scalar()
+    return ranked.select("pos", (total + 1 - F.col("up")).alias("rank"))
 
 
 LIST_SQL = """

@@ -110,8 +110,8 @@ def edit_distance(t):
     """,
 )
 def similarity_ratio(t):
-    n = t.supplier.agg(F.count("*").alias("n"))
-    c = t.customer.crossJoin(F.broadcast(n)).withColumn("s_suppkey", F.col("c_custkey") % F.col("n"))
+    n = t.supplier.agg(F.count("*").alias("n")).scalar()
+    c = t.customer.withColumn("s_suppkey", F.col("c_custkey") % n)
     return c.join(t.supplier, "s_suppkey").select(
         "c_custkey", F.round(Y.similarity(F.col("c_name"), F.col("s_name")), 6).alias("ratio")
     )
@@ -119,8 +119,8 @@ def similarity_ratio(t):
 
 @query("C27 X2")
 def similarity_blocks(t):
-    n = t.supplier.agg(F.count("*").alias("n"))
-    c = t.customer.crossJoin(F.broadcast(n)).withColumn("s_suppkey", F.col("c_custkey") % F.col("n"))
+    n = t.supplier.agg(F.count("*").alias("n")).scalar()
+    c = t.customer.withColumn("s_suppkey", F.col("c_custkey") % n)
     return c.join(t.supplier, "s_suppkey").select(
         "c_custkey", F.round(Y.similarity(F.col("c_name"), F.col("s_name"), "blocks"), 6).alias("ratio")
     )

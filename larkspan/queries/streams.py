@@ -126,9 +126,8 @@ def stable_stream(t):
 )
 def unexpired(t):
     latest = t.events.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct(*ORDER)).alias("event_id"))
-    now = t.events.agg(F.max("ts").alias("now"))
-    seen = latest.crossJoin(F.broadcast(now))
-    return J.unexpired(seen, F.col("ts"), F.col("now"), "12 hours").select("user_id", "event_id")
+    now = t.events.agg(F.max("ts").alias("now")).scalar()
+    return J.unexpired(latest, F.col("ts"), now, "12 hours").select("user_id", "event_id")
 
 
 @query(
@@ -143,9 +142,9 @@ def unexpired(t):
 def change_feed(t):
     (path,) = J.new_paths(t.spark, "scene")
     feed = changes(Streams(t))
-    R.drain_batches(feed, "scene", J.change_feed(path, scene(t)))
-    # the single file of the table is one batch
-    return _read(t, f"{path}/version=0").select("id", "opacity", "link", "x", "version")
+    each = J.change_feed(path, scene(t))
+    R.drain_batches(feed, "scene", each)
+    return _read(t, f"{path}/version={each.newest}").select("id", "opacity", "link", "x", "version")
 
 
 @query(
@@ -182,4 +181,4 @@ def retention_monitor(t):
     files = Streams(t).documents.select("source", "doc_id", "n_chars")
     each = J.retention_monitor(listing, plan, ["source"], ["doc_id"], "n_chars", F.floor(F.col("doc_id") / 4096), 50000)
     R.drain_batches(files, "retention", each)
-    return _read(t, f"{plan}/batch_id=0")
+    return _read(t, f"{plan}/batch_id={each.newest}")

@@ -183,7 +183,9 @@ def change_feed(table_path: str, elements: DataFrame):
         before = "start" if batch_id == 0 else str(batch_id - 1)
         state = spark.read.parquet(f"{table_path}/version={before}")
         apply_changes(state, batch).select(*elements.columns).write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
+        each.newest = str(batch_id)
 
+    each.newest = "start"
     return each
 
 
@@ -195,7 +197,9 @@ def retention_monitor(listing_path: str, plan_path: str, store: list[str], order
         batch.write.mode("overwrite").parquet(f"{listing_path}/batch_id={batch_id}")
         files = spark.read.option("basePath", listing_path).parquet(f"{listing_path}/batch_id=*").select(*batch.columns)
         evict_plan(files, store, order, size, piece, limit).write.mode("overwrite").parquet(f"{plan_path}/batch_id={batch_id}")
+        each.newest = str(batch_id)
 
+    each.newest = None
     return each
 
 

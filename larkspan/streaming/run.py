@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from larkspan.session import work_path
 
+TRIGGER_BYTES = 256 * 1024 * 1024
+
 
 def stream_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Parquet files as an unbounded table, a bounded number of files per trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    """Parquet files as an unbounded table. A trigger takes a bounded number of bytes, and so bounds the rows
+    of one key that a stateful operator sorts at a time."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(path)
 
 
 def read_progress_stream(spark: SparkSession, path: str) -> DataFrame:
     """Text lines as an unbounded table with a `line` column and the time of arrival."""
-    lines = spark.readStream.option("maxFilesPerTrigger", 4).text(path)
+    lines = spark.readStream.option("maxBytesPerTrigger", TRIGGER_BYTES).text(path)
     return lines.select(F.col("value").alias("line"), F.current_timestamp().alias("arrived"))
 
 
