@@ -97,7 +97,7 @@ def adjacent_by_hand(seq, stop=3):
 
 
 def test_recent_distinct_keeps_newest_spelling(spark):
-    data = [("u", 1, "Radio"), ("u", 2, "news"), ("u", 3, "ＲＡＤＩＯ"), ("u", 4, " "), ("u", 5, "x")]
+    data = [("u", 1, "Music"), ("u", 2, "news"), ("u", 3, "ＭＵＳＩＣ"), ("u", 4, " "), ("u", 5, "x")]
     df = spark.createDataFrame(data, "u string, t int, w string")
     got = O.recent_distinct(df, "u", "w", ["t"], limit=2).orderBy("rank").collect()
-    assert [(r.term, r["rank"]) for r in got] == [("x", 1), ("ＲＡＤＩＯ", 2)]
+    assert [(r.term, r["rank"]) for r in got] == [("x", 1), ("ＭＵＳＩＣ", 2)]
