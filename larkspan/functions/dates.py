@@ -154,14 +154,19 @@ def sort_day(c: Column) -> Column:
 
 def sort_ts(c: Column) -> Column:
     """(1, epoch) for ISO text or at least 9 digits, else (0, 0)."""
-    text = norm_text(c)
-    digits = F.when(text.rlike(r"^\d{9,}$"), text.try_cast("double"))
-    # an 8-digit basic ISO date also counts as ISO
-    basic = F.unix_date(_pick(text, r"^(\d{4})(\d{2})(\d{2})$")).cast("double") * 86400
-    value = F.coalesce(iso_seconds(text).cast("double"), basic, digits)
-    return F.struct(
-        F.when(value.isNotNull(), 1).otherwise(0).alias("ok"), F.coalesce(value, F.lit(0.0)).alias("ts")
-    )
+
+    def read(text: Column) -> Column:
+        digits = F.when(text.rlike(r"^\d{9,}$"), text.try_cast("double"))
+        # an 8-digit basic ISO date also counts as ISO
+        basic = F.unix_date(_pick(text, r"^(\d{4})(\d{2})(\d{2})$")).cast("double") * 86400
+        return F.coalesce(iso_seconds(text).cast("double"), basic, digits)
+
+    def key(value: Column) -> Column:
+        return F.struct(
+            F.when(value.isNotNull(), 1).otherwise(0).alias("ok"), F.coalesce(value, F.lit(0.0)).alias("ts")
+        )
+
+    return let(let(norm_text(c), read), key)
 
 
 def sort_duration(c: Column) -> Column:

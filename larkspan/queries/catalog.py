@@ -7,7 +7,6 @@ from larkspan.functions import dates as D
 from larkspan.operators import catalog as O
 from larkspan.operators import filters as FI
 from larkspan.plans import ordered
-from larkspan.plans.once import once
 from larkspan.registry import query
 from larkspan.sources import documents as S
 
@@ -293,12 +292,12 @@ def _ranked(t, column, reverse=False, stable=False):
     keys = O.event_sort_keys(column, *cols)
     names = [f"k{i}" for i in range(len(keys))]
     turned = reverse and stable
-    named = once(e, **dict(zip(names, keys))).select("pos", *names)
+    named = e.select("pos", *[k.alias(n) for n, k in zip(names, keys)])
     named = named.withColumn("tie", -F.col("pos") if turned else F.col("pos"))
     block = F.floor(F.col("tie") / 4096)
     piece = {
         # unreadable values share the lowest key, so only they are cut further
-        "date": [F.struct("k0", "k1"), F.when(F.col("k0") == 0, F.struct("k4", "k5", block.alias("b")))],
+        "date": F.struct("k0", "k1", F.when(F.col("k0") == 0, F.struct("k4", "k5", block.alias("b"))).alias("x")),
         "duration": [F.struct("k0", F.floor(F.col("k1") / 600).alias("p")), F.when(F.col("k0") == 0, F.struct("k2", block.alias("b")))],
         "saved": [F.struct("k0", "k1"), block],
         "title": [F.col("k0"), block],
