@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import os
+import re
 import uuid
+import zipfile
+from urllib.parse import urlparse
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_STEPS = "/tmp/larkspan-steps"
+
 
 def build_session(name: str = "larkspan", cpus: str = "*", partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench. A cluster brings its own session."""
@@ -25,18 +32,44 @@ def build_session(name: str = "larkspan", cpus: str = "*", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a fresh local one where it is unset."""
+    """The folder all executors see: `spark.checkpoint.dir`, or one of this machine for a local session without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="larkspan-")
+        folder = f"file://{LOCAL_STEPS}/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path in it, for what Spark's own writers can't express. Works in tasks too."""
+    return fs.FileSystem.from_uri(path if urlparse(path).scheme else f"file://{path}")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_larkspan_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    uri = work_path(spark, "package") + "/larkspan.zip"
+    store, path = filesystem(uri)
+    store.create_dir(os.path.dirname(path))
+    with store.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    context.addPyFile(uri)
+    context._larkspan_shipped = True
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

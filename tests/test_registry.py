@@ -15,7 +15,7 @@ SMOKE = [
 def test_contract():
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 190
-    assert not [n for n in q if re.match(r"op\d|.*pipeline", n)]
+    assert not [n for n in load_all() if re.match(r"op\d|.*pipeline", n)]
 
 
 def test_flagship(spark, data):
