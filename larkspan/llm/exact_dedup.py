@@ -83,10 +83,10 @@ def exact_dedup(
 
 def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns; of repeated rows one."""
-    kept = exact_dedup(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_digest", F.sha2(whole("text"), 256))
-    found = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_digest"] == F.col("_sha")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    kept = exact_dedup(docs, keep=keep).filter("kept").select("doc_id", "text_sha256")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.sha2(whole("text"), 256).alias("digest"))
+    found = keyed.join(kept, keyed["id"].eqNullSafe(kept["doc_id"]) & (keyed["digest"] == kept["text_sha256"]), "left_semi")
+    return found.dropDuplicates(["id", "digest"]).select("doc.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
