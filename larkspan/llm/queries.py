@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, rule_ledger, sharding
+from larkspan.llm import exact_dedup, rule_ledger, sharding, warc
 
 QUERIES = {
     "op3_quality_rules": rule_ledger.op3_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op9_warc": warc.op9_warc,
 }
 
 SQL = {
     "op3_quality_rules": rule_ledger.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op9_warc": warc.OP9_SQL,
 }

@@ -155,7 +155,7 @@ def shard_by_bytes(
         frame = frame.sort_values(["bytes", "unit"], ascending=[False, True])
         return pd.DataFrame({"unit": frame["unit"], "shard": pack_units(frame["bytes"].tolist(), shards)})
 
-    placed = cut_lineage(sized.groupBy(F.lit(0)).applyInPandas(packed, "unit long, shard int"))
+    placed = cut_lineage(sized.groupBy(F.lit("all")).applyInPandas(packed, "unit long, shard int"))
     dealt = (
         rows.join(F.broadcast(big), "key", "left")
         .withColumn("unit", F.coalesce("big_unit", light_unit))
