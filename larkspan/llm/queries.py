@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from larkspan.llm import exact_dedup, packing, rule_ledger, sharding, warc
+from larkspan.llm import bpe, exact_dedup, packing, rule_ledger, sharding, warc
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op3_quality_rules": rule_ledger.op3_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
 }
 
