@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, exact_dedup, packing, rule_ledger, sharding, warc
+from larkspan.llm import bpe, exact_dedup, packing, rule_ledger, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op3_quality_rules": rule_ledger.op3_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
