@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, exact_dedup, packing, rule_ledger, sharding, toxicity, warc
+from larkspan.llm import bpe, exact_dedup, packing, rule_ledger, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op2_secrets": secrets.op2_secrets,
     "op3_quality_rules": rule_ledger.op3_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
