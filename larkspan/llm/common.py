@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,3 +37,26 @@ def slices(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int,
 def join_spans(spans: Iterable[tuple[str, int, int]], kinds: dict[str, int]) -> str:
     """`kind:start:end` by start, then by the order of the kinds, comma-joined."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], kinds[x[0]], x[2])))
+
+
+class Intervals:
+    """Half-open spans, merged where they overlap; answers in logarithmic time whether a span meets one of them."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+    def add(self, start: int, end: int) -> None:
+        """Add a span that meets none of the others."""
+        self.starts.insert(bisect_left(self.starts, start), start)
+        insort(self.ends, end)

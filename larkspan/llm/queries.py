@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, exact_dedup, packing, rule_ledger, secrets, sharding, toxicity, warc
+from larkspan.llm import bpe, exact_dedup, packing, pii, rule_ledger, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL = {

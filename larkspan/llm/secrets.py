@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import join_spans, read, slices, whole
+from larkspan.llm.common import Intervals, join_spans, read, slices, whole
 from larkspan.session import cut_lineage
 
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
@@ -85,8 +85,8 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     """Runs of key characters that lie in no base span."""
     if max(map(len, text.split()), default=0) < LEAST:
         return []
-    found = [m.span() for m in CANDIDATE.finditer(text)]
-    return [(s, e) for s, e in found if not any(a < e and s < b for _, a, b in base)]
+    taken = Intervals((s, e) for _, s, e in base)
+    return [m.span() for m in CANDIDATE.finditer(text) if not taken.meets(*m.span())]
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
