@@ -55,6 +55,17 @@ def merge_runs(rows: DataFrame, keep: str, fan_in: int, rounds: int) -> tuple[Da
     return own, top
 
 
+def group_rows(rows: DataFrame, keep: str, fan_in: int = 8) -> DataFrame:
+    """`rows` (_id, _row, key columns) with _keep, _keep_row and _size of the group of rows with the same key."""
+    rounds = max(1, math.ceil(math.log(max(2, shuffle_width(rows.sparkSession)), fan_in) - 1e-9))
+    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_row"), F.lit(fan_in**rounds)))
+    own, top = merge_runs(rows, keep, fan_in, rounds)
+    answers = top.select(*TEXT_KEY, F.col("_id").alias("_keep"), F.col("_row").alias("_keep_row"), F.col("_n").alias("_size"))
+    # the answer goes back to the runs first: a text has one entry in a run, however often it occurs there
+    told = own.select(F.col("_node").alias("_run"), *TEXT_KEY).join(answers, TEXT_KEY)
+    return rows.join(told, ["_run", *TEXT_KEY]).drop("_run")
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 8
 ) -> DataFrame:
@@ -64,15 +75,7 @@ def exact_dedup(
     are copies of each other. A null id sorts before all ids. Of repeated rows with equal id and text exactly one is
     kept. An empty table gives no rows; further columns of `docs` are not read.
     """
-    spark = docs.sparkSession
-    rounds = max(1, math.ceil(math.log(max(2, shuffle_width(spark)), fan_in) - 1e-9))
-    rows = cut_lineage(digest_rows(docs, id_col, text_col))
-    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_row"), F.lit(fan_in**rounds)))
-    own, top = merge_runs(rows, keep, fan_in, rounds)
-    answers = top.select(*TEXT_KEY, F.col("_id").alias("_keep"), F.col("_row").alias("_keep_row"), F.col("_n").alias("_size"))
-    # the answer goes back to the runs first: a text has one entry in a run, however often it occurs there
-    told = own.select(F.col("_node").alias("_run"), *TEXT_KEY).join(answers, TEXT_KEY)
-    return rows.join(told, ["_run", *TEXT_KEY]).select(
+    return group_rows(cut_lineage(digest_rows(docs, id_col, text_col)), keep, fan_in).select(
         F.col("_id").alias("doc_id"),
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, exact_dedup, packing, pii, rule_ledger, secrets, sharding, toxicity, warc
+from larkspan.llm import bpe, exact_dedup, ngram_join, packing, pii, rule_ledger, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op3_quality_rules": rule_ledger.op3_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
