@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import read, shuffle_width, whole
@@ -84,12 +84,24 @@ def exact_dedup(
     )
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, check: Column) -> DataFrame:
+    """The rows of `docs` whose doc_id and `check` (of the text) are in `kept`, with all columns; of repeated rows one.
+
+    The window reads its rows as the join left them, so choosing one of repeated rows costs no second shuffle or sort.
+    """
+    number = F.col("doc_id").cast("long")
+    keys = {"k_id": F.coalesce(number, F.lit(0)), "k_null": number.isNull()}
+    left = docs.select(F.struct("*").alias("doc"), check.alias("k_check"), *[c.alias(n) for n, c in keys.items()])
+    right = kept.select(F.col("check").alias("k_check"), *[c.alias(n) for n, c in keys.items()])
+    found = left.join(right, ["k_check", *keys], "left_semi")
+    place = F.row_number().over(Window.partitionBy("k_check", *keys).orderBy("k_check"))
+    return found.withColumn("place", place).filter("place = 1").select("doc.*")
+
+
 def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns; of repeated rows one."""
-    kept = exact_dedup(docs, keep=keep).filter("kept").select("doc_id", "text_sha256")
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.sha2(whole("text"), 256).alias("digest"))
-    found = keyed.join(kept, keyed["id"].eqNullSafe(kept["doc_id"]) & (keyed["digest"] == kept["text_sha256"]), "left_semi")
-    return found.dropDuplicates(["id", "digest"]).select("doc.*")
+    kept = exact_dedup(docs, keep=keep).filter("kept")
+    return keep_rows(docs, kept.select("doc_id", F.col("text_sha256").alias("check")), F.sha2(whole("text"), 256))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import read, slices, whole
-from larkspan.llm.exact_dedup import group_rows
+from larkspan.llm.exact_dedup import group_rows, keep_rows
 from larkspan.session import cut_lineage
 
 NGRAM = 5
@@ -210,15 +210,8 @@ def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut_lineage(sides.join(sets, "cell").groupBy("a", "b").applyInPandas(compare, "node long, n_links long, root long"))
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_of, n_copies, n_links.
-
-    `copy_of` is the smallest id of the documents with the same shingle set and `n_copies` their number; `n_links` is
-    the number of other such representatives with a similarity of at least 0.8. `class_id` is the smallest id of all
-    documents that are connected by links. Null and empty texts have no words and are copies of each other, without
-    links. A text of fewer than five words is one shingle. Repeated rows are copies; a null id sorts first. An empty
-    table gives no rows.
-    """
+def _classified(docs: DataFrame, id_col: str, text_col: str, cell: int) -> DataFrame:
+    """Each row with its copies (_keep, _keep_row, _size) and, where it is linked, node, first (id and node) and n_links."""
     facts = _facts(docs, id_col, text_col)
     rows = cut_lineage(group_rows(facts.drop("prefixes"), "smallest"))
     heads = facts.join(rows.filter("_row = _keep_row").select("_row"), "_row", "left_semi")
@@ -230,16 +223,35 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = linked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     ids = rows.filter("_row = _keep_row").select(F.col("_row").alias("node"), F.col("_id").alias("head"))
     known = roots.join(ids, "node").join(counts, "node")
-    firsts = known.groupBy("root").agg(F.min(F.struct(F.col("head").isNotNull(), F.col("head"))).alias("first"))
-    classes = known.join(firsts, "root").select("node", F.col("first.head").alias("class"), "n_links")
-    return rows.join(classes, rows["_keep_row"] == classes["node"], "left").select(
+    firsts = known.groupBy("root").agg(F.min(F.struct("head", "node")).alias("first"))
+    classes = known.join(firsts, "root").select("node", "first", "n_links")
+    return rows.join(classes, rows["_keep_row"] == classes["node"], "left")
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """One row per document: doc_id, class_id, copy_of, n_copies, n_links.
+
+    `copy_of` is the smallest id of the documents with the same shingle set and `n_copies` their number; `n_links` is
+    the number of other such representatives with a similarity of at least 0.8. `class_id` is the smallest id of all
+    documents that are connected by links. Null and empty texts have no words and are copies of each other, without
+    links. A text of fewer than five words is one shingle. Repeated rows are copies; a null id sorts first. An empty
+    table gives no rows.
+    """
+    return _classified(docs, id_col, text_col, cell).select(
         F.col("_id").alias("doc_id"),
-        F.when(F.col("node").isNull(), F.col("_keep")).otherwise(F.col("class")).alias("class_id"),
+        F.when(F.col("node").isNull(), F.col("_keep")).otherwise(F.col("first.head")).alias("class_id"),
         F.col("_keep").alias("copy_of"),
         F.col("_size").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def keep_one_of_class(docs: DataFrame) -> DataFrame:
+    """One document of each class of near duplicates (the smallest id), with all its columns; of repeated rows one."""
+    found = _classified(docs, "doc_id", "text", CELL)
+    kept = found.filter((F.col("_row") == F.col("_keep_row")) & (F.col("node").isNull() | (F.col("node") == F.col("first.node"))))
+    return keep_rows(docs, kept.select(F.col("_id").alias("doc_id"), F.col("_text_check").alias("check")), F.xxhash64(whole("text")))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"))
