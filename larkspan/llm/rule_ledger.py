@@ -34,7 +34,8 @@ def _rules() -> dict[str, Column]:
         "few_words": words < 10,
         "repeated_passages": 100 * F.col("n_repeat_words") > 20 * words,
         "symbols": 10 * F.col("n_symbols") > words,
-        "duplicate_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        # a line said twice in a short text is no list
+        "duplicate_lines": (F.col("n_dup_lines") >= 4) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "short_words": F.col("word_chars") < 2 * words,
         "long_words": F.col("word_chars") > 20 * words,
         "few_letters": 2 * F.col("n_letters") < F.col("word_chars"),
@@ -188,7 +189,7 @@ with w as (
   select *, (case when n_words < 10 then 1 else 0 end)
          + (case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end)
          + (case when 10 * n_symbols > n_words then 4 else 0 end)
-         + (case when 10 * n_dup_lines > 3 * n_lines then 8 else 0 end)
+         + (case when n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines then 8 else 0 end)
          + (case when word_chars < 2 * n_words then 16 else 0 end)
          + (case when word_chars > 20 * n_words then 32 else 0 end)
          + (case when 2 * n_letters < word_chars then 64 else 0 end)
