@@ -49,6 +49,7 @@ LEAST = 16
 CLASSES = (16, 24, 32, 48, 80)  # lower ends of the classes of length
 FDR = 0.001
 RANDOM_ENOUGH = 0.001
+BACK_OFF = 5.0
 BINS = 4000  # of a tenth of a decade each
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = {
@@ -92,7 +93,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
 def pair_counts(texts: list[str]) -> np.ndarray:
     """How often each key character follows each other one; 0 stands for all other characters."""
     counts = np.zeros(WIDTH * WIDTH, np.int64)
-    for start, end in slices(texts):
+    for start, end in slices([*map(len, texts)]):
         codes = CODE[np.frombuffer("\n".join(texts[start:end]).encode("utf-8", "replace"), np.uint8)]
         counts += np.bincount(codes[:-1] * WIDTH + codes[1:], minlength=WIDTH * WIDTH)
     return counts
@@ -176,11 +177,13 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_model(facts: DataFrame) -> np.ndarray:
     """Log-probability of each pair of key characters in all texts (a table of fixed size)."""
     rows = facts.filter("pairs is not null").select(F.explode("pairs").alias("pair", "n")).groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.full(WIDTH * WIDTH, 0.5)
+    counts = np.zeros(WIDTH * WIDTH)
     for r in rows:
         counts[r["pair"]] += r["n"]
     table = counts.reshape(WIDTH, WIDTH)
-    return np.log(table / table.sum(axis=1, keepdims=True)).ravel()
+    single = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * WIDTH)
+    # a pair that was never seen is as likely as its second character is by itself
+    return np.log((table + BACK_OFF * single) / (table.sum(axis=1, keepdims=True) + BACK_OFF)).ravel()
 
 
 def judge(facts: DataFrame, model: np.ndarray) -> DataFrame:
