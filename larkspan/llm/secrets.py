@@ -5,12 +5,12 @@ Base formats are found as given. Beyond them every run of 16 or more key charact
 * its encoding is inferred from its characters (hex, base 32, letters and digits, base 64, ...);
 * three tests ask whether it could be uniformly random in that alphabet: chi-squared uniformity, runs above and below
   the middle, and serial correlation; Fisher's method joins them, and a string that fails is no key;
-* the likelihood ratio of "uniform in the alphabet" to "text of this corpus" (pairs of characters counted over all
-  documents) bounds the p-value of the null hypothesis "ordinary text": under text a ratio of r has a chance of 1 / r
+* the likelihood ratio of "uniform in the alphabet" to "text of this corpus" (characters counted over all documents;
+  pairs of characters would let the corpus's own keys explain each other) bounds the p-value of the null hypothesis "ordinary text": under text a ratio of r has a chance of 1 / r
   at most. Longer strings can reach smaller p-values, so candidates are judged within classes of length: in each the
   Benjamini-Hochberg rule, over all candidates of the corpus, keeps the share of false discoveries below `FDR`.
 
-Texts are read once. The pass leaves spans, candidates and pair counts; what follows works on those few rows.
+Texts are read once. The pass leaves spans, candidates and character counts; what follows works on those few rows.
 """
 
 from __future__ import annotations
@@ -49,7 +49,6 @@ LEAST = 16
 CLASSES = (16, 24, 32, 48, 80)  # lower ends of the classes of length
 FDR = 0.001
 RANDOM_ENOUGH = 0.001
-BACK_OFF = 5.0
 BINS = 4000  # of a tenth of a decade each
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = {
@@ -90,12 +89,11 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return [m.span() for m in CANDIDATE.finditer(text) if not taken.meets(*m.span())]
 
 
-def pair_counts(texts: list[str]) -> np.ndarray:
-    """How often each key character follows each other one; 0 stands for all other characters."""
-    counts = np.zeros(WIDTH * WIDTH, np.int64)
+def char_counts(texts: list[str]) -> np.ndarray:
+    """How often each key character occurs; 0 stands for all other characters."""
+    counts = np.zeros(WIDTH, np.int64)
     for start, end in slices([*map(len, texts)]):
-        codes = CODE[np.frombuffer("\n".join(texts[start:end]).encode("utf-8", "replace"), np.uint8)]
-        counts += np.bincount(codes[:-1] * WIDTH + codes[1:], minlength=WIDTH * WIDTH)
+        counts += np.bincount(CODE[np.frombuffer("\n".join(texts[start:end]).encode("utf-8", "replace"), np.uint8)], minlength=WIDTH)
     return counts
 
 
@@ -140,9 +138,8 @@ def randomness(token: str) -> float:
 
 
 def log_text(token: str, model: np.ndarray) -> float:
-    """Log-likelihood of the token as text, coming after another character."""
-    codes = CODE[np.frombuffer(("\n" + token.rstrip("=")).encode(), np.uint8)]
-    return float(model[codes[:-1] * WIDTH + codes[1:]].sum())
+    """Log-likelihood of the token as text."""
+    return float(model[CODE[np.frombuffer(token.rstrip("=").encode(), np.uint8)]].sum())
 
 
 def evidence(token: str, model: np.ndarray) -> tuple[int, float, float]:
@@ -154,7 +151,7 @@ def evidence(token: str, model: np.ndarray) -> tuple[int, float, float]:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Base spans and candidates of each document, and rows with the pair counts of each batch."""
+    """Base spans and candidates of each document, and rows with the character counts of each batch."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,25 +162,22 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 rows.append(
                     (doc_id, [k for k, _, _ in base], [s for _, s, _ in base], [e for _, _, e in base], [s for s, _ in found], [text[s:e] for s, e in found], None)
                 )
-            counts = pair_counts(batch["_text"].tolist())
+            counts = char_counts(batch["_text"].tolist())
             used = np.flatnonzero(counts)
             rows.append((None, None, None, None, None, None, dict(zip(used.tolist(), counts[used].tolist(), strict=True))))
-            yield pd.DataFrame(rows, columns=["doc_id", "kinds", "starts", "ends", "at", "tokens", "pairs"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "kinds", "starts", "ends", "at", "tokens", "chars"]).astype({"doc_id": "Int64"})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("_text"))
-    return texts.mapInPandas(work, "doc_id long, kinds array<string>, starts array<int>, ends array<int>, at array<int>, tokens array<string>, pairs map<int,long>")
+    return texts.mapInPandas(work, "doc_id long, kinds array<string>, starts array<int>, ends array<int>, at array<int>, tokens array<string>, chars map<int,long>")
 
 
 def text_model(facts: DataFrame) -> np.ndarray:
-    """Log-probability of each pair of key characters in all texts (a table of fixed size)."""
-    rows = facts.filter("pairs is not null").select(F.explode("pairs").alias("pair", "n")).groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(WIDTH * WIDTH)
+    """Log-probability of each key character in all texts (a table of fixed size)."""
+    rows = facts.filter("chars is not null").select(F.explode("chars").alias("char", "n")).groupBy("char").agg(F.sum("n").alias("n")).collect()
+    counts = np.full(WIDTH, 0.5)
     for r in rows:
-        counts[r["pair"]] += r["n"]
-    table = counts.reshape(WIDTH, WIDTH)
-    single = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * WIDTH)
-    # a pair that was never seen is as likely as its second character is by itself
-    return np.log((table + BACK_OFF * single) / (table.sum(axis=1, keepdims=True) + BACK_OFF)).ravel()
+        counts[r["char"]] += r["n"]
+    return np.log(counts / counts.sum())
 
 
 def judge(facts: DataFrame, model: np.ndarray) -> DataFrame:
@@ -196,9 +190,9 @@ def judge(facts: DataFrame, model: np.ndarray) -> DataFrame:
             yield batch.assign(
                 size=[[f[0] for f in x] for x in found], bin=[[min(BINS, int(f[1])) for f in x] for x in found], fits=[[f[2] >= RANDOM_ENOUGH for f in x] for x in found],
                 lengths=[[len(t) for t in x] for x in batch["tokens"]],
-            ).drop(columns=["tokens", "pairs"])
+            ).drop(columns=["tokens", "chars"])
 
-    rows = facts.filter("pairs is null")
+    rows = facts.filter("chars is null")
     return rows.mapInPandas(work, "doc_id long, kinds array<string>, starts array<int>, ends array<int>, at array<int>, size array<int>, bin array<int>, fits array<boolean>, lengths array<int>")
 
 
