@@ -17,25 +17,30 @@ numbers travel as packed bytes, since a row of Spark's costs far more than a wor
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import read, shuffle_width, slices, whole
 
-BATCH_CHARS = 48_000_000
+BATCH_CHARS = 24_000_000
+SLICE_CHARS = 2_000_000
 BLOCK_ROWS = 512
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def fixed_tokenizer(path: str):
+    """A tokenizer for use in a task: no truncation, no padding, and no threads beside the task's own."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -66,16 +71,18 @@ class Splitter:
 
 
 def pack_words(words: list[bytes]) -> bytes:
+    """A list of byte strings as one, compressed."""
     lengths = np.fromiter(map(len, words), "<u4", len(words))
-    return np.array([len(words)], "<u4").tobytes() + lengths.tobytes() + b"".join(words)
+    body = lengths.tobytes() + b"".join(words)
+    return np.array([len(words), len(body)], "<u4").tobytes() + pa.compress(body, "zstd", asbytes=True)
 
 
 def unpack_words(packed: bytes) -> list[bytes]:
-    n = int(np.frombuffer(packed, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(packed, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
-    at, out = 4 + 4 * n, []
-    for end in ends.tolist():
-        out.append(packed[at:end])
+    n, size = np.frombuffer(packed, "<u4", 2).tolist()
+    body = pa.decompress(packed[8:], size, "zstd", asbytes=True)
+    at, out = 4 * n, []
+    for end in (np.cumsum(np.frombuffer(body, "<u4", n), dtype=np.int64) + at).tolist():
+        out.append(body[at:end])
         at = end
     return out
 
@@ -96,21 +103,24 @@ def _numbered(batches: Iterator[pa.RecordBatch], special: list[str], with_codes:
     """(ids, word list, codes and lengths of the documents) of each batch."""
     split = Splitter(special)
     for arrow in batches:
-        texts = arrow.column("_text").to_pylist()
-        for start, end in slices(texts, BATCH_CHARS):
+        sizes = pc.utf8_length(arrow.column("_text")).to_pylist()
+        for start, end in slices(sizes, BATCH_CHARS):
             words: dict[str, int] = {}
-            codes, lengths = [], []
-            for text in texts[start:end]:
-                pieces = split(text) if text else []
-                for w in dict.fromkeys(pieces):
-                    if w not in words:
-                        words[w] = len(words)
-                if with_codes:
-                    codes.append(np.fromiter(map(words.__getitem__, pieces), np.uint32, len(pieces)))
-                    lengths.append(len(pieces))
+            codes, lengths, key = [], [], hashlib.blake2b(digest_size=16)
+            for at, upto in slices(sizes[start:end], SLICE_CHARS):
+                for text in arrow.column("_text").slice(start + at, upto - at).to_pylist():
+                    pieces = split(text) if text else []
+                    for w in dict.fromkeys(pieces):
+                        if w not in words:
+                            words[w] = len(words)
+                    if with_codes:
+                        codes.append(np.fromiter(map(words.__getitem__, pieces), np.uint32, len(pieces)))
+                        lengths.append(len(pieces))
             listed = [w.encode("utf-8", "surrogatepass") for w in words]
-            key = hashlib.blake2b(pack_words(listed), digest_size=16).digest()
-            yield arrow.column("doc_id").slice(start, end - start), key, listed, codes, lengths
+            del words
+            for w in listed:
+                key.update(b"%d:" % len(w) + w)
+            yield arrow.column("doc_id").slice(start, end - start), key.digest(), listed, codes, lengths
 
 
 def word_buckets(texts: DataFrame, special: list[str], buckets: int) -> DataFrame:

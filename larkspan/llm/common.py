@@ -22,16 +22,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `most_chars` characters, so that work tables stay small; a longer text is one range."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most_chars:
+def slices(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with sizes of `most` together, so that work tables stay small; a larger row is a range alone."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def join_spans(spans: Iterable[tuple[str, int, int]], kinds: dict[str, int]) -> str:
