@@ -86,7 +86,7 @@ def format_onair(onair: Column, started: Column | None = None) -> Column:
 def format_event_date(c: Column) -> Column:
     """Exactly 8 digits, or 8 digits and then a non-number; other texts as `format_onair`."""
     day = _pick(c, r"^(\d{4})(\d{2})(\d{2})$")
-    longer = F.when(~F.substring(c, 9, 1 << 20).rlike(r"^\d*$"), _pick(c, r"^(\d{4})(\d{2})(\d{2}).+$"))
+    longer = F.when(~F.substring(c, F.lit(9), F.length(c)).rlike(r"^\d*$"), _pick(c, r"^(\d{4})(\d{2})(\d{2}).+$"))
     return F.coalesce(format_day(F.coalesce(day, longer)), format_onair(c))
 
 

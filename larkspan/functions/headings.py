@@ -9,9 +9,9 @@ from larkspan.functions.text import blank_to_null, let, strip
 from larkspan.functions.unicode import nfkc
 
 # Patterns of contents rows and headings.
-# Both kinds of rows at once, the leader row first; the mark never occurs in text.
+# Both kinds of rows at once, the leader row first.
 ANY_ROW = r"^(?:(.+?)\s*[\.․…⋯・‥…]{2,}|(\S(?:.*\S)?)\s{2,})\s*(\d{1,4})\s*$"
-SPLIT_MARK = "\u0001"
+SPLIT_MARK = "\n"  # a line has none
 CONTENTS_WORD = r"(?i)(目次|もくじ|Contents)"
 CHAPTER_TITLE = (
     r"(?i)^(第\s*[0-9〇一二三四五六七八九十百]+\s*章|Chapter\s*\d+"
@@ -48,7 +48,7 @@ def contents_row(line: Column, normalise: bool = True) -> Column:
 def _read_row(text: Column) -> Column:
     """One search gives title and page; a line that is no row comes back without the mark."""
     marked = F.when(
-        F.right(text, F.lit(1)).rlike(r"\d"), F.regexp_replace(text, ANY_ROW, f"$1$2{SPLIT_MARK}$3")
+        F.right(text, F.lit(1)).rlike(r"\d") & ~text.contains(SPLIT_MARK), F.regexp_replace(text, ANY_ROW, f"$1$2{SPLIT_MARK}$3")
     )
 
     def row(m: Column) -> Column:

@@ -43,5 +43,5 @@ def error_reason(line: Column) -> Column:
     text = strip(line)
     return F.when(
         text.startswith(ERROR_MARK),
-        F.coalesce(blank_to_null(strip(F.substring(text, len(ERROR_MARK) + 1, 1 << 30))), text),
+        F.coalesce(blank_to_null(strip(F.substring(text, F.lit(len(ERROR_MARK) + 1), F.length(text)))), text),
     )

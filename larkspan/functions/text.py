@@ -221,21 +221,25 @@ def name_stems(dates: Column, titles: Column, variants: Column) -> Column:
     return F.array_distinct(with_dates)
 
 
-def natural_key(c: Column, width: int = 20) -> Column:
-    """Sort key in which runs of digits compare as numbers and letters ignore case."""
+def natural_key(c: Column) -> Column:
+    """Sort key in which runs of digits of any length compare as numbers and letters ignore case."""
     parts = F.split(F.lower(c), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
-    return F.array_join(
-        F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), ""
+    # without leading zeros a number with more digits is greater, so the count of digits goes first
+    number = lambda p: let(
+        F.regexp_replace(p, r"^0+(?=\d)", ""), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d)
     )
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
 def unescape(c: Column) -> Column:
     r"""Decode `\n`, `\t`, `\r` and `\\`, reading each escape once from the left."""
-    mark = "\u0001"
-    step = F.replace(F.coalesce(c, F.lit("")), F.lit("\\\\"), F.lit(mark))
-    for code, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        step = F.replace(step, F.lit(code), F.lit(char))
-    return F.replace(step, F.lit(mark), F.lit("\\"))
+    def between(part: Column) -> Column:
+        for code, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
+            part = F.replace(part, F.lit(code), F.lit(char))
+        return part
+
+    # pairs of backslashes are one each; what lies between them has the other escapes
+    return F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), r"\\\\"), between), "\\")
 
 
 def fingerprint(c: Column) -> Column:

@@ -63,15 +63,23 @@ def nfkc(c: Column) -> Column:
     return F.when(ascii_only, c).otherwise(_nfkc(F.when(~ascii_only, c)))
 
 
-_nfkc_barrier = _nfkc.asNondeterministic()
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(s: pd.Series) -> pd.Series:
+    def one(x):
+        return x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
 
+    return s.map(lambda texts: [one(x) for x in texts], na_action="ignore")
 
-def nfkc_once(c: Column) -> Column:
-    """NFKC form that is computed exactly once per row.
+
+_nfkc_barrier = _nfkc_each.asNondeterministic()
+
+
+def nfkc_each(texts: Column) -> Column:
+    """NFKC form of each text of an array, computed exactly once per row.
 
     The mark keeps the optimizer from copying the Python call into later filters and projections.
     """
-    return _nfkc_barrier(c)
+    return _nfkc_barrier(texts)
 
 
 def nfkc_casefold(c: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from larkspan.functions.text import strip
 
+# The field names of a feed.
 FEED_FIELDS = (
-    "series_site_id id corner_site_id title corner_name thumbnail_url onair_date started_at genre_label url".split()
-)
+    "series_site_id", "id", "corner_site_id", "title", "corner_name", "thumbnail_url", "onair_date", "started_at", "genre_label", "url",
+)
 FEED_ROW = T.StructType([T.StructField(n, T.StringType()) for n in FEED_FIELDS])
 TERM_ROW = T.StructType(
     [
@@ -25,21 +26,39 @@ NUMBER_TYPES = ("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
 # -- feeds -----------------------------------------------------------------------------
 
 
+def good_elements(array: Column, row: T.DataType, name: str = "item") -> Column:
+    """An array of structs (pos, item) of those elements of a variant array that have the type `row`.
+
+    Every element is taken by itself, so one bad element costs neither the document nor its neighbours. Positions
+    are those of the document.
+    """
+    elements = F.try_variant_get(array, "$", "array<variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    if isinstance(row, T.StructType):
+        fits = lambda v: F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+        text = lambda v, n: F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.to_json(F.try_variant_get(v, f"$.{n}", "variant")))
+        field = lambda v, f: text(v, f.name) if isinstance(f.dataType, T.StringType) else F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString())
+        made = lambda v: F.struct(*[field(v, f).alias(f.name) for f in row.fields])
+    else:
+        fits = lambda v: F.try_variant_get(v, "$", row.simpleString()).isNotNull()
+        made = lambda v: F.try_variant_get(v, "$", row.simpleString())
+    numbered = F.transform(elements, lambda v, i: F.struct(i.alias("pos"), v.alias("v")))
+    return F.transform(F.filter(numbered, lambda e: fits(e["v"])), lambda e: F.struct(e["pos"].alias("pos"), made(e["v"]).alias(name)))
+
+
 def parse_feed(df: DataFrame, document: str, root: str, row: T.StructType = FEED_ROW) -> DataFrame:
-    """One row per element of the array field `root`, with its position.
+    """One row per object in the array field `root`, with its position in the document.
 
-    A document that is no object gives one row with `failed` set and a null item.
+    A document that is no object gives one row with `failed` set and a null item; elements that are no objects are
+    left out.
     """
-    whole = T.StructType([T.StructField(root, T.ArrayType(row))])
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(document))).startswith("OBJECT"), F.lit(False))
-    parsed = df.withColumn("failed", ~is_object).withColumn("_items", F.from_json(document, whole)[root])
+    v = F.try_parse_json(F.col(document))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    found = good_elements(F.try_variant_get(v, f"$.{root}", "variant"), row)
+    parsed = df.withColumn("failed", ~is_object).withColumn("_items", F.when(is_object, found))
     kept = parsed.filter(F.col("failed") | (F.size("_items") > 0))
-    rows = kept.select(
-        *[c for c in df.columns if c != document], "failed", F.posexplode_outer("_items").alias("pos", "item")
-    )
-    return rows.withColumn("pos", F.when(~F.col("failed"), F.col("pos"))).withColumn(
-        "item", F.when(~F.col("failed"), F.col("item"))
-    )
+    rows = kept.select(*[c for c in df.columns if c != document], "failed", F.explode_outer("_items").alias("_e"))
+    return rows.select(*[c for c in rows.columns if c != "_e"], "_e.pos", "_e.item")
 
 
 def read_feed(spark: SparkSession, path: str, root: str, row: T.StructType = FEED_ROW) -> DataFrame:
@@ -63,16 +82,17 @@ def parse_ttl_docs(df: DataFrame, document: str, now: Column, ttl: float, versio
     is_list = F.schema_of_variant(part(items)).startswith("ARRAY")
     fetched = F.when(numeric, F.try_variant_get(v, "$.fetched_at", "double"))
     same = F.try_variant_get(v, "$.schema_version", "int") == version
-    schema = T.StructType([T.StructField(items, T.ArrayType(item))])
     return df.withColumn("fetched_at", fetched).withColumn(
         "hit", F.coalesce(same & is_list & (now - F.col("fetched_at") <= ttl), F.lit(False))
-    ).withColumn("items", F.when(F.col("hit"), F.from_json(document, schema)[items]))
+    ).withColumn("items", F.when(F.col("hit"), good_elements(part(items), item)))
 
 
 def read_ttl_docs(df: DataFrame, document: str, now: Column, ttl: float, version: int, item: T.DataType) -> DataFrame:
-    """The items of fresh documents, one row each."""
+    """The good items of fresh documents, one row each, with their position in the document."""
     hits = parse_ttl_docs(df, document, now, ttl, version, item).filter("hit")
-    return hits.select(*[c for c in df.columns if c != document], F.posexplode("items").alias("pos", "item"))
+    return hits.select(*[c for c in df.columns if c != document], F.explode("items").alias("_e")).select(
+        *[c for c in df.columns if c != document], "_e.pos", "_e.item"
+    )
 
 
 def write_docs(df: DataFrame, path: str, version: int, fmt: str = "parquet") -> None:
