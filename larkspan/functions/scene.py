@@ -96,21 +96,24 @@ def style_tokens(c: Column) -> Column:
     keys, fonts = literal_map(STYLE_KEYS), literal_map(FONT_VALUES)
 
     def read(token: Column) -> Column:
-        known = words[token]
-        key, value = F.substring_index(token, "=", 1), F.when(token.contains("="), F.substring_index(token, "=", -1))
+        key = F.element_at(F.split(token, "="), 1)
+        value = F.coalesce(F.get(F.split(token, "="), 1), F.lit(""))
+        # a word that is known with its value, else by itself whatever its value
+        known = F.coalesce(words[F.concat(key, F.lit("="), value)], words[key])
         named = keys[key]
-        short = F.regexp_extract(token, r"^w(\d+)$", 1)
-        number = F.when(
-            value.try_cast("double").isNotNull() & ((named != "stroke_width") | (value.try_cast("double") > 0)), value
-        )
-        arrow = F.when(value.isin("both", "double"), F.lit("both"))
+        short = F.regexp_extract(key, r"^w(\d+)$", 1)
+        number = F.when(value == "", F.lit("0")).when(value.try_cast("double").isNotNull(), value)
+        given = lambda v: F.when(v.isNotNull(), F.struct(named.alias("name"), v.alias("value")))
+        none = F.struct(named.alias("name"), F.lit(None).cast("string").alias("value"))
         by_key = (
-            F.when(named.isin(*NUMERIC), number)
-            .when(named == "font", fonts[value])
-            .when(named == "align", F.when(value.isin(*ALLOWED["align"]), value))
-            .when(named == "valign", F.when(value.isin(*ALLOWED["valign"]), value))
-            .when(named == "arrows", arrow)
-            .otherwise(F.coalesce(value, F.lit("arrow")))
+            F.when(named == "stroke_width", given(F.when(value.try_cast("double") > 0, value)))
+            .when(named.isin(*NUMERIC), given(number))
+            .when(named == "font", given(fonts[value]))
+            .when(named == "align", given(F.when(value.isin(*ALLOWED["align"]), value)))
+            .when(named == "valign", given(F.when(value.isin(*ALLOWED["valign"]), value)))
+            .when(named == "arrows", given(F.when(value.isin("both", "double"), F.lit("both"))))
+            .when(named.isNotNull() & (value == "none"), none)
+            .otherwise(given(F.when(value == "", F.lit("arrow")).otherwise(value)))
         )
         return (
             F.when(
@@ -120,7 +123,7 @@ def style_tokens(c: Column) -> Column:
                 ),
             )
             .when(short.try_cast("double") > 0, F.struct(F.lit("stroke_width").alias("name"), short.alias("value")))
-            .when(named.isNotNull() & by_key.isNotNull(), F.struct(named.alias("name"), by_key.alias("value")))
+            .when(named.isNotNull(), by_key)
         )
 
     tokens = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[;, ]+"), lambda t: t != "")
@@ -128,7 +131,7 @@ def style_tokens(c: Column) -> Column:
 
 
 def style_props(c: Column) -> Column:
-    """Map property -> value; a later token wins."""
+    """Map property -> value; a later token wins. An arrow that is switched off has a null value."""
     return F.aggregate(
         style_tokens(c),
         F.create_map().cast("map<string,string>"),

@@ -11,9 +11,9 @@ from larkspan.functions.text import blank_to_null, let
 
 # Local names, reserved ranges and image suffixes.
 LOCAL_NAME = r"^localhost$|\.localhost$|\.local$|\.internal$"
-IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-IPV6_LOCAL = r"^\[(?:::1|::|fc[^\]]*|fd[^\]]*|fe80[^\]]*)\]$"
-IPV6_MAPPED = r"^\[::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})\]$"
+# A number of an IPv4 address is decimal, octal (0...) or hexadecimal (0x...); the last one fills what is left.
+IPV4 = r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+)){0,3}\.?$"
+IPV6 = r"^\[[0-9a-f:.]+\]$"
 IMAGE_SUFFIXES = ("webp", "png", "jpe?g", "gif", "svg")
 IMAGE_URL = r"(?i)https?://[^\s\"'<>)]+\.(?:{suffixes})(?:\?[^\s\"'<>]*)?"
 
@@ -34,7 +34,9 @@ def url_allowed(url: Column, hosts: Sequence[str]) -> Column:
     return F.coalesce(scheme_of(url).isin("http", "https") & host_of(url).isin(*hosts), F.lit(False))
 
 
-def _reserved(a: Column, b: Column) -> Column:
+def _reserved(address: Column) -> Column:
+    """A 32-bit address of a private or reserved range."""
+    a, b = F.shiftright(address, 24), F.shiftright(address, 16) % 256
     return (
         a.isin(0, 10, 127)
         | ((a == 172) & b.between(16, 31))
@@ -43,6 +45,39 @@ def _reserved(a: Column, b: Column) -> Column:
     )
 
 
+def _ipv4(host: Column) -> Column:
+    """The 32-bit value of an IPv4 address in any spelling of a URL, null for other hosts."""
+    digits = lambda p, base, skip: F.conv(F.concat(F.lit("0"), F.substring(p, F.lit(skip + 1), F.length(p))), base, 10).cast("long")
+    number = lambda p: F.when(p.startswith("0x"), digits(p, 16, 2)).when(p.rlike("^0[0-7]+$"), digits(p, 8, 1)).otherwise(p.try_cast("long"))
+
+    def value(parts: Column) -> Column:
+        n = F.size(parts)
+        head = F.aggregate(F.slice(parts, 1, n - 1), F.lit(0).cast("long"), lambda acc, p: acc * 256 + p)
+        rest = F.element_at(parts, -1)
+        whole = head * F.pow(F.lit(256), 5 - n).cast("long") + rest
+        return F.when(rest < F.pow(F.lit(256), 5 - n).cast("long"), whole)
+
+    parts = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), number)
+    return F.when(host.rlike(IPV4), let(parts, value))
+
+
+def _ipv6(host: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address in brackets, null for other hosts."""
+    group = lambda g: F.conv(g, 16, 10).cast("long")
+    groups = lambda text: F.transform(F.filter(F.split(text, ":"), lambda g: g != ""), group)
+    bare = F.regexp_replace(host, r"^\[|\]$", "")
+    tail = _ipv4(blank_to_null(F.regexp_extract(bare, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)))
+    hexed = F.concat(F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail % 65536)))
+    text = F.when(tail.isNull(), bare).otherwise(F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), hexed))
+
+    def filled(t: Column) -> Column:
+        left, right = groups(F.substring_index(t, "::", 1)), groups(F.substring_index(t, "::", -1))
+        zeros = F.array_repeat(F.lit(0).cast("long"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+        return F.when(t.contains("::"), F.concat(left, zeros, right)).otherwise(groups(t))
+
+    return F.when(host.rlike(IPV6), let(text, filled))
+
+
 def url_is_public(url: Column) -> Column:
     """http or https, and neither a local name nor a private or reserved address."""
     public = let(host_of(url), lambda host: ~_is_private(host))
@@ -50,12 +85,14 @@ def url_is_public(url: Column) -> Column:
 
 
 def _is_private(host: Column) -> Column:
-    first, second = (F.regexp_extract(host, IPV4, g).try_cast("int") for g in (1, 2))
-    v4 = F.when(host.rlike(IPV4), _reserved(first, second))
-    high = F.conv(blank_to_null(F.regexp_extract(host, IPV6_MAPPED, 1)), 16, 10).try_cast("int")
-    mapped = _reserved(F.floor(high / 256).cast("int"), high % 256)
-    local = host.rlike(LOCAL_NAME) | host.rlike(IPV6_LOCAL)
-    return local | F.coalesce(v4, F.lit(False)) | F.coalesce(mapped, F.lit(False))
+    def v6(groups: Column) -> Column:
+        lead = F.aggregate(F.slice(groups, 1, 5), F.lit(0).cast("long"), lambda acc, g: acc + g)
+        six, low, lowest = groups[5], groups[6], groups[7]
+        local = (lead == 0) & (six == 0) & (low == 0) & lowest.isin(0, 1)
+        unique = (F.shiftright(groups[0], 9) == 126) | (groups[0] == 0xFE80)  # fc00::/7 and fe80
+        return local | unique | ((lead == 0) & (six == 0xFFFF) & _reserved(low * 65536 + lowest))
+
+    return host.rlike(LOCAL_NAME) | F.coalesce(_reserved(_ipv4(host)), F.lit(False)) | F.coalesce(let(_ipv6(host), v6), F.lit(False))
 
 
 def query_value(url: Column, name: str) -> Column:

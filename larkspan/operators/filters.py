@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ AUDIO = ("mp3", "m4a", "aac", "wav")
 VIDEO = ("mp4",)
 PARTIAL_MARK = ".part"
 PARTIAL_SUFFIX = ".ytdl"
-BACKUP_SUFFIX = ".bak"
+BACKUP_SUFFIXES = (".bak",)
 MANIFEST_NAME = ".downloaded.json"
 VALID_ID = r"^[0-9A-Za-z_-]+$"
 NON_BODY_LINE = r"^(Kindle|章を読み終えるまで.*|\d+%)$"
@@ -79,14 +81,14 @@ def status_filter(df: DataFrame, wanted: str | None, status: Column, default: st
     return df.filter(F.coalesce(status, F.lit(default)) == wanted) if wanted else df
 
 
-def classify_file(name: Column, audio_only: bool = True) -> Column:
-    """temp, manifest, backup, media or other."""
+def classify_file(name: Column, audio_only: bool = True, backups: Sequence[str] = BACKUP_SUFFIXES) -> Column:
+    """temp, manifest, backup, media or other. `backups`: the suffixes of saved older files."""
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     media = AUDIO if audio_only else AUDIO + VIDEO
     return (
         F.when(name == MANIFEST_NAME, "manifest")
         .when(name.contains(PARTIAL_MARK) | name.endswith(PARTIAL_SUFFIX), "temp")
-        .when(name.endswith(BACKUP_SUFFIX), "backup")
+        .when(reduce(or_, [name.endswith(b) for b in backups]), "backup")
         .when(suffix.isin(*media), "media")
         .otherwise("other")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.scene import DEFAULTS, move, resize, rotate
+from larkspan.functions.scene import DEFAULTS, move, resize, rotate, scale_points
 
 # The words that address every element.
 EVERYTHING = ("*", "all")
@@ -100,14 +100,20 @@ def resolve_anchor(df: DataFrame, elements: DataFrame, ref: str, name: str, defa
 
 # -- change commands -----------------------------------------------------------------------------
 
-CHANGE = "seq long, op string, id string, text string, number double"
+CHANGE = "seq long, op string, id string, text string, number double, second double"
 
 
 def commands(changes: DataFrame) -> DataFrame:
     """One row per element id with its net commands; a later change of a kind replaces an earlier one.
 
-    `changes`: seq, op, id, text, number. One aggregate with map-side partial results.
+    `changes`: seq, op, id, text, number, second. A move gives x and y (`move_by` differences), a resize width and
+    height (`scale` a factor), a rotation an angle (`rotate_by` a difference). The last command of each kind counts,
+    with all of its values. One aggregate with map-side partial results.
     """
+    kind = lambda name, ops, relative: F.max_by(
+        F.struct(F.col("op").isin(*relative).alias("relative"), F.col("number").alias("a"), F.col("second").alias("b")),
+        F.when(F.col("op").isin(*ops), F.col("seq")),
+    ).alias(name)
     op = lambda name: F.col("op") == name
     has = lambda name: F.max(F.when(op(name), True)).alias(name)
     last = lambda name, value: F.max_by(value, F.when(op(name), F.col("seq"))).alias(name)
@@ -120,11 +126,9 @@ def commands(changes: DataFrame) -> DataFrame:
         F.max_by(F.col("text"), F.when(op("link"), F.col("seq"))).alias("link_to"),
         has("front"),
         has("back"),
-        last("move_x", F.col("number")),
-        last("move_dx", F.col("number")),
-        last("scale", F.col("number")),
-        last("rotate", F.col("number")),
-        last("rotate_by", F.col("number")),
+        kind("moved", ("move", "move_by"), ("move_by",)),
+        kind("sized", ("resize", "scale"), ("scale",)),
+        kind("turned", ("rotate", "rotate_by"), ("rotate_by",)),
     )
 
 
@@ -151,29 +155,35 @@ def group_tags(groups: Column, add: Column, clear: Column) -> Column:
 def apply_changes(elements: DataFrame, changes: DataFrame) -> DataFrame:
     """Elements after the change commands: deletes, hide and show, groups, links, geometry, layer band, version.
 
-    `elements`: id, x, width, height, angle, opacity, prev_opacity, groups, link, version, ...
+    `elements`: id, x, y, width, height, angle, points, opacity, prev_opacity, groups, link, version, ...; y and points
+    may be missing. `changes` may lack the second value.
     """
+    if "second" not in changes.columns:
+        changes = changes.withColumn("second", F.lit(None).cast("double"))
     net = commands(changes)
     whole = changes.agg(F.coalesce(F.max((F.col("op") == "delete") & F.col("id").isin(*EVERYTHING)), F.lit(False)).alias("_all"))
     kinds = [c for c in net.columns if c != "id"]
     kept = elements.join(net, "id", "left").filter(~whole.scalar() & ~F.coalesce("delete", F.lit(False)))
     opacity, prev = hide_show(F.col("opacity"), F.col("prev_opacity"), F.col("hide"), F.col("show"))
     touched = F.coalesce(*[F.when(F.col(k).isNotNull(), True) for k in kinds if k not in ("front", "back", "delete")], F.lit(False))
-    relative = F.col("move_dx").isNotNull()
-    scaled = F.col("scale").isNotNull()
+    yes = lambda k: F.coalesce(F.col(f"{k}.relative"), F.lit(False))
+    factor = F.col("sized.a")
     new = {
         "opacity": opacity,
         "prev_opacity": prev,
         "groups": group_tags(F.col("groups"), F.col("group"), F.col("ungroup")),
         "link": F.coalesce(F.col("link_to"), F.col("link")),
-        "x": move(F.col("x"), F.col("move_x"), F.col("move_dx"), relative),
-        "width": resize(F.col("width"), F.lit(None).cast("double"), F.col("scale"), scaled),
-        "height": resize(F.col("height"), F.lit(None).cast("double"), F.col("scale"), scaled),
+        "x": move(F.col("x"), F.col("moved.a"), F.col("moved.a"), yes("moved")),
+        "width": resize(F.col("width"), F.col("sized.a"), factor, yes("sized")),
+        "height": resize(F.col("height"), F.col("sized.b"), factor, yes("sized")),
         "angle": F.when(
-            F.col("rotate").isNotNull() | F.col("rotate_by").isNotNull(),
-            rotate(F.col("angle"), F.coalesce("rotate_by", "rotate"), F.col("rotate_by").isNotNull()),
+            F.col("turned").isNotNull(), rotate(F.col("angle"), F.coalesce("turned.a", F.lit(0.0)), yes("turned"))
         ).otherwise(F.col("angle")),
         "version": F.when(touched, F.coalesce(F.nullif(F.col("version"), F.lit(0)), F.lit(1)) + 1).otherwise(F.col("version")),
         "band": F.when(F.coalesce("back", F.lit(False)), -1).when(F.coalesce("front", F.lit(False)), 1).otherwise(0),
     }
+    if "y" in elements.columns:
+        new["y"] = move(F.col("y"), F.col("moved.b"), F.col("moved.b"), yes("moved"))
+    if "points" in elements.columns:
+        new["points"] = F.when(yes("sized") & (factor > 0), scale_points(F.col("points"), factor)).otherwise(F.col("points"))
     return kept.select(*[new.pop(c).alias(c) if c in new else F.col(c) for c in elements.columns], *[v.alias(n) for n, v in new.items()])

@@ -124,7 +124,9 @@ def address_urls(t):
     return t.pages.select("page_id", F.col("url")).unionByName(t.pages.select("page_id", made.alias("url")))
 
 
-HOSTS = ["localhost", "a.local", "[::1]", "[fd00::2]", "[::ffff:7f00:1]", "[::ffff:808:808]", "fdn.example.org", "192.168.3.4", "169.254.9.9"]
+HOSTS = ["localhost", "a.local", "[::1]", "[fd00::2]", "[::ffff:7f00:1]", "[::ffff:808:808]", "fdn.example.org", "192.168.3.4", "169.254.9.9",
+    "127.1", "2130706433", "0x7f.0.0.1", "0177.0.0.1", "[0:0:0:0:0:0:0:1]", "[::ffff:127.0.0.1]", "[::ffff:8.8.8.8]", "134744072", "8.8.2056",
+]
 HOST_LIST = ", ".join(f"'{h}'" for h in HOSTS)
 
 
@@ -134,11 +136,11 @@ HOST_LIST = ", ".join(f"'{h}'" for h in HOSTS)
     with m as (
       select page_id, url from pages union all
       select page_id, case when page_id % 3 = 0 then 'https://' || page_id % 256 || '.' || page_id % 300 % 256 || '.0.1/x'
-        when page_id % 3 = 1 then 'http://172.' || page_id % 40 || '.9.9:80/' else 'http://' || ([{HOST_LIST}])[page_id % 9 + 1] || '/' end from pages),
+        when page_id % 3 = 1 then 'http://172.' || page_id % 40 || '.9.9:80/' else 'http://' || ([{HOST_LIST}])[page_id % 18 + 1] || '/' end from pages),
     h as (select page_id, url, lower(regexp_extract(url, '^https?://(\\[[^\\]]*\\]|[^/?#:]+)', 1)) host from m),
     o as (select *, try_cast(regexp_extract(host, '^(\\d+)\\.(\\d+)\\.(\\d+)\\.(\\d+)$', 1) as int) a,
         try_cast(regexp_extract(host, '^(\\d+)\\.(\\d+)\\.(\\d+)\\.(\\d+)$', 2) as int) b from h)
-    select page_id, url from o where not (host in ('localhost', '[::1]', '[fd00::2]', '[::ffff:7f00:1]') or host like '%.local'
+    select page_id, url from o where not (host in ('localhost', '[::1]', '[fd00::2]', '[::ffff:7f00:1]', '127.1', '2130706433', '0x7f.0.0.1', '0177.0.0.1', '[0:0:0:0:0:0:0:1]', '[::ffff:127.0.0.1]') or host like '%.local'
       or coalesce(a in (0, 10, 127) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254), false))
     """,
 )
@@ -198,16 +200,16 @@ def file_names(part):
     "F11",
     f"""
     select p_partkey, case when name = '.downloaded.json' then 'manifest' when contains(name, '.part') or name like '%.ytdl' then 'temp'
-      when name like '%.bak' then 'backup' when lower(name) like '%.mp3' then 'media' else 'other' end audio,
+      when name like '%.bak' or name like '%.old' then 'backup' when lower(name) like '%.mp3' then 'media' else 'other' end audio,
       case when name = '.downloaded.json' then 'manifest' when contains(name, '.part') or name like '%.ytdl' then 'temp'
-      when name like '%.bak' then 'backup' when lower(name) like '%.mp3' or name like '%.mp4' then 'media' else 'other' end any_media
+      when name like '%.bak' or name like '%.old' then 'backup' when lower(name) like '%.mp3' or name like '%.mp4' then 'media' else 'other' end any_media
     from ({NAME_SQL})
     """,
 )
 def classify_file(t):
     name = F.col("name")
     return file_names(t.part).select(
-        "p_partkey", O.classify_file(name).alias("audio"), O.classify_file(name, audio_only=False).alias("any_media")
+        "p_partkey", O.classify_file(name, backups=(".bak", ".old")).alias("audio"), O.classify_file(name, audio_only=False, backups=(".bak", ".old")).alias("any_media")
     )
 
 

@@ -121,36 +121,37 @@ def scene(t):
     k = F.col("c_custkey")
     groups = F.when(F.col("c_nationkey") % 4 == 0, F.array(F.lit("old"))).otherwise(F.array().cast("array<string>"))
     return t.customer.select(
-        k.cast("string").alias("id"), F.col("c_acctbal").alias("x"), F.lit(40.0).alias("width"), F.lit(20.0).alias("height"),
+        k.cast("string").alias("id"), F.col("c_acctbal").alias("x"), F.lit(7.0).alias("y"), F.array(F.array(F.lit(2.0), F.lit(3.0))).alias("points"), F.lit(40.0).alias("width"), F.lit(20.0).alias("height"),
         F.lit(0.5).alias("angle"), F.when(F.col("c_nationkey") % 3 == 0, 0.0).otherwise(80.0).alias("opacity"),
         F.when(F.col("c_nationkey") % 3 == 0, 60.0).alias("prev_opacity"), groups.alias("groups"),
         F.lit(None).cast("string").alias("link"), F.lit(1).alias("version"),
     )
 
 
-OPS = "delete hide show group ungroup link front back move_x move_dx scale rotate rotate_by".split()
+OPS = ["delete", "hide", "show", "group", "ungroup", "link", "front", "back", "move", "move_by", "scale", "resize", "rotate", "rotate_by"]
 
 
 def changes(t):
     """Every order of a customer is a change of that element; the operation follows from the order."""
-    op = F.element_at(F.array(*[F.lit(o) for o in OPS]), (F.col("o_orderkey") % 13 + 1).cast("int"))
+    op = F.element_at(F.array(*[F.lit(o) for o in OPS]), (F.col("o_orderkey") % 14 + 1).cast("int"))
     seldom = F.when((op == "delete") & (F.col("o_orderpriority") != "1-URGENT"), F.lit("show")).otherwise(op)
     return t.orders.select(
         F.col("o_orderkey").alias("seq"), seldom.alias("op"), F.col("o_custkey").cast("string").alias("id"),
         F.col("o_orderpriority").alias("text"), F.col("o_orderkey").cast("double").alias("number"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey").cast("double")).alias("second"),
     )
 
 
 CHANGE_SQL = """
   ch as (
-    select o_orderkey seq, cast(o_custkey as varchar) id, o_orderpriority txt, o_orderkey::double num,
-      case when o_orderkey % 13 = 0 and o_orderpriority <> '1-URGENT' then 'show'
-      else (['delete','hide','show','group','ungroup','link','front','back','move_x','move_dx','scale','rotate','rotate_by'])[o_orderkey % 13 + 1] end op from orders),
+    select o_orderkey seq, cast(o_custkey as varchar) id, o_orderpriority txt, o_orderkey::double num, case when o_orderkey % 3 <> 0 then o_custkey::double end num2,
+      case when o_orderkey % 14 = 0 and o_orderpriority <> '1-URGENT' then 'show'
+      else (['delete','hide','show','group','ungroup','link','front','back','move','move_by','scale','resize','rotate','rotate_by'])[o_orderkey % 14 + 1] end op from orders),
   cm as (
     select id, bool_or(op = 'delete') del, bool_or(op = 'hide') hid, arg_max(num, seq) filter (op = 'show') sho, arg_max(txt, seq) filter (op = 'group') grp,
       bool_or(op = 'ungroup') ung, arg_max(txt, seq) filter (op = 'link') lnk, bool_or(op = 'front') fro, bool_or(op = 'back') bac,
-      arg_max(num, seq) filter (op = 'move_x') mx, arg_max(num, seq) filter (op = 'move_dx') mdx, arg_max(num, seq) filter (op = 'scale') sc,
-      arg_max(num, seq) filter (op = 'rotate') ro, arg_max(num, seq) filter (op = 'rotate_by') rb, bool_or(op not in ('delete', 'front', 'back')) touched
+      arg_max({'op': op, 'a': num, 'b': num2}, seq) filter (op in ('move', 'move_by')) mv, arg_max({'op': op, 'a': num, 'b': num2}, seq) filter (op in ('scale', 'resize')) sz,
+      arg_max({'op': op, 'a': num, 'b': num2}, seq) filter (op in ('rotate', 'rotate_by')) ro, bool_or(op not in ('delete', 'front', 'back')) touched
     from ch group by 1),
   el as (
     select cast(c_custkey as varchar) id, c_acctbal x, case when c_nationkey % 3 = 0 then 0.0 else 80.0 end::double opacity, case when c_nationkey % 3 = 0 then 60.0 end::double prev,
@@ -165,9 +166,12 @@ CHANGE_SQL = """
     select el.id, case when hid then 0.0 when sho is not null then sho else opacity end opacity,
       case when hid then case when opacity <> 0 then opacity else coalesce(prev, 100) end else prev end prev_opacity,
       case when grp is not null then case when g = '' then grp else g || '|' || grp end when ung then '' else g end groups,
-      lnk as link, case when mdx is not null then x + mdx when mx is not null then mx else x end x,
-      case when sc > 0 then floor(40 * sc + 0.5) else 40 end::double width,
-      case when rb is not null then 0.5 + rb when ro is not null then ro else 0.5 end::double angle,
+      lnk as link, case when mv.op = 'move_by' then x + coalesce(mv.a, 0) else coalesce(mv.a, x) end x,
+      case when mv.op = 'move_by' then 7 + coalesce(mv.b, 0) else coalesce(mv.b, 7) end::double y,
+      case when sz.op = 'scale' then case when sz.a > 0 then floor(40 * sz.a + 0.5) else 40 end else coalesce(sz.a, 40) end::double width,
+      case when sz.op = 'scale' then case when sz.a > 0 then floor(20 * sz.a + 0.5) else 20 end else coalesce(sz.b, 20) end::double height,
+      case when sz.op = 'scale' and sz.a > 0 then 3 * sz.a else 3 end::double py,
+      case when ro.op = 'rotate_by' then 0.5 + ro.a when ro.op = 'rotate' then ro.a else 0.5 end::double angle,
       case when touched then 2 else 1 end as version, case when bac then -1 when fro then 1 else 0 end band
     from el left join cm using (id) where not coalesce(del, false)
     """,
@@ -175,7 +179,8 @@ CHANGE_SQL = """
 def apply_changes(t):
     out = S.apply_changes(scene(t), changes(t))
     return out.select(
-        "id", "opacity", "prev_opacity", F.array_join("groups", "|").alias("groups"), "link", "x", "width", "angle", "version", "band"
+        "id", "opacity", "prev_opacity", F.array_join("groups", "|").alias("groups"), "link", "x", "y", "width", "height",
+        F.col("points")[0][1].alias("py"), "angle", "version", "band",
     )
 
 

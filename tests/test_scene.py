@@ -37,7 +37,7 @@ def element(i, opacity=50.0, groups=()):
 
 def apply(spark, elements, changes):
     e = spark.createDataFrame(elements, ELEMENTS)
-    c = spark.createDataFrame([(n, *ch) for n, ch in enumerate(changes)], S.CHANGE)
+    c = spark.createDataFrame([(n, *ch, *[None] * (4 - len(ch) + 1)) for n, ch in enumerate(changes)], S.CHANGE)
     return {r.id: r for r in S.apply_changes(e, c).collect()}
 
 
@@ -48,7 +48,7 @@ def test_commands(spark):
         [
             ("hide", "a", None, None), ("show", "a", None, 70.0), ("show", "b", None, 30.0), ("group", "c", "g", None), ("group", "c", "h", None),
             ("ungroup", "c", None, None), ("ungroup", "d", None, None), ("delete", "e", None, None), ("front", "f", None, None), ("back", "f", None, None),
-            ("move_dx", "a", None, 5.0), ("scale", "b", None, 1.6), ("rotate_by", "d", None, 0.5), ("link", "a", "http://x", None),
+            ("move", "a", None, 50.0), ("move_by", "a", None, 5.0), ("scale", "b", None, 1.6), ("rotate_by", "d", None, 0.5), ("link", "a", "http://x", None),
         ],
     )
     assert (got["a"].opacity, got["a"].prev_opacity, got["a"].x, got["a"].link) == (0.0, 50.0, 15.0, "http://x")
@@ -58,6 +58,19 @@ def test_commands(spark):
     assert (got["f"].band, got["f"].version, got["a"].version) == (-1, 1, 2)
 
 
+def test_last_command_of_a_kind_counts(spark):
+    got = apply(
+        spark,
+        [element("a"), element("b"), element("c")],
+        [
+            ("move_by", "a", None, 5.0), ("move", "a", None, 50.0), ("rotate_by", "a", None, 1.0), ("rotate", "a", None, 9.0),
+            ("resize", "b", None, 30.0, 60.0), ("scale", "b", None, 2.0), ("scale", "c", None, 2.0), ("resize", "c", None, None, 60.0),
+        ],
+    )
+    assert (got["a"].x, got["a"].angle) == (50.0, 9.0)
+    assert [(got[k].width, got[k].height) for k in "bc"] == [(8.0, 16.0), (4.0, 60.0)]
+
+
 def test_delete_everything(spark):
     assert apply(spark, [element("a"), element("b")], [("delete", "*", None, None)]) == {}
 
