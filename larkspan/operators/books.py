@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larkspan.functions import headings as H
 from larkspan.functions.similarity import similarity
 from larkspan.functions.text import let, part_title, strip
-from larkspan.functions.unicode import nfkc_once
+from larkspan.functions.unicode import nfkc_each
 from larkspan.plans.once import once
 
 # Limits of the page rules.
@@ -28,7 +28,6 @@ VOTE_HEAD_LINES, VOTE_CHARS, VOTE_CONTAINED = 6, 400, 0.9
 TITLE_HEAD_LINES, TITLE_STOP, TITLE_KEEP, TITLE_CONTAINED = 10, 0.8, 0.5, 0.95
 HEADING_LINES = 15
 FRONT = "前付け"
-MARK = "\uE000"
 
 ENTRY = "struct<title:string,printed_page:int,is_chapter:boolean>"
 BOUNDARY = "struct<title:string,page:int>"
@@ -54,7 +53,7 @@ def prepare(books: DataFrame, pages: str = "pages") -> DataFrame:
     """
     cut = F.transform(pages, lambda p: F.left(p, F.lit(VOTE_CHARS)))
     read = once(books, **{pages: F.col(pages)})
-    both = read.withColumn("_both", F.split(nfkc_once(F.array_join(F.concat(F.col(pages), cut), MARK)), MARK))
+    both = read.withColumn("_both", nfkc_each(F.concat(F.col(pages), cut)))
     n = F.size(pages)
     return once(
         both, clean=F.slice("_both", F.lit(1), n), tops=squash_each(F.slice("_both", n + 1, n)), n_pages=n
@@ -168,10 +167,13 @@ def vote_offset(books: DataFrame, key: str, entries: str, method: str = "levensh
     ).select(key, "_n", "_heads", "_tops", "_i", F.col("_v.printed_page").alias("_printed"), F.col("_titles")[F.col("_i")].alias("_title"))
     first = F.greatest(F.lit(OFFSET_FIRST), 1 - F.col("_printed"))
     last = F.least(F.lit(OFFSET_LAST), F.size("_heads") - F.col("_printed"))
-    tries = per_title.filter("_title <> ''").select("*", F.explode(numbers(first, last)).alias("offset")).select(
-        key, "_n", "_i", "_title", "offset",
-        F.element_at("_heads", F.col("_printed") + F.col("offset")).alias("_text"),
-        F.element_at("_tops", F.col("_printed") + F.col("offset")).alias("_top"),
+    # a candidate takes along its own head and top only, not those of the whole book
+    at = lambda name, o: F.element_at(name, F.col("_printed") + o)
+    places = F.transform(
+        numbers(first, last), lambda o: F.struct(o.alias("offset"), at("_heads", o).alias("_text"), at("_tops", o).alias("_top"))
+    )
+    tries = per_title.filter("_title <> ''").select(key, "_n", "_i", "_title", F.explode(places).alias("_c")).select(
+        key, "_n", "_i", "_title", "_c.*"
     )
     scored = _scored(tries, F.col("_text"), F.col("_top").contains(F.col("_title")), VOTE_CONTAINED, method, VOTE_SHARE_MIN)
     votes = (
@@ -205,9 +207,10 @@ def title_pages(books: DataFrame, key: str, entries: str, method: str = "levensh
     per_title = base.select(key, "_titles", "_heads", "_filled", F.posexplode("_c").alias("pos", "_e")).select(
         key, "pos", F.col("_e.title").alias("title"), F.col("_titles")[F.col("pos")].alias("_title"), "_heads", "_filled"
     ).filter(F.length("_title") >= 2)
+    filled = F.transform("_heads", lambda h, i: F.struct(i.alias("_at"), h.alias("_text"), F.get("_filled", i).alias("_ok")))
     tries = per_title.select(
-        key, "pos", "title", "_title", "_filled", F.posexplode("_heads").alias("_at", "_text")
-    ).filter(F.col("_filled")[F.col("_at")])
+        key, "pos", "title", "_title", F.explode(F.filter(filled, lambda s: s["_ok"])).alias("_c")
+    ).select(key, "pos", "title", "_title", "_c._at", "_c._text")
     scored = _scored(tries, F.col("_text"), F.col("_text").contains(F.col("_title")), TITLE_CONTAINED, method, TITLE_KEEP)
     page = F.col("_at") + 1
     best = scored.groupBy(key, "pos").agg(
@@ -428,8 +431,11 @@ def smallest_even_split(sizes: Column, cap: float) -> Column:
     def fits(k: Column) -> Column:
         return ~F.exists(even_parts(n, k), lambda p: range_size(sizes, p["start_page"], p["end_page"]) > cap)
 
-    fitting = F.filter(numbers(first, n), fits)
-    return F.when(total <= cap, F.lit(1)).otherwise(F.get(fitting, F.lit(0)))
+    # counts after the first fit are not tried
+    least = F.aggregate(
+        numbers(first, n), F.lit(None).cast("int"), lambda found, k: F.when(found.isNotNull(), found).when(fits(k), k)
+    )
+    return F.when(total <= cap, F.lit(1)).otherwise(least)
 
 
 def greedy_pack(sizes: Column, cap: float) -> Column:

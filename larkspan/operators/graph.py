@@ -66,7 +66,7 @@ def isolated(nodes: DataFrame, edges: DataFrame, most: int = 1) -> DataFrame:
     return d.filter(F.col("degree") <= most)
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest node id that can be reached. Alternates the two star steps to a fixpoint.
 
     Each step links neighbours to their smallest neighbour; the number of rounds grows with the logarithm
@@ -75,15 +75,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
     pairs = cut_lineage(
         edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).filter("u <> v").distinct()
     )
-    mark = None
-    for _ in range(max_rounds):
+    mark, now = None, ()
+    while now != mark:
+        mark = now
         pairs = cut_lineage(_small_star(_large_star(pairs)))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
     found = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -114,13 +110,12 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFram
     """
     near = cut_lineage(both_ways(edges))
     labels = nodes.select("id", F.col("id").alias("community"))
-    for i in range(rounds):
+    for _ in range(rounds):
         seen = near.join(labels, near["target"] == labels["id"]).select(F.col("source").alias("id"), "community")
         votes = seen.groupBy("id", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("_next"))
         labels = labels.join(best, "id", "left").select("id", F.coalesce("_next", "community").alias("community"))
-        if (i + 1) % 3 == 0 and i + 1 < rounds:
-            labels = cut_lineage(labels)
+        labels = cut_lineage(labels)
     return labels
 
 
@@ -149,7 +144,7 @@ def crossing_edges(edges: DataFrame, members: DataFrame, wanted: Column) -> Data
     return edges.filter(wanted).join(a, "source").join(b, "target").filter("from_community <> to_community")
 
 
-def bridge_scores(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+def bridge_scores(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, score): betweenness of the nodes, from shortest paths that start at the given sources.
 
     Breadth-first frames count shortest paths level by level; dependencies then flow back along the levels.
@@ -161,7 +156,7 @@ def bridge_scores(edges: DataFrame, sources: DataFrame, max_depth: int = 64) ->
     level = cut_lineage(level)
     seen = level.select("start", "id")
     levels = [level]
-    for _ in range(max_depth):
+    while True:
         step = level.join(near, level["id"] == near["source"]).select("start", F.col("target").alias("id"), "paths")
         summed = step.groupBy("start", "id").agg(F.sum("paths").alias("paths"))
         level = cut_lineage(summed.join(seen, ["start", "id"], "left_anti"))
@@ -169,8 +164,6 @@ def bridge_scores(edges: DataFrame, sources: DataFrame, max_depth: int = 64) ->
             break
         levels.append(level)
         seen = cut_lineage(seen.unionByName(level.select("start", "id")))
-    else:
-        raise RuntimeError("paths are longer than max_depth")
     total = None
     below = None
     for i in range(len(levels) - 1, 0, -1):

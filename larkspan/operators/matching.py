@@ -14,10 +14,8 @@ from larkspan.plans.ordered import Running, running
 
 # Preference of file kinds.
 SUFFIX_RANK = {"mp3": 0, "m4a": 1, "aac": 2, "wav": 3, "mp4": 4}
-# Block keys: gram length, events that a block may hold before it is split by title, and the key of the others.
+# Length of the grams that stand for a title where it may lie anywhere.
 GRAM = 3
-FEW = 16
-ANY_TITLE = "\uE000"
 
 
 def two_dates(utc_day: Column, local_shown: Column) -> Column:
@@ -66,9 +64,8 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
     contains  the title occurs anywhere in the safe name
 
     Comparing every file of a folder with every event would be a theta join. Files meet events in blocks of
-    (dir, date) instead. A block with few events is joined as it is: each file meets at most `FEW` events.
-    In a crowded block both sides are exploded to the exact titles (or the first gram of the title) that a
-    match must share. The full predicate is checked on what meets, so the keys only have to be complete.
+    (dir, date), and there by the exact titles (or the first gram of the title) that a match must share: both sides
+    are exploded to these. The full predicate is checked on what meets, so the keys only have to be complete.
     """
     named = files.withColumn("_kind", classify_file(F.col("name"), audio_only))
     usable = named.filter("_kind = 'media'" if audio_only else "_kind not in ('temp', 'manifest', 'backup')")
@@ -81,11 +78,8 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
         F.explode("_days").alias("_date"),
     ).withColumn("_date_key", F.when(F.col("_date").rlike(r"^\d{8}$"), F.col("_date")).otherwise(F.lit("")))
     flag = F.col("_raw") == "" if exact else F.length(safe_name(F.col("_raw"))) < GRAM
-    blocks = dated.groupBy("dir", "_date_key").agg(
-        (F.count("*") > FEW).alias("_crowded"), F.max(flag).alias("_flag")
-    )
+    blocks = dated.groupBy("dir", "_date_key").agg(F.max(flag).alias("_flag"))
 
-    # events: the titles of crowded blocks
     if exact:
         titles = F.when(F.col("_raw") == "", F.array(F.lit(""))).otherwise(_variants())
     else:
@@ -93,10 +87,7 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
             safe_name(F.col("_raw")),
             lambda n: F.array(F.left(n, F.when(F.length(n) >= GRAM, F.lit(GRAM)).otherwise(F.lit(1)))),
         )
-    left = dated.join(blocks, ["dir", "_date_key"]).select(
-        "dir", "event_key", "item_titles", "_raw", "_date", "_date_key",
-        F.explode(F.when(F.col("_crowded"), titles).otherwise(F.array(F.lit(ANY_TITLE)))).alias("_title_key"),
-    )
+    left = dated.select("dir", "event_key", "item_titles", "_raw", "_date", "_date_key", F.explode(titles).alias("_title_key"))
 
     # files: only dates and folders with events go on
     met = usable.select("dir", "path", "name").withColumn(
@@ -110,9 +101,7 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
             safe_name(F.col("name")),
             lambda n: F.concat(_grams(n, GRAM), F.when(F.col("_flag"), _grams(n, 1)).otherwise(none)),
         )
-    right = met.withColumn(
-        "_title_key", F.explode(F.when(F.col("_crowded"), keys).otherwise(F.array(F.lit(ANY_TITLE))))
-    ).select("dir", "path", "name", "_date_key", "_title_key")
+    right = met.withColumn("_title_key", F.explode(keys)).select("dir", "path", "name", "_date_key", "_title_key")
 
     pairs = left.join(right, ["dir", "_date_key", "_title_key"]).filter(F.col("name").contains(F.col("_date")))
     hit = once(pairs, _safe_name=safe_name(F.col("name"))).filter(

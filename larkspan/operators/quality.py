@@ -25,11 +25,9 @@ DEFAULT_W, DEFAULT_H = 100.0, 50.0
 
 
 def pair_texts(truth: DataFrame, output: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Every truth with the output of the same key, '' when there is none."""
+    """Every truth, with its other columns, and the output of the same key, '' when there is none."""
     right = output.select(key, F.col(text).alias("output"))
-    return truth.select(key, F.col(text).alias("truth")).join(right, key, "left").withColumn(
-        "output", F.coalesce("output", F.lit(""))
-    )
+    return truth.withColumnRenamed(text, "truth").join(right, key, "left").withColumn("output", F.coalesce("output", F.lit("")))
 
 
 def error_rate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:

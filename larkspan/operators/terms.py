@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.transcripts import apply_terms as fold_terms
-from larkspan.plans.ordered import positions
+from larkspan.plans.ordered import rank
 
 CHUNK = 4096
 
@@ -18,9 +18,7 @@ def apply_terms(df: DataFrame, text: str, terms: DataFrame, chunk: int = CHUNK)
     bound; a larger dictionary takes several passes over the text, in the same order.
     """
     enabled = terms.filter("is_enabled and reading <> ''").select("reading", "target").distinct()
-    ranked = positions(
-        enabled.withColumn("_short", -F.length("reading")), [], ["_short", "reading", "target"], F.col("_short"), "rank"
-    )
+    ranked = rank(enabled.withColumn("_short", -F.length("reading")), ["_short", "reading", "target"], "rank")
     count = ranked.count()
     for start in range(0, count, chunk):
         part = ranked.filter(F.col("rank").between(start + 1, start + chunk)).agg(

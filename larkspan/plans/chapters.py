@@ -19,23 +19,21 @@ def boundaries_by_tier(books: DataFrame, key: str = "doc_id", method: str = "lev
     With the matching-blocks method the two searches are exploded and join back on the book key.
     """
     rows = B.with_contents(B.prepare(books))
-    if method == "levenshtein":
-        joined = once(
-            rows,
-            offset=B.offset_in_row(F.col("clean"), F.col("tops"), F.col("entries")),
-            _titles=B.titles_in_row(F.col("clean"), F.col("entries")),
-        )
-    else:
-        joined = _searched(rows, key, method)
+    in_row = method == "levenshtein"
+    joined = once(rows, offset=B.offset_in_row(F.col("clean"), F.col("tops"), F.col("entries"))) if in_row else _searched(rows, key, method)
     none = F.array().cast(f"array<{B.BOUNDARY}>")
     tiers = {
         "contents": F.when(
             F.col("offset").isNotNull(), B.monotone_starts(F.col("entries"), F.col("offset"), F.col("n_pages"))
         ).otherwise(none),
-        "title_search": F.coalesce("_titles", none),
+        "title_search": F.coalesce(B.titles_in_row(F.col("clean"), F.col("entries")) if in_row else F.col("_titles"), none),
         "headings": B.heading_rows(F.col("clean")),
     }
-    wide = once(joined, **{f"_t_{n}": c for n, c in tiers.items()})
+    # a tier is worked out only where no tier before it is enough
+    wide, open_ = joined, F.lit(True)
+    for n, c in tiers.items():
+        wide = once(wide, **{f"_t_{n}": F.when(open_, c).otherwise(none)})
+        open_ = open_ & (F.size(f"_t_{n}") < 2)
     tier, chosen = F.lit("equal_chunks"), none
     for name in reversed(list(tiers)):
         enough = F.size(f"_t_{name}") >= 2

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.session import cut_lineage
+
 PIECE = "_piece"
 
 
@@ -111,8 +113,27 @@ def running(
     )
 
 
+def rank(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """1-based place of each row in the total `order` of the whole table.
+
+    Rows are dealt by ranges of the order and sorted there, written once with their place in the partition, and the
+    rows of the partitions before are added: one number per partition, so no task sees more than its range. `order`
+    must be total, or equal rows would have to share a range.
+    """
+    mark = "_place"
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits of the id are the partition, the lower 33 the row in it
+    placed = cut_lineage(dealt.withColumn(mark, F.monotonically_increasing_id()))
+    part = F.shiftright(mark, 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    found = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return found.select(*df.columns, (F.col("_first") + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+
+
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | Sequence[Column], name: str = "pos") -> DataFrame:
-    """1-based row number per key; with no keys it is a distributed global rank."""
+    """1-based row number per key."""
     return running(df, keys, order, piece, {name: Running(F.lit(1).cast("long"))})
 
 

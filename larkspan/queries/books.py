@@ -18,7 +18,7 @@ from larkspan.registry import query
 
 BOOKS_SQL = r"""
   src as (
-    select doc_id, source, doc_id % 5 v, string_split(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), chr(10)) l from documents),
+    select doc_id, source, doc_id % 5 v, string_split(text, chr(10)) l from documents),
   body as (
     select doc_id, source, v, l, list_transform(range(1, len(l) + 1), lambda b:
       case when v in (0, 4) and b % 2 = 1 then 'Chapter ' || (b + 1) // 2 || ' ' || source || chr(10)
@@ -51,8 +51,9 @@ BOOKS_SQL = r"""
       regexp_matches(title, '(?i)^(Chapter\s*\d+|Appendix|Index)') is_chapter from er where printed > 0),
   ch as (select *, row_number() over (partition by doc_id order by i) ci, count(*) over (partition by doc_id) cn from en where is_chapter),
   hd as (
-    select doc_id, page_no, page, n_pages, regexp_replace(array_to_string(string_split(page, chr(10))[1:6], ''), '\s+', '', 'g') head6,
-      regexp_replace(array_to_string(string_split(page, chr(10))[1:10], ''), '\s+', '', 'g') head10, regexp_replace(left(page, 400), '\s+', '', 'g') top from pg),
+    -- titles are ASCII; DuckDB's distance counts bytes, so other characters of a head are one byte each
+    select doc_id, page_no, page, n_pages, regexp_replace(regexp_replace(array_to_string(string_split(page, chr(10))[1:6], ''), '\s+', '', 'g'), '[^\x00-\x7F]', '?', 'g') head6,
+      regexp_replace(regexp_replace(array_to_string(string_split(page, chr(10))[1:10], ''), '\s+', '', 'g'), '[^\x00-\x7F]', '?', 'g') head10, regexp_replace(left(page, 400), '\s+', '', 'g') top from pg),
   vs as (
     select doc_id, ci, cn, page_no - printed as off, 1 - levenshtein(regexp_replace(title, '\s+', '', 'g'), head6)::double / greatest(length(head6), length(regexp_replace(title, '\s+', '', 'g'))) lev,
       contains(top, regexp_replace(title, '\s+', '', 'g')) inside
@@ -106,8 +107,8 @@ BOOKS_SQL = r"""
 
 def make_books(t):
     """(doc_id, source, pages): see the module text."""
-    docs = t.wide("documents", "doc_id", "source", "text")
-    lines = F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "\n")
+    docs = t.documents.select("doc_id", "source", "text")
+    lines = F.split("text", "\n")
     base = once(docs.select("doc_id", "source", "text", (F.col("doc_id") % 5).alias("v")), l=lines)
     number = lambda b: F.floor((b + 1) / 2).cast("string")
 
@@ -154,22 +155,12 @@ def vote_offset(t):
     return B.vote_offset(with_entries(t), "doc_id", "entries").withColumn("offset", F.col("offset").cast("long"))
 
 
-@query("J13 X2")
-def vote_offset_blocks(t):
-    return B.vote_offset(with_entries(t), "doc_id", "entries", "blocks")
-
-
 @query("J12", f"with recursive {BOOKS_SQL} select doc_id, title, page_no as page from tp")
 def title_page_match(t):
     found = B.title_pages(with_entries(t), "doc_id", "entries")
     return found.select("doc_id", "title", F.col("page").cast("long").alias("page"))
 
 
-@query("J12 X2")
-def title_page_match_blocks(t):
-    return B.title_pages(with_entries(t), "doc_id", "entries", "blocks").select("doc_id", "title", "page")
-
-
 @query("W8", f"with recursive {BOOKS_SQL} select doc_id, title, page_no as page from hr")
 def heading_rows(t):
     books = B.prepare(make_books(t)).select("doc_id", F.explode(B.heading_rows(F.col("clean"))).alias("h"))
@@ -261,7 +252,7 @@ CAP = 1000.0
 def sized(t):
     """Documents with the byte size of each line as page sizes."""
     lines = F.split("text", "\n")
-    return t.wide("documents", "doc_id", "text").select(
+    return t.documents.select("doc_id", "text").select(
         "doc_id", F.transform(lines, lambda x: F.octet_length(x)).alias("sizes")
     )
 
@@ -371,14 +362,14 @@ def resplit_oversized(t):
     "J11",
     f"""
     with {SIZES_SQL}, f as (select doc_id, i from sz where i > 1 and i % 7 = 1),
-    t as (select doc_id, n, k, 1 + round_even(n * k / 4.0, 0)::bigint target, greatest(5, n // 8) tol from tt, (values (1), (2), (3)) v(k) where n >= 4),
+    t as (select doc_id, n, k, 1 + round_even(n * k / 4.0, 0)::bigint target, greatest(5, n // 8) tol from tt, (values (1), (2), (3)) v(k)),
     d as (select t.*, f.i, row_number() over (partition by t.doc_id, k order by abs(f.i - target), f.i) r from t left join f on f.doc_id = t.doc_id)
     select doc_id, k, case when i is not null and abs(i - target) <= tol then i else target end cut from d where r = 1
     """,
 )
 def nearest_cuts(t):
     """Each target alone: the nearest fine boundary within the tolerance, else the target."""
-    books = sized(t).select("doc_id", F.size("sizes").alias("n")).filter("n >= 4")
+    books = sized(t).select("doc_id", F.size("sizes").alias("n"))
     fine = F.filter(B.numbers(2, F.col("n")), lambda i: i % 7 == 1)
     rows = books.select("doc_id", "n", fine.alias("fine"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
     target = 1 + F.bround(F.col("n") * F.col("k") / 4, 0).cast("int")
@@ -413,7 +404,6 @@ def renumber(t):
     from larkspan.plans import ordered
 
     rows = t.conversations.select("conv_id", "turn")
-    piece = F.floor(F.col("conv_id") / 1024)
-    return ordered.positions(rows, [], ["conv_id", "turn"], piece, "page_no").withColumn("part", F.lit(0))
+    return ordered.rank(rows, ["conv_id", "turn"], "page_no").withColumn("part", F.lit(0))
 
 

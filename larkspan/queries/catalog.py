@@ -8,6 +8,7 @@ from larkspan.operators import catalog as O
 from larkspan.operators import filters as FI
 from larkspan.plans import ordered
 from larkspan.registry import query
+from larkspan.session import cut_lineage
 from larkspan.sources import documents as S
 
 CATS_SQL = "case when p_size % 9 = 0 then [] else string_split(p_name, ' ') end"
@@ -227,11 +228,13 @@ def store_size(t):
 
 @query(
     "J1",
-    "select c_custkey, coalesce(n_name, '未分類') as label from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3",
+    "select c_custkey, coalesce(n_name, '未分類') as label from customer left join nation on n_nationkey = c_nationkey + case when c_custkey % 5 = 0 then 100 else 0 end",
 )
 def label_join(t):
-    dim = t.nation.filter("n_regionkey < 3")
-    return O.label_join(t.customer.select("c_custkey", "c_nationkey"), dim, "c_nationkey", "n_nationkey", "n_name").select(
+    # every fifth customer has a code that is not in the table
+    code = F.col("c_nationkey") + F.when(F.col("c_custkey") % 5 == 0, 100).otherwise(0)
+    rows = t.customer.select("c_custkey", code.alias("code"))
+    return O.label_join(rows, t.nation, "code", "n_nationkey", "n_name").select(
         "c_custkey", "label"
     )
 
@@ -273,7 +276,7 @@ def saved_keys(t):
 def listed_events(t):
     """Orders as events: text date (every 5th unreadable), time and duration words."""
     d, key = F.col("o_orderdate"), F.col("o_orderkey")
-    orders = t.wide("orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    orders = t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", "o_orderstatus")
     return orders.select(
         key.alias("pos"),
         F.col("o_orderpriority").alias("title"),
@@ -285,28 +288,11 @@ def listed_events(t):
     )
 
 
-def _ranked(t, column, reverse=False, stable=False):
-    """Rank of each row. The leading keys and blocks of positions cut the global order into bounded pieces."""
-    e = listed_events(t)
+def _sort_keys(t, *columns):
+    """`pos` and the sort key of each wanted column, a struct."""
     cols = [F.col(c) for c in ("title", "date", "shown", "time", "duration", "saved")]
-    keys = O.event_sort_keys(column, *cols)
-    names = [f"k{i}" for i in range(len(keys))]
-    turned = reverse and stable
-    named = e.select("pos", *[k.alias(n) for n, k in zip(names, keys)])
-    named = named.withColumn("tie", -F.col("pos") if turned else F.col("pos"))
-    block = F.floor(F.col("tie") / 4096)
-    piece = {
-        # unreadable values share the lowest key, so only they are cut further
-        "date": F.struct("k0", "k1", F.when(F.col("k0") == 0, F.struct("k4", "k5", block.alias("b"))).alias("x")),
-        "duration": [F.struct("k0", F.floor(F.col("k1") / 600).alias("p")), F.when(F.col("k0") == 0, F.struct("k2", block.alias("b")))],
-        "saved": [F.struct("k0", "k1"), block],
-        "title": [F.col("k0"), block],
-    }[column]
-    ranked = ordered.positions(named, [], [*names, "tie"], piece, "up")
-    if not reverse:
-        return ranked.select("pos", F.col("up").alias("rank"))
-    total = t.orders.agg(F.count("*").alias("n")).scalar()
-    return ranked.select("pos", (total + 1 - F.col("up")).alias("rank"))
+    keys = {c: F.struct(*[k.alias(f"k{i}") for i, k in enumerate(O.event_sort_keys(c, *cols))]) for c in columns}
+    return listed_events(t).select("pos", *[k.alias(c) for c, k in keys.items()])
 
 
 LIST_SQL = """
@@ -329,12 +315,13 @@ DATE_KEYS = "ok {0}, case when ok then d end {0} nulls {1}, tm {0}, title {0}"
     """,
 )
 def sort_events(t):
-    out = _ranked(t, "date").withColumnRenamed("rank", "by_date")
-    for name, column, reverse in (
-        ("by_date_desc", "date", True), ("by_duration", "duration", False), ("by_saved", "saved", False), ("by_title", "title", False)
-    ):
-        out = out.join(_ranked(t, column, reverse).withColumnRenamed("rank", name), "pos")
-    return out
+    columns = ("date", "duration", "saved", "title")
+    keys = cut_lineage(_sort_keys(t, *columns))
+    out = keys.select("pos")
+    for c in columns:
+        out = out.join(ordered.rank(keys.select("pos", c), [c, "pos"], f"by_{c}").drop(c), "pos")
+    total = keys.agg(F.count("*").alias("n")).scalar()
+    return out.withColumn("by_date_desc", total + 1 - F.col("by_date"))
 
 
 @query(
@@ -342,15 +329,16 @@ def sort_events(t):
     f"with e as ({LIST_SQL}) select pos, row_number() over (order by {DATE_KEYS.format('desc', 'last')}, pos) as rank from e",
 )
 def sort_events_stable(t):
-    return _ranked(t, "date", reverse=True, stable=True)
+    # descending with ties in the order of the list: the ascending order of the turned list, counted from its end
+    keys = _sort_keys(t, "date").withColumn("turned", -F.col("pos"))
+    total = t.orders.agg(F.count("*").alias("n")).scalar()
+    return ordered.rank(keys, ["date", "turned"], "up").select("pos", (total + 1 - F.col("up")).alias("rank"))
 
 
 @query("O2", "select p_partkey, p_name, row_number() over (order by p_name, p_partkey) as rank from part")
 def sort_items(t):
     rows = t.part.select("p_partkey", "p_name")
-    return ordered.positions(
-        rows, [], ["p_name", "p_partkey"], [F.col("p_name"), F.floor(F.col("p_partkey") / 4096)], "rank"
-    )
+    return ordered.rank(rows, ["p_name", "p_partkey"], "rank")
 
 
 @query("O3")
@@ -363,14 +351,16 @@ def sort_locale(t):
 @query(
     "O4",
     """
-    select c_custkey, lower(regexp_extract(label, '^(\\D*)', 1)) || lpad(regexp_extract(label, '(\\d+)', 1), 20, '0') as sort_key
-    from (select c_custkey, c_mktsegment || cast(c_custkey as varchar) as label from customer)
+    select c_custkey, lower(c_mktsegment) || lpad(cast(length(digits) as varchar), 10, '0') || digits as sort_key from (
+      select c_custkey, c_mktsegment, regexp_replace(c_custkey || case when c_custkey % 4 = 0 then '12345678901234567890123' else '' end, '^0+(\\d)', '\\1') as digits from customer)
     """,
 )
 def natural_sort(t):
     from larkspan.functions.text import natural_key
 
-    label = F.concat("c_mktsegment", F.col("c_custkey").cast("string"))
+    # leading zeros, and numbers longer than any fixed width
+    zeros, more = F.when(F.col("c_custkey") % 3 == 0, "000").otherwise(""), F.when(F.col("c_custkey") % 4 == 0, "12345678901234567890123").otherwise("")
+    label = F.concat("c_mktsegment", zeros, F.col("c_custkey").cast("string"), more)
     return t.customer.select("c_custkey", natural_key(label).alias("sort_key")).orderBy("sort_key", "c_custkey")
 
 
@@ -384,8 +374,7 @@ def natural_sort(t):
 def z_order(t):
     band = O.z_band(F.col("p_brand"), F.array(F.lit("Brand#1")), F.array(F.lit("Brand#2")))
     rows = t.part.select("p_partkey", band.alias("band"))
-    piece = [F.col("band"), F.floor(F.col("p_partkey") / 4096)]
-    return ordered.positions(rows, [], ["band", "p_partkey"], piece, "z")
+    return ordered.rank(rows, ["band", "p_partkey"], "z")
 
 
 @query("O6", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey desc limit 25")
@@ -476,7 +465,7 @@ def freshest(t):
       case when event_type <> 'error' then 'S' || user_id end series, case when event_type <> 'error' then event_type end title
     from events where event_type <> 'view'
     union all
-    select event_id, false, 1, 'X', cast(json_extract(props, '$.k') as varchar) from events where event_type = 'click'
+    select event_id, false, 2, 'X', cast(json_extract(props, '$.k') as varchar) from events where event_type = 'click'
     """,
 )
 def read_feed_rows(t):
@@ -486,7 +475,7 @@ def read_feed_rows(t):
     doc = (
         F.when(F.col("event_type") == "error", F.concat(F.lit("["), first, F.lit("]")))
         .when(F.col("event_type") == "view", F.lit('{"corners":[]}'))
-        .when(F.col("event_type") == "click", F.concat(F.lit('{"corners":['), first, second, F.lit("]}")))
+        .when(F.col("event_type") == "click", F.concat(F.lit('{"corners":['), first, F.lit(",3"), second, F.lit(',"x",null]}')))
         .otherwise(F.concat(F.lit('{"corners":['), first, F.lit("]}")))
     )
     rows = S.parse_feed(t.events.select("event_id", doc.alias("doc")), "doc", "corners")
@@ -498,7 +487,7 @@ def read_feed_rows(t):
 @query(
     "S2",
     """
-    select o_orderkey, 0 as pos, o_custkey item from orders
+    select o_orderkey, case when o_orderkey % 3 = 0 then 1 else 0 end as pos, o_custkey item from orders
     where o_orderkey % 4 in (0, 1) and epoch(timestamp '1998-06-01') - epoch(o_orderdate) <= 86400 * 365
     """,
 )
@@ -508,7 +497,7 @@ def read_ttl_docs(t):
     doc = F.concat(
         F.lit('{"schema_version":'), F.when(k % 4 == 3, "2").otherwise("1"), F.lit(',"fetched_at":'),
         F.when(k % 4 == 2, F.lit("true")).when(k % 4 == 0, stamp).otherwise(F.concat(stamp, F.lit(".0"))),
-        F.lit(',"items":['), F.col("o_custkey").cast("string"), F.lit("]}"),
+        F.lit(',"items":['), F.when(k % 3 == 0, '{"bad":1},').otherwise(""), F.col("o_custkey").cast("string"), F.lit(',"x"]}'),
     )
     now = D.epoch_seconds(F.lit("1998-06-01").cast("timestamp_ntz"))
     return S.read_ttl_docs(t.orders.select("o_orderkey", doc.alias("doc")), "doc", now, 86400 * 365, 1, T.LongType())
@@ -551,12 +540,6 @@ def to_lines(t):
     )
 
 
-@query("S4")
-def list_files(t):
-    """The files of the data folder, without reading their content."""
-    return S.list_files(t.spark, t.folder, "*.parquet").select("name", "size", "suffix")
-
-
 @query(
     "S8 A7",
     """

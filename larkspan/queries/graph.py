@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larkspan.operators import graph as G
 from larkspan.registry import query
+from larkspan.session import cut_lineage
 
 LINK_SQL = """
   ed as (select 'p' || page_id as source, 'h' || unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as target from pages),
@@ -13,13 +14,15 @@ LINK_SQL = """
 
 
 def links(t):
-    e = G.link_edges(t.wide("pages", "page_id", "html"), "page_id", "html")
+    e = G.link_edges(t.pages.select("page_id", "html"), "page_id", "html")
     return e.select(F.concat(F.lit("p"), F.col("source").cast("string")).alias("source"), F.concat(F.lit("h"), "target").alias("target"))
 
 
-def link_nodes(t):
+def written(t):
+    """(nodes, edges), each worked out once and written for the many uses that follow."""
+    edges = cut_lineage(links(t))
     pages = t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"))
-    return pages.unionByName(links(t).select(F.col("target").alias("id"))).distinct()
+    return cut_lineage(pages.unionByName(edges.select(F.col("target").alias("id"))).distinct()), edges
 
 
 @query("G10", f"with {LINK_SQL} select source, target, count(*) n from ed group by 1, 2")
@@ -50,7 +53,8 @@ def top_hubs(t):
 )
 def isolated_nodes(t):
     more = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
-    return G.isolated(link_nodes(t).unionByName(more), links(t))
+    nodes, edges = written(t)
+    return G.isolated(nodes.unionByName(more), edges)
 
 
 @query(
@@ -61,7 +65,7 @@ def isolated_nodes(t):
     """,
 )
 def connected_components(t):
-    return G.components(link_nodes(t), links(t))
+    return G.components(*written(t))
 
 
 def _round_sql(i: int) -> str:
@@ -76,12 +80,12 @@ COMMUNITY_SQL = f"{LINK_SQL}, l0 as (select id, id as c from nd), " + ", ".join(
 
 @query("G4", f"with {COMMUNITY_SQL} select id, c as community from l3")
 def communities(t):
-    return G.communities(link_nodes(t), links(t), rounds=3)
+    return G.communities(*written(t), rounds=3)
 
 
 @query("G4", f"with {COMMUNITY_SQL} select c as community, count(*) n, count(*) < 3 as thin from l3 group by 1")
 def community_sizes(t):
-    return G.community_sizes(G.communities(link_nodes(t), links(t), rounds=3))
+    return G.community_sizes(G.communities(*written(t), rounds=3))
 
 
 @query(
@@ -94,8 +98,8 @@ def community_sizes(t):
     """,
 )
 def cohesion(t):
-    members = G.communities(link_nodes(t), links(t), rounds=3)
-    return G.cohesion(members, links(t)).withColumn("cohesion", F.round("cohesion", 6))
+    nodes, edges = written(t)
+    return G.cohesion(G.communities(nodes, edges, rounds=3), edges).withColumn("cohesion", F.round("cohesion", 6))
 
 
 @query(
@@ -106,9 +110,9 @@ def cohesion(t):
     """,
 )
 def crossing_edges(t):
-    members = G.communities(link_nodes(t), links(t), rounds=3)
+    nodes, edges = written(t)
     inferred = F.length("target") % 3 == 0
-    out = G.crossing_edges(links(t), members, inferred)
+    out = G.crossing_edges(edges, G.communities(nodes, edges, rounds=3), inferred)
     return out.groupBy("source", "target", "from_community", "to_community").agg(F.count("*").alias("n"))
 
 
@@ -123,7 +127,7 @@ def bridge_scores(t):
 @query(
     "G8",
     """
-    with recursive e as (select distinct c_nationkey s, cast(floor(c_acctbal) as integer) % 25 t from customer where c_acctbal > 9000),
+    with recursive e as (select distinct c_nationkey s, cast(floor(c_acctbal) as integer) % 25 t from customer),
     w as (
       select [s] p, s f, t nx, 1 len from e where t >= s
       union all
@@ -132,7 +136,7 @@ def bridge_scores(t):
     """,
 )
 def import_cycles(t):
-    e = t.customer.filter("c_acctbal > 9000").select(
+    e = t.customer.select(
         F.col("c_nationkey").alias("source"), (F.floor("c_acctbal").cast("int") % 25).alias("target")
     )
     return G.cycles(e, 3).select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("n_nodes"))

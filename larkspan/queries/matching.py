@@ -26,7 +26,7 @@ def stored_files(t):
         date, F.lit("_item "), F.col("o_custkey").cast("string"), F.lit("_"), "o_orderpriority",
         F.when(s % 6 == 0, " extra").otherwise(""), F.when(s % 3 == 0, ".mp3").when(s % 3 == 1, ".m4a").otherwise(".mp4.part"),
     )
-    lines = t.wide("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     joined = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     made = once(joined, name=name, path=F.format_string("%d/%d/%d/%d", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return made.select(F.col("o_custkey").alias("dir"), "path", "name", F.col("l_quantity").alias("mtime"))
@@ -34,7 +34,7 @@ def stored_files(t):
 
 def stored_events(t):
     d = F.col("o_orderdate")
-    orders = t.wide("orders", "o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    orders = t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
     shown = D.format_day(F.to_date(d + F.expr("interval '1' day")))
     made = once(
         orders,

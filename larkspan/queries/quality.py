@@ -33,11 +33,10 @@ def pair_texts(t):
 )
 def cer(t):
     squash = lambda c: F.regexp_replace(one_byte(c), r"\s+", "")
-    turns = t.wide("conversations", "conv_id", "turn", "role", "text")
-    truth = turns.select(F.struct("conv_id", "turn", "role").alias("key"), squash(F.col("text")).alias("text"))
-    bench = t.benchmark.select(F.col("item_id").alias("conv_id"), squash(F.col("text")).alias("text"))
-    output = truth.select("key", F.col("key.conv_id").alias("conv_id")).join(bench, "conv_id").select("key", "text")
-    pairs = Q.pair_texts(truth, output, "key").withColumn("role", F.col("key.role"))
+    turns = t.conversations.select("conv_id", "turn", "role", "text")
+    truth = turns.select(F.col("conv_id").alias("item_id"), "role", squash(F.col("text")).alias("text"))
+    output = t.benchmark.select("item_id", squash(F.col("text")).alias("text"))
+    pairs = Q.pair_texts(truth, output, "item_id")
     return Q.error_rate(pairs, ["role"]).withColumn("cer", F.round("cer", 6))
 
 
@@ -99,7 +98,7 @@ RASTER_SQL = r"""
 
 
 def rasters(t):
-    docs = t.wide("documents", "doc_id", "text")
+    docs = t.documents.select("doc_id", "text")
     lines = once(docs, l=F.split("text", "\n")).select("doc_id", "l")
     return once(lines, w=Q.width_of(F.col("l")))
 

@@ -117,15 +117,6 @@ def similarity_ratio(t):
     )
 
 
-@query("C27 X2")
-def similarity_blocks(t):
-    n = t.supplier.agg(F.count("*").alias("n")).scalar()
-    c = t.customer.withColumn("s_suppkey", F.col("c_custkey") % n)
-    return c.join(t.supplier, "s_suppkey").select(
-        "c_custkey", F.round(Y.similarity(F.col("c_name"), F.col("s_name"), "blocks"), 6).alias("ratio")
-    )
-
-
 # Contents rows and headings written from line items.
 ROW_SQL = """
   select l_orderkey, l_linenumber, case l_linenumber % 4
@@ -159,7 +150,7 @@ def contents_lines(lineitem):
     """,
 )
 def contents_rows(t):
-    rows = contents_lines(t.wide("lineitem", "l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity")).withColumn("r", H.contents_row(F.col("line"), normalise=False))
+    rows = contents_lines(t.lineitem.select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity")).withColumn("r", H.contents_row(F.col("line"), normalise=False))
     return rows.filter("r is not null").select("l_orderkey", "l_linenumber", "r.title", "r.printed_page", "r.is_chapter")
 
 
@@ -178,7 +169,7 @@ def heading_keys(t):
         .when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("第 "), n, F.lit("章")))
         .otherwise(F.lit("Index"))
     )
-    rows = t.wide("lineitem", "l_orderkey", "l_linenumber")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber")
     return rows.select("l_orderkey", "l_linenumber", H.heading_key(title).alias("heading_key"))
 
 
@@ -205,7 +196,7 @@ def speech_texts(t):
         .when(k == 3, F.lit("  "))
         .otherwise(F.concat(F.lit("本日は"), F.col("conv_id").cast("string"), F.lit("番の会議です議題の説明")))
     )
-    return t.wide("conversations", "conv_id", "turn", "text").select("conv_id", "turn", s.alias("s"), n.alias("n"))
+    return t.conversations.select("conv_id", "turn", "text").select("conv_id", "turn", s.alias("s"), n.alias("n"))
 
 
 SHARE_SQL = """
@@ -326,7 +317,7 @@ def mask_message(t):
     "C37",
     """
     select p_partkey, 'fill_style=' || case when p_size % 2 = 0 then 'hachure' else 'solid' end || ';font=3;roundness=round;stroke_style=dashed;stroke_width='
-      || cast(p_size as varchar) props
+      || cast(p_size as varchar) props, 'opacity=0;start_arrow=off;stroke_style=dashed;valign=top' odd
     from part
     """,
 )
@@ -337,7 +328,10 @@ def style_props(t):
         F.col("p_size").cast("string"),
     )
     pairs = F.array_sort(F.transform(F.map_entries(S.style_props(raw)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return t.part.select("p_partkey", F.array_join(pairs, ";").alias("props"))
+    odd = F.array_sort(
+        F.transform(F.map_entries(S.style_props(F.lit("dashed=x; valign=top=mono start=off opacity="))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    )
+    return t.part.select("p_partkey", F.array_join(pairs, ";").alias("props"), F.array_join(odd, ";").alias("odd"))
 
 
 @query(
@@ -395,7 +389,7 @@ def grid_cells(t):
 def page_issues(t):
     aspect = M.aspect_diff(F.col("l_quantity"), F.lit(20.0), F.lit(1.5), F.lit(1.0))
     issues = M.page_issues(F.col("l_tax"), aspect, F.col("l_discount"), F.col("l_tax") * 10)
-    return t.wide("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount").select(
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount").select(
         "l_orderkey", "l_linenumber", F.round(aspect, 6).alias("aspect"), F.array_join(issues, ",").alias("issues")
     )
 

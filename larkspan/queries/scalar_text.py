@@ -194,7 +194,7 @@ def item_keys(t):
         X.item_key(F.col("l_orderkey").cast("string"), X.item_key(F.col("l_linenumber").cast("string"), F.col("l_returnflag")))
     )
     parts = X.split_key(key)
-    return t.wide("lineitem", "l_orderkey", "l_linenumber", "l_returnflag").select(
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag").select(
         "l_orderkey", "l_linenumber", key.alias("item_key"), parts["head"].alias("head"), parts["tail"].alias("tail")
     )
 
@@ -322,7 +322,7 @@ def fingerprint(t):
     """,
 )
 def find_all(t):
-    lines = t.wide("documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = t.documents.select("doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     hits = lines.filter(F.col("line").ilike("%the%") | ~F.col("line").rlike(U.ASCII_ONLY))
     spans = hits.select("doc_id", "line_no", F.explode(U.folded_spans(F.col("line"), "THE")).alias("s"))
     return spans.select(

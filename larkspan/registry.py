@@ -21,17 +21,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-    def wide(self, name: str, *columns: str) -> DataFrame:
-        """Columns of a table over at least as many partitions as there are cores.
-
-        Narrow but costly steps (exploding texts, arrays) would run in one task on a file with a single
-        row group. A table that already is split that far is read as it is, without a shuffle.
-        """
-        df = getattr(self, name).select(*columns)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 @dataclass(frozen=True)
 class Query:
     name: str
