@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.text import let
+from larkspan.functions.text import let, squash
+from larkspan.operators.filters import drop_lines
 
 # Character class, limits and bands.
 CJK = r"[぀-ヿ㐀-鿿！-｠]"
@@ -30,6 +31,11 @@ def pair_texts(truth: DataFrame, output: DataFrame, key: str, text: str = "text"
     return truth.withColumnRenamed(text, "truth").join(right, key, "left").withColumn("output", F.coalesce("output", F.lit("")))
 
 
+def comparable(c: Column) -> Column:
+    """The text as an error rate sees it: without boilerplate lines, in compatibility form, without white space."""
+    return squash(drop_lines(F.coalesce(c, F.lit(""))))
+
+
 def error_rate(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Sum of edit distances over sum of truth lengths; null without truth."""
     errors = F.sum(F.levenshtein("output", "truth"))

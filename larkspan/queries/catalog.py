@@ -8,7 +8,7 @@ from larkspan.operators import catalog as O
 from larkspan.operators import filters as FI
 from larkspan.plans import ordered
 from larkspan.registry import query
-from larkspan.session import cut_lineage
+from larkspan.session import cut_lineage, work_path
 from larkspan.sources import documents as S
 
 CATS_SQL = "case when p_size % 9 = 0 then [] else string_split(p_name, ' ') end"
@@ -540,6 +540,44 @@ def to_lines(t):
     )
 
 
+@query("S3", "select page_id, url, 3 as schema_version from pages")
+def document_round_trip(t):
+    """Documents replaced with a version stamp, read back from the shared folder."""
+    path = work_path(t.spark, "documents")
+    for version in (2, 3):
+        S.write_docs(t.pages.select("page_id", "url"), path, version)
+    return t.spark.read.parquet(path)
+
+
+TERMS_SQL = """
+  select distinct p_name || ' "' || p_partkey || '", x' as reading, p_brand || chr(10) || p_type as target, p_size % 2 = 0 as is_enabled from part
+"""
+
+
+def part_terms(t):
+    """Terms with quotes, commas and line feeds."""
+    k = F.col("p_partkey").cast("string")
+    return t.part.select(
+        F.concat("p_name", F.lit(' "'), k, F.lit('", x')).alias("reading"),
+        F.concat("p_brand", F.lit("\n"), "p_type").alias("target"),
+        (F.col("p_size") % 2 == 0).alias("is_enabled"),
+    )
+
+
+@query("S6", TERMS_SQL)
+def terms_csv_round_trip(t):
+    path = work_path(t.spark, "terms")
+    S.write_terms_csv(part_terms(t), path)
+    return S.read_terms_csv(t.spark, path)
+
+
+@query("S6b", TERMS_SQL)
+def terms_json_round_trip(t):
+    path = work_path(t.spark, "terms")
+    S.write_terms_json(part_terms(t), path)
+    return S.read_terms_json(t.spark, path)
+
+
 @query(
     "S8 A7",
     """

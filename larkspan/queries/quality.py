@@ -32,14 +32,42 @@ def pair_texts(t):
     """,
 )
 def cer(t):
-    squash = lambda c: F.regexp_replace(one_byte(c), r"\s+", "")
+    # the output has boilerplate lines and full-width digits, which the truth has not
+    raw = F.concat(F.lit("Kindle\n"), F.translate("text", "0123456789", "０１２３４５６７８９"), F.lit("\n 42% "))
     turns = t.conversations.select("conv_id", "turn", "role", "text")
-    truth = turns.select(F.col("conv_id").alias("item_id"), "role", squash(F.col("text")).alias("text"))
-    output = t.benchmark.select("item_id", squash(F.col("text")).alias("text"))
+    truth = turns.select(F.col("conv_id").alias("item_id"), "role", one_byte(Q.comparable(F.col("text"))).alias("text"))
+    output = t.benchmark.select("item_id", one_byte(Q.comparable(raw)).alias("text"))
     pairs = Q.pair_texts(truth, output, "item_id")
     return Q.error_rate(pairs, ["role"]).withColumn("cer", F.round("cer", 6))
 
 
+@query(
+    "A6 A7 A8 A9",
+    f"""
+    with p as (
+      select c.role, c.turn, c.text, regexp_replace({ONE_BYTE_SQL.format('c.text')}, '\\s+', '', 'g') truth,
+        regexp_replace({ONE_BYTE_SQL.format("coalesce(b.text, '')")}, '\\s+', '', 'g') outp, b.text is not null found
+      from conversations c left join benchmark b on b.item_id = c.conv_id)
+    select role as engine, count(*) pages, round(sum(levenshtein(outp, truth)) / sum(length(truth)), 6) cer,
+      sum(len(regexp_extract_all(text, '[ \\t]+')))::bigint blanks, count(*) filter (found) hits, round(avg(turn + 0.5), 6) mean_s
+    from p group by 1
+    """,
+)
+def engine_comparison(t):
+    """Error rate, blanks, pages with an output and mean time of every engine, from one join and one aggregate."""
+    turns = t.conversations.select(F.col("conv_id").alias("item_id"), "turn", F.col("role").alias("engine"), "text")
+    output = t.benchmark.select("item_id", F.col("text").alias("output"))
+    rows = turns.join(output, "item_id", "left")
+    truth, out = one_byte(Q.comparable(F.col("text"))), one_byte(Q.comparable(F.col("output")))
+    return rows.groupBy("engine").agg(
+        F.count("*").alias("pages"),
+        F.round(F.sum(F.levenshtein(out, truth)) / F.sum(F.length(truth)), 6).alias("cer"),
+        F.sum(F.regexp_count("text", F.lit("[ \\t]+"))).cast("long").alias("blanks"),
+        F.count("output").alias("hits"),
+        F.round(F.avg(F.col("turn") + 0.5), 6).alias("mean_s"),
+    )
+
+
 @query(
     "A8",
     """

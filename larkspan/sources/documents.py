@@ -141,8 +141,9 @@ def write_terms_csv(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
-def read_terms_json(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.json(path, multiLine=True, schema="reading string, target string, isEnabled boolean")
+def read_terms_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Terms as one object a line, as they are written; without `lines` a file is one array of objects."""
+    raw = spark.read.json(path, multiLine=not lines, schema="reading string, target string, isEnabled boolean")
     return raw.select("reading", "target", F.coalesce("isEnabled", F.lit(True)).alias("is_enabled"))
 
 

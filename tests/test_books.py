@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.functions import headings as H
 from larkspan.operators import books as B
 from larkspan.plans import chapters as C
 
@@ -170,3 +171,15 @@ def test_both_methods_choose_the_contents_tier(spark):
     parts = C.split_books(books(spark), 400.0).collect()
     for r in parts:
         assert [p for x in r.parts for p in range(x.start_page, x.end_page + 1)] == list(range(1, len(r.pages) + 1))
+
+
+def test_pages_keep_private_use_characters(spark):
+    df = spark.createDataFrame([(1, ["one  two", "ＡＢ\u0001", None])], "doc_id int, pages array<string>")
+    r = B.prepare(df).first()
+    assert r.clean == ["one  two", "AB\u0001", None] and r.n_pages == 3
+
+
+def test_mark_in_text_is_no_contents_row(spark):
+    row = H.contents_row(F.col("x"))
+    df = spark.createDataFrame([("Intro\u0001 7",), ("Intro ..... 7",)], "x string").select(row["title"].alias("t"))
+    assert [r.t for r in df.collect()] == [None, "Intro"]

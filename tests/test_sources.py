@@ -23,6 +23,10 @@ def test_terms_json_round_trip(spark, tmp_path):
     terms = spark.createDataFrame([("a", "b", True), ("c", "d", False)], "reading string, target string, is_enabled boolean")
     S.write_terms_json(terms, str(tmp_path / "t"))
     assert {tuple(r) for r in S.read_terms_json(spark, str(tmp_path / "t")).collect()} == {("a", "b", True), ("c", "d", False)}
+    S.write_terms_json(terms.coalesce(1), str(tmp_path / "one"))
+    assert S.read_terms_json(spark, str(tmp_path / "one")).count() == 2
+    (tmp_path / "array.json").write_text('[{"reading":"a","target":"b"},\n{"reading":"c","target":"d","isEnabled":false}]')
+    assert {tuple(r) for r in S.read_terms_json(spark, str(tmp_path / "array.json"), lines=False).collect()} == {("a", "b", True), ("c", "d", False)}
 
 
 def test_write_docs_replaces_all(spark, tmp_path):
@@ -44,6 +48,10 @@ def test_ttl_documents(spark):
     got = S.parse_ttl_docs(df, "doc", F.lit(120), 60, 1, T.LongType()).collect()
     assert {r.name for r in got if r.hit} == {"fresh", "whole", "empty"}
     assert {(r.name, r["item"]) for r in S.read_ttl_docs(df, "doc", F.lit(120), 60, 1, T.LongType()).collect()} == {("fresh", 1), ("fresh", 2), ("whole", 3)}
+    row = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
+    mixed = spark.createDataFrame([('{"schema_version":1,"fetched_at":100,"items":[{"id":"a","n":"x"},3,null,{"id":7}]}',)], "doc string")
+    rows = S.read_ttl_docs(mixed, "doc", F.lit(120), 60, 1, row).collect()
+    assert [(r.pos, r["item"].id, r["item"].n) for r in rows] == [(0, "a", None), (3, "7", None)]
 
 
 def test_feed_and_manifest(spark, tmp_path):

@@ -17,9 +17,8 @@ from larkspan.registry import load_all  # noqa: E402
 
 # Ids that are writers or conventions, and have no query of their own.
 OTHERS = {
-    "S3": "`sources.documents.write_docs` (tests/test_sources.py)",
-    "S6": "`sources.documents.read_terms_csv`, `write_terms_csv` (tests/test_sources.py)",
-    "S6b": "`sources.documents.read_terms_json`, `write_terms_json` (tests/test_sources.py)",
+    "S4": "`sources.documents.list_files`; it reads no table, so it is no query",
+    "X2": "`functions.similarity.similarity(method='blocks')` (tests/test_scalars.py); a wrapper of a local library, so it is no query",
     "X4": "convention: predicates are boolean `Column` parameters (`event_sort_keys(saved=)`, `overview`, `failure_gate`)",
     "X5": "convention: `DataFrame.transform` chains; failures stay as columns (`failed`, `hit`, `error`)",
     "X6": "convention: engines are user-supplied `pandas_udf` columns, as for `similarity(method=)`",
