@@ -135,7 +135,7 @@ def unexpired(t):
     f"""
     with {CHANGE_SQL}
     select el.id, case when hid then 0.0 when sho is not null then sho else opacity end opacity, lnk as link,
-      case when mdx is not null then x + mdx when mx is not null then mx else x end x, case when touched then 2 else 1 end as version
+      case when mv.op = 'move_by' then x + coalesce(mv.a, 0) else coalesce(mv.a, x) end x, case when touched then 2 else 1 end as version
     from el left join cm using (id) where not coalesce(del, false)
     """,
 )
