@@ -35,27 +35,37 @@ def drop_repeats(t):
     return O.drop_repeats(events, ["user_id"], ORDER, hours(), "event_type").select("user_id", "event_id", "event_type")
 
 
-@query(
-    "W3",
-    """
-    with recursive a as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) r from events),
+def _recent_sql(value: str, history: int) -> str:
+    return f"""
+    with recursive a as (select user_id, event_id, {value} as v, row_number() over (partition by user_id order by ts, event_id) r from events),
     f as (
-      select user_id, event_id, r, event_type as v, [event_type] recent, 0 same, true taken, 1 n from a where r = 1
+      select user_id, event_id, r, v, [v] recent, 0 same, true taken, 1 n from a where r = 1
       union all
-      select a.user_id, a.event_id, a.r, a.event_type, case when list_contains(recent, a.event_type) then recent
-          else list_append(recent, a.event_type)[greatest(len(recent), 1):] end,
-        case when list_contains(recent, a.event_type) then same + 1 else 0 end, not list_contains(recent, a.event_type),
-        n + case when list_contains(recent, a.event_type) then 0 else 1 end
+      select a.user_id, a.event_id, a.r, a.v, case when list_contains(recent, a.v) then recent
+          else list_append(recent, a.v)[greatest(len(recent) + 2 - {history}, 1):] end,
+        case when list_contains(recent, a.v) then same + 1 else 0 end, not list_contains(recent, a.v),
+        n + case when list_contains(recent, a.v) then 0 else 1 end
       from f join a on a.user_id = f.user_id and a.r = f.r + 1 where same < 3 and n < 200)
     select user_id, event_id, v as event_type from f where taken
-    """,
-)
+    """
+
+
+@query("W3", _recent_sql("event_type", 2))
 def drop_recent_repeats(t):
     events = t.events.select("user_id", "ts", "event_id", "event_type")
     kept = O.drop_recent_repeats(events, "user_id", ORDER, hours(), "event_type", max_pages=200, history=2)
     return kept.select("user_id", "event_id", "event_type")
 
 
+@query("W3", _recent_sql("event_type || event_id % 4", 5))
+def drop_recent_repeats_default(t):
+    """The default history, over values of which more than five are met."""
+    value = F.concat("event_type", (F.col("event_id") % 4).cast("string"))
+    events = t.events.select("user_id", "ts", "event_id", value.alias("event_type"))
+    kept = O.drop_recent_repeats(events, "user_id", ORDER, hours(), "event_type", max_pages=200)
+    return kept.select("user_id", "event_id", "event_type")
+
+
 @query(
     "W4",
     f"with {RUNS_SQL} select user_id, arg_min(event_id, r) event_id, arg_min(event_type, r) event_type from b where since >= 2 group by 1",

@@ -164,8 +164,10 @@ def fan_out_publish(t):
         F.when(F.col("event_type") == "error", F.lit("failed")), F.col("p.percent"), F.col("p.eta"),
     )
     R.drain_batches(messages, "publish", J.publish({a: "parquet", b: "json"}))
-    rows = t.spark.read.option("basePath", a).parquet(f"{a}/batch_id=*")
-    return rows.select("job_id", "status", "title", "error", "progress.percent", "progress.eta")
+    rows = t.spark.read.option("basePath", a).parquet(f"{a}/batch_id=*").drop("batch_id")
+    texts = t.spark.read.schema(rows.schema).option("basePath", b).json(f"{b}/batch_id=*")
+    flat = ["job_id", "status", "title", "error", "progress.percent", "progress.eta"]
+    return rows.select(*flat).intersectAll(texts.select(*flat))  # what both sinks have
 
 
 @query(
