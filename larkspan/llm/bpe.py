@@ -181,10 +181,16 @@ def word_numbers(texts: DataFrame, special: list[str]) -> DataFrame:
     return texts.mapInArrow(work, "batch binary, n_words long, doc_ids array<bigint>, lengths binary, codes binary")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, then from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
 def piece_table(tokenizer) -> list[bytes]:
     """Bytes of each id: the id-to-piece table of a byte-level vocabulary."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in printable)}
+    letters = {letter: b for b, letter in enumerate(byte_letters())}
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
     pieces = [b""] * (max(tokenizer.get_vocab(True).values()) + 1)
     for piece, i in tokenizer.get_vocab(True).items():
