@@ -109,12 +109,13 @@ def pack_units(sizes: list[int], bins: int) -> list[int]:
     """Best-fit-decreasing into `bins` bins of the smallest capacity that serves (to a 10,000th)."""
     low = max([-(-sum(sizes) // bins), *sizes[:1], 1])
     least, step = low, max(1, low // 10_000)
-    while not (placed := best_fit(sizes, low + step, bins)):
+    while (placed := best_fit(sizes, low + step, bins)) is None:
         low, step = low + step, 2 * step
     high, fine = low + step, max(1, least // 10_000)
     while high - low > fine:
         middle = (low + high) // 2
-        if found := best_fit(sizes, middle, bins):
+        found = best_fit(sizes, middle, bins)
+        if found is not None:
             placed, high = found, middle
         else:
             low = middle
