@@ -31,13 +31,20 @@ def build_session(name: str = "larkspan", cpus: str = "*", partitions: int = 8)
     )
 
 
+def _configured(spark: SparkSession) -> str | None:
+    name = "spark.checkpoint.dir"
+    return spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
+
+
+def _one_machine(spark: SparkSession) -> bool:
+    return bool(re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir`, or one of this machine for a local session without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    folder = _configured(spark)
     if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not _one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = f"file://{LOCAL_STEPS}/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -50,9 +57,12 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session, so that they need no copy of their own."""
+    """Send this package to the Python workers, once a session, so that they need no copy of their own.
+
+    Without a shared folder on a cluster nothing is sent; the workers then need the package installed.
+    """
     context = spark.sparkContext
-    if getattr(context, "_larkspan_shipped", False):
+    if getattr(context, "_larkspan_shipped", False) or not (_configured(spark) or _one_machine(spark)):
         return
     top = os.path.dirname(os.path.abspath(__file__))
     packed = io.BytesIO()
