@@ -7,7 +7,8 @@
 3. Extreme-value statistics (Karlin and Altschul) turn a segment's score into the number of segments as good that
    chance would give in a text of that length: `lambda` solves the moment equation of the scores in other documents,
    `K` follows from their best segments. Segments expected less than `E_VALUE` times are significant passages.
-4. A logistic function of the normalised scores, fitted on the training rows, gives the score of the document.
+4. A logistic function of the normalised scores, fitted on the training rows, gives the score of the document. Each
+   row weighs as many labels as it stands for, so a score is the chance at the true share of toxic labels.
 
 Texts are read twice (words of the training rows, scan of all rows) and never shuffled. The training rows are at most
 `TRAIN_ROWS` of each label, taken in the order of a hash of the id; with that bound they are small enough to be sent to
@@ -47,11 +48,16 @@ def words_of(text: Column) -> Column:
 
 
 def training_rows(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most `rows` ids of each label, without the held-out ones. An id with several labels counts as toxic."""
+    """At most `rows` ids of each label, without the held-out ones. An id with several labels counts as toxic.
+
+    `weight` is the number of ids of that label for which a row stands, so that the labels keep their true shares.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     one = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [one.filter(F.col("toxic") == k).orderBy(*order).limit(rows) for k in (0, 1)]
+    counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
+    weights = [F.lit(max(1.0, counts.get(k, 0) / rows)).alias("weight") for k in (0, 1)]
+    parts = [one.filter(F.col("toxic") == k).orderBy(*order).limit(rows).select("*", weights[k]) for k in (0, 1)]
     return cut_lineage(parts[0].unionByName(parts[1]))
 
 
@@ -132,26 +138,27 @@ def scan(docs: DataFrame, scored: pd.DataFrame, lam: float) -> DataFrame:
     return cut_lineage(found.withColumn("scores", F.transform("scores", lambda s: s * lam)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights (the constant last) by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the constant last) by Newton steps. A row counts `counts` times, or once."""
+    n = np.ones(len(x)) if counts is None else counts
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages, passages (first and last word of each, and its E-value).
 
     Null and empty texts have no words and get the score of a text without hits. Without training rows of both labels
     every document scores 0. An empty table gives no rows.
     """
-    train = training_rows(labels)
+    train = training_rows(labels, train_rows)
     scored = word_scores(docs, train)
     lam = solve_lambda(scored["score"].to_numpy(float), scored["rate"].to_numpy(float)) if len(scored) else 1.0
     found = scan(docs, scored, lam)
@@ -169,9 +176,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "density": F.aggregate("scores", F.lit(0.0), lambda a, s: a + s) / n,
     }
     rows = rows.withColumns(features)
-    sample = rows.join(F.broadcast(train), "doc_id").select(*FEATURES, "toxic").limit(4 * TRAIN_ROWS).toPandas()
+    sample = rows.join(F.broadcast(train), "doc_id").select(*FEATURES, "toxic", "weight").limit(4 * TRAIN_ROWS).toPandas()
     if sample["toxic"].nunique() == 2:
-        w = fit_logistic(sample[FEATURES].to_numpy(float), sample["toxic"].to_numpy(float))
+        w = fit_logistic(sample[FEATURES].to_numpy(float), sample["toxic"].to_numpy(float), counts=sample["weight"].to_numpy(float))
         linear = F.lit(float(w[-1]))
         for k, f in enumerate(FEATURES):
             linear = linear + F.col(f) * float(w[k])

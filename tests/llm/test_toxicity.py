@@ -80,3 +80,21 @@ def test_no_labels_and_no_rows(spark, documents):
     docs, labels, _ = make(spark, documents)
     assert {r.score for r in t.score_toxicity(docs.limit(5), labels.limit(0)).collect()} == {0.0}
     assert t.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_capped_labels_keep_their_share(spark, documents):
+    rng = random.Random(19)
+    words = [f"w{k}" for k in range(200)]
+    data, labels = [], []
+    for k in range(3000):
+        text, toxic = [rng.choice(words) for _ in range(30)], int(rng.random() < 0.1)
+        if rng.random() < (0.6 if toxic else 0.05):
+            text[5:5] = ["nasty", "vile"]
+        data.append((k, " ".join(text)))
+        labels.append((k, toxic))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    weights = {r.toxic: r.w for r in t.training_rows(table, 150).groupBy("toxic").agg({"weight": "sum"}).toDF("toxic", "w").collect()}
+    known = table.filter(~t.held_out())
+    assert all(abs(weights[k] - known.filter(f"toxic = {k}").count()) < 1e-6 for k in (0, 1))
+    scores = [r.score for r in t.score_toxicity(documents(data), table, 150).collect()]
+    assert abs(np.mean(scores) - np.mean([y for _, y in labels])) < 0.03
