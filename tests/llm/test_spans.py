@@ -106,6 +106,24 @@ def test_personal_data_beside_the_formats(documents):
     assert rows[5000].n_private == 1 and sum(r.n_private for i, r in rows.items() if i != 5000) == 0
 
 
+def test_formats_that_base_rules_cannot_cover(documents):
+    planted = [
+        "jane.doe [at] example (dot) org", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "536-22-1897",
+        "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "0a:1b:2c:3d:4e:5f", "aa:bb:cc:dd:ee:ff", "JANE(AT)EXAMPLE(DOT)ORG",
+    ]
+    bad = ["DE88 3704 0044 0532 0130 00", "666-22-1897", "536-00-1897", "12:34:56:78:90", "see (at) noon (dot) 5"]
+    data = [(k, f"call +1 (555) 555-{1000 + k} or more words") for k in range(40)] + [(100 + k, f"in the year 1234567 {k}") for k in range(40)]
+    for k in range(400):  # the more there is of a format, the surer it was rejected
+        data.append((1000 + k, f"some words {planted[k % len(planted)]} IN more words"))
+    data += [(5000 + k, f"some words {text} and more words") for k, text in enumerate(bad)]
+    rows = {r.doc_id: r for r in pii.find_pii(documents(data)).collect()}
+    for k in range(400):
+        assert rows[1000 + k].spans == f"private:11:{11 + len(planted[k % len(planted)])}"
+    assert all(rows[5000 + k].n_private == 0 for k in range(len(bad)))
+    few = pii.find_pii(documents([(1, planted[1])])).collect()
+    assert few[0].n_private == 1
+
+
 def test_intervals():
     rng = random.Random(16)
     for _ in range(300):
