@@ -147,24 +147,34 @@ def crossing_edges(edges: DataFrame, members: DataFrame, wanted: Column) -> Data
 def bridge_scores(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, score): betweenness of the nodes, from shortest paths that start at the given sources.
 
+    With all nodes as sources the score is exact for ordered pairs; a sample of sources gives the sampled score.
+    """
+    near = cut_lineage(both_ways(edges).withColumn("size", F.lit(1.0)))
+    starts = sources.select(F.col("id").alias("start"), "id", F.lit(1.0).alias("paths"), F.lit(1.0).alias("size"), F.lit(True).alias("alone"))
+    return _dependencies(near, starts).groupBy("id").agg(F.sum("delta").alias("score"))
+
+
+def _dependencies(near: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id, delta): how much a node depends on others on the shortest paths from each start.
+
     Breadth-first frames count shortest paths level by level; dependencies then flow back along the levels.
-    Each frame has at most one row per (start, node). With all nodes as sources the score is exact for
-    ordered pairs; a sample of sources gives the sampled score.
+    Each frame has at most one row per (start, node). A row of `near` stands for `size` targets with equal neighbours; a
+    start that is not `alone` has such nodes beside itself, which are met two levels on.
     """
-    near = cut_lineage(both_ways(edges))
-    level = sources.select(F.col("id").alias("start"), "id", F.lit(1.0).alias("paths"))
-    level = cut_lineage(level)
-    seen = level.select("start", "id")
+    level = cut_lineage(starts)
+    seen = level.filter("alone").select("start", "id")
+    level = level.drop("alone")
     levels = [level]
     while True:
-        step = level.join(near, level["id"] == near["source"]).select("start", F.col("target").alias("id"), "paths")
-        summed = step.groupBy("start", "id").agg(F.sum("paths").alias("paths"))
+        step = level.select("start", "id", (F.col("paths") * F.col("size")).alias("paths")).join(near, level["id"] == near["source"])
+        step = step.select("start", F.col("target").alias("id"), "paths", F.when(F.col("start") == F.col("target"), F.col("size") - 1).otherwise(F.col("size")).alias("size"))
+        summed = step.groupBy("start", "id").agg(F.sum("paths").alias("paths"), F.first("size").alias("size"))
         level = cut_lineage(summed.join(seen, ["start", "id"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
         seen = cut_lineage(seen.unionByName(level.select("start", "id")))
-    total = None
+    total = starts.select("start", "id", F.lit(0.0).alias("delta")).limit(0)
     below = None
     for i in range(len(levels) - 1, 0, -1):
         here = levels[i]
@@ -173,20 +183,48 @@ def bridge_scores(edges: DataFrame, sources: DataFrame) -> DataFrame:
         else:
             here = here.join(below, ["start", "id"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
         here = cut_lineage(here)
-        part = here.select("id", "delta")
-        total = part if total is None else total.unionByName(part)
+        total = total.unionByName(here.select("start", "id", "delta"))
         above = levels[i - 1].select("start", F.col("id").alias("up"), F.col("paths").alias("up_paths"))
         flow = (
-            here.join(near, here["id"] == near["source"])
-            .select("start", "paths", "delta", F.col("target").alias("up"))
+            here.join(near.select("source", F.col("target").alias("up")), here["id"] == F.col("source"))
+            .select("start", "paths", "delta", "size", "up")
             .join(above, ["start", "up"])
         )
         below = flow.groupBy("start", F.col("up").alias("id")).agg(
-            F.sum(F.col("up_paths") / F.col("paths") * (1 + F.col("delta"))).alias("delta")
+            F.sum(F.col("size") * F.col("up_paths") / F.col("paths") * (1 + F.col("delta"))).alias("delta")
         )
-    if total is None:
-        return sources.select("id", F.lit(0.0).alias("score")).limit(0)
-    return total.groupBy("id").agg(F.sum("delta").alias("score"))
+    return total
+
+
+def bridge_scores_of_all(edges: DataFrame, nodes: DataFrame, most: int = 20_000_000) -> DataFrame:
+    """(id, score) of every node: exact betweenness over ordered pairs, with all nodes as starts.
+
+    Nodes with the same neighbours have the same score, so they are walked once, with their number (a class; two sums of
+    hashes tell the sets of neighbours). Classes start in blocks with about `most` rows (start, class) each; a block's
+    scores are written, then all summed.
+    """
+    all_near = cut_lineage(both_ways(edges))
+    marks = [F.sum(F.xxhash64(F.lit(k), "target").cast("decimal(38,0)")).alias(f"m{k}") for k in (0, 1)]
+    marked = cut_lineage(all_near.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), *marks))
+    keys = ["n", "m0", "m1"]
+    found = marked.groupBy(*keys).agg(F.min("id").alias("class"), F.count("*").cast("double").alias("size"))
+    members = cut_lineage(marked.join(found, keys).select("id", "class", "size"))
+    classes = cut_lineage(members.filter("id = class").select("class", "size"))
+    target = members.select(F.col("id").alias("target"), F.col("class").alias("to"), "size")
+    near = all_near.join(classes.select(F.col("class").alias("source")), "source", "left_semi").join(target, "target")
+    near = cut_lineage(near.select("source", F.col("to").alias("target"), "size").distinct())
+    count = classes.count()
+    blocks = max(1, -(-count * count // most))
+    total = classes.select("class", F.lit(0.0).alias("score"))
+    many = classes.select(F.col("class").alias("start"), F.col("size").alias("starts"))
+    for k in range(blocks):
+        block = classes.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == k)
+        starts = block.select(F.col("class").alias("start"), F.col("class").alias("id"), F.lit(1.0).alias("paths"), F.lit(1.0).alias("size"), (F.col("size") == 1).alias("alone"))
+        times = F.when(F.col("start") == F.col("id"), F.col("starts") - 1).otherwise(F.col("starts"))
+        part = _dependencies(near, starts).join(many, "start").groupBy(F.col("id").alias("class")).agg(F.sum(F.col("delta") * times).alias("score"))
+        total = total.unionByName(cut_lineage(part))
+    scores = members.join(total.groupBy("class").agg(F.sum("score").alias("score")), "class").select("id", "score")
+    return nodes.select("id").distinct().join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:

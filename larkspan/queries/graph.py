@@ -118,10 +118,9 @@ def crossing_edges(t):
 
 @query("G6")
 def bridge_scores(t):
-    """Sampled betweenness: the ten most connected nodes are the sources."""
-    e = links(t)
-    sources = G.degree(e).orderBy(F.col("degree").desc(), "id").limit(10)
-    return G.bridge_scores(e, sources).withColumn("score", F.round("score", 6))
+    """Betweenness with all nodes as sources."""
+    nodes, edges = written(t)
+    return G.bridge_scores_of_all(edges, nodes).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -70,6 +70,29 @@ def test_bridge_scores(spark):
         assert got.get(i, 0.0) == pytest.approx(want[i])
 
 
+def test_bridge_query_takes_every_source(spark, tmp_path):
+    """A chain of 16 pages, each linked to its own and the next place: no choice of ten sources gives these scores."""
+    from larkspan.queries.graph import bridge_scores
+    from larkspan.registry import Tables
+
+    html = "".join
+    rows = [(k, html(f'<a href="{h}">x</a>' for h in (f"u{k}", f"u{k + 1}"))) for k in range(16)]
+    spark.createDataFrame([*rows, (99, "no link")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.id: r.score for r in bridge_scores(Tables(spark, str(tmp_path))).collect()}
+    chain = [f"hu{k // 2}" if k % 2 == 0 else f"p{k // 2}" for k in range(33)]
+    want = {node: 2.0 * k * (32 - k) for k, node in enumerate(chain)}
+    assert got == {**want, "p99": 0.0}
+
+
+def test_bridge_classes_and_blocks_change_nothing(spark):
+    ids, edges = random_graph(3, 16, 22)
+    twins = [(f"t{k}", e[1]) for k in (1, 2) for e in edges if e[0] == edges[0][0]]
+    nodes, e = tables(spark, [*ids, "t1", "t2", "alone"], [*edges, *twins])
+    want = {r.id: r.score for r in G.bridge_scores(e, nodes).collect()}
+    got = {r.id: r.score for r in G.bridge_scores_of_all(e, nodes, most=100).collect()}
+    assert got == pytest.approx({i: want.get(i, 0.0) for i in [*ids, "t1", "t2", "alone"]})
+
+
 def test_cycles(spark):
     ids, edges = random_graph(1, 7, 16)
     _, e = tables(spark, ids, edges)
