@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, exact_dedup, ngram_join, packing, pii, rule_ledger, secrets, sharding, toxicity, warc
+from larkspan.llm import bpe, exact_dedup, ngram_join, packing, pii, repeats, rule_ledger, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
+    "op13_suffix_array_dedup": repeats.op13_suffix_array_dedup,
 }
 
 SQL = {
