@@ -36,7 +36,7 @@ REACH = LENGTH - GRAM  # bytes before an anchor that its windows can reach
 WINDOW = REACH + 1
 MOST = 20_000
 PLACES = np.uint64((1 << 24) - 1)
-SLICE = 1_500_000
+SLICE = 400_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(29)
 
@@ -57,42 +57,47 @@ def _digest(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text the places of its anchors, the hashes of the grams there, and the hashes of their surroundings."""
-    none = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+    """Per text the places of its anchors, the hashes of the grams there and of their surroundings, and how far before the
+    anchor its first and its last window start."""
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
     found = [none] * len(texts)
     long = [k for k, t in enumerate(texts) if len(t) >= LENGTH]
     if not long:
         return found
     data = b"".join(texts[k] for k in long)
-    codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    sizes = np.array([len(texts[k]) for k in long])
+    ends = np.cumsum(sizes)
+    grams = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     size = 1
     while size < GRAM:
-        codes, size = _doubled(codes, size), size * 2
-    grams = codes
-    wide = [codes]  # hashes of 128 and 256 bytes
-    while size < 256 and len(wide[-1]) > size:
-        wide.append(_doubled(wide[-1], size))
-        size *= 2
-    starts = np.cumsum([0, *(len(texts[k]) for k in long)])
-    places = [_places(_settled(grams[a : b - GRAM + 1])) + a for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    for k, at, a, b in zip(long, places, starts[:-1], starts[1:], strict=True):
-        keys = _settled(grams[at]).view(np.int64)
-        inside = (at - a >= REACH) & (b - at >= LENGTH)
-        around = np.zeros(len(at), np.int64)
-        if inside.any():  # 336 bytes: two overlapping strings of 256
-            p = at[inside] - REACH
-            around[inside] = _settled(_settled(wide[2][p]) * PRIME + wide[2][p + (REACH + LENGTH - 256)]).view(np.int64)
-        for n in np.flatnonzero(~inside):
-            p = int(at[n])
-            low, high = max(int(a), p - REACH), min(int(b), p + LENGTH)
-            around[n] = _digest(b"%d:" % (p - low), data[low:high])
-        found[k] = ((at - a).astype(np.int32), keys, around)
+        grams, size = _doubled(grams, size), size * 2
+    grams = _settled(grams)
+    windows = np.repeat(ends - sizes, sizes - LENGTH + 1)  # the start of the text of each window
+    windows += np.arange(len(windows)) - np.repeat(np.cumsum(sizes - LENGTH + 1) - (sizes - LENGTH + 1), sizes - LENGTH + 1)
+    least = _least(grams)[windows]
+    first = np.flatnonzero(np.diff(least, prepend=-1))
+    at, last = least[first], np.append(first[1:], len(least)) - 1
+    own = np.searchsorted(ends, at, "right")
+    low, high = (ends - sizes)[own], ends[own]
+    inside = (at - low >= REACH) & (high - at >= LENGTH)
+    around = np.zeros(len(at), np.uint64)
+    for step in (-REACH, -REACH + GRAM, -REACH + 2 * GRAM, GRAM - 8, 2 * GRAM - 8, LENGTH - GRAM):  # grams that cover the 336 bytes
+        around[inside] = _settled(around[inside] * PRIME + grams[at[inside] + step])
+    around = around.view(np.int64)
+    for n in np.flatnonzero(~inside).tolist():
+        p = int(at[n])
+        left = max(int(low[n]), p - REACH)
+        around[n] = _digest(b"%d:" % (p - left), data[left : min(int(high[n]), p + LENGTH)])
+    columns = ((at - low).astype(np.int32), grams[at].view(np.int64), around, (at - windows[first]).astype(np.int32), (at - windows[last]).astype(np.int32))
+    cuts = np.searchsorted(own, np.arange(len(long) + 1))
+    for n, k in enumerate(long):
+        found[k] = tuple(c[cuts[n] : cuts[n + 1]] for c in columns)
     return found
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    """The anchors of all windows of one text, in order, from its hashes of grams."""
+def _least(keys: np.ndarray) -> np.ndarray:
+    """For every window of keys the place of its least one, the leftmost of equal ones."""
     chosen = []
     step = int(PLACES) - WINDOW
     for low in range(0, len(keys) - WINDOW + 1, step):
@@ -104,10 +109,8 @@ def _places(keys: np.ndarray) -> np.ndarray:
             size *= 2
         if WINDOW > size:
             least = np.minimum(least[: len(least) - (WINDOW - size)], least[WINDOW - size :])
-        at = (least & PLACES).astype(np.int64) + low
-        chosen.append(at[np.flatnonzero(np.diff(at, prepend=-1))])
-    out = np.concatenate(chosen)
-    return out[np.flatnonzero(np.diff(out, prepend=-1))] if len(chosen) > 1 else out
+        chosen.append((least & PLACES).astype(np.int64) + low)
+    return np.concatenate(chosen)
 
 
 def intervals(prefixes: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -130,6 +133,11 @@ def repeat_groups(lefts: list[bytes], rights: list[bytes]) -> Iterator[tuple[int
 
     `lefts` are the preceding bytes from the anchor outwards, `rights` the following ones; all differ in one of them.
     """
+    if len(rights) == 2:
+        left, right = shared_prefix(*lefts), shared_prefix(*rights)
+        if left + right >= LENGTH:
+            yield left, right, [0, 1]
+        return
     order = sorted(range(len(rights)), key=rights.__getitem__)
     follow = [rights[k] for k in order]
     before = [lefts[k] for k in order]
@@ -174,24 +182,24 @@ def shared_prefix(a: bytes, b: bytes) -> int:
 
 
 def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: _id, _row, _check, _bytes and the lists of its anchors (at, gram, around)."""
+    """One row per document: _id, _row, _check, _bytes and the lists of its anchors (at, gram, around, far, near)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode() for t in batch["_text"]]
-            for start, end in slices([*map(len, texts)], SLICE):
-                found = anchors(texts[start:end])
+            for start, end in slices([*map(len, batch["_text"])], SLICE):
+                texts = [t.encode() for t in batch["_text"].iloc[start:end]]
+                found = anchors(texts)
                 part = batch.iloc[start:end]
                 yield pd.DataFrame(
-                    {"_id": part["_id"].astype("Int64"), "_row": part["_row"], "_check": part["_check"], "_bytes": [len(t) for t in texts[start:end]],
-                     "at": [x[0] for x in found], "gram": [x[1] for x in found], "around": [x[2] for x in found]}
+                    {"_id": part["_id"].astype("Int64"), "_row": part["_row"], "_check": part["_check"], "_bytes": [len(t) for t in texts],
+                     "at": [x[0] for x in found], "gram": [x[1] for x in found], "around": [x[2] for x in found], "far": [x[3] for x in found], "near": [x[4] for x in found]}
                 )
 
     text = whole(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.xxhash64(text).alias("_check"), text.alias("_text")
     )
-    return cut_lineage(rows.mapInPandas(work, "_id long, _row long, _check long, _bytes long, at array<int>, gram array<long>, around array<long>"))
+    return cut_lineage(rows.mapInPandas(work, "_id long, _row long, _check long, _bytes long, at array<int>, gram array<long>, around array<long>, far array<int>, near array<int>"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame, how: str = "inner") -> DataFrame:
@@ -203,26 +211,31 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame, how: s
     return texts.join(asked, (texts["_check"] == asked["a_check"]) & texts["_id"].eqNullSafe(asked["a_id"]), how).drop("a_id", "a_check")
 
 
+ENTRY = ["gram", "around", "n", "far", "near", "crowded"]
+
+
 def _surroundings(docs: DataFrame, facts: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """gram, around, n, crowded and the bytes before (outwards) and from the anchor on, one row per entry of `wanted`."""
+    """gram, around, n, far, near, crowded and the bytes before (outwards) and from the anchor on, one row per entry of `wanted`."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()  # repeated rows of a document are asked together; one answer of a task is enough
         for batch in batches:
-            for name, text, asked in zip(batch["name"], batch["_text"], batch["asked"], strict=True):
-                if name in seen:
-                    continue
-                seen.add(name)
-                data = text.encode()
-                out = [
-                    (x["gram"], x["around"], x["n"], x["crowded"], data[max(0, x["at"] - REACH) : x["at"]][::-1], data[x["at"] : x["at"] + LENGTH]) for x in asked
-                ]
-                yield pd.DataFrame(out, columns=["gram", "around", "n", "crowded", "before", "follow"])
-
-    lists = wanted.groupBy("_row").agg(F.collect_list(F.struct("at", "gram", "around", "n", "crowded")).alias("asked"))
-    asked = facts.select("_row", "_id", "_check").join(lists, "_row").select("_id", "_check", "asked")
-    found = _texts(docs, id_col, text_col, asked).select(F.xxhash64("_id", "_check", F.size("asked"), F.col("asked")[0]).alias("name"), "_text", "asked")
-    rows = found.mapInPandas(work, "gram long, around long, n long, crowded boolean, before binary, follow binary")
+            keep = [not (x in seen or seen.add(x)) for x in batch["name"]]
+            batch = batch[keep]
+            for start, end in slices([*map(len, batch["_text"])], SLICE):
+                part = batch.iloc[start:end]
+                before, follow = [], []
+                for text, places in zip(part["_text"], part["at"], strict=True):
+                    data = text.encode()
+                    before += [data[max(0, p - REACH) : p][::-1] for p in places.tolist()]
+                    follow += [data[p : p + LENGTH] for p in places.tolist()]
+                yield pd.DataFrame({c: np.concatenate(part[c].tolist()) for c in ENTRY} | {"before": before, "follow": follow})
+
+    listed = F.collect_list(F.struct("at", *ENTRY)).alias("asked")
+    lists = wanted.groupBy("_row").agg(listed).select("_row", *[F.col(f"asked.{c}").alias(c) for c in ("at", *ENTRY)])
+    asked = facts.select("_row", "_id", "_check").join(lists, "_row").withColumn("name", F.col("_row")).drop("_row")
+    found = _texts(docs, id_col, text_col, asked).drop("_id", "_check")
+    rows = found.mapInPandas(work, "gram long, around long, n long, far int, near int, crowded boolean, before binary, follow binary")
     return cut_lineage(rows)
 
 
@@ -240,56 +253,82 @@ def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(rest, ignore_index=True)
 
 
-def _groups(surroundings: DataFrame) -> DataFrame:
-    """gram, around, left, right and number of all maximal repeats of the buckets that are not crowded, a row per member."""
+def _groups(surroundings: DataFrame, folded: bool) -> DataFrame:
+    """gram, around, left, right and number of all maximal repeats of the buckets that are not crowded, a row per member.
+
+    With `folded` one row per entry: repeats of an anchor all contain it, so together they cover one span around it.
+    """
+    names = ["gram", "around", "left", "right", "number"]
+
+    def of_bucket(before: list, follow: list, copied: list, far: list, near: list) -> Iterator[tuple[int, int, list[int]]]:
+        alone = {k for k, c in enumerate(copied) if c}  # copies whose surroundings are no part of another entry's
+        for left, right, members in repeat_groups(before, follow):
+            one = members[0]
+            if max(near[one], LENGTH - right) > min(far[one], left):
+                continue  # no window of the group has this anchor: the group is found at another one
+            yield left, right, members
+            if alone:
+                alone.difference_update([m for m in members if (len(before[m]), len(follow[m])) == (left, right)])
+        for k in alone:
+            yield len(before[k]), len(follow[k]), [k]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _by_bucket(b for b in batches if len(b)):
             frame = frame.drop_duplicates(["gram", "around"])
-            grams = frame["gram"].to_numpy()
-            around, before, follow, copied = frame["around"].to_numpy(), frame["before"].tolist(), frame["follow"].tolist(), (frame["n"] > 1).to_numpy()
+            grams, around = frame["gram"].to_numpy(), frame["around"].to_numpy()
+            columns = [frame[c].tolist() for c in ("before", "follow")] + [(frame["n"] > 1).tolist(), frame["far"].tolist(), frame["near"].tolist()]
             cuts = [0, *(np.flatnonzero(np.diff(grams)) + 1).tolist(), len(grams)]
-            out = []
+            lefts, rights = np.full(len(grams), -1, np.int32), np.full(len(grams), -1, np.int32)
             for a, b in zip(cuts, cuts[1:], strict=False):
-                alone = {a + m for m in np.flatnonzero(copied[a:b])}  # copies whose surroundings are no part of another entry's
-                number = 0
-                for left, right, members in repeat_groups(before[a:b], follow[a:b]):
-                    out += [(grams[a], around[a + m], left, right, number) for m in members]
-                    alone.difference_update([a + m for m in members if (len(before[a + m]), len(follow[a + m])) == (left, right)])
-                    number += 1
-                out += [(grams[k], around[k], len(before[k]), len(follow[k]), number + i) for i, k in enumerate(sorted(alone))]
-            yield pd.DataFrame(out, columns=["gram", "around", "left", "right", "number"])
-
-    dealt = surroundings.filter("not crowded").select("gram", "around", "n", "before", "follow").repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInPandas(work, "gram long, around long, left int, right int, number int")
+                rows = []
+                for number, (left, right, members) in enumerate(of_bucket(*[c[a:b] for c in columns])):
+                    at = np.array(members) + a
+                    if folded:
+                        lefts[at], rights[at] = np.maximum(lefts[at], left), np.maximum(rights[at], right)
+                    else:
+                        rows.append(pd.DataFrame({"gram": grams[a], "around": around[at], "left": left, "right": right, "number": number}))
+                    if len(rows) > 1000:
+                        yield pd.concat(rows)
+                        rows = []
+                if rows:
+                    yield pd.concat(rows)
+            if folded:
+                found = lefts >= 0
+                yield pd.DataFrame({"gram": grams, "around": around, "left": lefts, "right": rights, "number": 0})[found]
+
+    dealt = surroundings.filter("not crowded").select("gram", "around", "n", "far", "near", "before", "follow").repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInPandas(work, "gram long, around long, left int, right int, number int").select(names)
 
 
 def _counted(surroundings: DataFrame) -> DataFrame:
     """gram, around, left, right and window of the windows of crowded buckets that occur twice or more."""
 
+    names = ["gram", "around", "n", "far", "near", "before", "follow"]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for gram, around, n, before, follow in zip(*(batch[c] for c in ("gram", "around", "n", "before", "follow")), strict=True):
+            for gram, around, n, far, near, before, follow in zip(*(batch[c] for c in names), strict=True):
                 text, at = before[::-1] + follow, len(before)
-                lefts = range(max(0, LENGTH - len(follow)), at + 1)
+                lefts = range(near, far + 1)
                 yield pd.DataFrame(
                     {"gram": gram, "around": around, "n": n, "left": pd.Series(list(lefts), dtype="int32"),
                      "window": [hashlib.blake2b(text[at - x : at - x + LENGTH], digest_size=16).digest() for x in lefts]}
                 )
 
-    rows = surroundings.filter("crowded").select("gram", "around", "n", "before", "follow")
+    rows = surroundings.filter("crowded").select(*names)
     windows = cut_lineage(rows.mapInPandas(work, "gram long, around long, n long, left int, window binary").dropDuplicates(["gram", "around", "left"]))
     twice = windows.groupBy("gram", "left", "window").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
     return windows.drop("n").join(twice, ["gram", "left", "window"]).withColumn("right", F.lit(LENGTH) - F.col("left"))
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Facts of the documents; the suffixes in buckets (_row, at, gram, around); the entries with counts; their surroundings."""
+    """Facts of the documents; the suffixes in buckets (_row, at, gram, around, far, near); the entries with counts; their surroundings."""
     facts = _facts(docs, id_col, text_col)
     repeated = facts.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    suffixes = facts.select("_row", F.inline(F.arrays_zip("at", "gram", "around"))).join(repeated, "gram")
-    suffixes = cut_lineage(suffixes.select("_row", "at", "gram", "around"))
-    entries = cut_lineage(suffixes.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("_row", "at")).alias("one")))
+    suffixes = facts.select("_row", F.inline(F.arrays_zip("at", "gram", "around", "far", "near"))).join(repeated, "gram")
+    suffixes = cut_lineage(suffixes.select("_row", "at", "gram", "around", "far", "near"))
+    one = F.min(F.struct("_row", "at", "far", "near")).alias("one")
+    entries = cut_lineage(suffixes.groupBy("gram", "around").agg(F.count("*").alias("n"), one))
     several = entries.groupBy("gram").agg(F.count("*").alias("n_entries")).filter("n_entries > 1")
     wanted = entries.join(several, "gram").select("gram", "around", "n", "one.*", (F.col("n_entries") > most).alias("crowded"))
     return facts, suffixes, entries, _surroundings(docs, facts, wanted, id_col, text_col)
@@ -306,7 +345,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     facts, suffixes, entries, near = _repeats(docs, id_col, text_col, most)
     alone = entries.join(near.select("gram").distinct(), "gram", "left_anti")  # buckets of one entry
     copied = alone.select("gram", "around", F.lit(REACH).alias("left"), F.lit(LENGTH).alias("right"), F.xxhash64("gram", "around").alias("repeat"))
-    groups = _groups(near).select("gram", "around", "left", "right", F.xxhash64("gram", "number", F.lit("group")).alias("repeat"))
+    groups = _groups(near, False).select("gram", "around", "left", "right", F.xxhash64("gram", "number", F.lit("group")).alias("repeat"))
     windows = _counted(near).select("gram", "around", "left", "right", F.xxhash64("gram", "left", "window").alias("repeat"))
     found = suffixes.join(copied.unionByName(groups).unionByName(windows), ["gram", "around"])
     placed = found.join(facts.select("_row", "_id", "_bytes"), "_row")
@@ -333,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives no rows; further columns are not read. Characters of several bytes may be cut, so `kept` is binary.
     """
     facts, suffixes, entries, near = _repeats(docs, id_col, text_col, most)
-    groups = _groups(near).select("gram", "around", "left", "right").unionByName(_counted(near).select("gram", "around", "left", "right"))
+    groups = _groups(near, True).select("gram", "around", "left", "right").unionByName(_counted(near).select("gram", "around", "left", "right"))
     # all repeats of an anchor contain it, so together they cover one span around it
     covered = groups.groupBy("gram", "around").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     copied = F.col("n") > 1
@@ -343,17 +382,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = suffixes.join(known.filter("left is not null"), ["gram", "around"])
     spans = found.groupBy("_row").agg(F.collect_list(F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))).alias("asked"))
     named = facts.select("_row", "_id", "_check").join(spans, "_row").groupBy("_id", "_check").agg(F.first("asked").alias("asked"))
+    named = named.select("_id", "_check", F.col("asked.start").alias("starts"), F.col("asked.end").alias("ends"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode() for t in batch["_text"]]
-            gone = [[] if x is None else joined([(max(0, s["start"]), min(len(t), s["end"])) for s in x]) for t, x in zip(texts, batch["asked"], strict=True)]
-            kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in x)], [*(s for s, _ in x), len(t)], strict=True)) for t, x in zip(texts, gone, strict=True)]
-            yield pd.DataFrame(
-                {"doc_id": batch["_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "spans": [[{"start": a, "end": b} for a, b in x] for x in gone], "kept": kept}
-            )
-
-    rows = _texts(docs, id_col, text_col, named, "left").select("_id", "_text", "asked")
+            for first, last in slices([*map(len, batch["_text"])], SLICE):
+                part = batch.iloc[first:last]
+                texts = [t.encode() for t in part["_text"]]
+                gone = [[] if x is None else joined([(max(0, a), min(len(t), b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)]) for t, x, y in zip(texts, part["starts"], part["ends"], strict=True)]
+                kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in x)], [*(s for s, _ in x), len(t)], strict=True)) for t, x in zip(texts, gone, strict=True)]
+                yield pd.DataFrame(
+                    {"doc_id": part["_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "spans": [[{"start": a, "end": b} for a, b in x] for x in gone], "kept": kept}
+                )
+
+    rows = _texts(docs, id_col, text_col, named, "left").select("_id", "_text", "starts", "ends")
     return rows.mapInPandas(work, "doc_id long, n_bytes long, spans array<struct<start long, end long>>, kept binary")
 
 

@@ -90,10 +90,11 @@ def test_rows_of_any_kind(documents):
 
 def test_every_window_has_its_anchor():
     text = (prose(1, 500) + "a" * 700 + prose(2, 100)).encode()
-    [(at, grams, around)] = anchors([text])
+    [(at, grams, around, far, near)] = anchors([text])
     assert all(any(k <= p <= k + REACH for p in at) for k in range(len(text) - LENGTH + 1))
-    [_, (again, keys, _)] = anchors([b"q" * 300, text[100:]])
+    [_, (again, keys, *_)] = anchors([b"q" * 300, text[100:]])
     assert set(again[20:].tolist()) <= {p - 100 for p in at} and len(keys) == len(again)
+    assert sum(far - near + 1) == len(text) - LENGTH + 1 and all(0 <= near) and all(far <= REACH)
     assert anchors([b"x" * 199])[0][0].size == 0 and len(around) == len(at)
     assert [x[1].tolist() for x in anchors([text, text])] == [grams.tolist()] * 2
 
