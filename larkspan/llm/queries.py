@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspan.llm import bpe, exact_dedup, ngram_join, packing, pii, repeats, rule_ledger, secrets, sharding, toxicity, warc
+from larkspan.llm import bpe, exact_dedup, filter_audit, hard_negatives, ngram_join, packing, pii, repeats, rule_ledger, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_suffix_array_dedup": repeats.op13_suffix_array_dedup,
 }
 
@@ -22,4 +24,6 @@ SQL = {
     "op3_quality_rules": rule_ledger.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
