@@ -6,11 +6,12 @@
    in any tree are candidates. Prefixes are shortened from the full depth on until the chance of meeting at the
    threshold reaches the target recall.
 3. Candidates that hang together are brought together in cells of bounded size, with their shingle sets read from the
-   texts once more. Cells that share a prefix meet in pairs, and there every two representatives are compared exactly. Every
-   pair of representatives meets in one pair of cells only, so links are counted where they are found: a group of n near copies
-   makes no table of n * n pairs.
-4. Each pair of cells gives back, per representative, its number of links and the root of its links there; connected
-   components of these few rows are the classes of near duplicates.
+   texts once more. A cell is packed into one row and compares its own members at once: each is absorbed by the first member
+   it is linked to, directly or over others.
+4. Cells of a large group that share a prefix meet in pairs of packed rows. Every two representatives meet in one pair of
+   cells only, so links are counted there; a pair gives back packed counts, and links between members that still stand for
+   themselves. A group of n near copies moves one row per cell and pair of cells and no row per member and pair.
+5. Connected components of the absorbed members and these links are the classes of near duplicates.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from larkspan.session import cut_lineage
 NGRAM = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8
 TREES, DEEPEST, RECALL = 20, 6, 0.999
-CELL = 128
+CELL, CELL_GRAMS = 1024, 400_000  # members and shingles of a cell; a longer text is a cell alone
 SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,35 +133,41 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select("node", "root")
 
 
-def _cells(prefixes: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
-    """(node, cell) of all candidates, and the pairs of cells (a, b) whose members share a prefix."""
+def _cells(prefixes: DataFrame, sizes: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(node, part, cell) of all candidates, and the pairs of cells (a < b) whose members share a prefix.
+
+    Candidates of different `part` have no prefix in common, not even over others.
+    """
     shared = prefixes.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a")
     met = cut_lineage(prefixes.join(shared, "key"))
-    roots = cut_lineage(components(met.filter("a <> node").select("a", F.col("node").alias("b"))))
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    # large components are cut into cells by hash; small ones share cells, by the hash of their root
-    small = max(1, -(-roots.count() // cell))
-    parts = F.ceil(F.col("n") / cell)
-    home = F.when(F.col("n") > cell // 2, F.xxhash64("root", F.pmod(F.xxhash64("node"), parts))).otherwise(F.pmod(F.xxhash64("root"), F.lit(small)))
-    members = cut_lineage(roots.join(sizes, "root").select("node", home.alias("cell")))
+    roots = cut_lineage(components(met.filter("a <> node").select("a", F.col("node").alias("b"))).join(sizes, "node"))
+    weight = F.greatest(F.lit(1 / cell), F.col("grams") / CELL_GRAMS)
+    load = cut_lineage(roots.groupBy("root").agg(F.sum(weight).alias("cells")))
+    # large groups are cut into cells by hash; small ones share cells, by the hash of their root
+    small = max(1, int(load.filter("cells <= 0.5").agg(F.sum("cells")).first()[0] or 0) + 1)
+    parts = F.ceil("cells")
+    home = F.when(F.col("cells") > 0.5, F.xxhash64("root", F.pmod(F.xxhash64("node"), parts))).otherwise(F.pmod(F.xxhash64("root"), F.lit(small)))
+    members = cut_lineage(roots.join(load, "root").select("node", F.col("root").alias("part"), home.alias("cell")))
     told = met.join(members, "node").select("key", "cell").distinct().groupBy("key").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     crossing = told.filter(F.size("cells") > 1).select(F.explode("cells").alias("a"), "cells").select("a", F.explode("cells").alias("b")).filter("a < b")
-    own = members.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
-    return members, own.unionByName(crossing).distinct()
+    return members, cut_lineage(crossing.distinct())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node and shingle set of the wanted representatives, from a second reading of the texts."""
+    """node, part, cell and shingle set of the wanted representatives, from a second reading of the texts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()  # repeated rows of a representative come together; one of them is enough
         for batch in batches:
-            known = WordHashes()
-            yield pd.DataFrame({"node": batch["node"], "cell": batch["cell"], "grams": [shingles(t, known).view(np.int64) for t in batch["_text"]]})
+            batch = batch[[not (x in seen or seen.add(x)) for x in batch["node"]]]
+            for start, end in slices([*map(len, batch["_text"])]):
+                known, part = WordHashes(), batch.iloc[start:end]
+                yield part[["node", "part", "cell"]].assign(grams=[shingles(t, known).view(np.int64) for t in part["_text"]])
 
     text = whole(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("check"), text.alias("_text"))
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["_id"]) & (texts["check"] == wanted["_text_check"]))
-    return cut_lineage(found.select("node", "cell", "_text").mapInPandas(work, "node long, cell long, grams array<long>"))
+    return found.select("node", "part", "cell", "_text").mapInPandas(work, "node long, part long, cell long, grams array<long>")
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
@@ -180,34 +187,99 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray], same: bool) -
     return found
 
 
-def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, n_links and root of each representative with links, per pair of cells."""
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = key
-        rows = rows.drop_duplicates("node")
-        left, right = rows[rows["cell"] == a], rows[rows["cell"] == b]
-        nodes = left["node"].tolist() if a == b else [*left["node"], *right["node"]]
-        shift = 0 if a == b else len(left)
-        found = links_between(left["grams"].tolist(), right["grams"].tolist(), a == b)
-        root, count = list(range(len(nodes))), [0] * len(nodes)
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for i, j in found:
-            count[i] += 1
-            count[j + shift] += 1
-            low, high = sorted((top(i), top(j + shift)), key=nodes.__getitem__)
-            root[high] = low
-        out = [(nodes[k], count[k], nodes[top(k)]) for k in range(len(nodes)) if count[k]]
-        return pd.DataFrame(out, columns=["node", "n_links", "root"])
-
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("cell"))
-    return cut_lineage(sides.join(sets, "cell").groupBy("a", "b").applyInPandas(compare, "node long, n_links long, root long"))
+class Roots:
+    """Members by the first of those they are linked to; values are places in a list."""
+
+    def __init__(self, roots: list[int]):
+        self.roots = roots
+
+    def top(self, k: int) -> int:
+        while self.roots[k] != k:
+            self.roots[k] = self.roots[self.roots[k]]
+            k = self.roots[k]
+        return k
+
+    def join(self, i: int, j: int) -> bool:
+        low, high = sorted((self.top(i), self.top(j)))
+        self.roots[high] = low
+        return low != high
+
+
+PACKED = ["nodes", "parts", "sizes", "grams", "roots", "counts"]
+
+
+def _ints(values) -> bytes:
+    return np.asarray(values, np.int64).tobytes()
+
+
+class Cell:
+    """A packed cell: its members by part and node, with their shingle sets."""
+
+    def __init__(self, row):
+        self.nodes, self.parts, self.sizes, grams, self.roots = (np.frombuffer(row[c], np.int64) for c in PACKED[:-1])
+        self.sets = np.split(grams, np.cumsum(self.sizes)[:-1])
+
+    def spans(self) -> dict[int, tuple[int, int]]:
+        """The places of the members of each part."""
+        cuts = [0, *(np.flatnonzero(np.diff(self.parts)) + 1).tolist(), len(self.parts)]
+        return {int(self.parts[a]): (a, b) for a, b in zip(cuts, cuts[1:], strict=False)}
+
+
+def gathered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The packed cell, with the links between its own members: their counts, and who absorbed whom (by place)."""
+    rows = rows.drop_duplicates("node").sort_values(["part", "node"])
+    sets, parts = rows["grams"].tolist(), rows["part"].to_numpy()
+    counts, roots = np.zeros(len(sets), np.int64), Roots(list(range(len(sets))))
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for i, j in links_between(sets[a:b], sets[a:b], True) if b - a > 1 else []:
+            counts[[a + i, a + j]] += 1
+            roots.join(a + i, a + j)
+    grams = np.concatenate(sets).tobytes()
+    packed = (rows["node"], parts, [*map(len, sets)], None, [roots.top(k) for k in range(len(sets))], counts)
+    return pd.DataFrame([{"cell": key[0]} | {c: grams if c == "grams" else _ints(v) for c, v in zip(PACKED, packed, strict=True)}])
+
+
+def crossed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The links between two cells: for each cell the counts of its members, and links between absorbing members."""
+    sides = {row.cell: Cell(row._asdict()) for row in rows.itertuples()}
+    left, right = (sides[k] for k in key)
+    shift = len(left.nodes)
+    counts = np.zeros(shift + len(right.nodes), np.int64)
+    roots = Roots([*left.roots.tolist(), *(right.roots + shift).tolist()])
+    nodes, edges = np.concatenate([left.nodes, right.nodes]), []
+    others = right.spans()
+    for part, (a, b) in left.spans().items():
+        c, d = others.get(part, (0, 0))
+        for i, j in links_between(left.sets[a:b], right.sets[c:d], False) if d > c else []:
+            i, j = a + i, shift + c + j
+            counts[[i, j]] += 1
+            x, y = roots.top(i), roots.top(j)
+            if roots.join(x, y):
+                edges.append((int(nodes[x]), int(nodes[y])))
+    from_, to = [x for x, _ in edges], [y for _, y in edges]
+    out = [(key[0], counts[:shift].tobytes(), from_, to), (key[1], counts[shift:].tobytes(), [], [])]
+    return pd.DataFrame(out, columns=["cell", "counts", "from", "to"])
+
+
+def counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The number of links and the absorbing member of each linked member of a cell, from all its packed counts."""
+    total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
+    own = rows[rows["nodes"].notna()].iloc[0]
+    nodes, roots = np.frombuffer(own["nodes"], np.int64), np.frombuffer(own["roots"], np.int64)
+    return pd.DataFrame({"node": nodes, "n_links": total, "root": nodes[roots]})[total > 0]
+
+
+def _linked(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n_links and root of each representative with links, links between roots of different cells)."""
+    cells = cut_lineage(sets.groupBy("cell").applyInPandas(gathered, "cell long, " + ", ".join(f"{c} binary" for c in PACKED)))
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cell")).join(cells.drop("counts"), "cell")
+    between = cut_lineage(sides.groupBy("a", "b").applyInPandas(crossed, "cell long, counts binary, from array<long>, to array<long>"))
+    own = cells.select("cell", "nodes", "roots", "counts")
+    none = F.lit(None).cast("binary")
+    counts = own.unionByName(between.select("cell", none.alias("nodes"), none.alias("roots"), "counts"))
+    linked = cut_lineage(counts.groupBy("cell").applyInPandas(counted, "node long, n_links long, root long"))
+    return linked, between.select(F.inline(F.arrays_zip("from", "to"))).toDF("a", "b")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, cell: int) -> DataFrame:
@@ -216,11 +288,11 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, cell: int) -> DataF
     rows = cut_lineage(group_rows(facts.drop("prefixes"), "smallest"))
     heads = facts.join(rows.filter("_row = _keep_row").select("_row"), "_row", "left_semi")
     prefixes = cut_lineage(heads.select(F.col("_row").alias("node"), F.explode("prefixes").alias("key")))
-    members, pairs = _cells(prefixes, cell)
+    members, pairs = _cells(prefixes, heads.select(F.col("_row").alias("node"), F.col("_bytes").alias("grams")), cell)
     wanted = members.join(heads.select(F.col("_row").alias("node"), "_id", "_text_check"), "node")
-    linked = _linked(_sets(docs, wanted, id_col, text_col), pairs)
-    roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    counts = linked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    linked, between = _linked(_sets(docs, wanted, id_col, text_col), pairs)
+    roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(between))
+    counts = linked.select("node", "n_links")
     ids = rows.filter("_row = _keep_row").select(F.col("_row").alias("node"), F.col("_id").alias("head"))
     known = roots.join(ids, "node").join(counts, "node")
     firsts = known.groupBy("root").agg(F.min(F.struct("head", "node")).alias("first"))

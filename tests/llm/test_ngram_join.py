@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import larkspan.llm.ngram_join as ngram
 from larkspan.llm.ngram_join import components, keep_one_of_class, links_between, ngram_join, prefix_depth
 
 
@@ -70,3 +71,42 @@ def test_depth_and_links():
     assert prefix_depth() == 5 and prefix_depth(recall=0.9) == 6 and prefix_depth(trees=1, recall=1.0) == 1
     a, b = np.arange(10), np.arange(1, 11)
     assert links_between([a, b], [a, b], True) == [(0, 1)] and links_between([a], [b, a + 50], False) == [(0, 0)]
+
+
+def test_rows_grow_with_a_group_of_near_copies(documents, monkeypatch):
+    """Twice the near copies are about twice the rows of links, and no more rows of pairs."""
+    seen, packed = [], []
+    real, crossing = ngram.components, ngram._linked
+
+    def links(edges):
+        seen.append(edges.count())
+        return real(edges)
+
+    def pairs(sets, pairs):
+        packed.append(pairs.count())
+        return crossing(sets, pairs)
+
+    monkeypatch.setattr(ngram, "components", links)
+    monkeypatch.setattr(ngram, "_linked", pairs)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    for n in (150, 300):
+        rows = []
+        for k in range(n):
+            words = list(base)
+            for _ in range(1 + k % 3):
+                words[rng.randrange(200)] = f"n{k}"
+            rows.append((k, " ".join(words)))
+        got = ngram_join(documents(rows)).collect()
+        assert {r.class_id for r in got} == {0} and len(got) == n
+    half = len(seen) // 2
+    assert all(b <= 2.2 * a for a, b in zip(seen[:half], seen[half:], strict=True)), seen
+    assert packed[0] == packed[1] == 0
+
+
+def test_repeated_rows_come_once_to_their_cell(documents):
+    data = list(enumerate(corpus()))[40:70]
+    more = data + [data[3]] * 50 + [(None, data[4][1])] * 30
+    want = {i: (c, n) for i, c, _, _, n in brute(data)}
+    got = ngram_join(documents(more)).collect()
+    assert len(got) == len(more) and all((r.class_id, r.n_links) in (want[r.doc_id], (None, want[r.doc_id][1])) for r in got if r.doc_id is not None)
