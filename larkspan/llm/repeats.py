@@ -325,6 +325,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, most: int) -> tuple[Da
     """Facts of the documents; the suffixes in buckets (_row, at, gram, around, far, near); the entries with counts; their surroundings."""
     facts = _facts(docs, id_col, text_col)
     repeated = facts.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    repeated = cut_lineage(repeated)  # a table of its own, so that Spark can split the join at frequent grams
     suffixes = facts.select("_row", F.inline(F.arrays_zip("at", "gram", "around", "far", "near"))).join(repeated, "gram")
     suffixes = cut_lineage(suffixes.select("_row", "at", "gram", "around", "far", "near"))
     one = F.min(F.struct("_row", "at", "far", "near")).alias("one")
