@@ -68,8 +68,8 @@ ACTIVE_SQL = """
 @query("T3", ACTIVE_SQL)
 def active_requests(t):
     kind = F.col("event_type")
-    events = Streams(t).events.select("user_id", "ts", "event_id", "event_type")
-    out = J.active_requests(events, "user_id", ORDER, "event_id", kind == "signup", kind.isin(*TERMINAL))
+    events, late = R.late_arrivals(t.events.select("user_id", "ts", "event_id", "event_type"), "ts")
+    out = J.active_requests(events, "user_id", ORDER, "event_id", kind == "signup", kind.isin(*TERMINAL), late)
     return _read(t, R.drain(out, "active"))
 
 
@@ -82,8 +82,11 @@ def active_requests(t):
     """,
 )
 def speech_sessions(t):
-    out = J.speech_sessions(t.events.select("user_id", "ts", "value"), "user_id", "ts", F.col("value") > 10)
-    return out
+    chunks, late = R.late_arrivals(t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value"), "ts", "1 hour")
+    spoken = (F.col("value") > 10) | F.col("value").isNull()  # the last row has a time only and ends the sessions
+    out = J.speech_sessions(chunks, "user_id", "ts", spoken, late=late)
+    rows = _read(t, R.drain(out, "speech"))
+    return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "chunks")
 
 
 @query(
@@ -99,8 +102,8 @@ def speech_sessions(t):
     """,
 )
 def size_triggered(t):
-    events = Streams(t).events.select("user_id", "ts", "event_id", "value")
-    out = J.size_triggered(events, "user_id", ORDER, "event_id", F.floor("value"), limit=64)
+    events, late = R.late_arrivals(t.events.select("user_id", "ts", "event_id", "value"), "ts")
+    out = J.size_triggered(events, "user_id", ORDER, "event_id", F.floor("value"), late, limit=64)
     return _read(t, R.drain(out, "sized"))
 
 
@@ -113,8 +116,8 @@ def size_triggered(t):
     """,
 )
 def stable_stream(t):
-    events = Streams(t).events.select("user_id", "ts", "event_id", "event_type")
-    return _read(t, R.drain(J.stable_stream(events, "user_id", ORDER, "event_id", "event_type"), "stable"))
+    events, late = R.late_arrivals(t.events.select("user_id", "ts", "event_id", "event_type"), "ts")
+    return _read(t, R.drain(J.stable_stream(events, "user_id", ORDER, "event_id", "event_type", late), "stable"))
 
 
 @query(
@@ -125,9 +128,10 @@ def stable_stream(t):
     """,
 )
 def unexpired(t):
-    latest = t.events.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct(*ORDER)).alias("event_id"))
-    now = t.events.agg(F.max("ts").alias("now")).scalar()
-    return J.unexpired(latest, F.col("ts"), now, "12 hours").select("user_id", "event_id")
+    entries, late = R.late_arrivals(t.events.select("user_id", "ts", "event_id"), "ts")
+    told = _read(t, R.drain(J.expiring(entries, "user_id", ORDER, "event_id", "12 hours", late), "expiring"))
+    newest = told.groupBy("user_id").agg(F.max_by(F.struct("event_id", "alive"), F.struct("at", "event_id", ~F.col("alive"))).alias("e"))
+    return newest.filter("e.alive").select("user_id", "e.event_id")
 
 
 @query(

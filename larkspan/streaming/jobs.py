@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspan.functions.progress import parse_progress
 from larkspan.operators.matching import evict_plan
 from larkspan.operators.scene import apply_changes
 from larkspan.session import work_path
+from larkspan.streaming.ordered import expiry_fold, in_order, requests_fold, sized_fold, stable_fold
 
 # Fixed value: bytes after which a preview is made.
 PREVIEW_BYTES = 8192
@@ -56,104 +53,35 @@ def publish(sinks: dict[str, str]):
     return each
 
 
-def _in_order(parts: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """Rows of one key in one micro-batch; the trigger options bound their number."""
-    return pd.concat(list(parts)).sort_values(order, kind="stable").reset_index(drop=True)
-
-
-def active_requests(events: DataFrame, key: str, order: list[str], event_id: str, request: Column, terminal: Column, ttl_ms: int = 0):
+def active_requests(events: DataFrame, key: str, order: list[str], event_id: str, request: Column, terminal: Column, late: str, ttl: str | None = None):
     """Every request with the job that serves it: the one still active for its item, else a new one.
 
-    The state of an item is its active job. A terminal event clears it; with `ttl_ms` an item that stays
-    silent for that long is forgotten too, which bounds the state and is the one difference to the batch form.
+    Requests are answered in event order, though they arrive late. The state of an item is its active job and the rows
+    that wait for the watermark. A terminal event clears it; with `ttl` an item that is silent for that long is forgotten
+    too, which bounds the state and is the one difference to the batch form.
     """
-    rows = events.select(key, *order, F.col(event_id).alias("_id"), request.alias("_req"), terminal.alias("_end"))
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        active = state.get[0] if state.exists else None
-        pdf = _in_order(parts, order)
-        epoch = pdf["_end"].cumsum() - pdf["_end"].astype(int)
-        asked = pdf[pdf["_req"]].assign(_epoch=epoch)
-        job = asked.groupby("_epoch")["_id"].transform("first")
-        if active is not None:
-            job = job.where(asked["_epoch"] != 0, active)
-        ends = int(pdf["_end"].sum())
-        open_now = asked.loc[asked["_epoch"] == ends, "_id"]
-        last = None if open_now.empty else int(job.loc[open_now.index[0]])
-        if last is None and ends == 0:
-            last = active
-        if last is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((int(last),))
-            if ttl_ms:
-                state.setTimeoutDuration(ttl_ms)
-        if len(asked):
-            ids = asked["_id"].astype("int64")
-            jobs = job.astype("int64")
-            yield pd.DataFrame({key: k[0], "event_id": ids, "job_id": jobs, "is_new": ids == jobs})
-
-    key_type = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(
-        step,
-        f"{key} {key_type}, event_id long, job_id long, is_new boolean",
-        "job long",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout,
-    )
+    columns = {"event_id": F.col(event_id).cast("long"), "asked": F.coalesce(request, F.lit(False)), "ends": F.coalesce(terminal, F.lit(False))}
+    return in_order(events, key, order, late, columns, requests_fold(), ttl)
 
 
-def stable_stream(events: DataFrame, key: str, order: list[str], event_id: str, value: str, n: int = 2) -> DataFrame:
-    """Per key the first event whose last `n` comparisons were all equal. State: last value, count, done."""
-    rows = events.select(key, *order, F.col(event_id).alias("_id"), F.col(value).cast("string").alias("_v"))
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, count, done = state.get if state.exists else (None, 0, False)
-        if done:
-            return
-        pdf = _in_order(parts, order)
-        for row_id, v in zip(pdf["_id"], pdf["_v"]):
-            count = count + 1 if v == last else 0
-            last = v
-            if count >= n:
-                state.update((last, count, True))
-                yield pd.DataFrame({key: [k[0]], "event_id": [int(row_id)], "value": [v]})
-                return
-        state.update((last, count, False))
-
-    key_type = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {key_type}, event_id long, value string", "last string, count int, done boolean", "append", GroupStateTimeout.NoTimeout
-    )
+def stable_stream(events: DataFrame, key: str, order: list[str], event_id: str, value: str, late: str, n: int = 2, ttl: str | None = None) -> DataFrame:
+    """Per key the first event whose last `n` comparisons were all equal. With `ttl` a silent key is forgotten."""
+    columns = {"event_id": F.col(event_id).cast("long"), "value": F.col(value).cast("string")}
+    return in_order(events, key, order, late, columns, stable_fold(n), ttl)
 
 
-def size_triggered(events: DataFrame, key: str, order: list[str], event_id: str, size: Column, limit: int = PREVIEW_BYTES) -> DataFrame:
+def size_triggered(events: DataFrame, key: str, order: list[str], event_id: str, size: Column, late: str, limit: int = PREVIEW_BYTES, ttl: str | None = None) -> DataFrame:
     """Sizes add up per key; a row that reaches the limit emits the sum and clears it, other rows repeat the last result."""
-    rows = events.select(key, *order, F.col(event_id).alias("_id"), size.cast("long").alias("_n"))
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last = state.get if state.exists else (0, None)
-        pdf = _in_order(parts, order)
-        emitted, results = [], []
-        for n in pdf["_n"].tolist():
-            held += n
-            emitted.append(held >= limit)
-            if held >= limit:
-                last, held = held, 0
-            results.append(last)
-        state.update((held, last))
-        yield pd.DataFrame(
-            {key: k[0], "event_id": pdf["_id"].astype("int64"), "emitted": emitted, "result": pd.array(results, dtype="Int64")}
-        )
-
-    key_type = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {key_type}, event_id long, emitted boolean, result long", "held long, last long", "append", GroupStateTimeout.NoTimeout
-    )
+    columns = {"event_id": F.col(event_id).cast("long"), "size": F.coalesce(size.cast("long"), F.lit(0))}
+    return in_order(events, key, order, late, columns, sized_fold(limit), ttl)
+
+
+def expiring(entries: DataFrame, key: str, order: list[str], entry: str, ttl: str, late: str) -> DataFrame:
+    """The newest entry of each key as it changes (key, event_id, at, alive); `alive` is false when its time to live is over.
+
+    A timer of the state ends an entry, and the key with it, without another row of the key.
+    """
+    return in_order(entries, key, order, late, {"event_id": F.col(entry).cast("long")}, expiry_fold(), ttl)
 
 
 def speech_sessions(chunks: DataFrame, key: str, ts: str, speaking: Column, gap: str = "30 minutes", late: str | None = None):

@@ -18,6 +18,38 @@ def stream_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(path)
 
 
+def late_arrivals(rows: DataFrame, at: str, ahead: str = "1 millisecond", pieces: int = 4) -> tuple[DataFrame, str]:
+    """(the rows as a stream in which every second span of time arrives before the one that precedes it, the delay it needs).
+
+    Each span is a file and a trigger of its own. A last file holds one row with nothing but a time, so far ahead that the
+    watermark ends `ahead` of the newest row.
+    """
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return stream_parquet(spark, _empty(rows), rows.schema), "1 second"
+    width = (high - low) / pieces
+    span = F.least(F.floor((F.timestamp_diff("MICROSECOND", F.lit(low), F.col(at))) / (width.total_seconds() * 1e6 + 1)), F.lit(pieces - 1))
+    path = work_path(spark, "arrivals")
+    dealt = rows.filter(F.col(at).isNotNull()).withColumn("span", span.cast("int"))
+    for k in range(0, pieces, 2):
+        for part in (k + 1, k):
+            dealt.filter(F.col("span") == part).drop("span").coalesce(1).write.mode("append").parquet(path)
+    late = int(2 * width.total_seconds()) + 2
+    kind = dict(rows.dtypes)[at]
+    last = (F.lit(high) + F.expr(f"interval {late} seconds") + F.expr(f"interval {ahead}")).cast(kind)
+    mark = spark.range(1).select(*[(last if c == at else F.lit(None).cast(t)).alias(c) for c, t in rows.dtypes])
+    mark.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream, f"{late} seconds"
+
+
+def _empty(rows: DataFrame) -> str:
+    path = work_path(rows.sparkSession, "arrivals")
+    rows.limit(0).write.parquet(path)
+    return path
+
+
 def read_progress_stream(spark: SparkSession, path: str) -> DataFrame:
     """Text lines as an unbounded table with a `line` column and the time of arrival."""
     lines = spark.readStream.option("maxBytesPerTrigger", TRIGGER_BYTES).text(path)

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspan.operators import sequences as O
 from larkspan.operators.scene import apply_changes
 from larkspan.streaming import jobs as J
+from larkspan.streaming import ordered as Q
 from larkspan.streaming import run as R
 from tests.test_scene import ELEMENTS, element
 
@@ -27,29 +29,56 @@ def events(seed, n=90):
     return [(rng.choice("aab"), t, t, rng.choice(["ask", "ask", "end", "tick", "tick"]), rng.randrange(1, 9)) for t in range(n)]
 
 
-@pytest.mark.parametrize("n", [1, 4])
-def test_active_requests_equal_batch(spark, tmp_path, n):
-    rows = events(n)
-    stream = files(spark, tmp_path, rows, n)
-    out = J.active_requests(stream, "u", ORDER, "i", F.col("kind") == "ask", F.col("kind") == "end")
+def table(spark, rows):
+    """The rows with a time: second `ts` of a day, two rows share one."""
+    rows = [(u, t // 2 * 2, i, kind, size) for u, t, i, kind, size in rows]
+    return spark.createDataFrame(rows, COLS).withColumn("ts", F.timestamp_seconds(F.col("ts") + 1_700_000_000)).withColumn("i", F.col("i").cast("long"))
+
+
+def ended(stream, tmp_path):
+    """(the rows of the sink, rows that the state still holds) after everything that is there."""
+    sink = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+    q = sink.trigger(availableNow=True).start()
+    q.awaitTermination()
+    left = q.lastProgress.stateOperators[0].numRowsTotal if q.lastProgress else 0
+    return stream.sparkSession.read.parquet(f"{tmp_path}/out"), left
+
+
+@pytest.mark.parametrize("seed,pieces", [(1, 2), (2, 6)])
+def test_active_requests_equal_batch_though_late(spark, tmp_path, seed, pieces):
+    rows = events(seed)
+    stream, late = R.late_arrivals(table(spark, rows), "ts", pieces=pieces)
+    ask, end = F.col("kind") == "ask", F.col("kind") == "end"
+    out = J.active_requests(stream, "u", ORDER, "i", ask, end, late)
     got = spark.read.parquet(R.drain(out, "active", out=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp")))
-    batch = spark.createDataFrame(rows, COLS).withColumn("i", F.col("i").cast("long"))
-    want = O.active_jobs(batch, "u", ORDER, F.floor(F.col("ts") / 10), "i", F.col("kind") == "ask", F.col("kind") == "end")
+    want = O.active_jobs(table(spark, rows), "u", ORDER, F.floor(F.unix_seconds("ts") / 10), "i", ask, end)
     assert sorted((r.u, r.event_id, r.job_id, r.is_new) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
     # a restart finds nothing new and repeats nothing
     R.drain(out, "active", out=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == got.count()
 
 
-def test_stable_and_sized_streams_over_files(spark, tmp_path):
+def test_state_of_requests_ends(spark, tmp_path):
+    """Terminal events clear the state; a silent item is forgotten after its time to live, in event time."""
+    rows = [("a", 0, 0, "ask", 1), ("a", 4, 1, "ask", 1), ("a", 40, 2, "ask", 1), ("b", 2, 3, "ask", 1), ("b", 3, 4, "end", 1), ("c", 6, 5, "ask", 1), ("c", 16, 6, "ask", 1)]
+    stream, late = R.late_arrivals(table(spark, rows), "ts", ahead="1 minute", pieces=2)
+    out = J.active_requests(stream, "u", ORDER, "i", F.col("kind") == "ask", F.col("kind") == "end", late, ttl="10 seconds")
+    got, left = ended(out, tmp_path)
+    assert {r.event_id: r.job_id for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 5: 5, 6: 5} and left == 0
+
+
+def test_stable_and_sized_streams_though_late(spark, tmp_path):
     rows = events(7)
-    got = spark.read.parquet(R.drain(J.stable_stream(files(spark, tmp_path / "s", rows, 3), "u", ORDER, "i", "kind"), "stable"))
-    want = O.stable_points(spark.createDataFrame(rows, COLS), ["u"], ORDER, F.floor(F.col("ts") / 10), "kind")
+    ordered = sorted(rows, key=lambda r: (r[1] // 2 * 2, r[2]))
+    stream, late = R.late_arrivals(table(spark, rows), "ts")
+    got = spark.read.parquet(R.drain(J.stable_stream(stream, "u", ORDER, "i", "kind", late), "stable"))
+    want = O.stable_points(table(spark, rows), ["u"], ORDER, F.floor(F.unix_seconds("ts") / 10), "kind")
     assert {(r.u, r.event_id) for r in got.collect()} == {(r.u, r.i) for r in want.collect()}
-    sized = J.size_triggered(files(spark, tmp_path / "z", rows, 3), "u", ORDER, "i", F.col("size"), limit=20)
+    stream, late = R.late_arrivals(table(spark, rows), "ts")
+    sized = J.size_triggered(stream, "u", ORDER, "i", F.col("size"), late, limit=20)
     got = {r.event_id: (r.emitted, r.result) for r in spark.read.parquet(R.drain(sized, "sized")).collect()}
     held, last = {}, {}
-    for u, _, i, _, size in rows:
+    for u, _, i, _, size in ordered:
         held[u] = held.get(u, 0) + size
         full = held[u] >= 20
         if full:
@@ -57,6 +86,38 @@ def test_stable_and_sized_streams_over_files(spark, tmp_path):
         assert got[i] == (full, last.get(u))
 
 
+def test_folds_do_not_depend_on_where_rows_are_cut():
+    rng = random.Random(8)
+    values = np.array([rng.choice("xxy") if rng.random() < 0.9 else None for _ in range(200)], object)
+    sizes, ids = np.array([rng.randrange(0, 30) for _ in range(200)], object), np.arange(200).astype(object)
+    columns = {"event_id": ids, "value": values, "size": sizes, "asked": sizes % 3 == 0, "ends": sizes % 7 == 0}
+    for fold in (Q.requests_fold(), Q.stable_fold(3), Q.sized_fold(64)):
+        whole, _ = fold.step(None, columns)
+        for cuts in ([0, 200], [0, 1, 2, 50, 51, 200], sorted({0, 200, *(rng.randrange(200) for _ in range(40))})):
+            carried, parts = None, {c: [] for c in whole}
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                found, carried = fold.step(carried, {c: v[a:b] for c, v in columns.items()})
+                for c in parts:
+                    parts[c] += list(found[c])
+            assert parts == {c: list(v) for c, v in whole.items()}
+
+
+def test_entries_expire_by_timers(spark, tmp_path):
+    rows = [("a", 0, 0, "", 0), ("a", 8, 1, "", 0), ("a", 30, 2, "", 0), ("b", 4, 3, "", 0), ("c", 60, 4, "", 0), ("d", 10, 5, "", 0), ("d", 20, 6, "", 0)]
+    stream, late = R.late_arrivals(table(spark, rows), "ts", pieces=4)
+    got, left = ended(J.expiring(stream, "u", ORDER, "i", "10 seconds", late), tmp_path)
+    assert {r.event_id for r in got.filter("not alive").collect()} == {1, 2, 3, 6} and left > 0
+    assert {r.event_id for r in got.filter("alive").collect()} >= {1, 2, 3, 4, 6}
+
+
+def test_late_arrivals_hold_every_row(spark):
+    rows = events(3, 40)
+    for data in (rows, rows[:1], []):
+        stream, late = R.late_arrivals(table(spark, data), "ts")
+        got = spark.read.parquet(R.drain(stream, "rows"))
+        assert got.filter("i is not null").count() == len(data) and late.endswith("seconds") or not data
+
+
 def test_current_state_keeps_the_newest(spark, tmp_path):
     rows = events(5)
     stream = files(spark, tmp_path, rows, 3)
