@@ -152,26 +152,33 @@ def group_tags(groups: Column, add: Column, clear: Column) -> Column:
     )
 
 
-def apply_changes(elements: DataFrame, changes: DataFrame) -> DataFrame:
-    """Elements after the change commands: deletes, hide and show, groups, links, geometry, layer band, version.
+def whole_delete(changes: DataFrame) -> Column:
+    """Aggregate: whether one of the changes deletes everything."""
+    return F.coalesce(F.max((F.col("op") == "delete") & F.col("id").isin(*EVERYTHING)), F.lit(False))
 
-    `elements`: id, x, y, width, height, angle, points, opacity, prev_opacity, groups, link, version, ...; y and points
-    may be missing. `changes` may lack the second value.
+
+def _kept(elements: DataFrame, changes: DataFrame, net: DataFrame) -> DataFrame:
+    """The elements that the changes do not delete, with their net commands."""
+    whole = changes.agg(whole_delete(changes).alias("_all"))
+    return elements.join(net, "id", "left").filter(~whole.scalar() & ~F.coalesce("delete", F.lit(False)))
+
+
+def _commanded(rows: DataFrame, columns: Sequence[str], kinds: Sequence[str], fresh: Column | None = None, replaced: Column | None = None) -> DataFrame:
+    """`columns` of the rows after their net commands, and the layer band.
+
+    A `fresh` row comes with the batch: it remembers its opacity as it is when hidden, has no tags to clear and keeps its
+    version. A `replaced` row has changed even without a command.
     """
-    if "second" not in changes.columns:
-        changes = changes.withColumn("second", F.lit(None).cast("double"))
-    net = commands(changes)
-    whole = changes.agg(F.coalesce(F.max((F.col("op") == "delete") & F.col("id").isin(*EVERYTHING)), F.lit(False)).alias("_all"))
-    kinds = [c for c in net.columns if c != "id"]
-    kept = elements.join(net, "id", "left").filter(~whole.scalar() & ~F.coalesce("delete", F.lit(False)))
+    fresh, replaced = (F.lit(False) if c is None else c for c in (fresh, replaced))
     opacity, prev = hide_show(F.col("opacity"), F.col("prev_opacity"), F.col("hide"), F.col("show"))
+    prev = F.when(fresh & F.coalesce("hide", F.lit(False)), F.col("opacity")).otherwise(prev)
     touched = F.coalesce(*[F.when(F.col(k).isNotNull(), True) for k in kinds if k not in ("front", "back", "delete")], F.lit(False))
     yes = lambda k: F.coalesce(F.col(f"{k}.relative"), F.lit(False))
     factor = F.col("sized.a")
     new = {
         "opacity": opacity,
         "prev_opacity": prev,
-        "groups": group_tags(F.col("groups"), F.col("group"), F.col("ungroup")),
+        "groups": group_tags(F.col("groups"), F.col("group"), F.col("ungroup") & ~fresh),
         "link": F.coalesce(F.col("link_to"), F.col("link")),
         "x": move(F.col("x"), F.col("moved.a"), F.col("moved.a"), yes("moved")),
         "width": resize(F.col("width"), F.col("sized.a"), factor, yes("sized")),
@@ -179,11 +186,47 @@ def apply_changes(elements: DataFrame, changes: DataFrame) -> DataFrame:
         "angle": F.when(
             F.col("turned").isNotNull(), rotate(F.col("angle"), F.coalesce("turned.a", F.lit(0.0)), yes("turned"))
         ).otherwise(F.col("angle")),
-        "version": F.when(touched, F.coalesce(F.nullif(F.col("version"), F.lit(0)), F.lit(1)) + 1).otherwise(F.col("version")),
+        "version": F.when((touched | replaced) & ~fresh, F.coalesce(F.nullif(F.col("version"), F.lit(0)), F.lit(1)) + 1).otherwise(F.col("version")),
         "band": F.when(F.coalesce("back", F.lit(False)), -1).when(F.coalesce("front", F.lit(False)), 1).otherwise(0),
     }
-    if "y" in elements.columns:
+    if "y" in columns:
         new["y"] = move(F.col("y"), F.col("moved.b"), F.col("moved.b"), yes("moved"))
-    if "points" in elements.columns:
+    if "points" in columns:
         new["points"] = F.when(yes("sized") & (factor > 0), scale_points(F.col("points"), factor)).otherwise(F.col("points"))
-    return kept.select(*[new.pop(c).alias(c) if c in new else F.col(c) for c in elements.columns], *[v.alias(n) for n, v in new.items()])
+    return rows.select(*[new.pop(c).alias(c) if c in new else F.col(c) for c in columns], *[v.alias(n) for n, v in new.items()])
+
+
+def _netted(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if "second" not in changes.columns:
+        changes = changes.withColumn("second", F.lit(None).cast("double"))
+    return changes, commands(changes)
+
+
+def apply_changes(elements: DataFrame, changes: DataFrame) -> DataFrame:
+    """Elements after the change commands: deletes, hide and show, groups, links, geometry, layer band, version.
+
+    `elements`: id, x, y, width, height, angle, points, opacity, prev_opacity, groups, link, version, ...; y and points
+    may be missing. `changes` may lack the second value.
+    """
+    changes, net = _netted(changes)
+    return _commanded(_kept(elements, changes, net), elements.columns, [c for c in net.columns if c != "id"])
+
+
+def merge_batch(elements: DataFrame, added: DataFrame, changes: DataFrame) -> DataFrame:
+    """Elements after a batch that brings new rows and change commands for old and new ones.
+
+    Deletes meet the old elements only. A new row with the id of an element that stays overrides the columns it gives
+    (null: not given); any other is new itself. Commands then reach both: also an element that the same batch adds is
+    hidden, shown, grouped, linked and moved. `added` has the columns of `elements`, each id once.
+    """
+    changes, net = _netted(changes)
+    kinds = [c for c in net.columns if c != "id"]
+    old = _kept(elements, changes, net).select(*elements.columns, F.lit(True).alias("_old"))
+    given = added.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_n_{c}") for c in elements.columns if c != "id"], F.lit(True).alias("_new"))
+    both = old.join(given, F.col("id") == F.col("_id"), "full_outer")
+    merged = both.select(
+        F.coalesce("id", "_id").alias("id"), *[F.coalesce(f"_n_{c}", c).alias(c) if c != "version" else F.coalesce(c, f"_n_{c}").alias(c) for c in elements.columns if c != "id"],
+        F.col("_old").isNull().alias("_fresh"), (F.col("_old") & F.col("_new")).alias("_replaced"),
+    )
+    rows = merged.join(net, "id", "left")
+    return _commanded(rows, elements.columns, kinds, F.col("_fresh"), F.coalesce("_replaced", F.lit(False)))

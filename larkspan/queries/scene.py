@@ -184,6 +184,47 @@ def apply_changes(t):
     )
 
 
+@query(
+    "U6",
+    """
+    with ch as (
+      select o_orderkey seq, cast(o_custkey * 2 as varchar) id, o_orderpriority txt, o_orderkey::double num,
+        (['delete','hide','show','group','ungroup','link','move_by'])[o_orderkey % 7 + 1] op from orders),
+    cm as (
+      select id, bool_or(op = 'delete') del, bool_or(op = 'hide') hid, arg_max(num, seq) filter (op = 'show') sho, arg_max(txt, seq) filter (op = 'group') grp,
+        bool_or(op = 'ungroup') ung, arg_max(txt, seq) filter (op = 'link') lnk, arg_max(num, seq) filter (op = 'move_by') mv, bool_or(op <> 'delete') touched
+      from ch group by 1),
+    el as (
+      select cast(c_custkey as varchar) id, c_acctbal x, case when c_nationkey % 3 = 0 then 0.0 else 80.0 end::double opacity, case when c_nationkey % 3 = 0 then 60.0 end::double prev,
+        case when c_nationkey % 4 = 0 then 'old' else '' end g from customer),
+    ad as (select cast(s_suppkey * 20 as varchar) id, s_acctbal x, case when s_suppkey % 2 = 0 then 30.0 end::double opacity, case when s_suppkey % 3 = 0 then 'new' end g from supplier),
+    kept as (select el.*, true as old from el left join cm using (id) where not coalesce(del, false)),
+    al as (
+      select coalesce(k.id, a.id) id, coalesce(a.x, k.x) x, coalesce(a.opacity, k.opacity) opacity, k.prev, coalesce(a.g, k.g) g, k.id is null fresh, k.id is not null and a.id is not null repl
+      from kept k full outer join ad a on k.id = a.id)
+    select al.id, case when hid then 0.0 when sho is not null then sho else opacity end opacity,
+      case when hid then case when fresh then opacity when opacity <> 0 then opacity else coalesce(prev, 100) end else prev end prev_opacity,
+      case when grp is not null then case when coalesce(g, '') = '' then grp else g || '|' || grp end when ung and not fresh then '' else g end groups,
+      lnk as link, x + coalesce(mv, 0) x, case when fresh then 1 when repl or coalesce(touched, false) then 2 else 1 end as version
+    from al left join cm using (id)
+    """,
+)
+def merge_batch(t):
+    ops = F.array(*[F.lit(o) for o in ("delete", "hide", "show", "group", "ungroup", "link", "move_by")])
+    commands = t.orders.select(
+        F.col("o_orderkey").alias("seq"), F.element_at(ops, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("op"), (F.col("o_custkey") * 2).cast("string").alias("id"),
+        F.col("o_orderpriority").alias("text"), F.col("o_orderkey").cast("double").alias("number"),
+    )
+    old = scene(t)
+    none = {f.name: F.lit(None).cast(f.dataType) for f in old.schema}
+    k = F.col("s_suppkey")
+    given = none | {
+        "id": (k * 20).cast("string"), "x": F.col("s_acctbal"), "opacity": F.when(k % 2 == 0, 30.0), "groups": F.when(k % 3 == 0, F.array(F.lit("new"))), "version": F.lit(1),
+    }
+    out = S.merge_batch(old, t.supplier.select(*[c.alias(n) for n, c in given.items()]), commands)
+    return out.select("id", "opacity", "prev_opacity", F.array_join("groups", "|").alias("groups"), "link", "x", "version")
+
+
 @query(
     "E2",
     """

@@ -148,7 +148,7 @@ def change_feed(t):
     feed = changes(Streams(t))
     each = J.change_feed(path, scene(t))
     R.drain_batches(feed, "scene", each)
-    return _read(t, f"{path}/version={each.newest}").select("id", "opacity", "link", "x", "version")
+    return each.log.read().select("id", "opacity", "link", "x", "version")
 
 
 @query(
@@ -183,8 +183,9 @@ def fan_out_publish(t):
     """,
 )
 def retention_monitor(t):
-    listing, plan = J.new_paths(t.spark, "listing", "plan")
+    (path,) = J.new_paths(t.spark, "retention")
     files = Streams(t).documents.select("source", "doc_id", "n_chars")
-    each = J.retention_monitor(listing, plan, ["source"], ["doc_id"], "n_chars", F.floor(F.col("doc_id") / 4096), 50000)
+    shape = t.documents.select(*files.columns)
+    each = J.retention_monitor(path, shape, ["source"], ["doc_id"], "n_chars", F.floor(F.col("doc_id") / 4096), 50000)
     R.drain_batches(files, "retention", each)
-    return _read(t, f"{plan}/batch_id={each.newest}")
+    return t.spark.read.option("basePath", each.plan).parquet(f"{each.plan}/batch_id=*").select(*files.columns)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.progress import parse_progress
-from larkspan.operators.matching import evict_plan
-from larkspan.operators.scene import apply_changes
-from larkspan.session import work_path
+from larkspan.operators.scene import apply_changes, whole_delete
+from larkspan.session import cut_lineage, work_path
+from larkspan.streaming.change_log import EVERY, ChangeLog
 from larkspan.streaming.ordered import expiry_fold, in_order, requests_fold, sized_fold, stable_fold
 
 # Fixed value: bytes after which a preview is made.
@@ -98,36 +98,70 @@ def unexpired(entries: DataFrame, ts: Column, now: Column, ttl: str) -> DataFram
     return entries.filter(ts >= now - F.expr(f"interval {ttl}"))
 
 
-def change_feed(table_path: str, elements: DataFrame):
-    """A batch function that applies each batch of changes to the newest version of a keyed table.
+def change_feed(table_path: str, elements: DataFrame, every: int = EVERY):
+    """A batch function that applies each batch of change commands to a keyed table; `each.log` reads it.
 
-    Version `v` of the table is the state after batch `v`. A batch that is repeated reads version `v - 1`
-    again and overwrites version `v`, so it is applied once.
+    A batch reads the buckets of the elements it names and writes their new images only. A batch that is repeated is
+    applied once.
     """
-    spark = elements.sparkSession
-    elements.write.mode("overwrite").parquet(f"{table_path}/version=start")
+    log = ChangeLog(table_path, elements, "id", every=every)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = "start" if batch_id == 0 else str(batch_id - 1)
-        state = spark.read.parquet(f"{table_path}/version={before}")
-        apply_changes(state, batch).select(*elements.columns).write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
-        each.newest = str(batch_id)
+        log.apply(batch, batch_id, lambda b: b.select("id"), apply_changes, lambda b: b.agg(whole_delete(b)).first()[0])
 
-    each.newest = "start"
+    each.log = log
     return each
 
 
-def retention_monitor(listing_path: str, plan_path: str, store: list[str], order: list[str], size: str, piece: Column, limit: int):
-    """A batch function: the files of finished jobs join the listing, then the plan of files to delete is renewed."""
+def retention_monitor(path: str, files: DataFrame, store: list[str], order: list[str], size: str, piece: Column, limit: int):
+    """A batch function: files join their stores, and the oldest go until each store that grew fits its limit again.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{listing_path}/batch_id={batch_id}")
-        files = spark.read.option("basePath", listing_path).parquet(f"{listing_path}/batch_id=*").select(*batch.columns)
-        evict_plan(files, store, order, size, piece, limit).write.mode("overwrite").parquet(f"{plan_path}/batch_id={batch_id}")
-        each.newest = str(batch_id)
+    `piece` cuts a store into pieces that rise with the order. What is kept of a piece is its total and its files; a batch
+    reads the pieces that it adds to, the totals of its stores, and the pieces that lose files. The files to delete of
+    batch k are `plan/batch_id=k`. `files` gives the schema (an empty frame will do).
+    """
+    cols = files.columns
+    kinds = {c: t for c, t in files.dtypes}
+    listed = "array<struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in cols) + ">>"
+    parts = files.select(*store, piece.alias("_piece")).limit(0)
+    schema = ", ".join(["_key string", *[f"`{c}` {kinds[c]}" for c in store], f"_piece {dict(parts.dtypes)['_piece']}", "_bytes long", f"_files {listed}"])
+    log = ChangeLog(f"{path}/pieces", files.sparkSession.createDataFrame([], schema), "_key")
+    names = log.schema.names
+
+    def pieces(batch: DataFrame) -> DataFrame:
+        marked = batch.withColumn("_piece", piece).withColumn("_key", F.to_json(F.struct(*store, "_piece")))
+        return marked.groupBy("_key", *store, "_piece").agg(
+            F.sum(F.coalesce(size, F.lit(0))).cast("long").alias("_bytes"), F.collect_list(F.struct(*cols)).cast(listed).alias("_files")
+        ).select(*names)
+
+    def grown(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new).groupBy("_key", *store, "_piece")
+        return both.agg(F.sum("_bytes").alias("_bytes"), F.flatten(F.collect_list("_files")).alias("_files"))
 
-    each.newest = None
+    def each(batch: DataFrame, batch_id: int) -> None:
+        new = cut_lineage(pieces(batch.select(*cols)))
+        log.apply(new, 2 * batch_id, lambda b: b.select("_key"), grown)
+        same = F.lit(True)
+        asked = new.select(*[F.col(c).alias(f"a_{c}") for c in store]).distinct()
+        for c in store:
+            same = same & F.col(c).eqNullSafe(F.col(f"a_{c}"))
+        totals = log.read().select("_key", *store, "_piece", "_bytes").join(asked, same, "left_semi")
+        before = Window.partitionBy(*store).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        summed = totals.withColumns({"_before": F.coalesce(F.sum("_bytes").over(before), F.lit(0)), "_total": F.sum("_bytes").over(Window.partitionBy(*store))})
+        doomed = cut_lineage(summed.filter(F.col("_total") - F.col("_before") > limit).select(F.col("_key").alias("_lost"), "_before", "_total"))
+        inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = log.read().join(doomed, F.col("_key") == F.col("_lost")).select("_key", "_before", "_total", F.explode("_files").alias("_file")).select("_key", "_before", "_total", "_file", "_file.*")
+        gone = F.col("_total") - F.col("_before") - F.coalesce(F.sum(size).over(inside), F.lit(0)) > limit
+        settled = cut_lineage(rows.withColumn("_gone", gone))
+        settled.filter("_gone").select(*cols).write.mode("overwrite").parquet(f"{path}/plan/batch_id={batch_id}")
+        left = settled.filter("not _gone").groupBy("_key").agg(F.sum(size).cast("long").alias("_bytes"), F.collect_list("_file").alias("_files"))
+
+        def shrunk(old: DataFrame, _: DataFrame) -> DataFrame:
+            return old.drop("_bytes", "_files").join(left, "_key").select(*names)
+
+        log.apply(doomed, 2 * batch_id + 1, lambda b: b.select("_lost"), shrunk)
+
+    each.log, each.plan = log, f"{path}/plan"
     return each
 
 

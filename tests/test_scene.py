@@ -88,3 +88,17 @@ def test_element_defaults(spark):
     cols = S.format_element({"x": F.lit("5"), "opacity": F.lit("0"), "type": F.lit("")})
     r = spark.range(1).select(*[c.alias(n) for n, c in cols.items()]).first()
     assert (r.x, r.y, r.width, r.opacity, r.type, r.fill_style) == (5.0, 100.0, 140.0, 100.0, "rectangle", "solid")
+
+
+def test_commands_reach_rows_that_the_batch_adds(spark):
+    old = [element("a"), element("b", 0.0), element("c"), element("d", groups=["g"])]
+    added = [element("n", 70.0), element("b", 40.0), ("c", None, 9.0, None, None, None, None, None, None, 5), element("m", 20.0, ["x"])]
+    ops = [("hide", "n", None, None), ("group", "n", "k", None), ("link", "m", "to", None), ("ungroup", "m", None, None), ("move_by", "m", None, 5.0), ("delete", "a", None, None), ("delete", "b", None, None), ("ungroup", "d", None, None), ("show", "gone", None, None)]
+    changes = spark.createDataFrame([(k, op, i, text, number, None) for k, (op, i, text, number) in enumerate(ops)], S.CHANGE)
+    out = S.merge_batch(spark.createDataFrame(old, ELEMENTS), spark.createDataFrame(added, ELEMENTS), changes)
+    got = {r.id: r for r in out.collect()}
+    assert set(got) == {"n", "b", "c", "d", "m"}
+    assert (got["n"].opacity, got["n"].prev_opacity, got["n"].groups, got["n"].version) == (0.0, 70.0, ["k"], 1)
+    assert (got["m"].link, got["m"].groups, got["m"].x, got["m"].version) == ("to", ["x"], 15.0, 1)
+    assert (got["b"].opacity, got["b"].version) == (40.0, 1)  # deleted and added anew
+    assert (got["c"].x, got["c"].width, got["c"].version) == (10.0, 9.0, 2) and (got["d"].groups, got["d"].version) == ([], 2)

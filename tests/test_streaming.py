@@ -9,6 +9,7 @@ from larkspan.operators.scene import apply_changes
 from larkspan.streaming import jobs as J
 from larkspan.streaming import ordered as Q
 from larkspan.streaming import run as R
+from larkspan.streaming.change_log import ChangeLog
 from tests.test_scene import ELEMENTS, element
 
 COLS = "u string, ts int, i int, kind string, size int"
@@ -129,31 +130,81 @@ def test_current_state_keeps_the_newest(spark, tmp_path):
     assert got == last
 
 
-def test_change_feed_applies_batches_in_order(spark, tmp_path):
-    elements = spark.createDataFrame([element("a"), element("b")], ELEMENTS)
-    feed = [(1, "move_dx", "a", None, 5.0), (2, "hide", "b", None, None), (3, "move_dx", "a", None, 2.0), (4, "show", "b", None, 30.0), (5, "group", "a", "g", None), (6, "delete", "b", None, None)]
+@pytest.mark.parametrize("every", [2, 100])
+def test_change_feed_applies_batches_in_order(spark, tmp_path, every):
+    elements = spark.createDataFrame([element(x) for x in "abcdefgh"], ELEMENTS)
+    feed = [(1, "move_dx", "a", None, 5.0), (2, "hide", "b", None, None), (3, "move_by", "a", None, 2.0), (4, "show", "b", None, 30.0), (5, "group", "a", "g", None), (6, "delete", "b", None, None)]
+    feed += [(7, "hide", "h", None, None), (8, "link", "b", "gone", None), (9, "delete", "c", None, None), (10, "move", "d", None, 1.0)]
     cols = "seq long, op string, id string, text string, number double"
-    stream = files(spark, tmp_path, feed, 3, cols)
-    table = str(tmp_path / "table")
-    each = J.change_feed(table, elements)
+    stream = files(spark, tmp_path, feed, 5, cols)
+    each = J.change_feed(str(tmp_path / "table"), elements, every)
     R.drain_batches(stream, "feed", each, checkpoint=str(tmp_path / "cp"))
     state = elements
-    for k in range(3):
+    for k in range(5):
         state = apply_changes(state, spark.createDataFrame(feed[2 * k : 2 * k + 2], cols)).select(*elements.columns)
-        got = spark.read.parquet(f"{table}/version={k}")
+        got = each.log.read(str(k)).select(*elements.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, state.collect()))
     # a batch that is repeated after a failure is applied once
-    each(spark.createDataFrame(feed[4:], cols), 2)
-    assert sorted(map(str, spark.read.parquet(f"{table}/version=2").collect())) == sorted(map(str, state.collect()))
-
-
-def test_retention_monitor_renews_the_plan(spark, tmp_path):
-    rows = [("s", i, 10) for i in range(9)]
-    stream = files(spark, tmp_path, rows, 3, "store string, at int, size long")
-    each = J.retention_monitor(str(tmp_path / "list"), str(tmp_path / "plan"), ["store"], ["at"], "size", F.floor(F.col("at") / 4), 50)
+    each(spark.createDataFrame(feed[8:], cols), 4)
+    assert sorted(map(str, each.log.read().collect())) == sorted(map(str, state.collect()))
+    each(spark.createDataFrame([(11, "delete", "*", None, None)], cols), 5)
+    assert each.log.read().count() == 0
+    each(spark.createDataFrame([(12, "hide", "a", None, None)], cols), 6)
+    assert each.log.read().count() == 0
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    """A batch of two changes writes about the same for a table of any size, and reads its buckets only."""
+    written = {}
+    for n in (500, 20_000):
+        rows = spark.range(n).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        log = ChangeLog(str(tmp_path / f"t{n}"), rows, "id", every=3)
+        for k in range(3):
+            batch = spark.createDataFrame([(str(k), "new"), (str(k + 100), "new")], "id string, v string")
+            log.apply(batch, k, lambda b: b.select("id"), lambda old, new: new)
+            run = sum(f.stat().st_size for f in (tmp_path / f"t{n}" / "delta" / f"batch_id={k}").rglob("*.parquet"))
+            written[n, k] = run
+        assert log.read().count() == n and log.read().filter("v = 'new'").count() == 6
+        whole = sum(f.stat().st_size for f in (tmp_path / f"t{n}" / "base" / "run=start").rglob("*.parquet"))
+        again = sum(f.stat().st_size for f in (tmp_path / f"t{n}" / "base" / "run=2").rglob("*.parquet"))
+        assert again < whole / 5  # only the buckets of six keys are compacted
+    assert all(written[500, k] == pytest.approx(written[20_000, k], rel=0.1) for k in range(3))
+
+
+def kept(files, limit):
+    """The newest files of a store that fit together."""
+    total, out = 0, set()
+    for at, size in sorted(files, reverse=True):
+        total += size
+        if total > limit:
+            break
+        out.add(at)
+    return out
+
+
+def test_retention_monitor_follows_its_deltas(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice(["s", "s", "t", None]), i, rng.choice([0, 7, 10, 25])) for i in range(60)]
+    rows = rows[:30] + rows[40:] + rows[30:40]  # ten older files come last
+    cols = "store string, at int, size long"
+    stream = files(spark, tmp_path, rows, 4, cols)
+    each = J.retention_monitor(str(tmp_path / "r"), spark.createDataFrame([], cols), ["store"], ["at"], "size", F.floor(F.col("at") / 4), 90)
     R.drain_batches(stream, "retention", each)
-    plans = [{r["at"] for r in spark.read.parquet(f"{tmp_path}/plan/batch_id={k}").collect()} for k in range(3)]
-    assert plans == [set(), {0}, {0, 1, 2, 3}]
+    here, gone = {}, []
+    for k in range(4):
+        for store, at, size in rows[15 * k : 15 * k + 15]:
+            here.setdefault(store, {})[at] = size
+        for store, found in here.items():
+            stay = kept(found.items(), 90)
+            gone += [(k, store, at) for at in found if at not in stay]
+            here[store] = {at: s for at, s in found.items() if at in stay}
+    got = spark.read.option("basePath", each.plan).parquet(f"{each.plan}/batch_id=*")
+    assert sorted((r.batch_id, str(r.store), r["at"]) for r in got.collect()) == sorted((k, str(s), at) for k, s, at in gone)
+    held = each.log.read().select(F.explode("_files").alias("f")).select("f.*")
+    assert {(r.store, r["at"]) for r in held.collect()} == {(s, at) for s, found in here.items() for at in found}
+    again = each.log.read().agg(F.sum("_bytes")).first()[0]
+    each(spark.createDataFrame(rows[45:], cols), 3)  # repeated after a failure
+    assert each.log.read().agg(F.sum("_bytes")).first()[0] == again
 
 
 def test_publish_and_text_source(spark, tmp_path):
