@@ -1,8 +1,8 @@
 """How document filters interact: what each removes in every order, over a sparse document-term matrix.
 
 1. Shards. The words of a block of documents are numbered within the block and counted per document.
-2. Dictionary. The distinct words of the shards get dense global numbers; the numbers go back by shard and word, so a
-   word moves once for each shard and not for each document.
+2. Dictionary. The distinct words of the shards meet in buckets of their checksums and get dense global numbers; the
+   numbers go back to the shards. A word moves once for each shard and not for each document, packed with others.
 3. Matrix. Every shard becomes compressed sparse rows: row bounds, global word numbers, counts. The sums of the rows are
    the words of the documents, the lengths of the rows their distinct words; these decide filters A and B.
 4. The other flags join them (C and D from the characters, E from equal texts), and all documents become one mask of
@@ -12,25 +12,27 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from larkspan.llm.common import read, slices, whole
+from larkspan.llm.bpe import pack_words, unpack_words
+from larkspan.llm.common import read, shuffle_width, slices, whole
 from larkspan.session import cut_lineage
 
 FILTERS = "ABCDE"
-SHARD = 2_000_000  # characters of the texts of a shard; a longer text is a shard alone
+SHARD = 16_000_000  # characters of the texts of a shard; a longer text is a shard alone
+BUCKET_WORDS = 2_000_000  # words of all shards in a bucket of the dictionary, on average
 CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
-LOCAL = "shard long, ids array<long>, parts array<string>, digests array<binary>, bits array<int>, bounds array<int>, columns array<int>, counts array<int>, words array<string>"
-CSR = "shard long, ids array<long>, parts array<string>, digests array<binary>, bits array<int>, bounds array<int>, columns array<long>, counts array<int>"
+CSR = "shard long, ids array<long>, parts array<string>, digests array<binary>, bits array<int>, bounds binary, columns binary, counts binary"
 
 
 class Numbers(dict):
@@ -47,8 +49,18 @@ def character_bits(text: str, data: bytes) -> int:
     return 4 * (100 * capitals > 2 * len(text)) + 8 * (len(data) != len(data.translate(None, SIGNS)))
 
 
+def shrink(numbers: np.ndarray) -> bytes:
+    """An array as compressed bytes."""
+    data = numbers.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def grow(packed: bytes, kind=np.int32) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), kind)
+
+
 def _shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, size: int) -> DataFrame:
-    """Blocks of documents with their counts of words, numbered within the block."""
+    """Blocks of documents with their counts of words; the words of a block are numbered in the order of their checksum."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
@@ -66,43 +78,91 @@ def _shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, size: in
                     bounds.append(bounds[-1] + len(found))
                     digests.append(hashlib.sha256(data).digest())
                     bits.append(character_bits(text, data))
-                row = (number, ids[start:end], parts[start:end], digests, bits, bounds, np.concatenate(columns), np.concatenate(counts), [w.decode() for w in known])
-                yield pd.DataFrame([row], columns=["shard", "ids", "parts", "digests", "bits", "bounds", "columns", "counts", "words"])
+                listed = list(known)
+                order = np.argsort(_checksums(listed), kind="stable")
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                yield pd.DataFrame([{
+                    "shard": number, "ids": ids[start:end], "parts": parts[start:end], "digests": digests, "bits": bits, "bounds": shrink(np.array(bounds, np.int32)),
+                    "columns": shrink(place[np.concatenate(columns)]), "counts": shrink(np.concatenate(counts)),
+                    "words": pack_words([listed[k] for k in order.tolist()]), "n_words": len(listed),
+                }])
                 number += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), whole(text_col).alias("text"))
-    return cut_lineage(rows.mapInPandas(work, LOCAL))
+    return cut_lineage(rows.mapInPandas(work, f"{CSR}, words binary, n_words long"))
+
+
+def _checksums(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
 
+def _numbered(shards: DataFrame) -> DataFrame:
+    """Per bucket of checksums the distinct words (shard null), and per shard and bucket the numbers of its words there."""
+    total = shards.agg(F.sum("n_words")).first()[0] or 0
+    n = max(shuffle_width(shards.sparkSession), -(-total // BUCKET_WORDS))
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """word, word_id: dense numbers from 0 for the distinct words. Only counts per partition are summed in one place."""
-    own = F.monotonically_increasing_id()
-    dealt = cut_lineage(words.select("word").distinct().select("word", F.shiftright(own, 33).alias("piece"), own.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
-    counts = sorted((r.piece, r.n) for r in dealt.groupBy("piece").agg(F.count("*").alias("n")).collect())  # a row per partition
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, packed in zip(batch["shard"], batch["words"], strict=True):
+                words = unpack_words(packed)
+                cuts = np.searchsorted((_checksums(words) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1)).tolist()
+                rows = [(shard, k, pack_words(words[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield pd.DataFrame(rows, columns=["shard", "bucket", "words"])
+
+    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        known = Numbers()
+        out = [(shard, key[0], shrink(np.array([known[w] for w in unpack_words(packed)], np.int32)), None, None) for shard, packed in zip(rows["shard"], rows["words"], strict=True)]
+        out.append((None, key[0], None, pack_words(list(known)), len(known)))
+        found = pd.DataFrame(out, columns=["shard", "bucket", "numbers", "words", "n"])
+        return found.astype({"shard": "Int64", "n": "Int64"})
+
+    dealt = shards.select("shard", "words").mapInPandas(deal, "shard long, bucket int, words binary")
+    return cut_lineage(dealt.groupBy("bucket").applyInPandas(encode, "shard long, bucket int, numbers binary, words binary, n long"))
+
+
+def _starts(numbered: DataFrame) -> DataFrame:
+    """bucket, before: how many words lie in the buckets before. One row per bucket passes the driver."""
+    counts = sorted((r.bucket, r.n) for r in numbered.filter("shard is null").select("bucket", "n").collect())
     before = np.cumsum([0, *(n for _, n in counts)]).tolist()
-    starts = dealt.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "piece long, before long")
-    return dealt.join(starts, "piece").select("word", (F.col("before") + F.col("place")).alias("word_id"))
+    return numbered.sparkSession.createDataFrame([(b, s) for (b, _), s in zip(counts, before, strict=False)], "bucket int, before long")
+
+
+def dictionary(numbered: DataFrame) -> DataFrame:
+    """word, word_id: the distinct words with their dense numbers from 0."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for before, packed in zip(batch["before"], batch["words"], strict=True):
+                words = unpack_words(packed)
+                yield pd.DataFrame({"word": [w.decode() for w in words], "word_id": np.arange(before, before + len(words))})
+
+    words = numbered.filter("shard is null").select("bucket", "words").join(_starts(numbered), "bucket")
+    return words.select("before", "words").mapInPandas(work, "word string, word_id long")
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(shards of compressed sparse rows, the dictionary word, word_id).
 
-    A shard holds ids, parts, digests of the texts and bits of filters C and D of its documents; row k has the words
-    `columns[bounds[k] : bounds[k + 1]]`, each `counts` times. Null texts have no words. Repeated rows are rows of their
-    own, null ids and parts stay (a null part is the empty string). An empty table gives no shards.
+    A shard holds ids, parts, digests of the texts and bits of filters C and D of its documents, and the packed arrays
+    `bounds`, `columns` (long) and `counts` (see `grow`): row k has the words `columns[bounds[k] : bounds[k + 1]]`, each
+    `counts` times. Null texts have no words. Repeated rows are rows of their own, null ids and parts stay (a null part is
+    the empty string). An empty table gives no shards.
     """
     local = _shards(docs, id_col, text_col, part_col, size)
-    words = cut_lineage(dictionary(local.select(F.explode("words").alias("word"))))
-    placed = local.select("shard", F.posexplode("words").alias("place", "word")).join(words, "word")
-    numbers = placed.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "word_id")))["word_id"].alias("numbers"))
+    numbered = _numbered(local)
+    mine = numbered.filter("shard is not null").select("shard", "bucket", "numbers").join(_starts(numbered), "bucket")
+    lists = mine.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "before", "numbers"))).alias("n"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            encoded = [c if n is None else n[c] for n, c in zip(batch["numbers"], batch["columns"], strict=True)]
-            yield batch.drop(columns="numbers").assign(columns=encoded)
+            for k, row in enumerate(batch.itertuples()):
+                numbers = [grow(x) + np.int64(b) for b, x in zip(row.before, row.numbers, strict=True)] if row.numbers is not None else []
+                columns = np.concatenate([*numbers, np.zeros(0, np.int64)])[grow(row.columns)]
+                yield batch.iloc[k : k + 1].drop(columns=["before", "numbers"]).assign(columns=[shrink(columns)])
 
-    found = local.drop("words").join(numbers, "shard", "left")
-    return found.mapInPandas(work, CSR), words
+    found = local.drop("words", "n_words").join(lists, "shard", "left").select("*", F.col("n.before").alias("before"), F.col("n.numbers").alias("numbers")).drop("n")
+    return found.mapInPandas(work, CSR), dictionary(numbered)
 
 
 def row_flags(matrix: DataFrame) -> DataFrame:
@@ -111,8 +171,8 @@ def row_flags(matrix: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                bounds = np.asarray(row.bounds)
-                sums = np.concatenate([[0], np.cumsum(row.counts, dtype=np.int64)])[bounds]
+                bounds = grow(row.bounds)
+                sums = np.concatenate([[0], np.cumsum(grow(row.counts), dtype=np.int64)])[bounds]
                 n_words, n_distinct = np.diff(sums), np.diff(bounds)
                 bits = (n_words < 200) + 2 * (100 * n_distinct < 50 * n_words) + np.asarray(row.bits)
                 ids = pd.array([None if x is None or x != x else int(x) for x in row.ids], "Int64")

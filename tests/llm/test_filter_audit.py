@@ -5,7 +5,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from larkspan.llm.filter_audit import audit, filter_audit, masks, row_flags, term_matrix
+from larkspan.llm.filter_audit import audit, filter_audit, grow, masks, row_flags, term_matrix
 
 SCHEMA = "doc_id long, text string, source string, id long, digest string, bits string, n string, word string"
 
@@ -77,8 +77,8 @@ def test_matrix_holds_the_words(spark, size):
     shards = matrix.collect()
     for m in shards:
         for k, (i, part) in enumerate(zip(m.ids, m.parts, strict=True)):
-            a, b = m.bounds[k : k + 2]
-            got[i, part, frozenset((names[c], n) for c, n in zip(m.columns[a:b], m.counts[a:b], strict=True))] += 1
+            a, b = grow(m.bounds)[k : k + 2]
+            got[i, part, frozenset((names[c], n) for c, n in zip(grow(m.columns, np.int64)[a:b].tolist(), grow(m.counts)[a:b].tolist(), strict=True))] += 1
     assert got == want and (len(shards) > 10) == (size == 50)
     flags = row_flags(matrix).collect()
     assert Counter((f.id, f.n_words, f.n_distinct) for f in flags) == Counter((i, len(words(t)), len(set(words(t)))) for i, t, _ in rows)
