@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import fold_text
-from larkspan.plans.ordered import Running, positions, running
+from larkspan.plans.ordered import Running, positions, run_positions, running
 
 # Limits of the capture loops.
 STOP_REPEATS = 3
@@ -16,18 +16,6 @@ HISTORY = 5
 SEARCH_HISTORY = 30
 
 
-def run_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece, value: str) -> DataFrame:
-    """Add `row` (1-based) and `since`: how many rows before this one, in a row, have the same value."""
-    packed = F.struct(F.col(value).alias("v"))
-    seen = running(
-        df, keys, order, piece,
-        {"_before": Running(packed, "last", inclusive=False), "row": Running(F.lit(1).cast("long"))},
-    )
-    starts = F.when((F.col("row") == 1) | ~F.col(value).eqNullSafe(F.col("_before.v")), F.col("row"))
-    out = running(seen, keys, order, piece, {"_start": Running(starts, "max")})
-    return out.withColumn("since", F.col("row") - F.col("_start")).drop("_before", "_start")
-
-
 def drop_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece, value: str, stop: int = STOP_REPEATS, cap: int | None = None):
     """Rows that differ from the one before, up to the first run with `stop` repeats; at most `cap` rows per key."""
     marked = run_positions(df, keys, order, piece, value)

@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.functions.transcripts import apply_terms as fold_terms
 from larkspan.plans.ordered import rank
 
-CHUNK = 4096
+CHUNK = 50_000
+
+
+class Replacer:
+    """Readings in order, each with its target. One pass over a text finds which readings occur at all.
+
+    A target can make a later reading occur, so the text is searched again after each replacement; readings that do not
+    occur cost nothing. The automaton is built where it is used, once per task.
+    """
+
+    def __init__(self, terms: list[tuple[str, str]]):
+        self.terms, self._found = terms, None
+
+    def __getstate__(self) -> list[tuple[str, str]]:
+        return self.terms
+
+    def __setstate__(self, terms: list[tuple[str, str]]) -> None:
+        self.terms, self._found = terms, None
+
+    def _automaton(self):
+        if self._found is None:
+            import ahocorasick
+
+            places: dict[str, list[int]] = {}
+            for place, (reading, _) in enumerate(self.terms):
+                places.setdefault(reading, []).append(place)
+            self._found = ahocorasick.Automaton()
+            for reading, found in places.items():
+                self._found.add_word(reading, found)
+            self._found.make_automaton()
+        return self._found
+
+    def __call__(self, text: str | None) -> str | None:
+        if not text or not self.terms:
+            return text
+        automaton, done = self._automaton(), -1
+        while (due := min((place for _, places in automaton.iter(text) for place in places if place > done), default=None)) is not None:
+            text, done = text.replace(*self.terms[due]), due
+        return text
 
 
 def apply_terms(df: DataFrame, text: str, terms: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Replace every enabled reading by its target, longest reading first, then in alphabetical order.
 
-    The dictionary enters as arrays of at most `chunk` terms, so what is shipped to the tasks has a fixed
-    bound; a larger dictionary takes several passes over the text, in the same order.
+    The dictionary is ranked once. It reaches the tasks in parts of at most `chunk` terms, so what passes the driver has a
+    fixed bound; a larger dictionary takes several passes over the text, in the same order. Null texts stay null, a term
+    without a target replaces nothing.
     """
     enabled = terms.filter("is_enabled and reading <> ''").select("reading", "target").distinct()
     ranked = rank(enabled.withColumn("_short", -F.length("reading")), ["_short", "reading", "target"], "rank")
-    count = ranked.count()
-    for start in range(0, count, chunk):
-        part = ranked.filter(F.col("rank").between(start + 1, start + chunk)).agg(
-            F.array_sort(F.collect_list(F.struct("rank", "reading", "target"))).alias("t")
-        )
-        df = df.withColumn("_terms", part.scalar()).withColumn(text, fold_terms(F.col(text), F.col("_terms"))).drop("_terms")
+    last = ranked.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
+    for start in range(0, last, chunk):
+        part = ranked.filter(F.col("rank").between(start + 1, start + chunk)).select("rank", "reading", "target").collect()
+        replace = Replacer([(r.reading, r.target) for r in sorted(part) if r.target is not None])
+
+        def replaced(batches: Iterator[pd.Series], replace: Replacer = replace) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield batch.map(replace, na_action="ignore")
+
+        df = df.withColumn(text, F.pandas_udf(replaced, "string", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
     return df

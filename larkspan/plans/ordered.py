@@ -5,8 +5,8 @@ fails when one key holds a large share of the rows.  Each function here takes a
 `piece` column: a value that rises with the sort order (`id div 4096`, a day, an
 hour), so a group is cut into pieces of bounded size.
 
-  1. inside `(key, piece)` an ordinary window computes the local value,
-  2. one pre-aggregated row per `(key, piece)` is carried along the pieces,
+  1. inside `(key, piece)` an ordinary window computes the local value, and the rows are written once,
+  2. the last row of each `(key, piece)` has the totals, which are carried along the pieces,
   3. the carried value is joined back on `(key, piece)`.
 
 Only step 2 runs per key, over one small row per piece. Where even these rows are many,
@@ -66,7 +66,6 @@ def running(
     """
     keys = list(keys)
     levels = [piece] if isinstance(piece, Column) else list(piece)
-    ends = F.min_by if backward else F.max_by
 
     def direction(name: str) -> Column:
         return F.col(name).desc() if backward else F.col(name).asc()
@@ -74,45 +73,70 @@ def running(
     inputs = {f"_in_{n}": spec.value for n, spec in values.items()}
     fine = levels[0] if len(levels) == 1 else F.struct(*[c.alias(f"p{i}") for i, c in enumerate(levels)])
     base = df.withColumns({PIECE: fine, **inputs})
-
-    # max_by skips no null values, so rows without a value are left out of the ordering
-    summary = base.groupBy(*keys, PIECE).agg(
-        *[
-            ends(F.col(f"_in_{n}"), F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order))).alias(f"_p_{n}")
-            if s.kind == "last"
-            else _fold(s.kind, F.col(f"_in_{n}")).alias(f"_p_{n}")
-            for n, s in values.items()
-        ]
-    )
-    if len(levels) == 1:
-        before = Window.partitionBy(*keys).orderBy(direction(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
-        carried = summary.select(
-            *keys, PIECE, *[_fold(s.kind, F.col(f"_p_{n}")).over(before).alias(f"_c_{n}") for n, s in values.items()]
-        )
-    else:
-        renamed = summary.withColumnRenamed(PIECE, "_fine")
-        above = {f"_c_{n}": Running(F.col(f"_p_{n}"), s.kind, inclusive=False) for n, s in values.items()}
-        coarse = [F.col(f"_fine.p{i}") for i in range(len(levels) - 1)]
-        carried = running(renamed, keys, ["_fine"], coarse, above, backward).select(
-            *keys, F.col("_fine").alias(PIECE), *above
-        )
-
-    local_order = Window.partitionBy(*keys, PIECE).orderBy(*[direction(c) for c in order])
+    ordered = Window.partitionBy(*keys, PIECE).orderBy(*[direction(c) for c in order])
+    frame = lambda last: ordered.rowsBetween(Window.unboundedPreceding, last)
+    # all values share one exchange and one sort; the last row of a piece has its totals
     local = base.withColumns(
-        {
-            f"_l_{n}": _fold(s.kind, F.col(f"_in_{n}")).over(
-                local_order.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
-            )
-            for n, s in values.items()
-        }
+        {f"_p_{n}": _fold(s.kind, F.col(f"_in_{n}")).over(frame(0)) for n, s in values.items()}
+        | {f"_l_{n}": _fold(s.kind, F.col(f"_in_{n}")).over(frame(-1)) for n, s in values.items() if not s.inclusive}
+        | {"_ends": F.lead(F.lit(True)).over(ordered).isNull()}
     )
+    unread = [c for c in inputs if c not in df.columns]
+    local = cut_lineage(local.drop(*unread))
+    totals = local.filter("_ends").select(*keys, PIECE, *[f"_p_{n}" for n in values])
+    carried = _carried(totals, keys, levels, values, backward)
     joined = local.join(carried, [*keys, PIECE], "left")
     return joined.select(
         *df.columns,
-        *[_merge(s.kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, s in values.items()],
+        *[_merge(s.kind, F.col(f"_c_{n}"), F.col(f"_p_{n}" if s.inclusive else f"_l_{n}")).alias(n) for n, s in values.items()],
     )
 
 
+def _carried(totals: DataFrame, keys: list[str], levels: list[Column], values: dict[str, Running], backward: bool) -> DataFrame:
+    """keys, PIECE and `_c_` values: what the pieces before a piece hand on, from the totals of the pieces."""
+    if len(levels) == 1:
+        place = F.col(PIECE).desc() if backward else F.col(PIECE).asc()
+        before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(
+            *keys, PIECE, *[_fold(s.kind, F.col(f"_p_{n}")).over(before).alias(f"_c_{n}") for n, s in values.items()]
+        )
+    renamed = totals.withColumnRenamed(PIECE, "_fine")
+    above = {f"_c_{n}": Running(F.col(f"_p_{n}"), s.kind, inclusive=False) for n, s in values.items()}
+    coarse = [F.col(f"_fine.p{i}") for i in range(len(levels) - 1)]
+    return running(renamed, keys, ["_fine"], coarse, above, backward).select(*keys, F.col("_fine").alias(PIECE), *above)
+
+
+def run_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | Sequence[Column], value: str) -> DataFrame:
+    """Add `row` (1-based) and `since`: how many rows before this one, in a row, have the same value. Nulls are equal.
+
+    One pass over the rows: a piece knows its rows, its first and last value, and where its last run starts; whether its
+    first run goes on from the piece before is decided on these few rows.
+    """
+    keys = list(keys)
+    levels = [piece] if isinstance(piece, Column) else list(piece)
+    fine = levels[0] if len(levels) == 1 else F.struct(*[c.alias(f"p{i}") for i, c in enumerate(levels)])
+    inside = Window.partitionBy(*keys, PIECE).orderBy(*order)
+    packed = F.struct(F.col(value).alias("v"))
+    place = F.row_number().over(inside).cast("long")
+    marked = df.withColumn(PIECE, fine).withColumns({"_place": place, "_before": F.lag(packed).over(inside), "_ends": F.lead(F.lit(True)).over(inside).isNull()})
+    starts = F.when(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v")), F.col("_place"))
+    whole = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.withColumns({"_start": F.max(starts).over(whole), "_head": F.first(packed).over(whole)}).drop("_before")
+    local = cut_lineage(local)
+    ends = local.filter("_ends").select(*keys, PIECE, F.col("_place").alias("_p_row"), packed.alias("_p_last"), "_head", "_start")
+    first = _carried(ends, keys, levels, {"row": Running(F.lit(0)), "last": Running(F.lit(0), "last")}, False)
+    known = ends.join(first, [*keys, PIECE], "left").withColumn("_offset", F.coalesce("_c_row", F.lit(0)))
+    goes_on = F.coalesce(F.col("_head.v").eqNullSafe(F.col("_c_last.v")) & F.col("_c_last").isNotNull(), F.lit(False))
+    # where the last run of a piece starts, unless it is the one that came in from the piece before
+    known = known.withColumns({"_goes_on": goes_on, "_p_begun": F.when((F.col("_start") > 1) | ~goes_on, F.col("_offset") + F.col("_start"))})
+    begun = _carried(known.select(*keys, PIECE, "_p_begun"), keys, levels, {"begun": Running(F.lit(0), "max")}, False)
+    told = known.select(*keys, PIECE, "_offset", "_goes_on").join(begun, [*keys, PIECE], "left")
+    out = local.join(told, [*keys, PIECE], "left")
+    row, own = F.coalesce("_offset", F.lit(0)) + F.col("_place"), F.coalesce("_offset", F.lit(0)) + F.col("_start")
+    start = F.when((F.col("_start") == 1) & F.coalesce("_goes_on", F.lit(False)), F.col("_c_begun")).otherwise(own)
+    return out.select(*df.columns, row.alias("row"), (row - start).alias("since"))
+
+
 def rank(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
     """1-based place of each row in the total `order` of the whole table.
 

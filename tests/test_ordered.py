@@ -101,3 +101,12 @@ def test_recent_distinct_keeps_newest_spelling(spark):
     df = spark.createDataFrame(data, "u string, t int, w string")
     got = O.recent_distinct(df, "u", "w", ["t"], limit=2).orderBy("rank").collect()
     assert [(r.term, r["rank"]) for r in got] == [("x", 1), ("ＭＵＳＩＣ", 2)]
+
+
+def test_input_is_read_once(spark, tmp_path):
+    """The rows are sorted into pieces once; totals and neighbours come from what that wrote."""
+    spark.range(50).selectExpr("id % 3 as k", "id as t", "cast(id / 4 as int) as v").write.parquet(f"{tmp_path}/input")
+    rows = spark.read.parquet(f"{tmp_path}/input")
+    piece = [F.floor(F.col("t") / 20), F.floor(F.col("t") / 5)]
+    for out in (ordered.running(rows, ["k"], ["t"], piece, {"s": Running(F.col("v"))}), O.run_positions(rows, ["k"], ["t"], piece, "v")):
+        assert str(tmp_path) not in out._jdf.queryExecution().toString() and out.count() == 50

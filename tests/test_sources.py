@@ -1,3 +1,4 @@
+import random
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +93,24 @@ def test_terms_are_applied_longest_first_over_several_chunks(spark):
         assert TM.apply_terms(docs, "text", terms, chunk).first().text == "3 2 1 zz"
 
 
+def test_terms_that_make_others_occur(spark):
+    """Equal to replacing term by term, also where a target makes a later reading occur or repeats its own."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(rng.randrange(1, n)))
+    data = [(word(4), rng.choice([word(4), "", word(3)])) for _ in range(40)] + [("ab", "ab"), ("a", "aa"), ("a", "b"), ("zz" * 40, "x")]
+    texts = ["".join(rng.choice("abécd") for _ in range(n)) for n in (0, 1, 3, 30, 400, 5000)] + [None, "zz" * 90]
+    terms = spark.createDataFrame([(r, t, True) for r, t in data] + [("b", "off", False), ("", "all", True), ("c", None, True)], "reading string, target string, is_enabled boolean")
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    order = sorted(set(data), key=lambda x: (-len(x[0]), x))
+    for chunk in (7, 50_000):
+        got = {r.i: r.text for r in TM.apply_terms(docs, "text", terms, chunk).collect()}
+        for i, text in enumerate(texts):
+            for reading, target in order if text is not None else []:
+                text = text.replace(reading, target)
+            assert got[i] == text
+
+
+
 def test_merge_feeds(spark):
     rows = [("k", 0, 0, "first", None, ""), ("k", 0, 1, "second", "b", "B"), ("k", 1, 0, "third", "a", "A"), ("k", 1, 5, "x", "b", "B2"), ("m", 1, 1, "m", None, None)]
     df = spark.createDataFrame(rows, "k string, f int, o int, title string, cat string, lab string")
