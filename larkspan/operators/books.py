@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions import headings as H
-from larkspan.functions.similarity import similarity
+from larkspan.functions.similarity import similarity, similarity_from
 from larkspan.functions.text import let, part_title, strip
 from larkspan.functions.unicode import nfkc_each
 from larkspan.plans.once import once
@@ -145,7 +145,8 @@ def _scored(df: DataFrame, head: Column, contained: Column, bonus: float, method
     rows = once(df, _head=head, _in=contained).filter(
         F.col("_in") | _reachable(F.col("_title"), F.col("_head"), method, floor)
     )
-    score = similarity(F.col("_title"), F.col("_head"), method)
+    title, text = F.col("_title"), F.col("_head")
+    score = similarity_from(title, text, floor) if method == "levenshtein" else similarity(title, text, method)
     return rows.withColumn("score", F.when(F.col("_in"), F.greatest(score, F.lit(bonus))).otherwise(score))
 
 
@@ -227,7 +228,7 @@ def title_pages(books: DataFrame, key: str, entries: str, method: str = "levensh
 
 
 def _row_score(title: Column, head: Column, inside: Column, bonus: float, floor: float) -> Column:
-    lev = F.when(_reachable(title, head, "levenshtein", floor), similarity(title, head)).otherwise(F.lit(0.0))
+    lev = F.when(_reachable(title, head, "levenshtein", floor), similarity_from(title, head, floor)).otherwise(F.lit(0.0))
     return F.when(inside, F.greatest(lev, F.lit(bonus))).otherwise(lev)
 
 

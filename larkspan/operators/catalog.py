@@ -155,6 +155,18 @@ def event_sort_keys(column: str, title: Column, date: Column, shown: Column, tim
     return [t]
 
 
+def day_sort_keys(df: DataFrame, date: str, shown: str, name: str) -> DataFrame:
+    """`df` with the struct `name` of the sort keys of its date texts.
+
+    A list has far fewer days than rows: each spelling is read once and its keys are joined back.
+    """
+    spelled = df.select(F.col(date).alias("_date"), F.col(shown).alias("_shown")).distinct()
+    ts, day = sort_ts(F.col("_date")), sort_day(F.coalesce(blank_to_null(F.col("_date")), F.col("_shown")))
+    read = spelled.select("*", F.struct(ts["ok"].alias("k0"), ts["ts"].alias("k1"), day["ok"].alias("k2"), day["day"].alias("k3")).alias(name))
+    same = F.col(date).eqNullSafe(F.col("_date")) & F.col(shown).eqNullSafe(F.col("_shown"))
+    return df.join(read, same).drop("_date", "_shown")
+
+
 def sort_by(df: DataFrame, keys: Sequence[Column], position: str, reverse: bool = False, stable: bool = False):
     """Total order by keys and position. `reverse` also turns ties around, unless `stable` keeps them."""
     way = (lambda c: c.desc()) if reverse else (lambda c: c.asc())

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.functions import dates as D
+from larkspan.functions.text import norm_text
 from larkspan.operators import catalog as O
 from larkspan.operators import filters as FI
 from larkspan.plans import ordered
@@ -291,8 +292,12 @@ def listed_events(t):
 def _sort_keys(t, *columns):
     """`pos` and the sort key of each wanted column, a struct."""
     cols = [F.col(c) for c in ("title", "date", "shown", "time", "duration", "saved")]
-    keys = {c: F.struct(*[k.alias(f"k{i}") for i, k in enumerate(O.event_sort_keys(c, *cols))]) for c in columns}
-    return listed_events(t).select("pos", *[k.alias(c) for c, k in keys.items()])
+    keys = {c: F.struct(*[k.alias(f"k{i}") for i, k in enumerate(O.event_sort_keys(c, *cols))]) for c in columns if c != "date"}
+    rows = listed_events(t)
+    if "date" in columns:
+        rows = O.day_sort_keys(rows, "date", "shown", "_day")
+        keys["date"] = F.struct("_day", norm_text(F.col("time")).alias("k4"), norm_text(F.col("title")).alias("k5"))
+    return rows.select("pos", *[keys[c].alias(c) for c in columns])
 
 
 LIST_SQL = """
@@ -330,7 +335,7 @@ def sort_events(t):
 )
 def sort_events_stable(t):
     # descending with ties in the order of the list: the ascending order of the turned list, counted from its end
-    keys = _sort_keys(t, "date").withColumn("turned", -F.col("pos"))
+    keys = cut_lineage(_sort_keys(t, "date").withColumn("turned", -F.col("pos")))
     total = t.orders.agg(F.count("*").alias("n")).scalar()
     return ordered.rank(keys, ["date", "turned"], "up").select("pos", (total + 1 - F.col("up")).alias("rank"))
 

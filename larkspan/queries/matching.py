@@ -135,12 +135,12 @@ def two_date_match(t):
 @query(
     "J9",
     """
-    with f as (
-      select l_orderkey dir, 'p' || l_partkey || case when l_returnflag = 'R' then '.mp3.bak' when l_returnflag = 'A' then '.mp3' else '.txt.bak' end as name, min(l_quantity) age
-      from lineitem group by 1, 2)
-    select f.dir, f.name, substr(f.name, 1, length(f.name) - 4) original, case when g.name is null then 'restore' else 'delete' end as action
-    from f left join f g on g.dir = f.dir and g.name = substr(f.name, 1, length(f.name) - 4)
-    where f.name like '%.mp3.bak' and f.age >= 5 and f.dir not in (select o_orderkey from orders where o_orderstatus = 'P')
+    with b as (
+      select l_orderkey dir, l_partkey part from lineitem where l_returnflag = 'R' group by 1, 2 having min(l_quantity) >= 5),
+    a as (select distinct l_orderkey dir, l_partkey part from lineitem where l_returnflag = 'A'),
+    p as (select distinct o_orderkey dir from orders where o_orderstatus = 'P')
+    select b.dir, 'p' || b.part || '.mp3.bak' as name, 'p' || b.part || '.mp3' as original, case when a.part is null then 'restore' else 'delete' end as action
+    from b anti join p on b.dir = p.dir left join a on a.dir = b.dir and a.part = b.part
     """,
 )
 def restore_plan(t):

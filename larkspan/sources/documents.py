@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.functions.text import strip
+from larkspan.plans.once import once
 
 # The field names of a feed.
 FEED_FIELDS = (
@@ -75,16 +76,17 @@ def parse_ttl_docs(df: DataFrame, document: str, now: Column, ttl: float, versio
 
     A hit has the version, a numeric (not boolean) `fetched_at`, an array of items, and an age up to `ttl`.
     """
-    v = F.try_parse_json(F.col(document))
+    v = F.col("_parsed")
     part = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
     kind = F.schema_of_variant(part("fetched_at"))
     numeric = kind.isin(*NUMBER_TYPES) | kind.startswith("DECIMAL")
     is_list = F.schema_of_variant(part(items)).startswith("ARRAY")
     fetched = F.when(numeric, F.try_variant_get(v, "$.fetched_at", "double"))
     same = F.try_variant_get(v, "$.schema_version", "int") == version
-    return df.withColumn("fetched_at", fetched).withColumn(
-        "hit", F.coalesce(same & is_list & (now - F.col("fetched_at") <= ttl), F.lit(False))
-    ).withColumn("items", F.when(F.col("hit"), good_elements(part(items), item)))
+    parsed = once(df, _parsed=F.try_parse_json(F.col(document)))  # once, not for each of its fields
+    dated = once(parsed, fetched_at=fetched, _sound=same & is_list)
+    hit = F.coalesce(F.col("_sound") & (now - F.col("fetched_at") <= ttl), F.lit(False))
+    return dated.withColumn("hit", hit).withColumn("items", F.when(F.col("hit"), good_elements(part(items), item))).drop("_parsed", "_sound")
 
 
 def read_ttl_docs(df: DataFrame, document: str, now: Column, ttl: float, version: int, item: T.DataType) -> DataFrame:
