@@ -87,12 +87,15 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
             safe_name(F.col("_raw")),
             lambda n: F.array(F.left(n, F.when(F.length(n) >= GRAM, F.lit(GRAM)).otherwise(F.lit(1)))),
         )
-    left = dated.select("dir", "event_key", "item_titles", "_raw", "_date", "_date_key", F.explode(titles).alias("_title_key"))
+    # the spellings are made behind an exchange on folder and date: rows that meet nothing are gone by then
+    wanted = usable.select("dir", F.explode(F.array_distinct(F.concat(_date_windows(F.col("name")), F.array(F.lit(""))))).alias("_date_key")).distinct()
+    asked = dated.join(wanted, ["dir", "_date_key"], "left_semi").hint("rebalance", "dir", "_date_key")
+    left = asked.select("dir", "event_key", "item_titles", "_raw", "_date", "_date_key", F.explode(titles).alias("_title_key"))
 
     # files: only dates and folders with events go on
     met = usable.select("dir", "path", "name").withColumn(
         "_date_key", F.explode(F.concat(_date_windows(F.col("name")), F.array(F.lit(""))))
-    ).join(blocks, ["dir", "_date_key"])
+    ).join(blocks, ["dir", "_date_key"]).hint("rebalance", "dir", "_date_key")
     none = F.array().cast("array<string>")
     if exact:
         keys = F.concat(let(F.col("name"), _title_candidates), F.when(F.col("_flag"), F.array(F.lit(""))).otherwise(none))
