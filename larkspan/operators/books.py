@@ -8,6 +8,8 @@ and aggregate back per book.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -420,47 +422,74 @@ def even_parts(total: Column, count: Column) -> Column:
     )
 
 
-def range_size(sizes: Column, start: Column, end: Column) -> Column:
-    return array_sum(F.slice(sizes, start, F.greatest(end - start + 1, F.lit(0))))
+def prefix_sums(sizes: Column) -> Column:
+    """The sum of the first n sizes, for every n from 1, in one pass over a book; books come in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def summed(books: pd.Series) -> pd.Series:
+        return books.map(lambda book: None if book is None else np.cumsum(np.asarray(book, float)))
+
+    return summed(sizes)
+
+
+def range_size(sums: Column, start: Column, end: Column) -> Column:
+    """The size of the pages from start to end, from prefix sums."""
+    at = lambda n: F.coalesce(F.get(sums, n - 1), F.lit(0.0))
+    return F.when(end >= start, at(end) - at(start - 1)).otherwise(F.lit(0.0))
 
 
 def smallest_even_split(sizes: Column, cap: float) -> Column:
     """Part count whose even parts all fit the cap: 1 when all fits, else the smallest from ⌈size / cap⌉; null when none."""
-    total, n = array_sum(sizes), F.size(sizes)
-    first = F.least(F.greatest(F.lit(2), F.ceil(total / cap).cast("int")), n)
+    n = F.size(sizes)
 
-    def fits(k: Column) -> Column:
-        return ~F.exists(even_parts(n, k), lambda p: range_size(sizes, p["start_page"], p["end_page"]) > cap)
+    def search(sums: Column) -> Column:
+        total = F.coalesce(F.get(sums, n - 1), F.lit(0.0))
+        first = F.least(F.greatest(F.lit(2), F.ceil(total / cap).cast("int")), n)
 
-    # counts after the first fit are not tried
-    least = F.aggregate(
-        numbers(first, n), F.lit(None).cast("int"), lambda found, k: F.when(found.isNotNull(), found).when(fits(k), k)
-    )
-    return F.when(total <= cap, F.lit(1)).otherwise(least)
+        def fits(k: Column) -> Column:
+            return ~F.exists(even_parts(n, k), lambda p: range_size(sums, p["start_page"], p["end_page"]) > cap)
+
+        # counts after the first fit are not tried
+        least = F.aggregate(
+            numbers(first, n), F.lit(None).cast("int"), lambda found, k: F.when(found.isNotNull(), found).when(fits(k), k)
+        )
+        return F.when(total <= cap, F.lit(1)).otherwise(least)
+
+    return let(prefix_sums(sizes), search)
 
 
 def greedy_pack(sizes: Column, cap: float) -> Column:
-    """Part number per page: each part takes as many pages as fit, and at least one."""
-    start = F.struct(
-        F.array().cast("array<int>").alias("parts"), F.lit(0).alias("part"), F.lit(0.0).alias("used")
-    )
+    """Part number per page: each part takes as many pages as fit, and at least one.
 
-    def step(acc: Column, v: Column) -> Column:
-        size = v.cast("double")
-        opens = (acc["part"] == 0) | (acc["used"] + size > cap)
-        part = F.when(opens, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(
-            F.concat(acc["parts"], F.array(part)).alias("parts"),
-            part.alias("part"),
-            F.when(opens, size).otherwise(acc["used"] + size).alias("used"),
-        )
+    One search in the prefix sums of the book for each part; books come in Arrow batches.
+    """
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["parts"])
+    def of_book(book: np.ndarray | None) -> np.ndarray | None:
+        if book is None:
+            return None
+        sums = np.cumsum(np.asarray(book, float))
+        starts, at = [], 0
+        while at < len(sums):
+            starts.append(at)
+            before = sums[at - 1] if at else 0.0
+            at = max(at + 1, int(np.searchsorted(sums, before + cap, "right")))
+        parts = np.zeros(len(sums), np.int32)
+        parts[starts] = 1
+        return np.cumsum(parts, dtype=np.int32)
+
+    @F.pandas_udf("array<int>")
+    def packed(books: pd.Series) -> pd.Series:
+        return books.map(of_book)
+
+    return packed(sizes)
 
 
 def bisect_oversized(parts: Column, sizes: Column, cap: float, depth: int = 4) -> Column:
     """Halve parts above the cap that have at least 3 pages, up to `depth` times."""
+    return let(prefix_sums(sizes), lambda sums: _bisected(parts, sums, cap, depth))
+
 
+def _bisected(parts: Column, sums: Column, cap: float, depth: int = 4) -> Column:
     def halve(p: Column) -> Column:
         mid = F.floor((p["start_page"] + p["end_page"]) / 2).cast("int")
         left = F.struct(
@@ -469,7 +498,7 @@ def bisect_oversized(parts: Column, sizes: Column, cap: float, depth: int = 4) -
         right = F.struct(
             F.concat(p["title"], F.lit("-2")).alias("title"), (mid + 1).alias("start_page"), p["end_page"].alias("end_page")
         )
-        big = (range_size(sizes, p["start_page"], p["end_page"]) > cap) & (p["end_page"] - p["start_page"] >= 2)
+        big = (range_size(sums, p["start_page"], p["end_page"]) > cap) & (p["end_page"] - p["start_page"] >= 2)
         return F.when(big, F.array(left, right)).otherwise(F.array(p))
 
     for _ in range(depth):
@@ -510,8 +539,8 @@ def snap_cuts(start: Column, end: Column, count: Column, fine: Column) -> Column
 def resplit_oversized(parts: Column, sizes: Column, fine: Column, cap: float) -> Column:
     """Split parts above the cap at snapped cuts, then halve what is still too large."""
 
-    def split(p: Column) -> Column:
-        size = range_size(sizes, p["start_page"], p["end_page"])
+    def split(p: Column, sums: Column) -> Column:
+        size = range_size(sums, p["start_page"], p["end_page"])
         count = F.greatest(F.lit(2), F.ceil(size / cap).cast("int"))
 
         def pieces(cuts: Column) -> Column:
@@ -526,9 +555,9 @@ def resplit_oversized(parts: Column, sizes: Column, fine: Column, cap: float) ->
             )
 
         cut = let(snap_cuts(p["start_page"], p["end_page"], count, fine), pieces)
-        return F.when(size > cap, bisect_oversized(cut, sizes, cap)).otherwise(F.array(p))
+        return F.when(size > cap, _bisected(cut, sums, cap)).otherwise(F.array(p))
 
-    return F.flatten(F.transform(parts, split))
+    return let(prefix_sums(sizes), lambda sums: F.flatten(F.transform(parts, lambda p: split(p, sums))))
 
 
 def part_name(part: Column, number: Column) -> Column:

@@ -183,3 +183,19 @@ def test_mark_in_text_is_no_contents_row(spark):
     row = H.contents_row(F.col("x"))
     df = spark.createDataFrame([("Intro\u0001 7",), ("Intro ..... 7",)], "x string").select(row["title"].alias("t"))
     assert [r.t for r in df.collect()] == [None, "Intro"]
+
+
+def test_cuts_of_a_long_book(spark):
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 100) for _ in range(3000)]
+    df = spark.createDataFrame([(sizes,), ([],), (None,)], "s array<int>")
+    packed, sums, none = (r for r in df.select(B.greedy_pack(F.col("s"), 150.0).alias("p"), B.prefix_sums(F.col("s")).alias("t")).collect())
+    used, part, want = 0, 0, []
+    for v in sizes:
+        part, used = (part + 1, v) if part == 0 or used + v > 150 else (part, used + v)
+        want.append(part)
+    assert packed.p == want and packed.t[-1] == sum(sizes) and packed.t[10] == sum(sizes[:11])
+    assert (sums.p, sums.t, none.p, none.t) == ([], [], None, None)
+    whole = F.array(F.struct(F.lit("b").alias("title"), F.lit(1).alias("start_page"), F.size("s").alias("end_page")))
+    parts = df.limit(1).select(B.bisect_oversized(whole, F.col("s"), 20_000.0).alias("p")).first().p
+    assert len(parts) == 8 and [x for p in parts for x in range(p.start_page, p.end_page + 1)] == list(range(1, 3001))

@@ -1,8 +1,10 @@
+import random
 import itertools
 
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.functions.similarity import similarity, similarity_from
 from larkspan.functions import dates as D
 from larkspan.functions import headings as H
 from larkspan.functions import measures as M
@@ -222,3 +224,13 @@ def test_style_props(spark):
 def test_find_spans_in_folded_text(spark):
     got = values(spark, U.folded_spans(x, "ss"), ["Straße und SSss", "ｓｓ", None])
     assert [[tuple(s) for s in row] for row in got] == [[(4, 5), (11, 13), (13, 15)], [(0, 2)], []]
+
+
+def test_banded_similarity_is_the_same_from_its_floor(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcé章") for _ in range(rng.randrange(0, 14)))
+    pairs = [(word(), word()) for _ in range(150)] + [("chapter one", "chapter on"), ("", ""), (None, "a"), ("a" * 10, "a" * 5 + "b" * 5)]
+    for floor in (0.5, 0.6, 0.8):
+        cols = [similarity(F.col("a"), F.col("b")).alias("x"), similarity_from(F.col("a"), F.col("b"), floor).alias("y")]
+        for r in spark.createDataFrame(pairs, "a string, b string").select(*cols).collect():
+            assert r.y == (r.x if r.x is None or r.x >= floor else 0.0)
