@@ -63,11 +63,14 @@ def apply_terms(df: DataFrame, text: str, terms: DataFrame, chunk: int = CHUNK)
     last = ranked.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
     for start in range(0, last, chunk):
         part = ranked.filter(F.col("rank").between(start + 1, start + chunk)).select("rank", "reading", "target").collect()
-        replace = Replacer([(r.reading, r.target) for r in sorted(part) if r.target is not None])
+        df = df.withColumn(text, _replaced(Replacer([(r.reading, r.target) for r in sorted(part) if r.target is not None]))(F.col(text)))
+    return df
 
-        def replaced(batches: Iterator[pd.Series], replace: Replacer = replace) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield batch.map(replace, na_action="ignore")
 
-        df = df.withColumn(text, F.pandas_udf(replaced, "string", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
-    return df
+def _replaced(replace: Replacer):
+    @F.pandas_udf("string")
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(replace, na_action="ignore")
+
+    return replaced

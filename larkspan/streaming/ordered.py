@@ -65,7 +65,9 @@ class InOrder(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(self.waiting.get(), key=lambda r: r[: self.order])
         due = sum(r[0] <= now for r in rows)  # sorted by time
-        state = self.carried.get() if self.carried.exists() else None
+        if not due and not self.idle:
+            return  # another timer of this batch has taken them
+        state = self.carried.get()
         carried, last = (tuple(state[:-2]) if state[-1] else None, state[-2]) if state else (None, None)
         out = []
         for part in self._parts(rows[:due], last):
@@ -82,7 +84,8 @@ class InOrder(StatefulProcessor):
         if self.idle and last is not None and now > last + self.idle and not (rest and rest[0][0] <= last + self.idle):
             carried, last = self._end(carried, out), None
         if last is None or (carried is None and not self.idle):
-            self.carried.clear()
+            if state:
+                self.carried.clear()
         else:
             empty = (None,) * len(self.fold.state.split(", "))
             self.carried.update((*(carried if carried is not None else empty), last, carried is not None))
