@@ -380,7 +380,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = entries.join(covered, ["gram", "around"], "left").select(
         "gram", "around", F.when(copied, F.lit(REACH)).otherwise(F.col("left")).alias("left"), F.when(copied, F.lit(LENGTH)).otherwise(F.col("right")).alias("right")
     )
-    found = suffixes.join(known.filter("left is not null"), ["gram", "around"])
+    known = cut_lineage(known.filter("left is not null"))  # a table of its own: Spark can split the join at frequent entries
+    found = suffixes.join(known, ["gram", "around"])
     spans = found.groupBy("_row").agg(F.collect_list(F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))).alias("asked"))
     named = facts.select("_row", "_id", "_check").join(spans, "_row").groupBy("_id", "_check").agg(F.first("asked").alias("asked"))
     named = named.select("_id", "_check", F.col("asked.start").alias("starts"), F.col("asked.end").alias("ends"))
