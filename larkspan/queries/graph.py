@@ -116,11 +116,25 @@ def crossing_edges(t):
     return out.groupBy("source", "target", "from_community", "to_community").agg(F.count("*").alias("n"))
 
 
-@query("G6")
+@query(
+    "G6",
+    f"""
+    with recursive {LINK_SQL}, nb as (select source, target from un where source <> target),
+    w(s, v, d, p) using key (s, v) as (
+      select id, id, 0, 1::double from nd
+      union
+      select w.s, nb.target, w.d + 1, sum(w.p) from w join nb on nb.source = w.v
+      where not exists (select 1 from recurring.w r where r.s = w.s and r.v = nb.target) group by 1, 2, 3),
+    b as (
+      select x.v id, sum(x.p * y.p / z.p) score from w x join w y on y.s = x.v join w z on z.s = x.s and z.v = y.v and z.d = x.d + y.d
+      where x.s <> x.v and y.v <> x.v group by 1)
+    select id, round(coalesce(score, 0), 6) score from nd left join b using (id)
+    """,
+)
 def bridge_scores(t):
     """Betweenness with all nodes as sources."""
     nodes, edges = written(t)
-    return G.bridge_scores_of_all(edges, nodes).withColumn("score", F.round("score", 6))
+    return G.bridge_scores(edges, nodes).withColumn("score", F.round("score", 6))
 
 
 @query(
