@@ -262,9 +262,8 @@ def _hung(levels: list[DataFrame], members: DataFrame) -> DataFrame:
     for level in reversed(levels):
         here = level.withColumn("inside", F.lit(0).cast("long")).withColumn("size", F.col("many"))
         if below is not None:
-            sums = below.groupBy("parent", "block").agg(F.sum("size").alias("part"), F.min("many").alias("many"), F.min("lone").alias("lone"))
-            sums = cut_lineage(sums)
-            heads = sums.select(F.col("parent").alias("id"), "block", "part", F.col("many").alias("leaves"), F.col("lone").alias("leaf"))
+            sums = [F.sum("size").alias("part"), F.min("many").alias("leaves"), F.min("lone").alias("leaf")]
+            heads = below.groupBy(F.col("parent").alias("id"), "block").agg(*sums)
             own = level.select("id", "root", F.col("block").alias("own"))
             head = heads.join(own, "id").filter("own is null or block <> own")
             rows_here = head.select("block", "id", F.lit(True).alias("head"), "root", "part", F.lit(1).cast("long").alias("many"), "leaves", "leaf")
