@@ -177,3 +177,36 @@ def following(
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     out = running(df, keys, order, piece, {"_next": Running(packed, "last", inclusive=False)}, backward=True)
     return out.select(*df.columns, *[F.col(f"_next.{n}").alias(n) for n in columns])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and per share the exact quantile of `value`, linear between two ranks, for all groups at once.
+
+    Equal values of a group are counted before the shuffle and dealt by ranges of the value, so a group of any size is
+    cut into pieces. The totals of the pieces tell which of them hold the wanted ranks; only these are looked through.
+    Nulls take no part; a group without values has no row. Null keys are a group.
+    """
+    key = F.struct(F.lit(0).alias("_all"), *keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key.alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = cut_lineage(counts.repartitionByRange("_v").withColumn(PIECE, F.spark_partition_id()))
+    group = Window.partitionBy("_key")
+    before = group.orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("_key", PIECE).agg(F.sum("_n").alias("_own"))
+    totals = totals.withColumns({"_first": F.coalesce(F.sum("_own").over(before), F.lit(0)), "_total": F.sum("_own").over(group)})
+    at = {name: (F.col("_total") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at.values()])))
+    wanted = totals.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_own"))))
+    found = counts.join(wanted.filter(F.size("_ranks") > 0).drop("_own"), ["_key", PIECE])
+    upto = F.col("_first") + F.sum("_n").over(Window.partitionBy("_key", PIECE).orderBy("_v"))
+    found = found.withColumn("_end", upto)
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))
+    found = found.select("_key", "_v", "_total", F.explode(hit).alias("_rank"))
+
+    def between(a: Column) -> Column:
+        low = F.max(F.when(F.col("_rank") == F.floor(a), F.col("_v")))
+        high = F.max(F.when(F.col("_rank") == F.ceil(a), F.col("_v")))
+        share = F.max(a - F.floor(a))
+        return F.when(low == high, low.cast("double")).otherwise((1 - share) * low + share * high)
+
+    picked = found.groupBy("_key").agg(*[between(a).alias(name) for name, a in at.items()])
+    return picked.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *shares)

@@ -110,3 +110,20 @@ def test_input_is_read_once(spark, tmp_path):
     piece = [F.floor(F.col("t") / 20), F.floor(F.col("t") / 5)]
     for out in (ordered.running(rows, ["k"], ["t"], piece, {"s": Running(F.col("v"))}), O.run_positions(rows, ["k"], ["t"], piece, "v")):
         assert str(tmp_path) not in out._jdf.queryExecution().toString() and out.count() == 50
+
+
+def test_quantiles_equal_the_exact_percentile(spark):
+    """One group holds most rows, one value most of the rest; null and single values, a null key, no rows."""
+    rng = random.Random(5)
+    data = [("hot", rng.uniform(-5, 5)) for _ in range(3000)] + [("flat", 2.5)] * 500 + [("flat", 1.0), ("one", 7.0), ("none", None), (None, 1.0), (None, 4.0), ("hot", None)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    shares = {"lo": 0.0, "p50": 0.5, "p95": 0.95, "odd": 0.123, "hi": 1.0}
+    got = {r.k: r for r in ordered.quantiles(df, ["k"], "v", shares).collect()}
+    want = {r.k: r for r in df.groupBy("k").agg(*[F.percentile("v", s).alias(n) for n, s in shares.items()]).collect() if r.p50 is not None}
+    assert set(got) == set(want) and "none" not in got
+    for k, r in want.items():
+        assert [got[k][n] for n in shares] == pytest.approx([r[n] for n in shares])
+    assert ordered.quantiles(df.limit(0), ["k"], "v", shares).count() == 0
+    (whole,) = ordered.quantiles(df, [], "v", {"p": 0.5}).collect()
+    assert whole.p == pytest.approx(df.agg(F.percentile("v", 0.5)).first()[0])
