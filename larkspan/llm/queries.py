@@ -9,6 +9,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op2_secrets": secrets.op2_secrets,
     "op3_quality_rules": rule_ledger.op3_quality_rules,
+    "quality_rule_ablations": rule_ledger.quality_rule_ablations,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_sharding": sharding.op7_sharding,
@@ -22,6 +23,7 @@ QUERIES = {
 
 SQL = {
     "op3_quality_rules": rule_ledger.OP3_SQL,
+    "quality_rule_ablations": rule_ledger.ABLATIONS_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op9_warc": warc.OP9_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,

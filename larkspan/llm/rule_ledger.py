@@ -43,7 +43,7 @@ def _rules() -> dict[str, Column]:
     }
 
 
-RULES = list("few_words repeated_passages symbols duplicate_lines short_words long_words few_letters endless_word".split())
+RULES = ["few_words", "repeated_passages", "symbols", "duplicate_lines", "short_words", "long_words", "few_letters", "endless_word"]
 BASE = ("few_words", "repeated_passages")
 #: Versioned policies. A policy never changes once it has been used; a new version gets a new name.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -102,14 +102,21 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), measures_of(text_col).alias("m")).select("doc_id", "m.*")
 
 
+def fail_bits() -> Column:
+    """The failures of all rules on measured rows: bit k is set where rule k of RULES fails."""
+    total = F.lit(0)
+    for k, failed in enumerate(_rules().values()):
+        total = total.bitwiseOR(F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)))
+    return total.cast("long")
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measurements and `fail_bits`: bit k is set where rule k of RULES fails."""
-    rules = _rules()
-    bits = [F.when(rules[r], F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return measure(docs, id_col, text_col).withColumn("fail_bits", total.cast("long"))
+    """The measurements and `fail_bits` of each row; every rule is evaluated once.
+
+    Each row has its own entry: repeated rows and null ids stay, null and empty texts fail for too few words, other
+    columns are left out whatever they are called. An empty table gives an empty ledger.
+    """
+    return measure(docs, id_col, text_col).withColumn("fail_bits", fail_bits())
 
 
 def verdict(policy: str = CURRENT) -> Column:
@@ -117,32 +124,35 @@ def verdict(policy: str = CURRENT) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0
 
 
-def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """Per rule of the policy: documents failing it, failing only it, and kept if it were left out.
+def ablations(entries: DataFrame, *policies: str) -> DataFrame:
+    """Per policy and rule of it: documents failing it, failing only it, and kept if it were left out.
 
-    One aggregate over the ledger's masks; the rest works on at most 2 ** len(RULES) rows.
+    One aggregate over the masks of the ledger serves all policies; the rest works on at most 2 ** len(RULES) rows. An
+    empty ledger gives no rows.
     """
-    counts = entries.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(policy))).alias("bits")).agg(F.count("*").alias("n"))
-    rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << RULES.index(r)).cast("long").alias("bit")) for r in POLICIES[policy]]))
-    rows = counts.select("bits", "n", rule.alias("r")).select("bits", "n", "r.*")
-    hit, rest = F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("bits").bitwiseAND(F.bitwise_not("bit"))
-    return rows.groupBy("rule").agg(
+    cases = [
+        F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(1 << RULES.index(r)).cast("long").alias("bit"), F.lit(mask(p)).cast("long").alias("mask"))
+        for p in policies or (CURRENT,)
+        for r in POLICIES[p]
+    ]
+    counts = entries.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    rows = counts.select("fail_bits", "n", F.explode(F.array(*cases)).alias("r")).select("fail_bits", "n", "r.*")
+    hit = F.col("fail_bits").bitwiseAND(F.col("bit")) != 0
+    passed = F.col("fail_bits").bitwiseAND(F.col("mask")).bitwiseAND(F.bitwise_not("bit")) == 0
+    return rows.groupBy("policy", "rule").agg(
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"),
-        F.sum(F.when(hit & (rest == 0), F.col("n")).otherwise(0)).alias("n_failed_alone"),
-        F.sum(F.when(rest == 0, F.col("n")).otherwise(0)).alias("n_kept_without"),
+        F.sum(F.when(hit & passed, F.col("n")).otherwise(0)).alias("n_failed_alone"),
+        F.sum(F.when(passed, F.col("n")).otherwise(0)).alias("n_kept_without"),
     )
 
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents that pass the policy, with all their columns.
+    """The documents whose failure bits pass the policy's mask, with all their columns.
 
     Nothing is joined, so repeated rows and null ids stay as they are. Empty texts have no words and go.
     """
     measured = docs.select(F.struct("*").alias("doc"), measures_of().alias("m")).select("doc", "m.*")
-    bad = F.lit(False)
-    for name in POLICIES[policy]:
-        bad = bad | _rules()[name]
-    return measured.filter(~bad).select("doc.*")
+    return measured.withColumn("fail_bits", fail_bits()).filter(verdict(policy)).select("doc.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +171,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does in each version of the policy, from one ledger of all documents."""
+    return ablations(ledger(read(spark, sf_dir, "documents")), *POLICIES)
+
+
 OP3_SQL = r"""
 with w as (
   select doc_id, coalesce(text, '') as t,
@@ -200,3 +215,14 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (bits & 3) <> 0 as base_failed, bits = 0 as kept, cast(bits as bigint) as fail_bits
 from b
 """
+
+_CASES = ", ".join(f"('{p}', '{r}', {1 << RULES.index(r)}, {mask(p)})" for p in POLICIES for r in POLICIES[p])
+
+ABLATIONS_SQL = f"""
+with o as ({OP3_SQL}), p(policy, rule, bit, mask) as (values {_CASES})
+select policy, rule,
+       cast(count(*) filter ((fail_bits & bit) <> 0) as bigint) as n_failed,
+       cast(count(*) filter ((fail_bits & mask) = bit) as bigint) as n_failed_alone,
+       cast(count(*) filter ((fail_bits & mask) in (0, bit)) as bigint) as n_kept_without
+from o, p group by 1, 2
+"""

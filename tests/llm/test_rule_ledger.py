@@ -33,6 +33,10 @@ def test_policies_and_ablations(documents):
     assert bits == sorted([(1, 0), (1, 0), (None, 0), (2, 1), (3, 2), (4, 4), (5, 1)], key=str)
     table = {a.rule: a for a in r.ablations(entries).collect()}
     assert (table["symbols"].n_failed, table["symbols"].n_failed_alone, table["symbols"].n_kept_without) == (1, 1, 4)
+    both = {(a.policy, a.rule): a for a in r.ablations(entries, "base", r.CURRENT).collect()}
+    assert {k[1]: tuple(a[2:]) for k, a in both.items() if k[0] == r.CURRENT} == {k: tuple(a[2:]) for k, a in table.items()}
+    assert tuple(both["base", "few_words"][2:]) == (2, 2, 6) and len(both) == len(r.POLICIES["base"]) + len(r.POLICIES[r.CURRENT])
+    assert r.ablations(entries.limit(0)).count() == 0
     for rule in r.POLICIES[r.CURRENT]:
         others = [x for x in r.POLICIES[r.CURRENT] if x != rule]
         mask = sum(1 << r.RULES.index(x) for x in others)
@@ -49,3 +53,13 @@ def test_kept_documents(documents, spark):
     kept = r.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == 3
     assert r.keep_good(documents([]).limit(0)).count() == 0 and r.measure(documents([])).count() == 0
+
+
+def test_the_policy_of_a_stage_is_its_mask(documents):
+    """Each rule alone, kept or not by each policy: what `keep_good` keeps is what the ledger says."""
+    good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = [good, "few", "same five words come again " * 9, good + " #x" * 20, good + "\nsame" * 90, "a b c d e f g h i j k l", "1234 " * 3 + good, good + " " + "z" * 1001, "1 2 3 4 5 6 7 8 9 10 11"]
+    docs = documents(enumerate(texts))
+    for policy in r.POLICIES:
+        told = {e.doc_id for e in r.ledger(docs).filter(r.verdict(policy)).collect()}
+        assert {d.doc_id for d in r.keep_good(docs, policy).collect()} == told
