@@ -47,13 +47,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, "[ \\n\\t\\r]+"), lambda w: w != "")
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of all ids that are not held out, each once. An id with several labels counts as toxic."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+    return known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
 def training_rows(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most `rows` ids of each label, without the held-out ones. An id with several labels counts as toxic.
+    """At most `rows` ids of each label, without the held-out ones.
 
     `weight` is the number of ids of that label for which a row stands, so that the labels keep their true shares.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    one = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    one = known_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     weights = [F.lit(max(1.0, counts.get(k, 0) / rows)).alias("weight") for k in (0, 1)]
@@ -165,8 +170,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     best = F.coalesce(F.array_max("scores"), F.lit(0.0))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     # the mean of the best segment's distribution is log(K * n) + 0.5772: K from other documents, over all their lengths
-    told = found.join(F.broadcast(train), "doc_id")
-    log_k = (told.filter("toxic = 0").agg(F.avg(best - F.log(n))).first()[0] or 0.0) - 0.5772
+    clean = known_labels(labels).filter("toxic = 0").select("doc_id")
+    told = found.select("doc_id", (best - F.log(n)).alias("rest")).join(clean, "doc_id")
+    log_k = (told.agg(F.avg("rest")).first()[0] or 0.0) - 0.5772
     normal = F.transform("scores", lambda s: s - F.log(n) - F.lit(log_k))
     rows = found.withColumn("normal", normal).withColumn("hits", F.filter("normal", lambda s: s > -math.log(E_VALUE)))
     features = {
@@ -176,7 +182,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
         "density": F.aggregate("scores", F.lit(0.0), lambda a, s: a + s) / n,
     }
     rows = rows.withColumns(features)
-    sample = rows.join(F.broadcast(train), "doc_id").select(*FEATURES, "toxic", "weight").limit(4 * TRAIN_ROWS).toPandas()
+    # one row per training id, whatever rows repeat it: at most 2 * train_rows
+    one = rows.join(F.broadcast(train), "doc_id").groupBy("doc_id").agg(F.max(F.struct(*FEATURES, "toxic", "weight")).alias("row"))
+    sample = one.select("row.*").toPandas()
     if sample["toxic"].nunique() == 2:
         w = fit_logistic(sample[FEATURES].to_numpy(float), sample["toxic"].to_numpy(float), counts=sample["weight"].to_numpy(float))
         linear = F.lit(float(w[-1]))
