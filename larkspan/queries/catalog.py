@@ -155,13 +155,14 @@ def coverage_rollup(t):
 @query(
     "A16",
     """
-    select l_orderkey, arg_min(l_shipdate, l_linenumber * 1000000 + l_partkey) filter (l_returnflag = 'R') shipped from lineitem group by 1
+    select l_orderkey, arg_min(l_shipdate, (l_linenumber, l_partkey, l_shipdate)) filter (l_returnflag = 'R') shipped from lineitem group by 1
     """,
 )
 def first_valid_method(t):
+    # by number, then part; lines that share both go by their date
     ranked = t.lineitem.select(
         "l_orderkey", "l_returnflag", F.col("l_shipdate").alias("shipped"),
-        (F.col("l_linenumber") * F.lit(1000000) + F.col("l_partkey")).alias("rank"),
+        F.struct("l_linenumber", "l_partkey", "l_shipdate").alias("rank"),
     )
     return O.first_valid(ranked, "l_orderkey", "rank", F.col("l_returnflag") == "R", "shipped")
 
