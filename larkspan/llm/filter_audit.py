@@ -29,10 +29,11 @@ from larkspan.llm.common import read, shuffle_width, slices, whole
 from larkspan.session import cut_lineage
 
 FILTERS = "ABCDE"
-SHARD = 16_000_000  # characters of the texts of a shard; a longer text is a shard alone
+SHARD = 8_000_000  # characters of the texts of a shard; a longer text is a shard alone
 BUCKET_WORDS = 2_000_000  # words of all shards in a bucket of the dictionary, on average
 CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 CSR = "shard long, ids array<long>, parts array<string>, digests array<binary>, bits array<int>, bounds binary, columns binary, counts binary"
+FLAGS = "id long, part string, digest binary, n_words long, n_distinct long, bits int"
 
 
 class Numbers(dict):
@@ -141,6 +142,36 @@ def dictionary(numbered: DataFrame) -> DataFrame:
     return words.select("before", "words").mapInPandas(work, "word string, word_id long")
 
 
+def _numbered_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(the shards with the numbers of their words by bucket, the buckets of `_numbered`)."""
+    local = _shards(docs, id_col, text_col, part_col, size)
+    numbered = _numbered(local)
+    mine = numbered.filter("shard is not null").select("shard", "bucket", "numbers").join(_starts(numbered), "bucket")
+    lists = mine.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "before", "numbers"))).alias("n"))
+    found = local.drop("words", "n_words").join(lists, "shard", "left").select("*", F.col("n.before").alias("before"), F.col("n.numbers").alias("numbers")).drop("n")
+    return found, numbered
+
+
+def _sparse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shards with global numbers as columns, one at a time."""
+    for batch in batches:
+        for k, row in enumerate(batch.itertuples()):
+            numbers = [grow(x) + np.int64(b) for b, x in zip(row.before, row.numbers, strict=True)] if row.numbers is not None else []
+            columns = np.concatenate([*numbers, np.zeros(0, np.int64)])[grow(row.columns)]
+            yield batch.iloc[k : k + 1].drop(columns=["before", "numbers"]).assign(columns=[shrink(columns)])
+
+
+def _flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples():
+            bounds = grow(row.bounds)
+            sums = np.concatenate([[0], np.cumsum(grow(row.counts), dtype=np.int64)])[bounds]
+            n_words, n_distinct = np.diff(sums), np.diff(bounds)
+            bits = (n_words < 200) + 2 * (100 * n_distinct < 50 * n_words) + np.asarray(row.bits)
+            ids = pd.array([None if x is None or x != x else int(x) for x in row.ids], "Int64")
+            yield pd.DataFrame({"id": ids, "part": row.parts, "digest": row.digests, "n_words": n_words, "n_distinct": n_distinct, "bits": bits})
+
+
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(shards of compressed sparse rows, the dictionary word, word_id).
 
@@ -149,36 +180,19 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `counts` times. Null texts have no words. Repeated rows are rows of their own, null ids and parts stay (a null part is
     the empty string). An empty table gives no shards.
     """
-    local = _shards(docs, id_col, text_col, part_col, size)
-    numbered = _numbered(local)
-    mine = numbered.filter("shard is not null").select("shard", "bucket", "numbers").join(_starts(numbered), "bucket")
-    lists = mine.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "before", "numbers"))).alias("n"))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, row in enumerate(batch.itertuples()):
-                numbers = [grow(x) + np.int64(b) for b, x in zip(row.before, row.numbers, strict=True)] if row.numbers is not None else []
-                columns = np.concatenate([*numbers, np.zeros(0, np.int64)])[grow(row.columns)]
-                yield batch.iloc[k : k + 1].drop(columns=["before", "numbers"]).assign(columns=[shrink(columns)])
-
-    found = local.drop("words", "n_words").join(lists, "shard", "left").select("*", F.col("n.before").alias("before"), F.col("n.numbers").alias("numbers")).drop("n")
-    return found.mapInPandas(work, CSR), dictionary(numbered)
+    found, numbered = _numbered_shards(docs, id_col, text_col, part_col, size)
+    return found.mapInPandas(_sparse_rows, CSR), dictionary(numbered)
 
 
 def row_flags(matrix: DataFrame) -> DataFrame:
     """id, part, digest, n_words, n_distinct and bits (A to D) of every document of the matrix."""
+    return matrix.mapInPandas(_flags, FLAGS)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                bounds = grow(row.bounds)
-                sums = np.concatenate([[0], np.cumsum(grow(row.counts), dtype=np.int64)])[bounds]
-                n_words, n_distinct = np.diff(sums), np.diff(bounds)
-                bits = (n_words < 200) + 2 * (100 * n_distinct < 50 * n_words) + np.asarray(row.bits)
-                ids = pd.array([None if x is None or x != x else int(x) for x in row.ids], "Int64")
-                yield pd.DataFrame({"id": ids, "part": row.parts, "digest": row.digests, "n_words": n_words, "n_distinct": n_distinct, "bits": bits})
 
-    return matrix.mapInPandas(work, "id long, part string, digest binary, n_words long, n_distinct long, bits int")
+def document_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", size: int = SHARD) -> DataFrame:
+    """`row_flags` of the `term_matrix`, both in one Python step, so that a task has one worker and not two."""
+    found, _ = _numbered_shards(docs, id_col, text_col, part_col, size)
+    return found.mapInPandas(lambda batches: _flags(_sparse_rows(batches)), FLAGS)
 
 
 def masks(flags: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,8 +261,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Null texts are empty: they fail A, and E from the second on. Repeated rows count each; see `masks` for ties of ids. An
     empty table gives no rows; other columns are not read.
     """
-    matrix, _ = term_matrix(docs, id_col, text_col, part_col)
-    return audit(cut_lineage(masks(row_flags(matrix), labels)))
+    return audit(cut_lineage(masks(document_flags(docs, id_col, text_col, part_col), labels)))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

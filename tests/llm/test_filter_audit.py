@@ -5,7 +5,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from larkspan.llm.filter_audit import audit, filter_audit, grow, masks, row_flags, term_matrix
+from larkspan.llm.filter_audit import audit, document_flags, filter_audit, grow, masks, row_flags, term_matrix
 
 SCHEMA = "doc_id long, text string, source string, id long, digest string, bits string, n string, word string"
 
@@ -93,3 +93,13 @@ def test_counts_of_masks_and_empty_tables(spark):
     got = {(r.filter_order, r.step): tuple(r)[3:] for r in audit(cells, "XY").collect()}
     assert got == {("XY", 1): (2, 15, 0, 5, 10, 5, 20), ("XY", 2): (2, 0, 10, 0, 0, 0, 10), ("YX", 1): (7, 10, 0, 0, 10, 0, 10), ("YX", 2): (2, 5, 10, 5, 0, 5, 20)}
     assert np.isclose(sum(v[-1] for k, v in got.items() if k[0] == "XY"), 30)
+
+
+def test_flags_need_one_worker_a_task(spark, capsys):
+    docs = table(spark, corpus())
+    flags = document_flags(docs, size=4000)
+    flags.explain()
+    assert capsys.readouterr().out.count("MapInPandas ") == 1
+    matrix, _ = term_matrix(docs, size=4000)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(flags.collect(), key=key) == sorted(row_flags(matrix).collect(), key=key)
