@@ -95,12 +95,18 @@ def style_tokens(c: Column) -> Column:
     words = literal_map({k: f"{p}\t{v}" for k, (p, v) in STYLE_WORDS.items()})
     keys, fonts = literal_map(STYLE_KEYS), literal_map(FONT_VALUES)
 
-    def read(token: Column) -> Column:
-        key = F.element_at(F.split(token, "="), 1)
-        value = F.coalesce(F.get(F.split(token, "="), 1), F.lit(""))
+    def parse(token: Column) -> Column:
+        parts = F.split(token, "=")
+        return F.struct(F.element_at(parts, 1).alias("key"), F.coalesce(F.get(parts, 1), F.lit("")).alias("value"))
+
+    def look_up(token: Column) -> Column:
+        key, value = token["key"], token["value"]
         # a word that is known with its value, else by itself whatever its value
         known = F.coalesce(words[F.concat(key, F.lit("="), value)], words[key])
-        named = keys[key]
+        return F.struct(key.alias("key"), value.alias("value"), known.alias("known"), keys[key].alias("named"))
+
+    def read(token: Column) -> Column:
+        key, value, known, named = token["key"], token["value"], token["known"], token["named"]
         short = F.regexp_extract(key, r"^w(\d+)$", 1)
         number = F.when(value == "", F.lit("0")).when(value.try_cast("double").isNotNull(), value)
         given = lambda v: F.when(v.isNotNull(), F.struct(named.alias("name"), v.alias("value")))
@@ -127,7 +133,8 @@ def style_tokens(c: Column) -> Column:
         )
 
     tokens = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[;, ]+"), lambda t: t != "")
-    return F.filter(F.transform(tokens, read), lambda s: s.isNotNull())
+    # steps of their own, as a lookup would be repeated at every use
+    return F.filter(F.transform(F.transform(F.transform(tokens, parse), look_up), read), lambda s: s.isNotNull())
 
 
 def style_props(c: Column) -> Column:

@@ -234,3 +234,10 @@ def test_banded_similarity_is_the_same_from_its_floor(spark):
         cols = [similarity(F.col("a"), F.col("b")).alias("x"), similarity_from(F.col("a"), F.col("b"), floor).alias("y")]
         for r in spark.createDataFrame(pairs, "a string, b string").select(*cols).collect():
             assert r.y == (r.x if r.x is None or r.x >= floor else 0.0)
+
+
+def test_style_props_query_reads_each_text_once(spark, data, capsys):
+    from larkspan.registry import Tables, load_all
+
+    load_all()["style_props"].run(Tables(spark, data)).explain()
+    assert "HashAggregate(keys=[raw" in capsys.readouterr().out
