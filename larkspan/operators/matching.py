@@ -11,11 +11,14 @@ from larkspan.functions.text import let, safe_name, title_budget, truncate_bytes
 from larkspan.operators.filters import classify_file
 from larkspan.plans.once import once
 from larkspan.plans.ordered import Running, running
+from larkspan.session import cut_lineage
 
 # Preference of file kinds.
 SUFFIX_RANK = {"mp3": 0, "m4a": 1, "aac": 2, "wav": 3, "mp4": 4}
 # Length of the grams that stand for a title where it may lie anywhere.
 GRAM = 3
+# Events of a folder and date up to which each of its files meets them all.
+FEW = 8
 
 
 def two_dates(utc_day: Column, local_shown: Column) -> Column:
@@ -54,7 +57,7 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
-def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_only: bool = True) -> DataFrame:
+def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_only: bool = True, few: int = FEW) -> DataFrame:
     """(event_key, path) pairs of stored files.
 
     `events`: dir, event_key, item_titles (safe names), title (raw), dates (array).
@@ -64,8 +67,9 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
     contains  the title occurs anywhere in the safe name
 
     Comparing every file of a folder with every event would be a theta join. Files meet events in blocks of
-    (dir, date), and there by the exact titles (or the first gram of the title) that a match must share: both sides
-    are exploded to these. The full predicate is checked on what meets, so the keys only have to be complete.
+    (dir, date). In a block of at most `few` events a file meets them all, which moves a file once per date. In larger
+    blocks they meet by the exact titles (or the first gram of the title) that a match must share: there both sides are
+    exploded to these. The full predicate is checked on what meets, so the keys only have to be complete.
     """
     named = files.withColumn("_kind", classify_file(F.col("name"), audio_only))
     usable = named.filter("_kind = 'media'" if audio_only else "_kind not in ('temp', 'manifest', 'backup')")
@@ -78,8 +82,29 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
         F.explode("_days").alias("_date"),
     ).withColumn("_date_key", F.when(F.col("_date").rlike(r"^\d{8}$"), F.col("_date")).otherwise(F.lit("")))
     flag = F.col("_raw") == "" if exact else F.length(safe_name(F.col("_raw"))) < GRAM
-    blocks = dated.groupBy("dir", "_date_key").agg(F.max(flag).alias("_flag"))
+    block = ["dir", "_date_key"]
+    blocks = cut_lineage(dated.groupBy(*block).agg(F.max(flag).alias("_flag"), F.count("*").alias("_n")))
+    windows = _date_windows(F.col("name"))
+    # without events that have no date, no file is asked for them
+    if not blocks.filter("_date_key = ''").isEmpty():
+        windows = F.concat(windows, F.array(F.lit("")))
+    found = usable.select("dir", "path", "name", F.explode(windows).alias("_date_key"))
+    wide = ["event_key", "item_titles", "_raw", "_date", "path", "name"]
+
+    # the three sides share one partitioning; the few events of a block are the side that is held
+    events_of_few = dated.join(blocks.filter(F.col("_n") <= few).select(*block), block)
+    pairs = found.join(events_of_few, block).select(*wide)
+    if not (large := blocks.filter(F.col("_n") > few)).isEmpty():
+        pairs = pairs.unionByName(_by_titles(dated, found, large, exact).select(*wide))
+    hit = once(pairs.filter(F.col("name").contains(F.col("_date"))), _safe_name=safe_name(F.col("name"))).filter(
+        (_title_fits() if exact else F.col("_safe_name").contains(safe_name(F.col("_raw"))))
+        & F.exists("item_titles", lambda i: F.col("_safe_name").contains(i))
+    )
+    return hit.select("event_key", "path").distinct()
+
 
+def _by_titles(dated: DataFrame, found: DataFrame, blocks: DataFrame, exact: bool) -> DataFrame:
+    """Files and events of the `blocks` that share a title (or the first gram of one)."""
     if exact:
         titles = F.when(F.col("_raw") == "", F.array(F.lit(""))).otherwise(_variants())
     else:
@@ -88,14 +113,13 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
             lambda n: F.array(F.left(n, F.when(F.length(n) >= GRAM, F.lit(GRAM)).otherwise(F.lit(1)))),
         )
     # the spellings are made behind an exchange on folder and date: rows that meet nothing are gone by then
-    wanted = usable.select("dir", F.explode(F.array_distinct(F.concat(_date_windows(F.col("name")), F.array(F.lit(""))))).alias("_date_key")).distinct()
-    asked = dated.join(wanted, ["dir", "_date_key"], "left_semi").hint("rebalance", "dir", "_date_key")
+    block = ["dir", "_date_key"]
+    wanted = found.select(*block).join(blocks.select(*block), block, "left_semi").distinct()
+    asked = dated.join(wanted, block, "left_semi").hint("rebalance", *block)
     left = asked.select("dir", "event_key", "item_titles", "_raw", "_date", "_date_key", F.explode(titles).alias("_title_key"))
 
     # files: only dates and folders with events go on
-    met = usable.select("dir", "path", "name").withColumn(
-        "_date_key", F.explode(F.concat(_date_windows(F.col("name")), F.array(F.lit(""))))
-    ).join(blocks, ["dir", "_date_key"]).hint("rebalance", "dir", "_date_key")
+    met = found.join(blocks, block).hint("rebalance", *block)
     none = F.array().cast("array<string>")
     if exact:
         keys = F.concat(let(F.col("name"), _title_candidates), F.when(F.col("_flag"), F.array(F.lit(""))).otherwise(none))
@@ -106,12 +130,7 @@ def match_files(events: DataFrame, files: DataFrame, mode: str = "exact", audio_
         )
     right = met.withColumn("_title_key", F.explode(keys)).select("dir", "path", "name", "_date_key", "_title_key")
 
-    pairs = left.join(right, ["dir", "_date_key", "_title_key"]).filter(F.col("name").contains(F.col("_date")))
-    hit = once(pairs, _safe_name=safe_name(F.col("name"))).filter(
-        (_title_fits() if exact else F.col("_safe_name").contains(safe_name(F.col("_raw"))))
-        & F.exists("item_titles", lambda i: F.col("_safe_name").contains(i))
-    )
-    return hit.select("event_key", "path").distinct()
+    return left.join(right, [*block, "_title_key"])
 
 
 def _variants() -> Column:

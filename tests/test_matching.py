@@ -68,6 +68,22 @@ def test_match_files(spark, mode, by_hand, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("mode,by_hand", [("exact", exact_by_hand), ("contains", contains_by_hand)])
+def test_match_files_meets_few_events_without_titles(spark, mode, by_hand, capsys):
+    events, names = case(3)
+    e = spark.createDataFrame(
+        [(v["dir"], v["event_key"], v["item_titles"], v["title"], v["dates"]) for v in events],
+        "dir string, event_key int, item_titles array<string>, title string, dates array<string>",
+    )
+    f = spark.createDataFrame(names, "dir string, path string, name string")
+    want = {(v["event_key"], p) for v in events for d, p, n in names if d == v["dir"] and by_hand(v, n)}
+    for few in (0, 4, 1000):
+        found = M.match_files(e, f, mode, few=few)
+        found.explain()
+        assert ("_title_key" in capsys.readouterr().out) == (few < 1000)
+        assert {(r.event_key, r.path) for r in found.collect()} == want
+
+
 def test_two_dates(spark):
     df = spark.createDataFrame([("20240101", "2024-01-02(火)"), ("20240101", "2024-01-01(月)"), (" ", "soon"), (None, None)], "a string, b string")
     got = [r.d for r in df.select(M.two_dates(F.col("a"), F.col("b")).alias("d")).collect()]
