@@ -1,13 +1,15 @@
 """Keyed state in event-time order, for streams whose rows arrive late and out of order.
 
 Rows of a key wait in list state until the watermark has passed them; an event-time timer then hands them, in order, to a
-fold with the state that the rows before left. What a fold sees depends neither on the arrival of the rows nor on the
+fold with the state that the rows before left. Keys share `BUCKETS` buckets by their hash, each with one state and one
+timer, as calls to the state would cost more than the rows where keys are many and their rows few. What a fold sees depends neither on the arrival of the rows nor on the
 batches they came in, as long as no row is later than the watermark allows. A key that is silent for `idle` ends: its
 state is dropped, and may emit a last row.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,6 +23,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 DAY = "timestamp_ntz'2000-01-01 00:00:00'"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 512
 
 
 @dataclass(frozen=True)
@@ -37,14 +40,19 @@ class Fold:
 
 
 class InOrder(StatefulProcessor):
-    def __init__(self, key: str, columns: list[str], schema: str, fold: Fold, idle: int | None):
-        self.key, self.columns, self.schema, self.fold, self.idle = key, columns, schema, fold, idle
+    """`kinds` are the types of the key and of the columns, by name."""
+
+    def __init__(self, key: str, columns: list[str], kinds: dict[str, str], fold: Fold, idle: int | None):
+        self.key, self.columns, self.fold, self.idle = key, columns, fold, idle
+        self.whole = [kinds[c] in ("bigint", "int") for c in (key, *columns)]
         self.names = [c.split(" ")[0] for c in fold.output.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.carried = handle.getValueState("carried", f"{self.fold.state}, last_at long, is_open boolean")
+        # lists of (key, *columns), one for each batch of rows; what is carried of each key with its last time
+        self.waiting = handle.getListState("waiting", "packed binary")
+        self.carried = handle.getValueState("carried", "packed binary")
+        self.timer = handle.getValueState("timer", "at_millis long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -53,52 +61,73 @@ class InOrder(StatefulProcessor):
                 frame = frame[frame["tie0"].notna()]  # a row without a number only moves the watermark
             if frame.empty:
                 continue
-            columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in self.columns]
-            self.waiting.appendList(list(zip(*columns, strict=True)))
+            columns = [_plain(frame[c], whole) for c, whole in zip((self.key, *self.columns), self.whole, strict=True)]
+            self.waiting.appendValue((pickle.dumps(list(zip(*columns, strict=True))),))
             least = int(frame["at_micros"].min())
             first = least if first is None else min(first, least)
         if first is not None:
-            self.handle.registerTimer(_timer(first))
+            self._wake(_timer(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: r[: self.order])
-        due = sum(r[0] <= now for r in rows)  # sorted by time
-        if not due and not self.idle:
-            return  # another timer of this batch has taken them
+        millis = timerValues.getCurrentWatermarkInMs()
+        asked = self.timer.get()
+        if asked is None or asked[0] > millis:
+            return  # another timer of this batch has done the work
+        self.timer.clear()
+        now = millis * 1000
+        rows = [r for packed in self.waiting.get() for r in pickle.loads(packed[0])]
+        rows.sort(key=lambda r: r[1 : 1 + self.order])
+        due, rest, first_left = {}, [], {}
+        for r in rows:
+            if r[1] <= now:
+                due.setdefault(r[0], []).append(r[1:])
+            else:
+                rest.append(r)
+                first_left.setdefault(r[0], r[1])
         state = self.carried.get()
-        carried, last = (tuple(state[:-2]) if state[-1] else None, state[-2]) if state else (None, None)
+        held = pickle.loads(state[0]) if state is not None else {}
         out = []
-        for part in self._parts(rows[:due], last):
-            if self.idle and last is not None and part[0][0] - last > self.idle:
-                carried = self._end(carried, out)
-            columns = {c: np.array(v) if c == "at_micros" else np.array(v, object) for c, v in zip(self.columns, zip(*part, strict=True), strict=True)}
-            found, carried = self.fold.step(carried, columns)
-            out.append(found)
-            last = part[-1][0]
-        rest = rows[due:]
+        for k in [*due, *(k for k in held if k not in due)] if self.idle else due:
+            carried, last = held.pop(k, (None, None))
+            found = []
+            for part in self._parts(due.get(k, []), last):
+                if self.idle and last is not None and part[0][0] - last > self.idle:
+                    carried = self._end(carried, found)
+                columns = {c: np.array(v) if c == "at_micros" else np.array(v, object) for c, v in zip(self.columns, zip(*part, strict=True), strict=True)}
+                step, carried = self.fold.step(carried, columns)
+                found.append(step)
+                last = part[-1][0]
+            # rows that still wait may lie before the end of the silence
+            if self.idle and last is not None and now > last + self.idle and not (k in first_left and first_left[k] <= last + self.idle):
+                carried = self._end(carried, found)
+                carried = None
+            if carried is not None:
+                held[k] = (carried, last)
+            out += [(k, step) for step in found]
         if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        # rows that still wait may lie before the end of the silence
-        if self.idle and last is not None and now > last + self.idle and not (rest and rest[0][0] <= last + self.idle):
-            carried, last = self._end(carried, out), None
-        if last is None or (carried is None and not self.idle):
-            if state:
-                self.carried.clear()
-        else:
-            empty = (None,) * len(self.fold.state.split(", "))
-            self.carried.update((*(carried if carried is not None else empty), last, carried is not None))
-            if self.idle and carried is not None:
-                self.handle.registerTimer(_timer(last + self.idle + 1))
-            elif self.idle:
-                self.carried.clear()
-        if rest:
-            self.handle.registerTimer(_timer(rest[0][0]))
-        for found in out:
-            size = max((len(v) for v in found.values()), default=0)
-            if size:
-                yield pd.DataFrame({self.key: [key[0]] * size, **{c: found[c] for c in self.names}})
+            self.waiting.put([(pickle.dumps(rest),)]) if rest else self.waiting.clear()
+        if held:
+            self.carried.update((pickle.dumps(held),))
+        elif state is not None:
+            self.carried.clear()
+        ends = [last + self.idle + 1 for _, last in held.values()] if self.idle else []
+        # the end of a key that has rows waiting before it comes after these
+        later = [t for t in [*([rest[0][1]] if rest else []), *ends] if _timer(t) > millis]
+        if later:
+            self._wake(_timer(min(later)))
+        sizes = [max((len(v) for v in step.values()), default=0) for _, step in out]
+        if any(sizes):
+            keys = [k for (k, _), size in zip(out, sizes, strict=True) for _ in range(size)]
+            columns = {c: [v for _, step in out for v in step[c]] for c in self.names}
+            yield pd.DataFrame({self.key: keys, **columns}, dtype=object)
+
+    def _wake(self, millis: int) -> None:
+        """One timer at a time counts: the earliest."""
+        asked = self.timer.get()
+        if asked is None or millis < asked[0]:
+            self.timer.update((millis,))
+            self.handle.registerTimer(millis)
 
     @property
     def order(self) -> int:
@@ -118,6 +147,12 @@ class InOrder(StatefulProcessor):
             out.append(self.fold.ended(carried))
 
 
+def _plain(values: pd.Series, whole: bool) -> list:
+    """Python values, None where there is none; whole numbers stay so beside nulls."""
+    found = values.astype(object).where(values.notna(), None).tolist()
+    return [v if v is None else int(v) for v in found] if whole else found
+
+
 def _timer(micros: int) -> int:
     return -(-micros // 1000)
 
@@ -142,9 +177,9 @@ def in_order(events: DataFrame, key: str, order: list[str], late: str, columns:
     timed = events.filter(F.col(at).isNotNull()).select(F.col(key), *[c.alias(n) for n, c in given.items()])
     rows = timed.withColumn("event_time", F.timestamp_micros("at_micros")).withWatermark("event_time", late)
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in given)
-    processor = InOrder(key, list(given), schema, fold, micros)
-    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {kinds[key]}, {fold.output}", "append", "EventTime")
+    processor = InOrder(key, list(given), kinds, fold, micros)
+    dealt = rows.withColumn("in_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).groupBy("in_bucket")
+    return dealt.transformWithStateInPandas(processor, f"{key} {kinds[key]}, {fold.output}", "append", "EventTime")
 
 
 def requests_fold() -> Fold:

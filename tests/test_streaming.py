@@ -182,6 +182,14 @@ def kept(files, limit):
     return out
 
 
+def test_keys_share_states(spark, tmp_path):
+    """Many keys with few rows: the state has rows for buckets, not for keys."""
+    rows = [(f"u{t % 1600}", t, t, "ask", t) for t in range(4800)]
+    stream, late = R.late_arrivals(table(spark, rows), "ts", pieces=2)
+    got, left = ended(J.stable_stream(stream, "u", ORDER, "i", "kind", late), tmp_path)
+    assert sorted(r.event_id for r in got.collect()) == list(range(3200, 4800)) and 0 < left <= 3 * Q.BUCKETS < 1600
+
+
 def test_retention_monitor_follows_its_deltas(spark, tmp_path):
     rng = random.Random(6)
     rows = [(rng.choice(["s", "s", "t", None]), i, rng.choice([0, 7, 10, 25])) for i in range(60)]
