@@ -6,7 +6,10 @@ import difflib
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,12 +66,23 @@ def nfkc(c: Column) -> Column:
     return F.when(ascii_only, c).otherwise(_nfkc(F.when(~ascii_only, c)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkc_each(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(lists: pa.Array) -> pa.Array:
+    return nfkc_lists(lists)
+
+
+def nfkc_lists(lists: pa.Array, step: int = 256) -> pa.Array:
+    """The NFKC form of each text of each list; no more than `step` texts at a time are Python strings."""
+
     def one(x):
         return x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
 
-    return s.map(lambda texts: [one(x) for x in texts], na_action="ignore")
+    texts = lists.flatten()
+    parts = [pa.array([one(x) for x in texts.slice(k, step).to_pylist()], pa.large_string()) for k in range(0, len(texts), step)]
+    lengths = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]))
+    values = pa.concat_arrays(parts) if parts else pa.array([], pa.large_string())
+    return pa.LargeListArray.from_arrays(offsets, values, mask=lists.is_null()).cast(pa.list_(pa.string()))
 
 
 _nfkc_barrier = _nfkc_each.asNondeterministic()

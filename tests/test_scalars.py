@@ -241,3 +241,19 @@ def test_style_props_query_reads_each_text_once(spark, data, capsys):
 
     load_all()["style_props"].run(Tables(spark, data)).explain()
     assert "HashAggregate(keys=[raw" in capsys.readouterr().out
+
+
+def test_nfkc_of_lists_holds_few_python_strings(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = [["ﬁ", "a", None], None, [], ["Ａ"]]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>").select("i", U.nfkc_each(F.col("t")).alias("t"))
+    assert [r.t for r in sorted(got.collect())] == [["fi", "a", None], None, [], ["A"]]
+    lists = pa.array([["é" * 1000] * 10] * 2000)
+    assert U.nfkc_lists(lists.slice(1, 3)).to_pylist() == [["é" * 1000] * 10] * 3
+    tracemalloc.start()
+    U.nfkc_lists(lists)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
