@@ -10,20 +10,23 @@ the fixed formats: a candidate that a base span covers is positive, any other un
 fold that the trees have not seen; the threshold is the least one that reaches `PRECISION` there, so that text of a
 clean document stays.
 
-Texts are read once. The trees are fitted on at most `TRAIN_ROWS` candidates, taken in the order of a hash; every
-candidate is judged.
+Texts are read once. The trees are fitted on all candidates outside that fold and calibrated on all within it: candidates
+of the same bins are counted together, and each level of a tree is one job that adds up gradients by node, feature and
+bin. The sums are of whole numbers (`UNIT`), so the model does not depend on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import Intervals, join_spans, read, whole
@@ -55,9 +58,12 @@ FEATURES = [
     "first_group", "last_group", "letter_before", "letter_after", "blank_before", "cue", "digits_near",
 ]
 
-TRAIN_ROWS = 20_000
+LEAST_ROWS = 20
 PRECISION = 0.95
 TREES, DEPTH, RATE, CUTS = 40, 3, 0.2, 16
+CELLS = 50_000  # of a task, about, in a pass over them
+UNIT = 2**30  # gradients are whole numbers of 1 / UNIT
+STEPS, MOST_ODDS = 2**10, 32  # log-odds are whole numbers of 1 / STEPS, up to MOST_ODDS either way
 
 
 def luhn(digits: str) -> bool:
@@ -158,80 +164,113 @@ class Boosted:
     scale: tuple[float, float] = (1.0, 0.0)
     threshold: float = 2.0
 
-    def _bins(self, x: np.ndarray) -> np.ndarray:
+    def bins(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(self.edges)])
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        binned, total = self._bins(x), np.full(len(x), self.start)
+    def total(self, binned: np.ndarray) -> np.ndarray:
+        total = np.full(len(binned), self.start)
         for features, cuts, leaves in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (binned[np.arange(len(x)), features[node]] > cuts[node])
-            total += leaves[node - (2**DEPTH - 1)]
+            total += leaves[_walk(binned, features, cuts, DEPTH)]
         return total
 
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds in whole numbers of 1 / STEPS: few enough values to be counted."""
+        return np.rint(np.clip(self.total(self.bins(x)), -MOST_ODDS, MOST_ODDS) * STEPS).astype(np.int64)
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + b, -30, 30)))
+        return self._scaled(self.odds(x))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.edges = [_middles(c) for c in x.T]
-        binned, rate = self._bins(x), np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    def _scaled(self, odds: np.ndarray) -> np.ndarray:
+        a, b = self.scale
+        return 1 / (1 + np.exp(-np.clip(a * odds / STEPS + b, -30, 30)))
+
+    def sums(self, binned: np.ndarray, counts: np.ndarray, hits: np.ndarray, features: np.ndarray, cuts: np.ndarray, level: int) -> np.ndarray:
+        """Gradients and second derivatives of rows that stand for `counts` each, `hits` of them positive, in whole
+        numbers of 1 / UNIT: by which of the two, node of the level, feature and bin, flat."""
+        p = 1 / (1 + np.exp(-np.clip(self.total(binned), -30, 30)))
+        grad = hits * UNIT - counts * np.rint(p * UNIT).astype(np.int64)
+        hess = counts * np.rint(p * (1 - p) * UNIT).astype(np.int64)
+        wide = binned.shape[1]
+        slots = ((_walk(binned, features, cuts, level)[:, None] * wide + np.arange(wide)) * (CUTS + 1) + binned).ravel()
+        found = np.zeros((2, 2**level * wide * (CUTS + 1)), np.int64)
+        np.add.at(found[0], slots, np.repeat(grad, wide))
+        np.add.at(found[1], slots, np.repeat(hess, wide))
+        return found.ravel()
+
+    def grow(self, rate: float, gather: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Boosted:
+        """Fit the trees; `gather` gives the `sums` of all rows for the tree begun (its features and cuts) at a level."""
+        rate = min(max(rate, 1e-4), 1 - 1e-4)
         self.start = float(np.log(rate / (1 - rate)))
-        total = np.full(len(y), self.start)
         inner = 2**DEPTH - 1
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-total))
-            grad, hess = y - p, p * (1 - p)
-            features, cuts = np.zeros(inner, np.int64), np.full(inner, CUTS, np.int64)
-            node = np.zeros(len(y), np.int64)
+            features, cuts, leaves = np.zeros(inner, np.int64), np.full(inner, CUTS, np.int64), np.zeros(2**DEPTH)
             for level in range(DEPTH):
-                for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                    here = node == k
-                    if here.any():
-                        features[k], cuts[k] = _best_cut(binned[here], grad[here], hess[here])
-                node = 2 * node + 1 + (binned[np.arange(len(y)), features[node]] > cuts[node])
-            leaf = node - inner
-            leaves = RATE * np.bincount(leaf, grad, 2**DEPTH) / (np.bincount(leaf, hess, 2**DEPTH) + 1.0)
+                grads, hesses = gather(features, cuts, level).reshape(2, 2**level, len(self.edges), CUTS + 1).cumsum(axis=3)
+                for k, (g, h) in enumerate(zip(grads, hesses, strict=True)):
+                    node = 2**level - 1 + k
+                    features[node], cuts[node] = _best_cut(g / UNIT, h / UNIT)
+                    if level == DEPTH - 1:
+                        side_g, side_h = g[features[node], cuts[node]], h[features[node], cuts[node]]
+                        leaves[2 * k] = RATE * side_g / (side_h + UNIT)
+                        leaves[2 * k + 1] = RATE * (g[0, -1] - side_g) / (h[0, -1] - side_h + UNIT)
             self.trees.append((features, cuts, leaves))
-            total += leaves[leaf]
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        self.edges = [_middles(*np.unique(c, return_counts=True)) for c in x.T]
+        binned, ones, hits = self.bins(x), np.ones(len(y), np.int64), y.astype(np.int64)
+        return self.grow(float(y.mean()), lambda features, cuts, level: self.sums(binned, ones, hits, features, cuts, level))
+
     def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> Boosted:
-        """Platt scaling, and the least probability from which on the share of positives is `precision`."""
+        odds, at = np.unique(self.odds(x), return_inverse=True)
+        return self.settle(odds, np.bincount(at), np.bincount(at, y), precision)
+
+    def settle(self, odds: np.ndarray, counts: np.ndarray, hits: np.ndarray, precision: float) -> Boosted:
+        """Platt scaling, and the least probability from which on the share of positives is `precision`, from the
+        number of rows and of positive ones at each of the distinct log-odds."""
         from larkspan.llm.toxicity import fit_logistic
 
-        self.scale = tuple(fit_logistic(self.raw(x)[:, None], y, 1e-3).tolist())
-        p = self.probability(x)
+        twice, y = np.tile(odds / STEPS, 2)[:, None], np.repeat([1.0, 0.0], len(odds))
+        self.scale = tuple(fit_logistic(twice, y, 1e-3, np.concatenate([hits, counts - hits]).astype(float)).tolist())
+        p = self._scaled(odds)
         order = np.argsort(-p, kind="stable")
-        hits = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        share = np.cumsum(hits[order]) / np.cumsum(counts[order])
         last = np.append(np.diff(p[order]) != 0, True)  # equal probabilities are taken together
-        ok = np.flatnonzero((hits >= precision) & last)
+        ok = np.flatnonzero((share >= precision) & last)
         self.threshold = max(0.5, float(p[order][ok[-1]])) if len(ok) else 2.0
         return self
 
 
-def _middles(values: np.ndarray) -> np.ndarray:
-    """At most CUTS cuts, each midway between two neighbouring values, so that unseen values fall to the nearer side."""
-    seen, counts = np.unique(values, return_counts=True)
+def _walk(binned: np.ndarray, features: np.ndarray, cuts: np.ndarray, level: int) -> np.ndarray:
+    """The node of each row among those of the level."""
+    node, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+    for _ in range(level):
+        node = 2 * node + 1 + (binned[rows, features[node]] > cuts[node])
+    return node - (2**level - 1)
+
+
+def _middles(seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """At most CUTS - 1 cuts, each midway between two neighbouring values, so that unseen values fall to the nearer side.
+
+    Of more values, a cut is kept where the rows below it pass another share of 1 / CUTS, and the last one for shares
+    beyond it.
+    """
     middles = (seen[:-1] + seen[1:]) / 2
     if len(middles) > CUTS - 1:
-        below = np.cumsum(counts)[:-1] / len(values)
-        middles = middles[np.unique(np.searchsorted(below, np.linspace(0, 1, CUTS + 1)[1:-1]).clip(0, len(middles) - 1))]
+        share = np.cumsum(counts) * CUTS // counts.sum()
+        passed = np.diff(share[:-1], prepend=0) > 0
+        passed[-1] |= share[-2] < CUTS - 1
+        middles = middles[passed]
     return middles
 
 
-def _best_cut(binned: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[int, int]:
-    best, found = 1e-9, (0, CUTS)
-    all_g, all_h = grad.sum(), hess.sum()
-    for k in range(binned.shape[1]):
-        g = np.cumsum(np.bincount(binned[:, k], grad, CUTS + 1))[:-1]
-        h = np.cumsum(np.bincount(binned[:, k], hess, CUTS + 1))[:-1]
-        gain = g * g / (h + 1) + (all_g - g) ** 2 / (all_h - h + 1) - all_g**2 / (all_h + 1)
-        at = int(gain.argmax())
-        if gain[at] > best:
-            best, found = float(gain[at]), (k, at)
-    return found
+def _best_cut(g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+    """The feature and the last bin on the left, from running sums over the bins of each feature."""
+    all_g, all_h = g[0, -1], h[0, -1]
+    g, h = g[:, :-1], h[:, :-1]
+    gain = g * g / (h + 1) + (all_g - g) ** 2 / (all_h - h + 1) - all_g**2 / (all_h + 1)
+    k, at = divmod(int(gain.argmax()), CUTS)
+    return (k, at) if gain[k, at] > 1e-9 else (0, CUTS)
 
 
 FACTS = "doc_id long, kinds array<string>, starts array<int>, ends array<int>, sure_from array<int>, sure_upto array<int>, froms array<int>, upto array<int>, covered array<boolean>, features array<array<float>>"
@@ -256,17 +295,82 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.mapInPandas(work, FACTS)
 
 
-def train(facts: DataFrame, rows: int = TRAIN_ROWS) -> Boosted | None:
-    """Trees fitted on at most `rows` candidates; None where candidates of one kind only are there."""
+def counted(facts: DataFrame) -> DataFrame:
+    """features, held, n, hits: the candidates with these features in the held-out fold or outside it, and how many a
+    base span covers."""
     each = facts.filter(F.size("froms") > 0).select("doc_id", F.explode(F.arrays_zip("froms", "covered", "features")).alias("c")).select("doc_id", "c.*")
-    sample = each.orderBy(F.xxhash64("doc_id", "froms", "features"), "doc_id", "froms").limit(rows).toPandas()
-    if sample["covered"].nunique() < 2 or len(sample) < 20:
-        return None
-    x, y = np.array(sample["features"].tolist(), float), sample["covered"].to_numpy(float)
-    fold = np.arange(len(y)) % 4 == 0
-    if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
+    held = F.pmod(F.xxhash64("doc_id", "froms", "features"), F.lit(4)) == 0
+    return each.groupBy("features", held.alias("held")).agg(F.count("*").alias("n"), F.sum(F.col("covered").cast("long")).alias("hits"))
+
+
+def edges_of(rows: DataFrame) -> list[np.ndarray]:
+    """`_middles` of each feature over all rows (features, n). Only cuts leave the tasks; a window holds the distinct
+    values of one feature."""
+    values = rows.select("n", F.posexplode("features").alias("k", "value")).groupBy("k", "value").agg(F.sum("n").alias("n"))
+    each = Window.partitionBy("k")
+    up = each.orderBy("value")
+    steps = values.select(
+        "k", "value", F.lead("value").over(up).alias("next"), F.row_number().over(up).alias("at"), F.count("*").over(each).alias("kinds"),
+        F.sum("n").over(up).alias("below"), F.sum("n").over(each).alias("total"), "n",
+    )
+    passed = F.expr(f"below * {CUTS} div total > (below - n) * {CUTS} div total OR (at = kinds - 1 AND below * {CUTS} div total < {CUTS - 1})")
+    kept = steps.filter(F.col("next").isNotNull() & ((F.col("kinds") <= CUTS) | passed))
+    found = kept.select("k", ((F.col("value").cast("double") + F.col("next")) / 2).alias("cut")).toPandas()
+    return [np.sort(found["cut"][found["k"] == k].to_numpy(float)) for k in range(len(FEATURES))]
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(len(column), -1)
+
+
+def _cells(rows: DataFrame, model: Boosted) -> DataFrame:
+    """bins (a byte for each feature), n, hits."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            binned = model.bins(_matrix(batch["features"])).astype(np.uint8)
+            yield pd.DataFrame({"bins": [row.tobytes() for row in binned], "n": batch["n"], "hits": batch["hits"]})
+
+    binned = rows.select("features", "n", "hits").mapInPandas(work, "bins binary, n long, hits long")
+    return binned.groupBy("bins").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+def _blocks(cells: DataFrame, wide: int) -> RDD:
+    """The cells as (bins, n, hits) arrays of a few thousand rows, kept for the passes over them. Few cells are few
+    tasks, as a pass is short."""
+
+    def work(rows: Iterator[Row]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        while block := list(islice(rows, 8192)):
+            bins, n, hits = zip(*block, strict=True)
+            yield np.frombuffer(b"".join(bins), np.uint8).reshape(-1, wide), np.array(n, np.int64), np.array(hits, np.int64)
+
+    tasks = 1 + cells.count() // CELLS
+    return cells.select("bins", "n", "hits").repartition(tasks).rdd.mapPartitions(work).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _odds(rows: DataFrame, model: Boosted) -> pd.DataFrame:
+    """odds, n, hits: rows at each of the at most 2 * MOST_ODDS * STEPS + 1 log-odds."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"odds": model.odds(_matrix(batch["features"])), "n": batch["n"], "hits": batch["hits"]})
+
+    each = rows.select("features", "n", "hits").mapInPandas(work, "odds long, n long, hits long")
+    return each.groupBy("odds").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toPandas().sort_values("odds")
+
+
+def train(facts: DataFrame) -> Boosted | None:
+    """Trees fitted and calibrated on all candidates; None where candidates of one kind only are there."""
+    rows = cut_lineage(counted(facts))
+    there = {r["held"]: (r["n"], r["hits"]) for r in rows.groupBy("held").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
+    if len(there) < 2 or sum(n for n, _ in there.values()) < LEAST_ROWS or any(hits in (0, n) for n, hits in there.values()):
         return None
-    return Boosted().fit(x[~fold], y[~fold]).calibrate(x[fold], y[fold], PRECISION)
+    model = Boosted(edges=edges_of(rows.filter("NOT held")))
+    blocks = _blocks(cut_lineage(_cells(rows.filter("NOT held"), model)), len(model.edges))
+    model.grow(there[False][1] / there[False][0], lambda *tree: blocks.map(lambda block: model.sums(*block, *tree)).treeReduce(np.add))
+    blocks.unpersist()
+    held = _odds(rows.filter("held"), model)
+    return model.settle(held["odds"].to_numpy(), held["n"].to_numpy(), held["hits"].to_numpy(), PRECISION)
 
 
 def select(spans: list[tuple[float, int, int]]) -> list[tuple[int, int]]:

@@ -94,6 +94,30 @@ def test_trees_learn_and_calibrate():
     assert chosen.sum() > 300 and y[3000:][chosen].mean() >= 0.95
 
 
+def test_trees_learn_from_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CELLS", 8000)
+    rng = np.random.default_rng(17)
+    n = 30_000
+    x = rng.integers(0, 3, (n, len(pii.FEATURES)))
+    x[:, 0] = rng.geometric(0.05, n)  # more values than bins
+    x[:, 1] = np.where(rng.random(n) < 0.99, 7, rng.integers(0, 1000, n))
+    y = (x[:, 0] > 20) & (x[:, 2] > 0) | (rng.random(n) < 0.01)
+    rows = [(k // 3, [k], [bool(y[k])], [x[k].astype(float).tolist()]) for k in range(n)]
+    facts = spark.createDataFrame([*rows, (None, [], [], [])], "doc_id long, froms array<int>, covered array<boolean>, features array<array<float>>")
+    held = facts.filter("size(froms) > 0").selectExpr("doc_id", "froms[0] k", "froms[0] froms", "features[0] features").selectExpr("k", "pmod(xxhash64(doc_id, froms, features), 4) = 0 held")
+    fold = np.zeros(n, bool)
+    fold[[r.k for r in held.filter("held").collect()]] = True
+    plain = pii.Boosted().fit(x[~fold].astype(float), y[~fold].astype(float)).calibrate(x[fold].astype(float), y[fold].astype(float), pii.PRECISION)
+    for facts_dealt in (facts, facts.repartition(5, "doc_id")):
+        model = pii.train(facts_dealt)
+        assert [e.tolist() for e in model.edges] == [e.tolist() for e in plain.edges]
+        assert all(np.array_equal(a, b) for t, u in zip(model.trees, plain.trees, strict=True) for a, b in zip(t, u, strict=True))
+        assert (model.start, model.scale, model.threshold) == (plain.start, plain.scale, plain.threshold)
+    assert 0.5 <= model.threshold < 1 and len(model.edges[0]) == len(pii._middles(*np.unique(x[~fold][:, 0], return_counts=True))) > 8
+    odds = pii._odds(pii.counted(facts).filter("held"), model)
+    assert odds["n"].sum() == fold.sum() and odds["hits"].sum() == y[fold].sum()
+
+
 def test_personal_data_beside_the_formats(documents):
     rng = random.Random(15)
 
