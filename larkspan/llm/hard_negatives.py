@@ -3,11 +3,12 @@
 Vectors are integers, a score is the inner product. Dimensions are ordered by their weight in the whole table.
 
 1. Index. Rows lie in blocks of bounded size, large labels in blocks of their own. A block has a posting list for each
-   dimension, sorted by the norm that a row has from that dimension on.
+   few dimensions that follow each other, sorted by the norm that a row has from the first of them on.
 2. Search. With threshold t an anchor reads of each list only the postings whose suffix norm times its own suffix norm
    reaches t: what lies behind is covered by that bound and left out. Partial scores are summed up; rows whose partial
    score and remaining norms cannot reach t are dropped, the others are scored exactly. Then t is lowered, and every list
-   is read on from where it stopped, until the anchor's windows are full.
+   is read on from where it stopped, until the anchor's windows are full. Some anchors search together, each with its own
+   t, so that partial scores and scores are products of matrices.
 3. Positives are the best rows of the anchor's label, found in the blocks of that label. Every positive gives a window
    of scores; the second search meets all blocks and fills each window with the best rows of other labels.
 
@@ -17,8 +18,6 @@ the merge is small.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,93 +30,113 @@ POSITIVES, NEGATIVES = 5, 3
 BLOCK, ANCHORS = 8192, 1024  # rows of a block of the index, anchors of a block
 LOWER = 0.85  # a threshold follows the one before by this factor
 SLACK = 1e-9  # norms are rounded
+WIDTH, TOGETHER = 16, 64  # dimensions of a posting list, anchors of a search
+FAR = 2**62  # above all scores
+SEARCHED = "anchor_id long, key long, positive_id long, positive_score long, found_id long, found_score long"
+WINDOWS = "windows array<array<long>>"
 
 
 class Block:
-    """One block of the index: exact vectors, suffix norms, and posting lists by falling suffix norm."""
+    """One block of the index: exact vectors, suffix norms, and posting lists by falling suffix norm.
+
+    A list holds WIDTH dimensions that follow each other, by the norm from the first of them on.
+    """
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+        self.vectors = vectors.astype(float)  # whole numbers below 2 ** 53, so sums of products are exact in any order
         self.norms = suffix_norms(vectors)
-        order = np.argsort(-self.norms[:, :-1], axis=0, kind="stable")
-        self.rows = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, 0).T).astype(float)
-        self.falling = np.ascontiguousarray(-np.take_along_axis(self.norms[:, :-1], order, 0).T)
+        self.lists = []
+        for k in range(0, vectors.shape[1], WIDTH):
+            rows = np.argsort(-self.norms[:, k], kind="stable")
+            self.lists.append((slice(k, min(k + WIDTH, vectors.shape[1])), rows, -self.norms[rows, k], self.vectors[rows, k : k + WIDTH]))
         self.longest = float(self.norms[:, 0].max()) if len(vectors) else 0.0
 
 
 class Search:
-    """The search of one anchor in one block; `lower` goes on to a smaller threshold."""
+    """The search of an anchor, or of the rows of a matrix of anchors, in one block; `lower` goes on to smaller thresholds.
 
-    def __init__(self, block: Block, anchor: np.ndarray):
-        self.block, self.anchor = block, anchor
-        self.norms = suffix_norms(anchor[None])[0]
+    Anchors of a matrix share the lists as far as one of them needs them, and the rows that one of them may reach: `scores`
+    has a column for each, `known` a value for each row.
+    """
+
+    def __init__(self, block: Block, anchors: np.ndarray):
+        self.block, self.anchors = block, anchors.astype(float).T
+        self.norms = suffix_norms(anchors).T
         n = len(block.vectors)
-        self.partial, self.read = np.zeros(n), np.zeros(n, np.int64)
-        self.ends = np.zeros(len(anchor), np.int64)
-        self.known, self.scores = np.zeros(n, bool), np.zeros(n, np.int64)
+        self.partial, self.read = np.zeros((n, *anchors.shape[:-1])), np.zeros(n, np.int64)
+        self.ends = np.zeros(anchors.shape[-1], np.int64)
+        self.known, self.scores = np.zeros(n, bool), np.full(self.partial.shape, -np.inf)
 
-    def top(self) -> float:
+    def top(self) -> np.ndarray:
         """No score is above."""
-        return float(self.norms[0]) * self.block.longest
-
-    def lower(self, threshold: float) -> None:
-        """Score exactly all rows that can reach the threshold."""
-        block, every = self.block, threshold <= 0
-        if not every:
-            for k, own in enumerate(self.norms[:-1]):
-                end = int(np.searchsorted(block.falling[k], -(threshold / own) * (1 - SLACK), "right")) if own else 0
-                if not end:
-                    break  # suffix norms only fall
-                if end > self.ends[k]:
-                    rows = block.rows[k, self.ends[k] : end]
-                    self.partial[rows] += self.anchor[k] * block.values[k, self.ends[k] : end]
-                    self.read[rows] = k + 1
-                    self.ends[k] = end
-            rest = block.norms[np.arange(len(self.read)), self.read] * self.norms[self.read]
-            near = ~self.known & (self.partial + rest >= threshold * (1 - SLACK) - 1)
-        else:
-            near = ~self.known
-        found = np.flatnonzero(near)
-        self.scores[found] = block.vectors[found] @ self.anchor
+        return self.norms[0] * self.block.longest
+
+    def only(self, anchors: np.ndarray) -> None:
+        """Go on with these columns alone."""
+        self.anchors, self.norms, self.partial, self.scores = (x[:, anchors] for x in (self.anchors, self.norms, self.partial, self.scores))
+
+    def lower(self, threshold: np.ndarray | float) -> None:
+        """Score exactly all rows that can reach the threshold (one for each anchor)."""
+        block = self.block
+        if self.known.all():
+            return
+        for dims, rows, falling, values in block.lists:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(np.greater(threshold, 0), threshold / self.norms[dims.start], np.inf).min()
+            end = int(np.searchsorted(falling, -need * (1 - SLACK), "right"))
+            if not end:
+                break  # suffix norms only fall
+            start = self.ends[dims.start]
+            if end > start:
+                fresh = ~self.known[rows[start:end]]
+                found = rows[start:end][fresh]
+                self.partial[found] += values[start:end][fresh] @ self.anchors[dims]
+                self.read[found] = dims.stop
+                self.ends[dims] = end
+        left = np.flatnonzero(~self.known)
+        rest = (self.norms[self.read[left]].T * block.norms[left, self.read[left]]).T
+        near = np.less_equal(threshold, 0) | (self.partial[left] + rest >= threshold * (1 - SLACK) - 1)
+        found = left[near.reshape(len(left), -1).any(axis=1)]
+        self.scores[found] = block.vectors[found] @ self.anchors
         self.known[found] = True
 
 
 def suffix_norms(vectors: np.ndarray) -> np.ndarray:
     """The norm of each row from every dimension on, and 0 at the end."""
-    squares = np.cumsum(np.square(vectors[:, ::-1].astype(float)), axis=1)[:, ::-1]
-    return np.sqrt(np.concatenate([squares, np.zeros((len(vectors), 1))], axis=1))
-
+    squares = np.cumsum(np.square(vectors[..., ::-1].astype(float)), axis=-1)[..., ::-1]
+    return np.sqrt(np.concatenate([squares, np.zeros((*vectors.shape[:-1], 1))], axis=-1))
 
-def best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """The first n of the rows, by falling score and then by id."""
-    return rows[np.lexsort((ids[rows], -scores[rows]))[:n]]
 
+def best(search: Search, valid: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each anchor and each of its windows of scores (low to high) the n best valid rows of the block in it, or all.
 
-def positives(search: Search, valid: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """The n best valid rows of the block, or all."""
-    threshold, want = search.top() * LOWER, min(n, int(valid.sum()))
-    floor = threshold * 0.05
-    while want:
-        search.lower(threshold)
-        found = np.flatnonzero(valid & search.known & (search.scores >= threshold))
-        if len(found) >= want:
-            return best(found, search.scores, ids, n)
-        threshold = threshold * LOWER if threshold * LOWER > floor else -np.inf
-    return np.zeros(0, np.int64)
-
-
-def negatives(search: Search, valid: np.ndarray, ids: np.ndarray, windows: list[tuple[int, int]], n: int) -> list[np.ndarray]:
-    """For each window of scores (from, to) the n best valid rows of the block in it, or all."""
-    last = min(low for low, _ in windows)
-    threshold = max(min(search.top(), max(high for _, high in windows)) * LOWER, last)
-    while True:
+    Rows of `low` and `high` and columns of `valid` are anchors. Gives anchors, windows, rows and scores; ties go to the smaller id.
+    """
+    last, floor, want = low.min(axis=1), search.top() * 0.05, np.minimum(n, valid.sum(axis=0))
+    threshold = np.maximum(np.minimum(search.top(), high.max(axis=1)) * LOWER, last)
+    anchors, found = np.arange(len(low)), []
+    while len(anchors):
+        threshold = np.where(threshold > floor, threshold, last)
         search.lower(threshold)
-        able = valid & search.known
-        found = [np.flatnonzero(able & (search.scores >= max(low, threshold)) & (search.scores <= high)) for low, high in windows]
-        if threshold <= last or all(len(f) >= n or threshold <= low for f, (low, _) in zip(found, windows, strict=True)):
-            return [best(f, search.scores, ids, n) for f in found]
-        threshold = max(threshold * LOWER, last)
+        rows, at = np.nonzero(valid & (search.scores >= threshold))
+        scores = search.scores[rows, at]
+        order = np.lexsort((ids[rows], -scores, at))
+        at, rows, scores = at[order], rows[order], scores[order]
+        inside = [(scores >= low[at, w]) & (scores <= high[at, w]) for w in range(low.shape[1])]
+        counts = np.array([np.bincount(at[fit], minlength=len(anchors)) for fit in inside])
+        full = ((counts >= want) | (threshold <= low.T)).all(axis=0)
+        for w, fit in enumerate(inside):
+            firsts = np.cumsum(counts[w]) - counts[w]
+            rank = np.arange(fit.sum()) - firsts[at[fit]]
+            take = np.flatnonzero(fit)[(rank < n) & full[at[fit]]]
+            found.append((anchors[at[take]], np.full(len(take), w), rows[take], scores[take].astype(np.int64)))
+        threshold = np.maximum(threshold * LOWER, last)
+        if full.any():
+            left = np.flatnonzero(~full)
+            search.only(left)
+            anchors, low, high, threshold, last, floor, want = (x[left] for x in (anchors, low, high, threshold, last, floor, want))
+            valid = valid[:, left]
+    return [np.concatenate(column) for column in zip(*found, strict=True)]
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -150,19 +169,44 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
-def _searched(pairs: DataFrame, index: DataFrame, anchors: DataFrame, dims: int, look, schema: str) -> DataFrame:
-    """`look(block of the index, its ids and labels, block of anchors)` for all pairs (a, b) of blocks."""
+def _met(block: Block, ids: np.ndarray, labels: np.ndarray, anchors: pd.DataFrame, vectors: np.ndarray, same: bool, n: int) -> pd.DataFrame:
+    """The rows of SEARCHED for some anchors (vec_id, key, label, windows) and one block of the index."""
+    equal = labels[:, None] == anchors["label"].to_numpy()
+    valid = equal & (ids[:, None] != anchors["vec_id"].to_numpy()) if same else ~equal
+    able = valid.any(axis=0)
+    anchors, valid = anchors[able], valid[:, able]
+    if anchors.empty:
+        return pd.DataFrame()
+    windows = np.tile(np.array([0, 0, FAR, -FAR]), (len(anchors), anchors["windows"].map(len).max() // 4, 1))
+    for mine, told in zip(windows, anchors["windows"], strict=True):
+        mine[: len(told) // 4] = np.reshape(told, (-1, 4))
+    at, window, rows, scores = best(Search(block, vectors[able]), valid, ids, windows[..., 2].astype(float), windows[..., 3].astype(float), n)
+    facts = anchors["vec_id"].to_numpy()[at], anchors["key"].to_numpy()[at], windows[at, window, 0], windows[at, window, 1], ids[rows], scores
+    return pd.DataFrame(dict(zip((c.split(" ")[0] for c in SEARCHED.split(", ")), facts, strict=True)))
+
+
+def _searched(pairs: DataFrame, index: DataFrame, anchors: DataFrame, dims: int, same: bool, n: int) -> DataFrame:
+    """The best n rows of a block of the index, of the same or of other labels, in each window, for all pairs (a, b) of blocks.
+
+    Windows of an anchor are a list of four numbers each: an id and a score that are handed on, the lowest and the highest
+    score in it.
+    """
 
     def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        found = [pd.DataFrame(columns=[c.split(" ")[0] for c in SEARCHED.split(", ")])]
         for at, mine in zip(left.itertuples(), right.itertuples(), strict=True):
+            ids, labels = _numbers(at.vec_id), _numbers(at.label)
             block = Block(_numbers(at.vectors).reshape(-1, dims))
-            rows += look(block, _numbers(at.vec_id), _numbers(at.label), mine)
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
+            asking = pd.DataFrame({"vec_id": _numbers(mine.vec_id), "key": _numbers(mine.key), "label": _numbers(mine.label)})
+            asking["windows"] = list(mine.windows)
+            vectors = _numbers(mine.vectors).reshape(-1, dims)
+            for k in range(0, len(asking), TOGETHER):
+                found.append(_met(block, ids, labels, asking[k : k + TOGETHER], vectors[k : k + TOGETHER], same, n))
+        return pd.concat(found)
 
     pairs = cut_lineage(pairs)
     right = pairs.select(F.col("a").alias("at"), F.col("b").alias("bt")).join(anchors, F.col("a") == F.col("at")).drop("a")
-    return pairs.join(index, "b").groupBy("a", "b").cogroup(right.groupBy("at", "bt")).applyInPandas(work, schema)
+    return pairs.join(index, "b").groupBy("a", "b").cogroup(right.groupBy("at", "bt")).applyInPandas(work, SEARCHED)
 
 
 def hard_negatives(
@@ -187,15 +231,10 @@ def hard_negatives(
     index = cut_lineage(_packed(placed, "b", order))
     asking = cut_lineage(_blocks(rows.filter("asks"), anchor_block, "a"))
 
-    def near(at: Block, ids: np.ndarray, labels: np.ndarray, mine) -> Iterator[tuple]:
-        for vec_id, key, label, vector in zip(_numbers(mine.vec_id), _numbers(mine.key), _numbers(mine.label), _numbers(mine.vectors).reshape(-1, dims), strict=True):
-            valid = (labels == label) & (ids != vec_id)
-            search = Search(at, vector)
-            for k in positives(search, valid, ids, n_positives):
-                yield int(vec_id), int(key), int(ids[k]), int(search.scores[k])
-
     met = asking.select("label", "a").distinct().join(placed.select("label", "b").distinct(), "label").select("a", "b").distinct()
-    found = _searched(met, index, _packed(asking, "a", order), dims, near, "anchor_id long, key long, positive_id long, positive_score long")
+    every = asking.withColumn("windows", F.array(*[F.lit(x).cast("long") for x in (0, 0, -FAR, FAR)]))
+    found = _searched(met, index, _packed(every, "a", order, WINDOWS), dims, True, n_positives)
+    found = found.select("anchor_id", "key", F.col("found_id").alias("positive_id"), F.col("found_score").alias("positive_score"))
     first = Window.partitionBy("anchor_id", "key").orderBy(F.desc("positive_score"), "positive_id")
     chosen = cut_lineage(found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= n_positives))
     score = F.col("positive_score")
@@ -206,25 +245,12 @@ def hard_negatives(
     )
     armed = asking.join(lists, ["vec_id", "key"])
 
-    def far(at: Block, ids: np.ndarray, labels: np.ndarray, mine) -> Iterator[tuple]:
-        facts = zip(_numbers(mine.vec_id), _numbers(mine.key), _numbers(mine.label), _numbers(mine.vectors).reshape(-1, dims), mine.windows, strict=True)
-        for vec_id, key, label, vector, windows in facts:
-            valid, windows = labels != label, np.reshape(windows, (-1, 4)).tolist()
-            if not valid.any():
-                continue
-            search = Search(at, vector)
-            for (other, value, *_), rows in zip(windows, negatives(search, valid, ids, [(w[2], w[3]) for w in windows], n_negatives), strict=True):
-                for k in rows:
-                    yield int(vec_id), int(key), other, value, int(ids[k]), int(search.scores[k])
-
     # every block of anchors meets every block of the index: the pairs of their numbers are dealt by slots
     slots = shuffle_width(vectors.sparkSession)
     asks = armed.select("a").distinct().select("a", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     pairs = asks.join(placed.select("b").distinct().withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(slots)).cast("int")), "slot").select("a", "b")
-    met = _searched(
-        pairs, index, _packed(armed, "a", order, "windows array<array<long>>"), dims, far,
-        "anchor_id long, key long, positive_id long, positive_score long, negative_id long, negative_score long",
-    )
+    met = _searched(pairs, index, _packed(armed, "a", order, WINDOWS), dims, False, n_negatives)
+    met = met.withColumnsRenamed({"found_id": "negative_id", "found_score": "negative_score"})
     next_ = Window.partitionBy("anchor_id", "key", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     return met.withColumn("rank", F.row_number().over(next_)).filter(F.col("rank") <= n_negatives).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.llm.hard_negatives import Block, Search, hard_negatives, op11_hard_negatives, suffix_norms
+from larkspan.llm.hard_negatives import FAR, Block, Search, best, hard_negatives, op11_hard_negatives, suffix_norms
 
 SCHEMA = "vec_id long, label long, vector array<long>, key string, a string, b string, windows string"
 
@@ -80,3 +80,41 @@ def test_rows_that_take_no_part(spark, tmp_path):
     got = sorted(tuple(r) for r in op11_hard_negatives(spark, str(tmp_path)).collect())
     ints = [(0, 2 if 0 % 7 == 0 else 1, [256, 128]), (1, 1, [76, 51]), (2, 2, [128, 76]), (7, 2, [153, 51])]
     assert got == brute(ints, lambda i: i % 50 == 0) and got
+
+
+def test_anchors_that_search_together():
+    """A matrix of anchors reads each list once, as far as one of them needs it, and finds what each finds alone."""
+    data = np.array([v for _, _, v in vectors(4, 300, dims=40)]) // (1 + np.arange(40))
+    block, anchors = Block(data), data[:25]
+    together, alone, exact = Search(block, anchors), [Search(block, a) for a in anchors], data @ anchors.T
+    assert len(block.lists) == 3 and sum(values.size for *_, values in block.lists) == data.size
+    for share in (0.9, 0.5, 0.2):
+        threshold = share * together.top()
+        together.lower(threshold)
+        for search, t in zip(alone, threshold, strict=True):
+            search.lower(t)
+        assert not set(np.flatnonzero((exact >= threshold).any(axis=1))) - set(np.flatnonzero(together.known))
+        assert (together.scores[together.known] == exact[together.known]).all()
+        assert (together.known == np.any([search.known for search in alone], axis=0)).all()
+        if share == 0.9:
+            assert (together.ends == np.max([search.ends for search in alone], axis=0)).all() and together.ends.sum() < data.size / 2
+    together.only(np.array([3, 7]))
+    together.lower(np.array([-1.0, 5.0]))
+    assert together.known.all() and (together.scores == exact[:, [3, 7]]).all()
+
+
+def test_windows_of_anchors_that_search_together():
+    rng = np.random.default_rng(5)
+    data, ids, n = rng.integers(-9, 9, (200, 6)), rng.permutation(200), 4
+    anchors, exact = data[:30], data @ data[:30].T
+    low = np.stack([rng.integers(-150, 150, 30), np.full(30, -FAR), rng.integers(-200, -100, 30), np.full(30, FAR)], axis=1)
+    high = np.stack([low[:, 0] + 40, np.full(30, FAR), low[:, 2] + 60, np.full(30, -FAR)], axis=1)
+    valid = rng.random((200, 30)) < 0.7
+    valid[:, 0], valid[2:, 1] = False, False
+    got = best(Search(Block(data), anchors), valid, ids, low.astype(float), high.astype(float), n)
+    want = []
+    for a in range(30):
+        for w in range(4):
+            rows = [r for r in range(200) if valid[r, a] and low[a, w] <= exact[r, a] <= high[a, w]]
+            want += [(a, w, r, exact[r, a]) for r in sorted(rows, key=lambda r: (-exact[r, a], ids[r]))[:n]]
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
