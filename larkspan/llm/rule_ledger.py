@@ -8,7 +8,6 @@ which there are at most 2 ** rules.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import pandas as pd
@@ -21,8 +20,9 @@ from larkspan.llm.common import read, whole
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-LETTERS = re.compile(r"[^\W\d_]+")
+SPACES = " \t\n\x0b\x0c\r"
+ASCII = bytes(range(128))
+NO_LETTERS = bytes(b for b in range(256) if b > 127 or not chr(b).isalpha())
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "longest_word"]
 
@@ -58,13 +58,12 @@ def mask(policy: str) -> int:
     return sum(1 << RULES.index(rule) for rule in POLICIES[policy])
 
 
-def repeat_words(words: list[str]) -> int:
+def repeat_words(words: list[str] | list[bytes]) -> int:
     """Words that lie in a window of five words found twice or more in the text."""
     windows = list(zip(*(words[k:] for k in range(WINDOW)), strict=False))
-    counts = Counter(windows)
-    if len(counts) == len(windows):
+    if len(set(windows)) == len(windows):
         return 0
-    found, upto = 0, 0
+    counts, found, upto = Counter(windows), 0, 0
     for i, window in enumerate(windows):
         if counts[window] > 1:
             found += i + WINDOW - max(i, upto)
@@ -73,8 +72,13 @@ def repeat_words(words: list[str]) -> int:
 
 
 def _measured(text: str) -> tuple[int, ...]:
-    lines = [x for x in text.split("\n") if x.translate(SPACES).replace(" ", "")]
-    words = [w for w in text.translate(SPACES).split(" ") if w]
+    data = text.encode()
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    words = data.split()  # bytes are split at the ASCII spaces alone, strings at others too
+    letters = len(data.translate(None, NO_LETTERS))
+    if not text.isascii():
+        words = [w.decode() for w in words]
+        letters += sum(map(str.isalpha, data.translate(None, ASCII).decode()))
     return (
         len(words),
         sum(map(len, words)),
@@ -82,7 +86,7 @@ def _measured(text: str) -> tuple[int, ...]:
         len(lines),
         len(lines) - len(set(lines)),
         repeat_words(words),
-        sum(map(len, LETTERS.findall(text))),
+        letters,
         max(map(len, words), default=0),
     )
 

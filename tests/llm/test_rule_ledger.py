@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from larkspan.llm import rule_ledger as r
 
@@ -63,3 +64,27 @@ def test_the_policy_of_a_stage_is_its_mask(documents):
     for policy in r.POLICIES:
         told = {e.doc_id for e in r.ledger(docs).filter(r.verdict(policy)).collect()}
         assert {d.doc_id for d in r.keep_good(docs, policy).collect()} == told
+
+
+def test_spaces_and_letters_are_those_of_the_sql():
+    """Six ASCII spaces part words, other ones don't; letters are the categories L, not numbers like ½ or Ⅷ."""
+    rng = random.Random(2)
+    signs = " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000abZ19_#é日ßªʰǅ½²Ⅷ①٣\u0301\U0001d400\x00"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    texts += ["ab cd " * 9, "½ ² Ⅷ ①", "é" * 1001, "日本 " * 400, "\x85 \xa0\n\x1c\n\t\n \n"]
+    for text in texts:
+        m = dict(zip(r.MEASURES, r._measured(text), strict=True))
+        assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == brute(text), text
+        assert m["n_letters"] == sum(unicodedata.category(c)[0] == "L" for c in text), text
+        words = "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ")
+        assert m["longest_word"] == max(map(len, words)), text
+
+
+def test_windows_are_counted_where_one_repeats(monkeypatch):
+    def count(windows):
+        raise AssertionError("no window repeats")
+
+    words = [f"w{k}" for k in range(100)]
+    assert r.repeat_words(words + words[:6]) == 12 and r.repeat_words([w.encode() for w in words + words[:6]]) == 12
+    monkeypatch.setattr(r, "Counter", count)
+    assert r.repeat_words(words + words[:4]) == r.repeat_words(words[:3]) == r.repeat_words([]) == 0
